@@ -1 +1,139 @@
-"""Registered queries."""
+"""Search and similarity queries over parts, documents and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions import search
+from graphloom.operators import similarity as sim
+from graphloom.registry import query
+from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, session_graph, supply_graph
+
+
+@query(
+    "fuzzy_prefix_search",
+    f"""WITH {SUPPLY_SQL}, q AS (SELECT *, lower(name) AS low FROM nodes WHERE kind <> 'struct')
+SELECT id, name, CASE WHEN low = 'supplier' THEN 'exact' ELSE 'prefix' END AS match,
+  (100000 + CASE WHEN exported THEN 0 ELSE 20000 END + least(99, abs(length(name) - 8)) * 10 + CASE kind WHEN 'function' THEN 0 WHEN 'interface' THEN 1 ELSE 5 END)::BIGINT AS score
+FROM q WHERE starts_with(low, 'supplier')""",
+)
+def fuzzy_prefix_search(spark, d):
+    g = supply_graph(spark, d)
+    return search.fuzzy_search(g.nodes.where("kind <> 'struct'"), "supplier").where("match IN ('exact', 'prefix')")
+
+
+@query("fuzzy_search_top")
+def fuzzy_search_top(spark, d):
+    return search.fuzzy_search(supply_graph(spark, d).nodes, "Order12", 50)
+
+
+_TERMS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@query(
+    "bm25_benchmark",
+    f"""WITH own AS (SELECT doc_id, list_distinct({_TERMS}) AS terms FROM documents), size AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM own),
+post AS (SELECT doc_id, len(terms) AS l, unnest(terms) AS term FROM own), asked AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark WHERE item_id < 5),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT query_id, doc_id, sum((ln((n + 1) / (df + 1)) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * l / mean))) AS raw FROM asked JOIN post USING (term) JOIN df USING (term), size GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM raw""",
+)
+def bm25_benchmark(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 5").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25(docs, asked).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "ucb1_event_types",
+    """WITH p AS (SELECT event_type AS arm, count(*) AS plays, avg(value) AS mean FROM events GROUP BY event_type), t AS (SELECT count(*) AS n FROM events)
+SELECT arm, plays, round(mean, 6) AS mean, round(mean + sqrt(2) * sqrt(ln(n) / plays), 6) AS score FROM p, t""",
+)
+def ucb1_event_types(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("arm"), F.col("value").alias("reward"))
+    return search.ucb1(e).select("arm", "plays", F.round("mean", 6).alias("mean"), F.round("score", 6).alias("score"))
+
+
+@query(
+    "cosine_to_first_vector",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), z AS (SELECT e AS q FROM v WHERE vec_id = 0)
+SELECT vec_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))), 6) AS similarity FROM v, z""",
+)
+def cosine_to_first_vector(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(sim.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+
+
+@query(
+    "nearest_vectors",
+    """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), p AS (
+SELECT a.id AS query, b.id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rn FROM p)
+SELECT query, id, round(s, 6) AS similarity FROM r WHERE rn <= 10""",
+)
+def nearest_vectors(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return sim.nearest(v, v.where("id % 100 = 0"), 10).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "part_name_jaccard",
+    """WITH p AS (SELECT p_partkey AS id, p_brand AS b, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey <= 200)
+SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 9) AS similarity FROM p x JOIN p y ON x.b = y.b AND x.id < y.id""",
+)
+def part_name_jaccard(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet").where("p_partkey <= 200").select(F.col("p_partkey").alias("id"), "p_brand", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
+    x, y = p.alias("x"), p.alias("y")
+    return x.join(y, (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.id") < F.col("y.id"))).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(sim.jaccard(F.col("x.w"), F.col("y.w")), 9).alias("similarity")
+    )
+
+
+@query("clone_pairs")
+def clone_pairs(spark, d):
+    return sim.clones(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("minhash_similarity_of_items")
+def minhash_similarity_of_items(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), sim.minhash(sim.token_shingles(F.col("text"), 3)).alias("signature"))
+    return sim.lsh_query(b, b, 16, 8, 5)
+
+
+@query("color_histogram_sessions")
+def color_histogram_sessions(spark, d):
+    g = session_graph(spark, d)
+    return sim.color_histogram(sim.color_refinement(g.nodes.select("id", F.col("name").alias("label")), g.edges))
+
+
+@query(
+    "motif_triangles",
+    f"""WITH {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges)
+SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst AND c.dst = a.src WHERE a.src <> a.dst AND b.src <> b.dst AND a.src <> b.dst""",
+)
+def motif_triangles(spark, d):
+    return sim.motif(session_graph(spark, d).edges, [("x", "y"), ("y", "z"), ("z", "x")])
+
+
+@query("query_terms_conversations")
+def query_terms_conversations(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", search.query_terms(F.col("text")).alias("terms"))
+
+
+@query(
+    "memory_scores",
+    """SELECT event_id, round(0.3 * least(value / 100, 1) + 0.2 * exp(-(date_diff('second', ts, TIMESTAMP '2024-01-31 00:00:00') / 86400.0) / 30) + 0.5 * (user_id % 10) / 10.0, 9) AS score FROM events""",
+)
+def memory_scores(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    age = (F.lit("2024-01-31").cast("timestamp").cast("long") - F.date_trunc("second", "ts").cast("long")) / 86400.0
+    return e.select("event_id", F.round(search.memory_score(F.least(F.col("value") / 100, F.lit(1)), age, F.pmod("user_id", F.lit(10)) / 10.0, F.lit(1.0)), 9).alias("score"))
+
+
+@query("packed_context")
+def packed_context(spark, d):
+    g = supply_graph(spark, d)
+    hits = search.fuzzy_search(g.nodes, "Customer00", 200).join(g.nodes.select("id", "kind"), "id")
+    items = hits.select(F.lit("q").alias("query_id"), "id", search.packing_score(F.col("match"), F.lit(0), F.col("kind")).alias("score"), search.estimate_tokens(F.col("name")).alias("tokens"))
+    return search.pack_greedy(items, 100)
