@@ -36,10 +36,9 @@ def bisect(f: Callable[[float], float], target: float, lo: float = 0.0, hi: floa
 def temperature(sizes: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> tuple[float, float, float]:
     """Exponent, the sum of ``tokens ** exponent`` and the token budget over sources ``tokens``.
 
-    The exponent is the greatest up to 1 whose weights have at least
-    ``target_entropy`` nats and, if ``max_repeats`` is given, then at least so
-    great that at the least budget that uses all of each source, none is used
-    more than ``max_repeats`` times. The repetition limit prevails.
+    With ``target_entropy``, the exponent is the greatest up to 1 whose weights have at least
+    as many nats; with ``max_repeats``, the least at which no source is used more often, at the
+    least budget that uses all of each; with both, the greater of the two; with neither, 1.
     """
     few = sizes.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
     tokens = [float(r[0]) for r in sizes.select("tokens").collect()] if few else None
@@ -61,7 +60,7 @@ def temperature(sizes: DataFrame, target_entropy: float | None = None, max_repea
     if max_repeats is not None and low < high:
         # repeats of the smallest at the least whole budget: (high / low) ** (1 - e)
         need = 1 - bisect(lambda x: x * math.log(high / low), math.log(max_repeats))
-        e = max(e, need)
+        e = need if target_entropy is None else max(e, need)
     return e, sums(e)[0], float(high ** (1 - e) * sums(e)[0])
 
 
