@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom.llm.common import text_bytes
+from graphloom.plans.tables import write_table
 
 SYMBOLS = b"#*$%&|<>"
 #: Rules by name; each is a share from 0 to 1 and a document fails above the cutoff.
@@ -143,29 +144,28 @@ def quality_rules(
 
     Columns of ``docs`` named in ``keep`` come back as ``__in_<name>``.
 
-    The holdout is read as counts by stratum, rule and grid cell: some thousand
-    rows whatever the input's size.
+    Counts are taken once and written down; labels join them, not the texts. The
+    holdout is read as counts by stratum, rule and grid cell: some thousand
+    rows whatever the input's size. With ``keep``, a second pass over the texts carries those columns.
     """
     known = [*strata, "other"]
     stratum = F.when(F.col(stratum_col).isin(*strata), F.col(stratum_col)).otherwise("other")
+    stats = write_table(with_stats(docs, id_col, text_col, stratum), "quality-stats")
     judged = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
-    held = docs.join(judged, F.col(id_col) == F.col("__id")).select(
-        F.col(id_col), F.col(text_col), F.concat_ws("|", stratum, F.col("quality")).alias("__stratum")
-    )
-    stats = with_stats(held, id_col, text_col, F.col("__stratum")).where(~base_failed())
+    held = stats.where(~base_failed()).join(judged, F.col("doc_id") == F.col("__id"))
     cell = lambda rule: F.lit(len(GRID)) - F.size(F.filter(F.lit(GRID), lambda g: F.expr(RULES[rule]) > g))
-    cells = stats.select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES))).alias("x"))
+    cells = held.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES))).alias("x"))
     counts: dict[tuple[str, str, int], list[int]] = {}
-    for r in cells.groupBy("stratum", "x.rule", "x.cell").count().collect():
-        s, quality = r["stratum"].rsplit("|", 1)
-        counts.setdefault((s, r["rule"], r["cell"]), [0, 0])[1 - int(quality)] += r["count"]
+    for r in cells.groupBy("stratum", "quality", "x.rule", "x.cell").count().collect():
+        counts.setdefault((r["stratum"], r["rule"], r["cell"]), [0, 0])[1 - r["quality"]] += r["count"]
     cutoffs = select_cutoffs(counts, known, max_false_rejection, confidence)
     failed = F.lit(None).cast("string")
     for (s, rule), cutoff in sorted(cutoffs.items(), reverse=True):
         failed = F.when((F.col("stratum") == s) & (F.expr(RULES[rule]) > cutoff), F.lit(rule)).otherwise(failed)
+    if keep:
+        stats = with_stats(docs, id_col, text_col, stratum, keep)
     return (
-        with_stats(docs, id_col, text_col, stratum, keep)
-        .withColumn("base_failed", base_failed())
+        stats.withColumn("base_failed", base_failed())
         .withColumn("rule", failed)
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     )
