@@ -180,6 +180,27 @@ def _verify(threshold: float):
     return run
 
 
+def only_likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` isn't among ``ids`` (one column), and with all that are.
+
+    A bitmap of hashed ids, 16 bits an id and 16 MB at most whatever their number, goes to every
+    task, so that a join that follows shuffles little else than its matches.
+    """
+    n = ids.count()
+    bits = 1 << min(27, max(15, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = (
+        ids.select(place(F.col(ids.columns[0])).alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    )
+    at = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket")
+    return marked.where(bit == 1).select(*rows.columns)
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -229,8 +250,9 @@ def ngram_jaccard_join(
     wanted = placed.join(blocks, "part").select(
         "key", "copy_id", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
     )
+    likely = only_likely(texts, placed.select("copy_id"), "doc_id")
     sets = (
-        texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["copy_id"]))
+        likely.join(wanted, likely["doc_id"].eqNullSafe(wanted["copy_id"]))
         .select("key", "part", "parts", "blocks", "__text")
         .mapInArrow(_sets(n), "part long, a int, b int, block int, key long, grams binary")
     )
