@@ -1 +1,169 @@
-"""Registered queries."""
+"""Impact and code findings over the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.operators import analytics as an
+from graphloom.operators import code, impact
+from graphloom.registry import query
+from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, session_graph, supply_graph
+
+
+@query(
+    "blast_radius_orders",
+    f"""WITH {SUPPLY_SQL}, t AS (SELECT id FROM nodes WHERE package = 'statusP'), d AS (SELECT t.id, count(DISTINCT e.src) AS direct FROM t LEFT JOIN edges e ON e.dst = t.id AND e.etype = 'calls' GROUP BY t.id)
+SELECT id, direct, CASE WHEN direct >= 20 THEN 'critical' WHEN direct >= 10 THEN 'high' WHEN direct >= 4 THEN 'medium' ELSE 'low' END AS risk FROM d""",
+)
+def blast_radius_orders(spark, d):
+    g = supply_graph(spark, d)
+    return impact.blast_radius(g, g.nodes.where("package = 'statusP'").select("id")).select("id", "direct", "risk")
+
+
+@query(
+    "blast_radius_sessions",
+    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE name = 'purchase' UNION SELECT w.root, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.id WHERE w.depth < 3),
+f AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id)
+SELECT root AS id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS indirect FROM f GROUP BY root""",
+)
+def blast_radius_sessions(spark, d):
+    g = session_graph(spark, d)
+    return impact.blast_radius(g, g.nodes.where("name = 'purchase'").select("id")).select("id", "direct", "indirect")
+
+
+@query(
+    "coverage_sessions",
+    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT id, 0 AS depth FROM nodes WHERE name = 'signup' AND package < '3' UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.id WHERE w.depth < 4),
+f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT n.id, f.depth, CASE WHEN f.depth = 1 THEN 'direct' WHEN f.depth > 1 THEN 'indirect' WHEN f.depth = 0 THEN 'test' ELSE 'none' END AS coverage FROM nodes n LEFT JOIN f USING (id)""",
+)
+def coverage_sessions(spark, d):
+    g = session_graph(spark, d)
+    return impact.coverage(g, g.nodes.where("name = 'signup' AND package < '3'").select("id"), 4)
+
+
+@query(
+    "taint_sessions",
+    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT id, 0 AS depth FROM nodes WHERE name = 'signup' UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.id WHERE w.depth < 4),
+f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT f.id AS sink, 'CWE-89' AS cwe, f.depth FROM f JOIN nodes n USING (id) WHERE n.name = 'purchase'""",
+)
+def taint_sessions(spark, d):
+    g = session_graph(spark, d)
+    at = lambda name: g.nodes.where(F.col("name") == name).select("id")
+    return impact.taint(g, at("signup"), at("view").withColumn("complete", F.lit(False)), at("purchase").withColumn("cwe", F.lit("CWE-89")), 4).select("sink", "cwe", "depth")
+
+
+@query(
+    "zone_crossings",
+    f"""WITH {SUPPLY_SQL} SELECT e.src, e.dst, a.kind AS src_zone, b.kind AS dst_zone, NOT (a.kind = 'function' AND b.kind = 'struct') AS violation FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.kind <> b.kind""",
+)
+def zone_crossings(spark, d):
+    g = supply_graph(spark, d)
+    allowed = spark.createDataFrame([("function", "struct")], "src_zone string, dst_zone string")
+    return impact.zone_crossings(g, g.nodes.select("id", F.col("kind").alias("zone")), allowed)
+
+
+@query("circular_packages")
+def circular_packages(spark, d):
+    return impact.circular_dependencies(supply_graph(spark, d), "package")
+
+
+@query(
+    "topological_levels",
+    """SELECT 'r' || r_regionkey AS id, 2 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT DISTINCT 's' || s_suppkey, 0 FROM supplier""",
+)
+def topological_levels(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("dst"))
+    return impact.topological_levels(n.unionByName(s))[0]
+
+
+@query(
+    "rule_actions",
+    """WITH f AS (SELECT c_custkey AS id, list_sort(list_filter([CASE WHEN c_acctbal < 0 THEN 'debt' END, CASE WHEN c_acctbal > 5000 THEN 'rich' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment' END], lambda x: x IS NOT NULL)) AS rules FROM customer)
+SELECT id, CASE WHEN list_contains(rules, 'debt') THEN 'block' WHEN list_contains(rules, 'rich') THEN 'review' ELSE 'notify' END AS action, rules FROM f WHERE len(rules) > 0""",
+)
+def rule_actions(spark, d):
+    f = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment")
+    return impact.apply_rules(f, [("debt", "c_acctbal < 0", "block"), ("rich", "c_acctbal > 5000", "review"), ("segment", "c_mktsegment = 'BUILDING'", "notify")])
+
+
+@query(
+    "module_api",
+    f"""WITH {SUPPLY_SQL} SELECT b.package AS community, e.dst AS id, count(DISTINCT e.src) AS external_callers FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.etype = 'calls' AND a.package <> b.package GROUP BY ALL""",
+)
+def module_api(spark, d):
+    g = supply_graph(spark, d)
+    return impact.module_api(g, g.nodes.select("id", F.col("package").alias("community")))
+
+
+@query(
+    "federated_edges",
+    """WITH r AS (SELECT DISTINCT 'n' || s_nationkey AS target, CAST(s_suppkey AS VARCHAR) AS path FROM supplier), i AS (SELECT 'n' || c_nationkey AS repo, CAST(l_suppkey AS VARCHAR) AS path FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)
+SELECT repo, target, count(*) AS edges, CASE WHEN count(*) > 10 THEN 'high' WHEN count(*) > 5 THEN 'medium' ELSE 'low' END AS risk FROM i JOIN r USING (path) WHERE repo <> target GROUP BY repo, target""",
+)
+def federated_edges(spark, d):
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    repos = t("supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("repo"), F.col("s_suppkey").cast("string").alias("path"))
+    i = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return impact.federation(repos, i.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("repo"), F.col("l_suppkey").cast("string").alias("path")))
+
+
+@query(
+    "change_impact_parts",
+    """WITH f AS (SELECT l_partkey AS id, count(*) AS callers FROM lineitem GROUP BY l_partkey),
+s AS (SELECT p_partkey AS id, round(0.30 * (p_size > 40)::INT + 0.25 * least(coalesce(callers, 0) / 20, 1.0) + 0.20 * CASE WHEN p_size % 3 = 0 THEN 0 WHEN p_size % 3 = 1 THEN 0.5 ELSE 1 END + 0.15 * CASE WHEN p_size % 4 > 0 THEN least(1.0, 0.5 + 0.25 * (p_size % 4 - 1)) ELSE 0 END + 0.10 * (p_retailprice > 1000)::INT, 9) AS score FROM part LEFT JOIN f ON f.id = p_partkey)
+SELECT id, score, CASE WHEN score >= 0.7 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.3 THEN 'medium' ELSE 'low' END AS level FROM s""",
+)
+def change_impact_parts(spark, d):
+    n = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("callers"))
+    p = spark.read.parquet(f"{d}/part.parquet").join(n, "p_partkey", "left").na.fill(0, ["callers"])
+    tests = F.when(F.col("p_size") % 3 == 0, "direct").when(F.col("p_size") % 3 == 1, "indirect").otherwise("none")
+    score = F.round(impact.change_impact(F.col("p_size") > 40, F.col("callers"), tests, F.col("p_size") % 4, F.col("p_retailprice") > 1000), 9)
+    return p.select(F.col("p_partkey").alias("id"), score.alias("score")).withColumn("level", impact.impact_level(F.col("score")))
+
+
+@query(
+    "secret_scan_documents",
+    r"""WITH p(rule, severity, pattern) AS (VALUES ('assigned_token', 'high', '(?i)\b(token|secret|password|api_key)\s*=\s*["''][^"'']{8,}["'']'), ('email', 'low', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}'))
+SELECT doc_id AS id, rule, severity, len(regexp_extract_all(text, pattern))::BIGINT AS hits FROM documents, p WHERE regexp_matches(text, pattern)""",
+)
+def secret_scan_documents(spark, d):
+    p = spark.createDataFrame(code.SECRET_PATTERNS, "rule string, severity string, pattern string").where("rule IN ('assigned_token', 'email')")
+    return code.scan_patterns(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"), p)
+
+
+@query(
+    "naming_conventions",
+    f"""WITH {SUPPLY_SQL}, s AS (SELECT kind, CASE WHEN regexp_matches(name, '^[A-Z][A-Z0-9_]+$') THEN 'UPPER' WHEN regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') THEN 'Pascal' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake' WHEN regexp_matches(name, '^[a-z][A-Za-z0-9]*$') THEN 'camel' ELSE 'other' END AS style FROM nodes),
+c AS (SELECT kind, style, count(*) AS n FROM s GROUP BY ALL) SELECT 'go' AS language, kind, style, round(n / sum(n) OVER (PARTITION BY kind), 6) AS share FROM c QUALIFY share >= 0.3""",
+)
+def naming_conventions(spark, d):
+    return code.naming_conventions(supply_graph(spark, d).nodes)
+
+
+@query(
+    "satisfied_interfaces",
+    """WITH t AS (SELECT DISTINCT l_suppkey AS type, l_shipdate AS d, l_returnflag || l_linestatus AS method FROM lineitem), m AS (SELECT DISTINCT type, method FROM t),
+i AS (SELECT DISTINCT o_custkey AS interface, l_returnflag || l_linestatus AS method FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 20), z AS (SELECT interface, count(*) AS n FROM i GROUP BY interface)
+SELECT 's' || m.type AS type, 'c' || i.interface AS interface FROM m JOIN i USING (method) JOIN z USING (interface) GROUP BY m.type, i.interface, n HAVING count(DISTINCT method) = n""",
+)
+def satisfied_interfaces(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("method", F.concat("l_returnflag", "l_linestatus")).withColumn("language", F.lit("go"))
+    o = spark.read.parquet(f"{d}/orders.parquet").where("o_custkey <= 20")
+    types = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("type"), "language", "method")
+    ifaces = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("interface"), "language", "method")
+    return code.satisfied_interfaces(types, ifaces)
+
+
+@query("design_patterns")
+def design_patterns(spark, d):
+    g = supply_graph(spark, d)
+    return code.design_patterns(g.nodes, g.edges)
+
+
+@query("api_of_communities")
+def api_of_communities(spark, d):
+    g = session_graph(spark, d)
+    return impact.module_api(g, an.communities(g))
