@@ -180,8 +180,8 @@ def _verify(threshold: float):
     return run
 
 
-def only_likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """``rows`` without most of those whose ``column`` isn't among ``ids`` (one column), and with all that are.
+def split_likely(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` may be among ``ids`` (one column), and those for which it surely isn't.
 
     A bitmap of hashed ids, 16 bits an id and 16 MB at most whatever their number, goes to every
     task, so that a join that follows shuffles little else than its matches.
@@ -196,9 +196,9 @@ def only_likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     )
     at = F.bitmap_bit_position(place(F.col(column)))
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2
-    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket")
-    return marked.where(bit == 1).select(*rows.columns)
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket", "left")
+    return marked.where(bit == 1).select(*rows.columns), marked.where(bit == 0).select(*rows.columns)
 
 
 def ngram_jaccard_join(
@@ -250,7 +250,7 @@ def ngram_jaccard_join(
     wanted = placed.join(blocks, "part").select(
         "key", "copy_id", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
     )
-    likely = only_likely(texts, placed.select("copy_id"), "doc_id")
+    likely, _ = split_likely(texts, placed.select("copy_id"), "doc_id")
     sets = (
         likely.join(wanted, likely["doc_id"].eqNullSafe(wanted["copy_id"]))
         .select("key", "part", "parts", "blocks", "__text")
@@ -293,11 +293,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one document of each class of :func:`ngram_jaccard_join`: the one of the least id.
 
     Documents without a word are all kept, as is a document without an id.
-    Of repeated rows (one id, one class) one stays.
+    Of repeated rows (one id, one class) one stays. Only documents that may have to go are shuffled.
     """
-    found = ngram_jaccard_join(docs, id_col, text_col, **options)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = write_table(ngram_jaccard_join(docs, id_col, text_col, **options), "ngram-classes-of-documents")
+    gone = write_table(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone")
+    likely, kept = split_likely(docs, gone, id_col)
+    kept = kept.unionByName(likely.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
     twice = found.where("doc_id = class_id AND n_copies > 1").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
     if twice.isEmpty():
         return kept
