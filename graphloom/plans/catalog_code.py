@@ -71,7 +71,8 @@ def circular_packages(spark, d):
 
 @query(
     "topological_levels",
-    """SELECT 'r' || r_regionkey AS id, 2 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT DISTINCT 's' || s_suppkey, 0 FROM supplier""",
+    """WITH n AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 1 ELSE 0 END AS level FROM nation)
+SELECT 'r' || n_regionkey AS id, max(level) + 1 AS level FROM n GROUP BY n_regionkey UNION ALL SELECT 'n' || n_nationkey, level FROM n UNION ALL SELECT 's' || s_suppkey, 0 FROM supplier""",
 )
 def topological_levels(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("src"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"))

@@ -103,9 +103,9 @@ def snapshot_diff(spark, d):
     return jn.snapshot_diff(g, less)
 
 
-@query("stale_files", "SELECT p_brand || p_partkey AS file_path, CASE WHEN p_size < 10 THEN 'deleted' WHEN p_size < 20 THEN 'modified' ELSE 'added' END AS status FROM part WHERE p_size < 20 OR p_size > 40")
+@query("stale_files", "SELECT p_brand || '/' || p_partkey AS file_path, CASE WHEN p_size < 10 THEN 'deleted' WHEN p_size < 20 THEN 'modified' ELSE 'added' END AS status FROM part WHERE p_size < 20 OR p_size > 40")
 def stale_files(spark, d):
-    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat("p_brand", F.col("p_partkey").cast("string")).alias("file_path"), "p_size", "p_name")
+    p = spark.read.parquet(f"{d}/part.parquet").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("file_path"), "p_size", "p_name")
     old = p.where("p_size <= 40").select("file_path", F.sha2("p_name", 256).alias("hash"))
     new = p.where("p_size >= 10").select("file_path", F.sha2(F.when(F.col("p_size") < 20, F.upper("p_name")).otherwise(F.col("p_name")), 256).alias("hash"))
     return jn.stale_files(old, new)
