@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.tables import new_path
 
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 700_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -23,42 +24,90 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(16 << 20),
     "compression": "zstd",
 }
+#: ASCII punctuation but the apostrophe, which some tokenizers join to letters.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level tokenizers use for each byte: itself where it is printable, else the next free one from 256 on."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in keep else chr(next(free)) for b in range(256)]
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library, once for each distinct piece between ASCII blanks.
+    """Encodes with the tokenizers library, once for each distinct piece of text.
 
-    Right for tokenizers whose normaliser turns white space into a space and
-    whose tokens never span one, which the constructor checks; for others
-    each text is encoded as a whole.
+    Where the tokenizer's tokens never span white space, pieces are what stands
+    between ASCII blanks, with ASCII letters lower-cased if that changes no ids. A
+    piece of lower-case letters, with or without ASCII punctuation after it, goes
+    straight to the tokenizer's model; others go through all of it. Probes of the
+    tokenizer decide each of these; without the first, texts are encoded as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        probe = ["a b", "ab  cd\n\nef", " x\t", "don't 42 !? é", "the the"]
-        self.by_word = all(self._ids([t])[0] == b"".join(self._ids(t.split())) for t in probe)
-        self.pieces = re.compile(r"[^\W\d_]+|[^\w\s]+|.", re.S)
+        same = lambda text, parts: self._ids([text])[0] == b"".join(self._ids(parts))
+        self.by_word = all(same(t, t.split()) for t in ("a b", "ab  cd\n\nef", " x\t", "don't 42 !? é", "the the"))
+        self.lower = all(same(t, [t.lower()]) for t in ("The QUICK", "É Él", "A1b"))
+        self.direct = True
+        self.direct = self.by_word and all(self._direct(w) == self._ids([w])[0] for w in ("word,", "the", "éa###", "ciónra.", "übergröße!!", 'ab"', "x", "日本語", "çà$$$", "ελληνικά)", "an.."))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, piece: str) -> bytes:
+        if (got := self.parts.get(piece)) is None:
+            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+            got = self.parts[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return got
+
+    def _direct(self, word: str) -> bytes | None:
+        """The ids of letters and the punctuation after them, from the model; None for other words."""
+        stem = word.rstrip(_PUNCTUATION)
+        if not self.direct or not stem.isalpha() or not (stem.isascii() or unicodedata.is_normalized("NFC", stem)) or stem != stem.lower():
+            return None
+        return self._part(stem) + self._part(word[len(stem) :]) if len(stem) < len(word) else self._part(stem)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         if not self.by_word:
             return self._ids([t.decode("utf-8", "replace") for t in texts])
+        if self.lower:
+            texts = [t.lower() if b"<|" not in t else t for t in texts]  # special tokens keep their case
         split = [t.split() for t in texts]
-        known = self.words
+        known = self.known
         if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        known.update(zip(new, self._ids([w.decode("utf-8", "replace") for w in new]), strict=True))
+            self.known = known = {w: v for w, v in known.items() if len(w) <= 8}
+            if len(known) > CACHE_WORDS // 2:
+                known.clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        new = [w for w in set().union(*split) if w not in known]
+        rest = []
+        for w in new:
+            ids = self._direct(w.decode("utf-8", "replace")) if len(w) <= 48 else None
+            if ids is None:
+                rest.append(w)
+            else:
+                known[w] = ids
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            known.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
         get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        out = [b"".join(map(get, ws)) for ws in split]
+        for w in rest:
+            if len(w) > 48:
+                del known[w]
+        return out
 
 
 def _encode(path: str, end_id: int | None):
