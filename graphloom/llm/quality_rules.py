@@ -21,6 +21,10 @@ RULES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
 }
+#: Parts of the allowed false rejection that the rules get, by name.
+PARTS = {"symbol_share": 0.5, "dup_line_share": 0.1, "repeat_share": 0.2, "upper_share": 0.2}
+#: What a rejected share of good documents weighs against one of bad documents when a cutoff is chosen.
+FALSE_COST = 10
 #: Cutoffs are tried on this fixed grid, from mild to strict.
 GRID = [i / 50 for i in range(49, 0, -1)]
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
@@ -92,8 +96,8 @@ def select_cutoffs(counts: dict[tuple[str, str, int], list[int]], strata: list[s
     ``counts[stratum, rule, i]`` has the good and the bad documents whose value
     is above GRID[i] and, but for i = 0, not above GRID[i - 1]; i = len(GRID) has the rest.
     A cutoff is certified if the exact binomial test rejects, at the level of
-    its stratum and rule, that the rule rejects over ``max_false_rejection /
-    len(RULES)`` of good documents. Levels are ``(1 - confidence) / (strata *
+    its stratum and rule, that the rule rejects over its part (PARTS) of
+    ``max_false_rejection`` of good documents. Levels are ``(1 - confidence) / (strata *
     rules)`` (Bonferroni) and each grid is tested in fixed sequence from mild to
     strict, stopping at the first that fails. Of the certified cutoffs the one
     of the best balance (share of bad less share of good rejected) is taken,
@@ -112,9 +116,9 @@ def select_cutoffs(counts: dict[tuple[str, str, int], list[int]], strata: list[s
             for i, cutoff in enumerate(GRID):
                 fp += cells[i][0]
                 tp += cells[i][1]
-                if binomial_tail(fp, good, max_false_rejection / len(RULES)) > level:
+                if binomial_tail(fp, good, max_false_rejection * PARTS[rule]) > level:
                     break
-                if (balance := tp / bad - fp / good) > best + 1e-12:
+                if (balance := tp / bad - FALSE_COST * fp / good) > best + 1e-12:
                     best, out[s, rule] = balance, cutoff
     return out
 
@@ -126,7 +130,7 @@ def quality_rules(
     text_col: str = "text",
     stratum_col: str = "lang",
     strata: tuple[str, ...] = ("de", "en", "es", "fr"),
-    max_false_rejection: float = 0.02,
+    max_false_rejection: float = 0.05,
     confidence: float = 0.95,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
