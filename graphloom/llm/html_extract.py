@@ -29,9 +29,13 @@ BLOCK_TAGS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of class, id and role values that mark boilerplate.
 BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|copyright|legal|toolbar|tags|toc|search\w*|skip\w*|complementary|contentinfo|navigation|form\w*)(?=$|[\s_\d-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|copyright|legal|toolbar|tags|toc|search\w*|skip\w*|complementary|contentinfo|navigation|dialog|alertdialog|form)(?=$|[\s_\d-])",
     re.I,
 )
+#: Names that only say what stands beside an element, or not.
+_BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]\S+", re.I)
+#: Names of headings, which belong to an article that they stand in.
+_HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?=$|[\s_\d-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-?content|entry-?content|article-?body|post-?body|main-?content|story)(?=$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -67,6 +71,9 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return -1
         if name in ("class", "id", "role"):
+            value = _BESIDE.sub("", value)
+            if inside_main:
+                value = _HEADING.sub("", value)
             if MAIN_NAMES.search(value):
                 kind = 1
             elif BOILERPLATE_NAMES.search(value) and kind == 0:

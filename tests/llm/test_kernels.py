@@ -219,6 +219,8 @@ def test_html_blocks():
     assert html_extract.main_text(page) == "Head & line\nA b c <d>\nShort."
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>") == ""
     assert html_extract.main_text("just text") == "just text"
+    head = '<article class="post has-sidebar"><div class="post-header"><h1>T</h1></div><div class="text-formatted">x y</div><div class="ad-slot">buy</div><div role="dialog">z</div></article>'
+    assert html_extract.main_text(head) == "T\nx y"
     long = "This is the text of the page, and it is as long as it has to be to count as a paragraph of its own."
     bare = f"<body><div class=menu><a href=a>One</a> <a href=b>Two</a></div><p>{long}</p><p>Ok.</p><p>{long}</p><div class='sidebar'>{long}</div></body>"
     assert html_extract.main_text(bare) == f"{long}\nOk.\n{long}"
