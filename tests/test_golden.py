@@ -281,3 +281,23 @@ def test_trends(spark):
     assert stats.alerts(stats.trend(h, 20 * day)).where("symbol_id = 's'").count() == 2
     gate = stats.regression_gate(*(spark.createDataFrame(x, "measure string, value double") for x in ([("p50", 100.0), ("throughput", 10.0)], [("p50", 106.0), ("throughput", 9.9)])))
     assert {r["measure"]: r["failed"] for r in gate.collect()} == {"p50": True, "throughput": False}
+
+
+def test_exploration(spark):
+    from graphloom.operators import explore
+
+    g = graph(spark, [("main", "function", "p"), ("readInput", "function", "p"), ("toJson", "function", "q"), ("writeFile", "function", "q"), ("newParseError", "function", "q")], [("main", "readInput", "calls"), ("readInput", "toJson", "calls"), ("toJson", "writeFile", "calls"), ("readInput", "newParseError", "calls")])
+    assert rows(explore.data_flow(g, "main"), "id", "role") == [("main", "other"), ("newParseError", "other"), ("readInput", "source"), ("toJson", "transform"), ("writeFile", "sink")]
+    err = {r["id"]: r["escapes"] for r in explore.error_flow(g).collect()}
+    assert err == {"newParseError": False, "readInput": False, "main": True}
+    assert rows(explore.public_api(graph(spark, [("A", "function", "p"), ("b", "function", "q")], [("b", "A", "calls")]), "p"), "id", "users") == [("A", 1)]
+    c = spark.createDataFrame([(1, 1), (2, -1), (2, 2), (3, -2), (3, -3)], "clause int, literal int")
+    forced, bad = explore.unit_propagation(c)
+    assert not bad and {r[0] for r in forced.collect()} == {1, 2, -3}
+    assert explore.unit_propagation(spark.createDataFrame([(1, 1), (2, -1)], "clause int, literal int"))[1]
+    assert explore.sample_size(0.5) == 63 and explore.achieved_power(0.5, 64) == pytest.approx(0.807, abs=0.01)
+    s = spark.createDataFrame([("f", "func f(a int) error", "if a { return b }"), ("g", "func g(a int) error", "if a { return b }"), ("h", "func h(a, b, c int)", "for x { y }")], "id string, signature string, code string")
+    fp = explore.fingerprints(s)
+    pairs = fp.selectExpr("id AS i", "fp AS a").crossJoin(fp.selectExpr("id AS j", "fp AS b")).where("i < j")
+    got = {(r["i"], r["j"]): r["s"] for r in pairs.select("i", "j", similarity.fingerprint_similarity("a", "b").alias("s")).collect()}
+    assert got["f", "g"] == pytest.approx(1.0) and got["f", "h"] < 0.5
