@@ -146,16 +146,17 @@ def naming_conventions(spark, d):
 
 @query(
     "satisfied_interfaces",
-    """WITH t AS (SELECT DISTINCT l_suppkey AS type, l_shipdate AS d, l_returnflag || l_linestatus AS method FROM lineitem), m AS (SELECT DISTINCT type, method FROM t),
-i AS (SELECT DISTINCT o_custkey AS interface, l_returnflag || l_linestatus AS method FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 20), z AS (SELECT interface, count(*) AS n FROM i GROUP BY interface)
-SELECT 's' || m.type AS type, 'c' || i.interface AS interface FROM m JOIN i USING (method) JOIN z USING (interface) GROUP BY m.type, i.interface, n HAVING count(DISTINCT method) = n""",
+    """WITH m AS (SELECT DISTINCT l_orderkey AS type, p_brand AS method FROM lineitem JOIN part ON p_partkey = l_partkey),
+i AS (SELECT DISTINCT n_name AS interface, p_brand AS method FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN part ON p_size = s_nationkey + 1 AND p_retailprice > 990), z AS (SELECT interface, count(*) AS n FROM i GROUP BY interface)
+SELECT 'o' || m.type AS type, i.interface FROM m JOIN i USING (method) JOIN z USING (interface) GROUP BY m.type, i.interface, n HAVING count(DISTINCT method) = n""",
 )
 def satisfied_interfaces(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("method", F.concat("l_returnflag", "l_linestatus")).withColumn("language", F.lit("go"))
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_custkey <= 20")
-    types = li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("type"), "language", "method")
-    ifaces = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("interface"), "language", "method")
-    return code.satisfied_interfaces(types, ifaces)
+    """Orders that have a part of each brand that a nation asks for."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    go = F.lit("go").alias("language")
+    types = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("type"), go, F.col("p_brand").alias("method"))
+    asked = t("supplier").select("s_nationkey").distinct().join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(t("part").where("p_retailprice > 990"), F.col("p_size") == F.col("s_nationkey") + 1)
+    return code.satisfied_interfaces(types, asked.select(F.col("n_name").alias("interface"), go, F.col("p_brand").alias("method")))
 
 
 @query("design_patterns")
