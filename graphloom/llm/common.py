@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64, for prefix polynomials.
@@ -30,6 +32,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows, so that what a task makes of texts stays small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of ``texts`` of about ``limit`` bytes; a longer text is alone."""
     at, size = 0, 0
@@ -54,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(12, int(n).bit_length())
     if size not in _powers:
-        if len(_powers) > 3:
+        if len(_powers) > 1:
             _powers.clear()
         tables = []
         for base in (_P, _P_INV):
@@ -113,3 +122,24 @@ def shingles(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
                 out.append(np.empty(0, U64))
             at += c
     return out
+
+
+def split_likely(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``column`` may be among ``ids`` (one column), and those for which it surely isn't.
+
+    A bitmap of hashed ids, 16 bits an id and 16 MB at most whatever their number, goes to every
+    task, so that a join that follows shuffles little else than its matches.
+    """
+    n = ids.count()
+    bits = 1 << min(27, max(15, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    maps = (
+        ids.select(place(F.col(ids.columns[0])).alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    )
+    at = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
+    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket", "left")
+    return marked.where(bit == 1).select(*rows.columns), marked.where(bit == 0).select(*rows.columns)

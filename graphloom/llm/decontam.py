@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_TABLE, text_bytes
+from graphloom.llm.common import WORD_TABLE, slices, text_bytes
 from graphloom.plans.tables import write_table
 
 #: Words of benchmark items in one automaton; more items make more automata.
@@ -178,7 +178,7 @@ def _scan(items, window: int, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, items, window)
-        for b in batches:
+        for b in slices(batches):
             totals, spans, found = [], [], []
             old_spans, old_items = ([None] * len(b),) * 2 if first else (b.column("__spans").to_pylist(), b.column("__items").to_pylist())
             for t, s, i in zip(text_bytes(b.column("__text")), old_spans, old_items, strict=True):
@@ -225,7 +225,7 @@ def _clean(items, window: int, text_at: str, share: tuple[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(key, items, window)
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for t in text_bytes(b.column(text_at)):
                 words = t.translate(WORD_TABLE).split()

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_TABLE, mix, shingles, text_bytes
+from graphloom.llm.common import WORD_TABLE, mix, shingles, slices, split_likely, text_bytes
 from graphloom.operators.components import connected_components
 from graphloom.plans.tables import write_table
 
-#: Shingles that one verification block holds; two blocks meet in a task.
-BLOCK_SHINGLES = 400_000
+#: Shingles that one verification block holds; two blocks meet in a task. A set counts as MIN_SHINGLES at least, which bounds the sets of a block.
+BLOCK_SHINGLES, MIN_SHINGLES = 400_000, 400
 
 
 def choose_bands(threshold: float, target_recall: float, max_hashes: int = 512) -> tuple[int, int]:
@@ -55,7 +55,7 @@ def _features(id_col: str, n: int, bands: int, rows: int):
         mul, add = _seeds(bands * rows)
         weights = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(20))
-        for b in batches:
+        for b in slices(batches):
             keys, sizes, flat, offsets = [], [], [], [0]
             sets = shingles([t.translate(WORD_TABLE) for t in text_bytes(b.column("__text"))], n)
             for s in sets:
@@ -83,7 +83,7 @@ def _sets(n: int):
     """Texts of the classes that have candidates, to the rows that the block tasks read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols = {c: b.column(c).to_pylist() for c in ("key", "part", "parts", "blocks")}
             out: dict[str, list] = {"part": [], "a": [], "b": [], "block": [], "key": [], "grams": []}
             for i, s in enumerate(shingles([t.translate(WORD_TABLE) for t in text_bytes(b.column("__text"))], n)):
@@ -169,7 +169,7 @@ def _verify(threshold: float):
             rows = group(members, now is not None and now[1] == now[2])
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], schema=schema)
 
-        for b in batches:
+        for b in slices(batches):
             for part, a, c, block, key, grams in zip(*(b.column(x).to_pylist() for x in _SET_SCHEMA.names), strict=True):
                 if (part, a, c) != now:
                     yield done()
@@ -180,27 +180,6 @@ def _verify(threshold: float):
     return run
 
 
-def split_likely(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two parts: those whose ``column`` may be among ``ids`` (one column), and those for which it surely isn't.
-
-    A bitmap of hashed ids, 16 bits an id and 16 MB at most whatever their number, goes to every
-    task, so that a join that follows shuffles little else than its matches.
-    """
-    n = ids.count()
-    bits = 1 << min(27, max(15, (16 * n).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
-    maps = (
-        ids.select(place(F.col(ids.columns[0])).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
-    )
-    at = F.bitmap_bit_position(place(F.col(column)))
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
-    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket", "left")
-    return marked.where(bit == 1).select(*rows.columns), marked.where(bit == 0).select(*rows.columns)
-
-
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -246,7 +225,7 @@ def ngram_jaccard_join(
     stars = banded.join(buckets, "band").where("key <> least").select(F.col("least").alias("src"), F.col("key").alias("dst"))
     parts = connected_components(stars).withColumnsRenamed({"id": "key", "component": "part"})
     placed = write_table(parts.join(classes.select("key", "copy_id", "size"), "key"), "ngram-parts")
-    blocks = placed.groupBy("part").agg(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = placed.groupBy("part").agg(F.ceil(F.sum(F.greatest("size", F.lit(MIN_SHINGLES))) / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = placed.join(blocks, "part").select(
         "key", "copy_id", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.common import text_bytes
+from graphloom.llm.common import slices, text_bytes
 from graphloom.plans.tables import write_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -59,7 +59,7 @@ def text_stats(text: bytes) -> tuple[int, int, int, int, int, int, int]:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in STATS.split(", ")]
-    for b in batches:
+    for b in slices(batches):
         rows = [text_stats(t) for t in text_bytes(b.column("__text"))]
         cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "__text"]
         kept = [n for n in b.schema.names if n != "__text"]

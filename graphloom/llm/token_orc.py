@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom.plans.tables import new_path
 
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
