@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -263,6 +264,95 @@ def keep_clean(
     return held.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` without these half-open ranges of its words; of two spaces around a gap one stays."""
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(WORD_TABLE))]
+    out, at = [], 0
+    for a, z in spans:
+        start, end = places[a][0], places[z - 1][1]
+        out.append(text[at:start])
+        at = end + (text[end : end + 1] == b" " and text[start - 1 : start] in (b" ", b""))
+    return b"".join([*out, text[at:]])
+
+
+def _cut(text: bytes, matcher: Matcher, max_words: int, share: tuple[int, int]) -> bytes | None:
+    """``text`` without spans of more than ``max_words`` words, or None if hits cover ``share`` of it; what a cut joins is matched again."""
+    while True:
+        words = text.translate(WORD_TABLE).split()
+        spans = matcher.match(words)[0]
+        hit = sum(z - a for a, z in spans)
+        if hit and share[1] * hit >= share[0] * len(words):
+            return None
+        long = [s for s in spans if s[1] - s[0] > max_words]
+        if not long:
+            return text
+        text = _without(text, long)
+
+
+def _remove(items, window: int, text_at: str, max_words: int, share: tuple[int, int]):
+    key = hashlib.sha256(repr((items, window)).encode()).digest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(key, items, window)
+        for b in slices(batches):
+            at = b.schema.get_field_index(text_at)
+            old = text_bytes(b.column(at))
+            new = [_cut(t, matcher, max_words, share) for t in old]
+            if any(x is not None and x != t for x, t in zip(new, old, strict=True)):
+                texts = [y if x is None or x == t else x.decode() for x, t, y in zip(new, old, b.column(at).to_pylist(), strict=True)]
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+            yield b.filter(pa.array([x is not None for x in new], pa.bool_()))
+
+    return run
+
+
+def _remove_noted(text_at: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            at = b.schema.get_field_index(text_at)
+            texts = [_without(t, s).decode() for t, s in zip(text_bytes(b.column(at)), b.column("__long").to_pylist(), strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns(["__long"])
+
+    return run
+
+
+def remove_spans(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 13,
+    max_words: int = 12,
+    share: tuple[int, int] = (1, 20),
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """``docs`` with cleaned texts: spans of more than ``max_words`` words go, and so do rows of which ``share`` or more is hit, as in :func:`keep_clean`.
+
+    So with the defaults no window of ``window`` words is left; occurrences of whole shorter items stay, unless
+    merged spans of them are longer. What a cut joins is matched again, until nothing is over a limit. All
+    other columns, and texts without a long span, stay as they are. A benchmark of one block needs no
+    shuffle; with more blocks, only rows that were cut go through another round.
+    """
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_remove(first, window, text_col, max_words, share), docs.schema)
+    done, todo = None, docs
+    while True:
+        held = write_table(todo.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
+        found = find_contamination(held, benchmark, "__row", text_col, item_col, item_text_col, window, block_words=block_words).where("n_hit > 0")
+        long = F.filter("spans", lambda s: s[1] - s[0] > max_words)
+        bad = share[1] * F.col("n_hit") >= share[0] * F.col("n_words")
+        found = write_table(found.select(F.col("doc_id").alias("__hit"), bad.alias("__bad"), long.alias("__long")).where("__bad OR size(__long) > 0"), "decontam-spans")
+        kept = held.join(found, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
+        done = kept if done is None else done.unionByName(kept)
+        cut = held.join(found.where("NOT __bad"), F.col("__row") == F.col("__hit")).select(*docs.columns, "__long")
+        todo = write_table(cut.mapInArrow(_remove_noted(text_col), docs.schema), "decontam-cut")
+        if todo.isEmpty():
+            return done
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
