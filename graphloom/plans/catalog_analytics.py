@@ -77,6 +77,12 @@ def pagerank_supply(spark, d):
     return an.pagerank(supply_graph(spark, d), max_iterations=6, tolerance=0.0).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query("pagerank_converged_supply")
+def pagerank_converged_supply(spark, d):
+    """Until no rank moves by 1e-6; pagerank_supply ends after the six iterations that its SQL unrolls."""
+    return an.pagerank(supply_graph(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+
+
 @query("pagerank_top_sessions")
 def pagerank_top_sessions(spark, d):
     return an.pagerank_top(session_graph(spark, d), 50)

@@ -167,4 +167,4 @@ def critical_path_flow(spark, d):
 def weighted_criticality_flow(spark, d):
     e = flow_graph(spark, d)
     dom = dm.dominators(e, "world")
-    return dm.weighted_criticality(dom, an.pagerank(CodeGraph(dom.select("id"), e), max_iterations=20))
+    return dm.weighted_criticality(dom, an.pagerank(CodeGraph(dom.select("id"), e)))
