@@ -128,6 +128,11 @@ def pack_greedy(items: DataFrame, budget: int, buffer: float = 0.1) -> DataFrame
                 rows.append((r.query_id, r.id, r.tokens, used))
         return pd.DataFrame(rows, columns=["query_id", "id", "tokens", "used"])
 
+    # of items of one size no more can be taken than fit alone: the rest is left out before the items meet
+    sized = items.where((F.col("tokens") > 0) & (F.col("tokens") <= room))
+    few = sized.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id", "tokens").orderBy(F.desc("score"), "id")))
+    few = few.where((F.col("__rn") <= max(room, 0)) & (F.col("__rn") * F.col("tokens") <= room)).drop("__rn")
+    items = few.unionByName(items.where("tokens <= 0"))
     t = dict(items.dtypes)
     return items.groupBy("query_id").applyInPandas(pack, f"query_id {t['query_id']}, id {t['id']}, tokens long, used long")
 

@@ -133,6 +133,6 @@ def memory_scores(spark, d):
 @query("packed_context")
 def packed_context(spark, d):
     g = supply_graph(spark, d)
-    hits = search.fuzzy_search(g.nodes, "Customer00", 200).join(g.nodes.select("id", "kind"), "id")
+    hits = search.fuzzy_search(g.nodes, "Customer#00").join(g.nodes.select("id", "kind"), "id")
     items = hits.select(F.lit("q").alias("query_id"), "id", search.packing_score(F.col("match"), F.lit(0), F.col("kind")).alias("score"), search.estimate_tokens(F.col("name")).alias("tokens"))
     return search.pack_greedy(items, 100)
