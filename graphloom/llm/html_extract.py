@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,18 +22,20 @@ STOP_WORDS = frozenset(
 )
 #: Elements whose content is no text at all.
 RAW = frozenset(("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select", "textarea", "button"))
-#: Elements whose content is never main text.
-BOILERPLATE_TAGS = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "header"))
+#: Elements that no text of an article stands in, and those that it may stand in if it is long and dense.
+CLOSED_TAGS = frozenset(("nav", "footer", "aside", "menu", "dialog"))
+RAISED_TAGS = frozenset(("form", "header"))
 MAIN_TAGS = frozenset(("article", "main"))
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class, id and role values that mark boilerplate.
-BOILERPLATE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|copyright|legal|toolbar|tags|toc|search\w*|skip\w*|complementary|contentinfo|navigation|dialog|alertdialog|form)(?=$|[\s_\d-])",
+#: Parts of class, id and role values that mark what readers see beside an article, and those that may also wrap one.
+CLOSED_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|copyright|legal|toolbar|tags|toc|skip\w*|complementary|contentinfo|navigation|dialog|alertdialog)(?=$|[\s_\d-])",
     re.I,
 )
+RAISED_NAMES = re.compile(r"(?:^|[\s_-])(?:form|search\w*|login|header|masthead|banner)(?=$|[\s_\d-])", re.I)
 #: Names that only say what stands beside an element, or not.
 _BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]\S+", re.I)
 #: Names of headings, which belong to an article that they stand in.
@@ -42,44 +46,67 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
-LONG = 70
-MAX_LINK_DENSITY = 0.33
-STOP_HIGH = 0.30
-STOP_LOW = 0.15
+#: Kinds of regions: what an element says of the text in it.
+MAIN, PLAIN, RAISED, CLOSED = 1, 0, -1, -2
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """The most link density of text; the characters and the share of stop words from which a block is text; whether a long block without stop words is out; how many of two unlike neighbours make text of an open block (0: the nearer decides)."""
+
+    links: float
+    long: float
+    stop: float
+    sparse_out: bool
+    votes: int
+
+
+#: Thresholds by region. Elements and names only shift them; in a closed region none is in reach.
+THRESHOLDS = {
+    MAIN: Thresholds(0.99, 25, 0.10, False, 1),
+    PLAIN: Thresholds(0.33, 70, 0.15, True, 0),
+    RAISED: Thresholds(0.10, 400, 0.30, True, 2),
+    CLOSED: Thresholds(0.0, math.inf, 1.0, True, 2),
+}
+#: Characters from which a block without stop words is out, where that counts.
+SPARSE = 210
 
 
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    main: bool = False
-    bad: bool = False
+    region: int = 0
+    kind: int = PLAIN
     text: str = ""
     label: int = 0
+    rule: str = ""
 
 
 def _kind(tag: str, attributes: str, inside_main: bool) -> int:
-    """1 if the element marks main text, -1 boilerplate, 0 neither."""
-    if tag in BOILERPLATE_TAGS:
+    """The kind of region that an element opens; PLAIN if none."""
+    if tag in CLOSED_TAGS:
+        return CLOSED
+    if tag in RAISED_TAGS:
         # a header within an article holds its headings
-        return 0 if tag == "header" and inside_main else -1
-    kind = 1 if tag in MAIN_TAGS else 0
+        return PLAIN if tag == "header" and inside_main else RAISED
+    kind = MAIN if tag in MAIN_TAGS else PLAIN
     if "=" not in attributes and "hidden" not in attributes or tag in ("body", "html"):
         return kind
     for name, *values in _MARKS.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -1
+            return CLOSED
         if name in ("class", "id", "role"):
             value = _BESIDE.sub("", value)
             if inside_main:
                 value = _HEADING.sub("", value)
-            if MAIN_NAMES.search(value):
-                kind = 1
-            elif BOILERPLATE_NAMES.search(value) and kind == 0:
-                kind = -1
-            elif name == "role" and value.lower() == "main":
-                kind = 1
+            if MAIN_NAMES.search(value) or name == "role" and value.lower() == "main":
+                kind = MAIN
+            elif kind == PLAIN and CLOSED_NAMES.search(value):
+                kind = CLOSED
+            elif kind == PLAIN and RAISED_NAMES.search(value):
+                kind = RAISED
     return kind
 
 
@@ -91,8 +118,9 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: what stands between block-level tags. Unclosed and stray tags are tolerated."""
     out: list[Block] = []
     block = Block()
-    stack: list[tuple[str, int]] = []
-    bad = main = links = 0
+    stack: list[tuple[str, int, int]] = []  # element, kind and number of the region around it
+    kind = PLAIN
+    region = regions = links = 0
     raw = None
     at = 0
 
@@ -101,7 +129,7 @@ def blocks(page: str) -> list[Block]:
         if block.parts:
             block.text = " ".join(html.unescape("".join(block.parts)).split())
             if block.text:
-                block.main, block.bad = main > 0, bad > 0
+                block.kind, block.region = kind, region
                 out.append(block)
         block = Block()
 
@@ -152,67 +180,87 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for _, kind in stack[i:]:
-                        bad -= kind < 0
-                        main -= kind > 0
+                    flush()
+                    _, kind, region = stack[i]
                     del stack[i:]
                     break
         elif tag in BLOCK_TAGS and stack and stack[-1][0] == "p":  # ends an open paragraph
-            kind = stack.pop()[1]
-            bad -= kind < 0
-            main -= kind > 0
+            _, kind, region = stack.pop()
         if closing:
             continue
         if tag in BLOCK_TAGS or tag in ("span", "a", "b", "i", "em", "strong", "small") and m[3]:
-            kind = _kind(tag, m[3], main > 0)
-            if kind or tag in ("div", "section", "ul", "ol", "table"):
-                if kind:
+            own = PLAIN if kind == CLOSED else _kind(tag, m[3], kind == MAIN)
+            if own or tag in ("div", "section", "ul", "ol", "table"):
+                if own:
                     flush()
-                stack.append((tag, kind))
-                bad += kind < 0
-                main += kind > 0
+                stack.append((tag, kind, region))
+                if own:
+                    regions += 1
+                    kind, region = own, regions
     if raw is None:
         add(page[at:])
     flush()
     return out
 
 
+def stop_density(text: str) -> float:
+    """The share of stop words among the words of letters."""
+    words = [w.lower() for w in _WORDS.findall(text)]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def classify(page_blocks: list[Block]) -> None:
-    """Label blocks 1 (main text) or -1, in two passes.
+    """Label blocks 1 (main text) or -1, in two passes, and note the rule that decided.
+
+    First pass, by the thresholds of the block's region: too many of its characters in links, out
+    (``links``); long and with enough stop words, in (``dense``); very long without any, out
+    (``sparse``; not within an article); short of thresholds that are out of reach, out (``closed``). The others stay open.
 
-    First pass: blocks inside boilerplate elements or with over a third of
-    their characters in links are out; blocks inside an article element are in;
-    of the others, long ones go by stop-word density, and the rest stay open. Second pass: an open block takes
-    the label of its nearest decided neighbour (of both, if they are as near and agree, else the one before
-    for a tie with text, out otherwise). Pages that have an article element have no main text outside it.
+    Second pass: an open block inherits from the nearest decided blocks before and after it in its
+    region (``neighbours``); one that stands in no region looks at the whole page if need be. If these two differ, one of text is
+    enough within an article, the nearer decides elsewhere (the one before if they are as near), and both
+    are needed where thresholds are raised. Without a decided neighbour it is in, but where thresholds are
+    raised (``alone``). On pages with an article, what stands in no region has raised thresholds.
     """
-    article = any(b.main and not b.bad for b in page_blocks)
+    article = any(b.kind == MAIN for b in page_blocks)
     for b in page_blocks:
-        letters = max(1, _letters(b.text))
-        if b.bad or b.linked > MAX_LINK_DENSITY * letters and not (b.main and b.linked < letters):
-            b.label = -1
-        elif b.main:
-            b.label = 1
-        elif article:
-            b.label = -1
-        else:
-            words = [w.lower() for w in _WORDS.findall(b.text)]
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if len(b.text) >= LONG:
-                b.label = 1 if density >= STOP_LOW else -1 if len(b.text) >= 3 * LONG and density == 0 else 0
-            elif density >= STOP_HIGH and len(words) >= 5:
-                b.label = 1
-    decided = [(i, b.label) for i, b in enumerate(page_blocks) if b.label]
+        if article and b.kind == PLAIN:
+            b.kind = RAISED
+        t = THRESHOLDS[b.kind]
+        if b.linked > t.links * max(1, _letters(b.text)):
+            b.label, b.rule = -1, "links"
+        elif b.kind == CLOSED:
+            b.label, b.rule = -1, "closed"
+        elif len(b.text) >= min(t.long, SPARSE):
+            density = stop_density(b.text)
+            if len(b.text) >= t.long and density >= t.stop:
+                b.label, b.rule = 1, "dense"
+            elif t.sparse_out and len(b.text) >= SPARSE and density == 0:
+                b.label, b.rule = -1, "sparse"
+    regions: dict[int, list[int]] = {}
+    for i, b in enumerate(page_blocks):
+        if b.label:
+            regions.setdefault(b.region, []).append(i)
+    inherited: list[tuple[Block, int]] = []
+    every = [i for i, b in enumerate(page_blocks) if b.label and b.kind != CLOSED] or [i for i, b in enumerate(page_blocks) if b.label]
     for i, b in enumerate(page_blocks):
         if b.label:
             continue
-        near = sorted((abs(i - j), j > i, label) for j, label in decided)[:2]
+        votes = THRESHOLDS[b.kind].votes
+        own = regions.get(b.region) or (every if b.kind == PLAIN else [])
+        at = bisect.bisect(own, i)
+        near = [*own[max(at - 1, 0) : at], *own[at : at + 1]]
+        labels = [page_blocks[j].label for j in near]
+        b.rule = "neighbours" if near else "alone"
         if not near:
-            b.label = 1
-        elif len(near) == 2 and near[0][0] == near[1][0] and near[0][2] != near[1][2]:
-            b.label = 1 if len(b.text) >= LONG else near[0][2]
+            new = -1 if b.kind == RAISED else 1
+        elif len(set(labels)) == 1:
+            new = labels[0]
         else:
-            b.label = near[0][2]
+            new = {1: 1, 2: -1}.get(votes) or (labels[1] if near[1] - i < i - near[0] else labels[0])
+        inherited.append((b, new))
+    for b, new in inherited:
+        b.label = new
 
 
 def main_text(page: str) -> str:

@@ -226,6 +226,116 @@ def test_html_blocks():
     assert html_extract.main_text(bare) == f"{long}\nOk.\n{long}"
 
 
+LONG = "This is the text of the page, and it is as long as it has to be to count as a paragraph of its own."
+
+
+def labels(page: str):
+    found = html_extract.blocks(page)
+    html_extract.classify(found)
+    return [(b.text, b.rule, b.label) for b in found]
+
+
+def test_density_and_links_decide_without_an_article():
+    """Each rule of the first pass, and neighbours with a tie and without, on pages without any hint."""
+    bare = f"<p>{LONG}</p><p>Yes.</p><p><a href=x>all of it is a link</a></p><p>No.</p><p><a href=y>{LONG}</a></p>"
+    assert labels(bare) == [(LONG, "dense", 1), ("Yes.", "neighbours", 1), ("all of it is a link", "links", -1), ("No.", "neighbours", -1), (LONG, "links", -1)]
+    # a third of the characters in links is the most
+    a = "<p>" + LONG + " <a href=x>" + "w" * 30 + "</a></p>"
+    b = "<p>" + LONG + " <a href=x>" + "w" * 60 + "</a></p>"
+    assert [r[1] for r in labels(a + b)] == ["dense", "links"]
+    sparse = "Xyzzy plugh " * 20
+    assert labels(f"<p>{sparse}</p><p>Short</p>") == [(sparse.strip(), "sparse", -1), ("Short", "neighbours", -1)]
+    assert labels("<p>Short</p><p>Also</p>") == [("Short", "alone", 1), ("Also", "alone", 1)]
+
+
+def test_ties_of_neighbours():
+    text, link = f"<p>{LONG}</p>", "<p><a href=x>home</a></p>"
+    tie = labels(f"{text}<p>as near</p>{link}")
+    assert tie[1] == ("as near", "neighbours", 1)  # the one before
+    assert labels(f"{link}<p>as near</p>{text}")[1] == ("as near", "neighbours", -1)
+    assert [x[2] for x in labels(f"{link}<p>a</p><p>b</p><p>c</p>{text}")] == [-1, -1, -1, 1, 1]
+    # within an article one neighbour of text is enough; in a form both are needed
+    assert labels(f"<article>{link}<p>as near</p>{text}</article>")[1][2] == 1
+    assert labels(f"<form>{'<p>' + LONG * 5 + '</p>'}<p>Name</p>{link}</form>")[1] == ("Name", "neighbours", -1)
+    assert labels("<article><p>x</p><form>Name <input></form><p>y</p></article>") == [("x", "alone", 1), ("Name", "alone", -1), ("y", "alone", 1)]
+
+
+def test_hints_only_shift_thresholds():
+    inside = f"<form><p>{LONG * 5}</p></form>"
+    assert labels(inside)[0][1:] == ("dense", 1)  # a form around the page
+    assert labels(f"<form><p>{LONG}</p></form>")[0][1:] == ("alone", -1)
+    assert labels(f"<form><article><p>{LONG}</p></article></form>")[0][1:] == ("dense", 1)
+    assert labels(f"<div class=comments><article><p>{LONG * 9}</p></article></div><p>{LONG}</p>") == [(LONG * 9, "closed", -1), (LONG, "dense", 1)]
+    assert labels(f"<article><p>{LONG}</p></article><div>{LONG}</div>")[1][1:] == ("alone", -1)
+
+
+def brute_labels(found):
+    """The definition again, block by block, by looking at every other block."""
+    table = {1: (0.99, 25, 0.10, 1), 0: (0.33, 70, 0.15, 0), -1: (0.10, 400, 0.30, 2), -2: (0.0, math.inf, 1.0, 2)}
+    kinds = [-1 if b.kind == 0 and any(x.kind == 1 for x in found) else b.kind for b in found]
+    first = []
+    for b, k in zip(found, kinds, strict=True):
+        links, long, stop, _ = table[k]
+        w = re.findall(r"[^\W\d_]+", b.text)
+        share = sum(x.lower() in html_extract.STOP_WORDS for x in w) / max(1, len(w))
+        solid = max(1, len(re.sub(r"\s", "", b.text)))
+        if b.linked / solid > links or k == -2:
+            first.append(-1)
+        elif len(b.text) >= long and share >= stop:
+            first.append(1)
+        else:
+            first.append(-1 if len(b.text) >= 210 and not share and k != 1 else 0)
+    out = list(first)
+    for i, k in enumerate(kinds):
+        if first[i]:
+            continue
+        own = [j for j in range(len(found)) if first[j] and found[j].region == found[i].region]
+        if not own and k == 0:
+            own = [j for j in range(len(found)) if first[j] and kinds[j] != -2] or [j for j in range(len(found)) if first[j]]
+        before, after = [j for j in own if j < i][-1:], [j for j in own if j > i][:1]
+        near = [first[j] for j in before + after]
+        if not near:
+            out[i] = -1 if k == -1 else 1
+        elif len(set(near)) == 1:
+            out[i] = near[0]
+        elif table[k][3]:
+            out[i] = 1 if table[k][3] == 1 else -1
+        else:
+            out[i] = near[1] if after[0] - i < i - before[0] else near[0]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_blocks_against_brute_force(seed):
+    r = random.Random(seed)
+    parts = [f"<p>{LONG}</p>", "<p>Short.</p>", "<li><a href=x>link</a></li>", f"<p>{LONG} <a href=y>more of this here</a></p>", "<p>" + "Qwx zzk " * 40 + "</p>", f"<p>{LONG * 5}</p>"]
+    around = ["<div>{}</div>", "<article>{}</article>", "<form>{}</form>", "<aside>{}</aside>", "<div class='comments'>{}</div>", "<div class=search>{}</div>"]
+    make = lambda: "".join(r.choice(parts) for _ in range(r.randint(0, 6)))
+    page = "".join(r.choice(around[: 1 + r.randint(0, 5)]).format(make() + r.choice(around).format(make())) for _ in range(r.randint(1, 4)))
+    found = html_extract.blocks(page)
+    want = brute_labels(found)
+    html_extract.classify(found)
+    assert [b.label for b in found] == want
+
+
+def test_rules_that_decide_the_supplied_pages():
+    """Density, links and neighbours decide all but the adverts and footers; the articles come out whole."""
+    import collections
+    import html
+
+    import pyarrow.parquet as pq
+
+    rules: collections.Counter = collections.Counter()
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        found = html_extract.blocks(page)
+        html_extract.classify(found)
+        rules.update(b.rule for b in found)
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:h1|p)[^>]*>", article))
+        assert "\n".join(b.text for b in found if b.label > 0) == "\n".join(x for x in parts if x)
+    assert rules["dense"] > 5 * rules["closed"] / 2 and rules["links"] > rules["closed"] and rules["neighbours"] > 100
+
+
 def test_encoder_equals_the_library():
     e = token_orc.WordEncoder(tokenizer_path())
     ts = ["", "  ", "The the. THE!! don't, x%%% 3.14, é, É. ñ!! <|endoftext|> a<|startoftext|>B", "İ ΑΣ, 日本語。foo。 1,2 ''s 'tis' ½", "A" * 500, "a b\x1c.\x85"]
