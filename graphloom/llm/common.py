@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
 #: An odd multiplier and its inverse modulo 2**64, for prefix polynomials.
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
-#: Text bytes handled at once by the numpy kernels.
-CHUNK_BYTES = 1 << 20
+#: Text bytes handled at once by the numpy kernels; rows and bytes of a slice of a batch; bytes of a batch between the JVM and a Python worker.
+CHUNK_BYTES = 1 << 18
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 21
+BATCH_BYTES = 1 << 22
 
 #: Bytes to words: A-Z to a-z; ASCII letters, digits and all non-ASCII bytes stay; the rest is a space.
 WORD_TABLE = bytes(
@@ -32,11 +37,69 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of at most ``rows`` rows, so that what a task makes of texts stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes (a larger row is alone), so that what a task makes of texts stays small."""
     for b in batches:
-        for at in range(0, len(b), rows):
-            yield b.slice(at, rows)
+        each = max(1, b.nbytes // max(1, len(b)))
+        step = max(1, min(rows, size // each))
+        for at in range(0, len(b), step):
+            part = b.slice(at, step)
+            if len(part) > 1 and part.nbytes > 2 * size:
+                yield from slices(iter([part]), max(1, len(part) // 2), size)
+            else:
+                yield part
+
+
+_state: dict[tuple[str, Hashable], Any] = {}
+
+
+def worker_state(owner: str, key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, kept in this worker until another owner or key asks: a worker serves many stages and holds the state of one."""
+    if (owner, key) not in _state:
+        _state.clear()
+        _trim()
+        _state[owner, key] = make()
+    return _state[owner, key]
+
+
+def _trim() -> None:
+    """Give freed memory back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with memory bounded by bytes: batches of at most BATCH_BYTES, and freed memory returned when a task ends.
+
+    The bound is the session's ``spark.sql.execution.arrow.maxBytesPerBatch``, which is lowered where it is higher.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(released, schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with underscores before them until no column of ``df`` has one."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -63,8 +126,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(12, int(n).bit_length())
     if size not in _powers:
-        if len(_powers) > 1:
-            _powers.clear()
+        _powers.clear()
         tables = []
         for base in (_P, _P_INV):
             t = np.full(size, base, U64)
@@ -133,13 +195,14 @@ def split_likely(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
     n = ids.count()
     bits = 1 << min(27, max(15, (16 * n).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    bucket, data = unused(rows, "bucket", "bits")
     maps = (
         ids.select(place(F.col(ids.columns[0])).alias("p"))
-        .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+        .groupBy(F.bitmap_bucket_number("p").alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(data))
     )
     at = F.bitmap_bit_position(place(F.col(column)))
-    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(data, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
-    marked = rows.withColumn("__bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), "__bucket", "left")
+    marked = rows.withColumn(bucket, F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), bucket, "left")
     return marked.where(bit == 1).select(*rows.columns), marked.where(bit == 0).select(*rows.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_TABLE, slices, text_bytes
+from graphloom.llm.common import WORD_TABLE, map_batches, slices, text_bytes, unused, worker_state
 from graphloom.plans.tables import write_table
 
 #: Words of benchmark items in one automaton; more items make more automata.
@@ -164,14 +164,8 @@ class Matcher:
         return spans, items
 
 
-_matchers: dict[bytes, Matcher] = {}
-
-
 def _matcher(key: bytes, items: list[tuple[str, bytes]], window: int) -> Matcher:
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, window)
-    return _matchers[key]
+    return worker_state("decontam", key, lambda: Matcher(items, window))
 
 
 def _scan(items, window: int, first: bool):
@@ -257,11 +251,12 @@ def keep_clean(
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return docs.mapInArrow(_clean(first, window, text_col, share), docs.schema)
-    held = write_table(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-    found = find_contamination(held, benchmark, "__row", text_col, item_col, item_text_col, window, block_words=block_words)
-    bad = found.where((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).select(F.col("doc_id").alias("__bad"))
-    return held.join(bad, F.col("__row") == F.col("__bad"), "left_anti").drop("__row")
+        return map_batches(docs, _clean(first, window, text_col, share), docs.schema)
+    row, gone = unused(docs, "row", "gone")
+    held = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+    found = find_contamination(held, benchmark, row, text_col, item_col, item_text_col, window, block_words=block_words)
+    bad = found.where((F.col("n_hit") > 0) & (share[1] * F.col("n_hit") >= share[0] * F.col("n_words"))).select(F.col("doc_id").alias(gone))
+    return held.join(bad, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -306,12 +301,12 @@ def _remove(items, window: int, text_at: str, max_words: int, share: tuple[int,
     return run
 
 
-def _remove_noted(text_at: str):
+def _remove_noted(text_at: str, spans_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             at = b.schema.get_field_index(text_at)
-            texts = [_without(t, s).decode() for t, s in zip(text_bytes(b.column(at)), b.column("__long").to_pylist(), strict=True)]
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns(["__long"])
+            texts = [_without(t, s).decode() for t, s in zip(text_bytes(b.column(at)), b.column(spans_at).to_pylist(), strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).drop_columns([spans_at])
 
     return run
 
@@ -337,18 +332,19 @@ def remove_spans(
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        return docs.mapInArrow(_remove(first, window, text_col, max_words, share), docs.schema)
+        return map_batches(docs, _remove(first, window, text_col, max_words, share), docs.schema)
     done, todo = None, docs
+    row, hit, over, long_spans = unused(docs, "row", "hit", "over", "long")
     while True:
-        held = write_table(todo.withColumn("__row", F.monotonically_increasing_id()), "decontam-rows")
-        found = find_contamination(held, benchmark, "__row", text_col, item_col, item_text_col, window, block_words=block_words).where("n_hit > 0")
+        held = write_table(todo.withColumn(row, F.monotonically_increasing_id()), "decontam-rows")
+        found = find_contamination(held, benchmark, row, text_col, item_col, item_text_col, window, block_words=block_words).where("n_hit > 0")
         long = F.filter("spans", lambda s: s[1] - s[0] > max_words)
         bad = share[1] * F.col("n_hit") >= share[0] * F.col("n_words")
-        found = write_table(found.select(F.col("doc_id").alias("__hit"), bad.alias("__bad"), long.alias("__long")).where("__bad OR size(__long) > 0"), "decontam-spans")
-        kept = held.join(found, F.col("__row") == F.col("__hit"), "left_anti").drop("__row")
+        found = write_table(found.select(F.col("doc_id").alias(hit), bad.alias(over), long.alias(long_spans)).where(F.col(over) | (F.size(long_spans) > 0)), "decontam-spans")
+        kept = held.join(found, F.col(row) == F.col(hit), "left_anti").drop(row)
         done = kept if done is None else done.unionByName(kept)
-        cut = held.join(found.where("NOT __bad"), F.col("__row") == F.col("__hit")).select(*docs.columns, "__long")
-        todo = write_table(cut.mapInArrow(_remove_noted(text_col), docs.schema), "decontam-cut")
+        cut = held.join(found.where(~F.col(over)), F.col(row) == F.col(hit)).select(*docs.columns, long_spans)
+        todo = write_table(map_batches(cut, _remove_noted(text_col, long_spans), docs.schema), "decontam-cut")
         if todo.isEmpty():
             return done
 
@@ -385,10 +381,10 @@ def find_contamination(
     for block in _blocks(benchmark, item_col, item_text_col, block_words):
         if not first:
             d = write_table(d, "decontam")
-        d = d.mapInArrow(_scan(block, window, first), f"{base}, __words long, __spans array<array<int>>, __items array<string>")
+        d = map_batches(d, _scan(block, window, first), f"{base}, __words long, __spans array<array<int>>, __items array<string>")
         first = False
     if first:
-        d = d.mapInArrow(_scan([], window, True), f"{base}, __words long, __spans array<array<int>>, __items array<string>")
+        d = map_batches(d, _scan([], window, True), f"{base}, __words long, __spans array<array<int>>, __items array<string>")
     items = F.array_sort(F.array_distinct("__items"))
     return d.select(
         "doc_id",

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import map_batches, slices
+
 #: Frequent function words of the languages that are told apart by density.
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
@@ -270,14 +272,12 @@ def main_text(page: str) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, max(len(b), 1), 256):
-            part = b.slice(at, 256)
-            texts = [main_text(x or "") for x in part.column("__html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
-            )
+    for part in slices(batches):
+        texts = [main_text(x or "") for x in part.column("__html").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -289,4 +289,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     are ignored. Pages are independent: nothing is shuffled.
     """
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("__html"))
-    return d.mapInArrow(_extract, f"page_id {d.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return map_batches(d, _extract, f"page_id {d.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -33,12 +33,13 @@ def bisect(f: Callable[[float], float], target: float, lo: float = 0.0, hi: floa
     return lo
 
 
-def temperature(sizes: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None) -> tuple[float, float, float]:
+def temperature(sizes: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, budget: float | None = None) -> tuple[float, float, float]:
     """Exponent, the sum of ``tokens ** exponent`` and the token budget over sources ``tokens``.
 
     With ``target_entropy``, the exponent is the greatest up to 1 whose weights have at least
-    as many nats; with ``max_repeats``, the least at which no source is used more often, at the
-    least budget that uses all of each; with both, the greater of the two; with neither, 1.
+    as many nats; with ``max_repeats``, the least at which no source is used more often, at
+    ``budget`` or else the least budget that uses all of each; with both, the greater of the two; with
+    neither, 1. A budget that no exponent up to 1 fits within the repetition limit raises ValueError.
     """
     few = sizes.limit(DRIVER_SOURCES + 1).count() <= DRIVER_SOURCES
     tokens = [float(r[0]) for r in sizes.select("tokens").collect()] if few else None
@@ -56,12 +57,22 @@ def temperature(sizes: DataFrame, target_entropy: float | None = None, max_repea
         s, l = sums(e)
         return math.log(s) - e * l / s
 
+    def whole(e: float) -> float:
+        """The least budget that uses all of the greatest source, and so of each."""
+        return float(high ** (1 - e) * sums(e)[0])
+
+    def repeats(e: float) -> float:
+        """How often the smallest source, which is used most, is used."""
+        return (budget or whole(e)) * low ** (e - 1) / sums(e)[0]
+
     e = 1.0 if target_entropy is None else bisect(lambda x: -entropy(x), -target_entropy)
-    if max_repeats is not None and low < high:
-        # repeats of the smallest at the least whole budget: (high / low) ** (1 - e)
-        need = 1 - bisect(lambda x: x * math.log(high / low), math.log(max_repeats))
+    if max_repeats is not None:
+        if repeats(1.0) > max_repeats * (1 + 1e-9):
+            raise ValueError(f"a budget of {budget or whole(1.0):.0f} words uses every source {repeats(1.0):.3g} times at least; max_repeats is {max_repeats}")
+        # repeats fall as the exponent rises: turned round, the greatest step down from 1 within the limit
+        need = 1 - bisect(lambda x: repeats(1 - x), max_repeats * (1 + 1e-9))
         e = need if target_entropy is None else max(e, need)
-    return e, sums(e)[0], float(high ** (1 - e) * sums(e)[0])
+    return e, sums(e)[0], whole(e)
 
 
 def mix_sources(
@@ -86,6 +97,9 @@ def mix_sources(
     words than the rest of the budget come before it. ``mix_pos`` is the
     share of the source's budget before the document's block, so sorting by it interleaves the sources by weight.
 
+    Columns of ``docs`` keep their names, but those of the five new columns are replaced. With ``budget``, ``max_repeats``
+    holds as well: the exponent rises as far as it takes, and a budget beyond it raises ValueError.
+
     Sources without a word (null or empty texts only) take part once, at
     position 0. Documents without words in others follow their place. Repeated rows and ids are
     separate documents with equal places. Tables without rows give none.
@@ -93,19 +107,21 @@ def mix_sources(
     Block sums are pre-aggregated; only the block in which the partial
     pass ends is ordered by document, one for each source.
     """
-    own = [c for c in docs.columns if c.lower() not in OWN_COLUMNS and not c.startswith("__")]
+    # columns of the input travel under numbers, so that no name of theirs meets one of ours
+    own = [c for c in docs.columns if c.lower() not in OWN_COLUMNS]
+    source, text, place = (F.col(f"`{c}`") for c in (source_col, text_col, id_col))
     rows = docs.select(
-        *own,
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"),
-        n_words(F.col(text_col)).alias("mix_tokens"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("__place"),
+        *(F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(own)),
+        F.coalesce(source.cast("string"), F.lit("")).alias("mix_source"),
+        n_words(text).alias("mix_tokens"),
+        F.xxhash64(place, F.lit(seed)).alias("__place"),
     ).withColumn("__block", F.pmod("__place", F.lit(blocks)).cast("int"))
     grid = write_table(rows.groupBy("mix_source", "__block").agg(F.sum("mix_tokens").alias("tokens")), "mix-blocks")
     sizes = grid.groupBy("mix_source").agg(F.sum("tokens").alias("tokens"))
     if sizes.where("tokens > 0").isEmpty():
         exponent, total, whole = 1.0, 1.0, 1.0
     else:
-        exponent, total, whole = temperature(sizes.where("tokens > 0"), target_entropy, max_repeats)
+        exponent, total, whole = temperature(sizes.where("tokens > 0"), target_entropy, max_repeats, budget)
     want = F.pow(F.col("tokens").cast("double"), F.lit(exponent)) / F.lit(total) * F.lit(float(budget) if budget else whole)
     plan = sizes.select(
         "mix_source",
@@ -154,4 +170,4 @@ def mix_sources(
         .agg(F.max("__place").alias("__to"))
     )
     out = joined.join(sent(cut), keys, "left").select("*", F.explode("__uses").alias("__use")).where("__use.__left IS NULL OR __place <= __to")
-    return out.select(*own, "mix_source", "mix_tokens", "__use.mix_epoch", "__use.mix_block", "__use.mix_pos")
+    return out.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(own)), "mix_source", "mix_tokens", "__use.mix_epoch", "__use.mix_block", "__use.mix_pos")

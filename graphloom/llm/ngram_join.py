@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_TABLE, mix, shingles, slices, split_likely, text_bytes
+from graphloom.llm.common import WORD_TABLE, map_batches, mix, shingles, slices, split_likely, text_bytes, unused
 from graphloom.operators.components import connected_components
-from graphloom.plans.tables import write_table
+from graphloom.plans.tables import drop_table, write_table
 
 #: Shingles that one verification block holds; two blocks meet in a task. A set counts as MIN_SHINGLES at least, which bounds the sets of a block.
 BLOCK_SHINGLES, MIN_SHINGLES = 400_000, 400
@@ -44,36 +44,45 @@ def minhash(sets: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return low
 
 
-def set_key(s: np.ndarray) -> int:
-    """A signed 64-bit key of a set of hashes."""
-    total = s.sum(dtype=np.uint64, keepdims=True) * np.uint64(3) + np.bitwise_xor.reduce(mix(s + np.uint64(1)), keepdims=True)
-    return int(mix(total + np.uint64(len(s))).view(np.int64)[0])
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit keys of a set of hashes."""
+    out = []
+    for salt in (np.uint64(1), np.uint64(0x5851F42D4C957F2D)):
+        h = mix(s + salt)
+        total = h.sum(dtype=np.uint64, keepdims=True) * np.uint64(3) + np.bitwise_xor.reduce(mix(h ^ salt), keepdims=True)
+        out.append(int(mix(total + np.uint64(len(s))).view(np.int64)[0]))
+    return out[0], out[1]
 
 
-def _features(id_col: str, n: int, bands: int, rows: int):
+def _features(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul, add = _seeds(bands * rows)
         weights = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows) | np.uint64(1)
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(20))
         for b in slices(batches):
-            keys, sizes, flat, offsets = [], [], [], [0]
+            keys, checks, sizes, flat, offsets = [], [], [], [], [0]
             sets = shingles([t.translate(WORD_TABLE) for t in text_bytes(b.column("__text"))], n)
             for s in sets:
                 if len(s):
                     sig = minhash(s, mul, add).astype(np.uint64).reshape(bands, rows)
                     flat.append(mix(salt ^ mix((sig * weights).sum(axis=1, dtype=np.uint64))).view(np.int64))
-                keys.append(set_key(s) if len(s) else None)
+                key, check = set_key(s) if len(s) else (None, None)
+                keys.append(key)
+                checks.append(check)
                 sizes.append(len(s))
                 offsets.append(offsets[-1] + (bands if len(s) else 0))
             values = np.concatenate(flat) if flat else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(id_col),
+                    b.column("doc_id"),
+                    b.column("mark"),
+                    b.column("mark2"),
                     pa.array(keys, pa.int64()),
+                    pa.array(checks, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64())),
                 ],
-                names=["doc_id", "key", "size", "bands"],
+                names=["doc_id", "mark", "mark2", "key", "check", "size", "bands"],
             )
 
     return run
@@ -87,8 +96,6 @@ def _sets(n: int):
             cols = {c: b.column(c).to_pylist() for c in ("key", "part", "parts", "blocks")}
             out: dict[str, list] = {"part": [], "a": [], "b": [], "block": [], "key": [], "grams": []}
             for i, s in enumerate(shingles([t.translate(WORD_TABLE) for t in text_bytes(b.column("__text"))], n)):
-                if not len(s) or set_key(s) != cols["key"][i]:
-                    continue  # another text under the same id
                 data, own, k = s.tobytes(), cols["part"][i], cols["blocks"][i]
                 mine = cols["parts"][i]
                 for other in range(k):
@@ -180,106 +187,127 @@ def _verify(threshold: float):
     return run
 
 
-def ngram_jaccard_join(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = 5,
-    threshold: float = 0.8,
-    target_recall: float = 0.995,
-    max_hashes: int = 512,
-) -> DataFrame:
-    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links``.
+def _marked(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """``docs`` with two hashes of id and text, which are equal for repeated rows alone."""
+    own = [F.col(id_col), F.col(text_col).cast("string")]
+    return docs.select("*", F.xxhash64(*own).alias(more[0]), F.xxhash64(F.lit(11), own[1], F.lit(13), own[0]).alias(more[1]))
 
-    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
-    lower-cased. Documents with equal shingle sets are copies: ``copy_id`` is
-    their least id and ``n_copies`` their number. ``n_links`` counts the other
-    shingle sets whose Jaccard similarity is ``threshold`` or more, decided on
-    the full sets. ``class_id`` is the least id of the documents that such
-    links and copies connect. Null and empty texts, and texts without a word,
-    are linked with nothing and are their own class (also if repeated); the
-    class of a null id without partners is null. Repeated rows are copies of each other.
 
-    Copies are folded before anything else. Bands (as many as ``target_recall``
-    at the threshold takes) only place sets that may be similar into one
-    candidate component, by star edges, so a bucket of m sets costs m rows. Each
-    component is cut into blocks of about BLOCK_SHINGLES shingles and every two
-    blocks meet in one task, which counts links and returns a spanning forest,
-    never the pairs. All sets of a component are compared, so recall within it
-    is 1. Keys of shingle sets have 64 bits.
-    """
+def _classify(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, target_recall: float, max_hashes: int) -> DataFrame:
+    """The columns of :func:`ngram_jaccard_join` for each row, with its ``mark`` and ``mark2`` and those of the row of its class that stays (``stays, stays2``; null where the row is alone)."""
     bands, rows = choose_bands(threshold, target_recall, max_hashes)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    texts = _marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")), "doc_id", "__text", "mark", "mark2")
     id_type = texts.schema["doc_id"].dataType.simpleString()
     features = write_table(
-        texts.mapInArrow(_features("doc_id", n, bands, rows), f"doc_id {id_type}, key long, size int, bands array<long>"), "ngram-features"
+        map_batches(texts, _features(n, bands, rows), f"doc_id {id_type}, mark long, mark2 long, key long, check long, size int, bands array<long>"), "ngram-features"
     )
-    classes = write_table(
+    # nulls are last, so a row without an id stays only if its class has no other
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark", "mark2"))
+    folded = write_table(
         features.where("key IS NOT NULL")
-        .groupBy("key")
-        .agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.first("bands").alias("bands")),
+        .groupBy("key", "check")
+        .agg(first.alias("best"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.first("bands").alias("bands")),
         "ngram-classes",
     )
+    # two sets of one 64-bit key get keys of their own
+    twice = folded.groupBy("key").count().where("count > 1").select("key").collect()
+    own_key = F.when(F.col("key").isin([r[0] for r in twice]), F.xxhash64("key", "check")).otherwise(F.col("key")) if twice else F.col("key")
+    classes = folded.withColumn("key", own_key)
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = banded.join(buckets, "band").where("key <> least").select(F.col("least").alias("src"), F.col("key").alias("dst"))
     parts = connected_components(stars).withColumnsRenamed({"id": "key", "component": "part"})
-    placed = write_table(parts.join(classes.select("key", "copy_id", "size"), "key"), "ngram-parts")
+    placed = write_table(parts.join(classes.select("key", F.col("best.mark").alias("mark"), F.col("best.mark2").alias("mark2"), "size"), "key"), "ngram-parts")
     blocks = placed.groupBy("part").agg(F.ceil(F.sum(F.greatest("size", F.lit(MIN_SHINGLES))) / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     wanted = placed.join(blocks, "part").select(
-        "key", "copy_id", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
+        "key", "mark", "mark2", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
     )
-    likely, _ = split_likely(texts, placed.select("copy_id"), "doc_id")
-    sets = (
-        likely.join(wanted, likely["doc_id"].eqNullSafe(wanted["copy_id"]))
-        .select("key", "part", "parts", "blocks", "__text")
-        .mapInArrow(_sets(n), "part long, a int, b int, block int, key long, grams binary")
+    likely, _ = split_likely(texts, placed.select("mark"), "mark")
+    sets = map_batches(
+        likely.join(wanted, ["mark", "mark2"]).select("key", "part", "parts", "blocks", "__text"), _sets(n), "part long, a int, b int, block int, key long, grams binary"
     )
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     found = write_table(
-        sets.repartition(partitions, "part", "a", "b")
-        .sortWithinPartitions("part", "a", "b")
-        .mapInArrow(_verify(threshold), "key long, peer long, links long"),
+        map_batches(sets.repartition(partitions, "part", "a", "b").sortWithinPartitions("part", "a", "b"), _verify(threshold), "key long, peer long, links long"),
         "ngram-links",
     )
+    drop_table(placed)
     counts = found.where("peer IS NULL").groupBy("key").agg(F.sum("links").alias("n_links"))
     joined = connected_components(found.where("peer IS NOT NULL").select(F.col("peer").alias("src"), F.col("key").alias("dst")))
     joined = joined.withColumnsRenamed({"id": "key", "component": "label"})
-    own = classes.select("key", "copy_id", "n_copies")
+    own = classes.select("key", "check", "best", "n_copies")
     named = joined.join(own, "key")
-    least = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    linked = named.select("key", "label").join(least, "label").join(counts, "key").select("key", "class_id", "n_links")
+    least = named.groupBy("label").agg(F.min("best").alias("stays"))
+    linked = named.select("key", "label").join(least, "label").join(counts, "key").select("key", "stays", "n_links")
     info = write_table(
         own.join(linked, "key", "left").select(
-            "key", F.coalesce("class_id", "copy_id").alias("class_id"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "key", "check", F.coalesce("stays", "best").alias("stays"), F.col("best.id").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")
         ),
         "ngram-info",
     )
-    return (
-        features.select("doc_id", "key")
-        .join(info, "key", "left")
-        .select(
-            "doc_id",
-            F.coalesce("class_id", "doc_id").alias("class_id"),
-            F.coalesce("copy_id", "doc_id").alias("copy_id"),
-            F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        )
-    )
+    marks = features.select("doc_id", "mark", "mark2", own_key.alias("key"), "check")
+    return marks.join(info, ["key", "check"], "left").select(
+        "doc_id",
+        F.coalesce("stays.id", "doc_id").alias("class_id"),
+        F.coalesce("copy_id", "doc_id").alias("copy_id"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "mark", "mark2", F.col("stays.mark").alias("stays"), F.col("stays.mark2").alias("stays2"),
+    )
+
+
+def ngram_jaccard_join(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    threshold: float = 0.8,
+    target_recall: float = 0.995,
+    max_hashes: int = 512,
+) -> DataFrame:
+    """One row per document: ``doc_id, class_id, copy_id, n_copies, n_links``.
 
+    Words are runs of ASCII letters, digits and non-ASCII characters, A-Z
+    lower-cased. Documents with equal shingle sets are copies: ``copy_id`` is
+    their least id and ``n_copies`` their number. ``n_links`` counts the other
+    shingle sets whose Jaccard similarity is ``threshold`` or more, decided on
+    the full sets. ``class_id`` is the least id of the documents that such
+    links and copies connect. Null and empty texts, and texts without a word,
+    are linked with nothing and are their own class (also if repeated); the
+    class of a null id without partners is null. Repeated rows are copies of each other, and rows
+    of one id with different texts are documents of their own.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class of :func:`ngram_jaccard_join`: the one of the least id.
+    Copies are folded before anything else. Bands (as many as ``target_recall``
+    at the threshold takes) only place sets that may be similar into one
+    candidate component, by star edges, so a bucket of m sets costs m rows. Each
+    component is cut into blocks of about BLOCK_SHINGLES shingles and every two
+    blocks meet in one task, which counts links and returns a spanning forest,
+    never the pairs. All sets of a component are compared, so recall within it
+    is 1. Keys of shingle sets have 128 bits; sets that agree in the first 64 are told apart.
+    """
+    return _classify(docs, id_col, text_col, n, threshold, target_recall, max_hashes).select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target_recall: float = 0.995, max_hashes: int = 512
+) -> DataFrame:
+    """``docs`` with one row of each class of :func:`ngram_jaccard_join`: that of the least id, and of the least hash if an id has several.
 
-    Documents without a word are all kept, as is a document without an id.
-    Of repeated rows (one id, one class) one stays. Only documents that may have to go are shuffled.
+    Rows are told apart by id and text: rows of one id with different texts are judged each by its
+    own class, and of repeated rows one stays. A row without an id stays if its class has no row with one. Rows
+    without a word are all kept. Only rows that may have to go are shuffled.
     """
-    found = write_table(ngram_jaccard_join(docs, id_col, text_col, **options), "ngram-classes-of-documents")
-    gone = write_table(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone")
-    likely, kept = split_likely(docs, gone, id_col)
-    kept = kept.unionByName(likely.join(gone, F.col(id_col) == F.col("__gone"), "left_anti"))
-    twice = found.where("doc_id = class_id AND n_copies > 1").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone"))
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, F.col(id_col) == F.col("__gone"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, F.col(id_col) == F.col("__gone"), "left_anti").unionByName(once)
+    found = write_table(_classify(docs, id_col, text_col, n, threshold, target_recall, max_hashes).where("stays IS NOT NULL"), "ngram-classes-of-documents")
+    a, b, x, y = unused(docs, "mark", "mark2", "gone", "gone2")
+    best = (F.col("mark") == F.col("stays")) & (F.col("mark2") == F.col("stays2"))
+    own = [F.col("mark").alias(x), F.col("mark2").alias(y)]
+    gone = write_table(found.where(~best).select(*own).distinct(), "ngram-gone")
+    rows = _marked(docs, id_col, text_col, a, b)
+    likely, kept = split_likely(rows, gone.select(x), a)
+    same = (F.col(a) == F.col(x)) & (F.col(b) == F.col(y))
+    kept = kept.unionByName(likely.join(gone, same, "left_anti"))
+    twice = write_table(found.where(best & (F.col("n_copies") > 1)).groupBy(*own).count().where("count > 1").select(x, y), "ngram-twice")
+    if not twice.isEmpty():
+        repeated, kept = split_likely(kept, twice.select(x), a)
+        kept = kept.unionByName(repeated.join(twice, same, "left_anti")).unionByName(repeated.join(twice, same, "left_semi").dropDuplicates([a, b]))
+    return kept.drop(a, b)

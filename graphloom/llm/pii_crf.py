@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import map_batches, slices
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 
@@ -362,16 +364,14 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 def _find(crf: WordShapeCRF):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, max(len(b), 1), 500):
-                part = b.slice(at, 500)
-                rows = find_spans([x or "" for x in part.column("__text").to_pylist()], crf)
-                counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in range(len(KINDS))]
-                sums = [hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *counts, pa.array(sums, pa.string()), pa.array([_join(s) for _, s in rows], pa.string())],
-                    names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
-                )
+        for part in slices(batches):
+            rows = find_spans([x or "" for x in part.column("__text").to_pylist()], crf)
+            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in range(len(KINDS))]
+            sums = [hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in rows]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), *counts, pa.array(sums, pa.string()), pa.array([_join(s) for _, s in rows], pa.string())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+            )
 
     return run
 
@@ -385,4 +385,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return d.mapInArrow(_find(model()), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
+    return map_batches(d, _find(model()), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, text_bytes, word_hashes
+from graphloom.llm.common import chunks, map_batches, slices, text_bytes, word_hashes
 
 #: Words of a passage.
 PASSAGE = 64
@@ -143,7 +143,7 @@ class GatedAttention:
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         feats = []
         texts = text_bytes(b.column("__text"))
         for lo, hi in chunks(texts):
@@ -155,7 +155,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(model: GatedAttention):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = text_bytes(b.column("__text"))
             scores = [np.empty(0)]
             for lo, hi in chunks(texts):
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .select("quality", F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
         .select("quality", "__text", F.xxhash64("__id", "__text").alias("__order"))
     )
-    got = rows.select("quality", "__text").mapInArrow(_encode, "quality int, features binary").toPandas()
+    got = map_batches(rows.select("quality", "__text"), _encode, "quality int, features binary").toPandas()
     got = got.assign(key=[hash_bytes(f) for f in got["features"]]).sort_values(["key", "quality"], kind="stable")
     model = GatedAttention(N_FEATURES)
     y = got["quality"].to_numpy(np.float64)
@@ -214,5 +214,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     model = train(docs, labels, id_col, text_col, max_train)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    scored = d.mapInArrow(_score(model), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = map_batches(d, _score(model), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.common import slices, text_bytes
+from graphloom.llm.common import map_batches, slices, text_bytes
 from graphloom.plans.tables import write_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -74,7 +74,7 @@ def with_stats(docs: DataFrame, id_col: str, text_col: str, stratum: Column, kee
         *(F.col(c).alias(f"__in_{c}") for c in keep), F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("__text")
     )
     own = StructType([f for f in d.schema.fields if f.name != "__text"])
-    return d.mapInArrow(_stats, StructType(own.fields + StructType.fromDDL(STATS).fields))
+    return map_batches(d, _stats, StructType(own.fields + StructType.fromDDL(STATS).fields))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

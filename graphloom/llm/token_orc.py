@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import map_batches, slices, text_bytes, worker_state
 from graphloom.plans.tables import new_path
 
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+#: Words of a generation whose ids a worker keeps: those met since the last change of generations, and those of the generation before.
+CACHE_WORDS = 100_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -25,8 +27,7 @@ ORC_OPTIONS = {
     "compression": "zstd",
 }
 #: ASCII punctuation but the apostrophe, which some tokenizers join to letters.
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_encoders: dict[str, WordEncoder] = {}
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> list[str]:
@@ -53,29 +54,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.hot: dict[bytes, bytes] = {}  # met in both generations: they start the next one
         same = lambda text, parts: self._ids([text])[0] == b"".join(self._ids(parts))
         self.by_word = all(same(t, t.split()) for t in ("a b", "ab  cd\n\nef", " x\t", "don't 42 !? é", "the the"))
         self.lower = all(same(t, [t.lower()]) for t in ("The QUICK", "É Él", "A1b"))
         self.direct = True
-        self.direct = self.by_word and all(self._direct(w) == self._ids([w])[0] for w in ("word,", "the", "éa###", "ciónra.", "übergröße!!", 'ab"', "x", "日本語", "çà$$$", "ελληνικά)", "an.."))
+        self.direct = self.by_word and all(self._direct(w.encode()) == self._ids([w])[0] for w in ("word,", "the", "éa###", "ciónra.", "übergröße!!", 'ab"', "x", "日本語", "çà$$$", "ελληνικά)", "an.."))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, piece: str) -> bytes:
-        if (got := self.parts.get(piece)) is None:
-            letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.parts[piece] = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        return got
+    def _model(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-    def _direct(self, word: str) -> bytes | None:
+    def _direct(self, word: bytes) -> bytes | None:
         """The ids of letters and the punctuation after them, from the model; None for other words."""
         stem = word.rstrip(_PUNCTUATION)
-        if not self.direct or not stem.isalpha() or not (stem.isascii() or unicodedata.is_normalized("NFC", stem)) or stem != stem.lower():
+        if not self.direct:
             return None
-        return self._part(stem) + self._part(word[len(stem) :]) if len(stem) < len(word) else self._part(stem)
+        if stem.isalpha() and stem.islower():  # ASCII
+            letters = stem.decode()
+        else:
+            letters = stem.decode("utf-8", "replace")
+            if not letters.isalpha() or not unicodedata.is_normalized("NFC", letters) or letters != letters.lower():
+                return None
+        if len(stem) == len(word):
+            return self._model(letters)
+        return self._kept(stem, letters) + self._kept(word[len(stem) :], word[len(stem) :].decode())
+
+    def _kept(self, piece: bytes, text: str) -> bytes:
+        if (got := self.young.get(piece)) is None:
+            got = self.young[piece] = self.old.get(piece) or self._model(text)
+        return got
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -84,53 +97,46 @@ class WordEncoder:
         if self.lower:
             texts = [t.lower() if b"<|" not in t else t for t in texts]  # special tokens keep their case
         split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            self.known = known = {w: v for w, v in known.items() if len(w) <= 8}
-            if len(known) > CACHE_WORDS // 2:
-                known.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        new = [w for w in set().union(*split) if w not in known]
-        rest = []
-        for w in new:
-            ids = self._direct(w.decode("utf-8", "replace")) if len(w) <= 48 else None
+        young, old, hot, rest = self.young, self.old, self.hot, []
+        for w in set().union(*split).difference(young):
+            if (ids := old.get(w)) is not None:
+                hot[w] = ids
+            elif len(w) <= 48:
+                ids = self._direct(w)
             if ids is None:
                 rest.append(w)
             else:
-                known[w] = ids
+                young[w] = ids
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            known.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
-        get = known.__getitem__
+            young.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
+        get = young.__getitem__
         out = [b"".join(map(get, ws)) for ws in split]
         for w in rest:
             if len(w) > 48:
-                del known[w]
+                del young[w]
+        if len(young) > CACHE_WORDS:
+            self.old, self.young, self.hot = young, hot if len(hot) < CACHE_WORDS // 2 else {}, {}
         return out
 
 
 def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder = _encoders[path]
+        encoder = worker_state("tokens", path, lambda: WordEncoder(path))
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         start = 0
-        for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
-                texts = [t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()]
-                ids = [x + end for x in encoder.encode(texts)]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(counts)])
-                start = int(starts[-1])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("shard"), pa.array(starts[:-1]), pa.array(counts), pa.ListArray.from_arrays(offsets, values)],
-                    names=["doc_id", "shard", "shard_start", "n_tokens", "ids"],
-                )
+        for part in slices(batches, 512):
+            texts = text_bytes(part.column("__text"))
+            ids = [x + end for x in encoder.encode(texts)]
+            counts = np.array([len(x) // 4 for x in ids], np.int64)
+            starts = start + np.concatenate([[0], np.cumsum(counts)])
+            start = int(starts[-1])
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("shard"), pa.array(starts[:-1]), pa.array(counts), pa.ListArray.from_arrays(offsets, values)],
+                names=["doc_id", "shard", "shard_start", "n_tokens", "ids"],
+            )
 
     return run
 
@@ -153,7 +159,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, id_col: str =
         .withColumn("shard", F.spark_partition_id())
     )
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, shard int, shard_start long, n_tokens long, ids array<int>"
-    ranged.mapInArrow(_encode(tokenizer_path, end_id), schema).write.options(**ORC_OPTIONS).orc(path)
+    map_batches(ranged, _encode(tokenizer_path, end_id), schema).write.options(**ORC_OPTIONS).orc(path)
     return path
 
 
@@ -190,7 +196,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of :func:`read_tokens`: the CRC-32 is of the ids as little-endian unsigned 32-bit integers."""
     id_type = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.mapInArrow(_checksums, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return map_batches(tokens, _checksums, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize_to_orc(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 2, path: str | None = None) -> DataFrame:

@@ -343,6 +343,16 @@ def test_encoder_equals_the_library():
     assert e.encode([t.encode() for t in ts]) == want == e.encode([t.encode() for t in ts])
 
 
+def test_encoder_equals_the_library_on_random_texts(monkeypatch):
+    """Pieces that go straight to the model, those that don't, and words that come back after their generation."""
+    monkeypatch.setattr(token_orc, "CACHE_WORDS", 300)
+    e, r = token_orc.WordEncoder(tokenizer_path()), random.Random(1)
+    letters = "abcdefgxyzTHE aeiou éÉñßüçŒ 日本 0123 .,!?'\"#%&*() \t\n-_<|>’ İΑΣ ½…"
+    for _ in range(400):
+        ts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(10)]
+        assert e.encode([t.encode() for t in ts]) == [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(ts, add_special_tokens=False)]
+
+
 def test_bisect():
     assert mixing.bisect(lambda x: x * x, 0.25) == pytest.approx(0.5)
     assert mixing.bisect(lambda x: x, 2.0) == 1.0 and mixing.bisect(lambda x: x + 1, 0.5) == 0.0

@@ -110,8 +110,11 @@ def test_decontamination(spark, docs, nothing):
     assert rows[11][0]["n_words"] == 50_000
     small = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.find_contamination(docs.where("doc_id <> 7"), bench, block_words=5).collect()}
     assert small == {i: (r[0]["n_hit"], r[0]["items"]) for i, r in rows.items() if i is not None and i != 7}
-    for block in (5, 10_000):
-        kept = decontam.keep_clean(docs, bench, block_words=block)
+    for block, d in ((5, docs), (10_000, docs), (5, docs.withColumn("__row", F.lit(1)).withColumn("row", F.lit(2)))):
+        kept = decontam.keep_clean(d, bench, block_words=block)
+        assert kept.columns == d.columns
+        assert decontam.remove_spans(d, bench, block_words=block).columns == d.columns
+        kept = kept.select(docs.columns)
         assert kept.columns == docs.columns
         assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [4, 5, 6, 9, 10, 11, 12]
     assert decontam.keep_clean(docs, bench.limit(0)).count() == docs.count()
@@ -119,10 +122,10 @@ def test_decontamination(spark, docs, nothing):
 
 
 def test_line_dedup(docs, nothing):
-    rows = {r["doc_id"]: r for r in line_dedup.line_dedup(docs.where("doc_id <> 7 OR doc_id IS NULL")).collect()}
+    rows = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect() if r["doc_id"] != 7}
     assert rows[10]["text"] == "x\ny" and rows[10]["n_removed"] == 3 and rows[9]["n_removed"] == 0
     assert rows[2]["text"] == "" and rows[2]["n_removed"] == 1 and rows[1]["n_removed"] == 0
-    assert rows[4]["text"] == "" and rows[6]["text"] == "   \n " and rows[8]["n_removed"] == 0
+    assert rows[4]["text"] == "" and rows[6]["text"] == "   \n " and rows[8]["n_removed"] == 1
     assert rows[None]["n_removed"] == 0
     assert not line_dedup.line_dedup(nothing).collect()
 
@@ -166,7 +169,7 @@ def test_mixing(spark, docs, nothing):
     assert abs(collections.Counter(r["mix_source"] for r in half)["big"] - 200) <= 1
     edge = mixing.mix_sources(docs)
     assert {r["doc_id"] for r in edge.collect()} == {r["doc_id"] for r in docs.collect()}
-    assert "key" in edge.columns and "__spans" not in edge.columns
+    assert [c for c in edge.columns if not c.startswith("mix_")] == docs.columns
     assert not mixing.mix_sources(nothing).collect()
 
 
@@ -237,3 +240,166 @@ def test_minhash_recall(spark):
 def test_shingle_kernel_on_documents(spark, sf):
     t = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     assert len(shingles([x.encode().translate(WORD_TABLE) for x in t])) == len(t)
+
+
+@pytest.fixture(scope="module")
+def repeated_ids(spark):
+    """Rows of one id with equal and with different texts, copies and near copies under other ids, nulls and clashing names."""
+    a, d = make_text(21, 80), make_text(22, 80)
+    near = " ".join(w if i != 40 else "changed" for i, w in enumerate(a.split()))
+    rows = [
+        (1, a), (5, a), (5, near), (5, make_text(23, 80)), (7, make_text(24, 80)), (7, d), (7, d), (7, d), (9, d), (None, d), (None, make_text(25, 80)),
+        (None, make_text(25, 80)), (3, None), (3, ""), (3, ""), (4, near + " "), (2, make_text(26, 3)), (2, make_text(26, 3)),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `mark` string, `__x` string, `__row` string, gone int"
+    return spark.createDataFrame([(i, t, "en", "s", k, "m", f"x{k}", "r", 1) for k, (i, t) in enumerate(rows)], schema)
+
+
+def brute_keep_one(rows):
+    """By definition: classes of distinct (id, text) rows linked by equal or similar shingle sets; one row of each class, all without words."""
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+
+    left = list(dict.fromkeys(r for r in rows if grams(r[1])))
+    kept = [r for r in rows if not grams(r[1])]
+    while left:
+        group = [left.pop()]
+        for r in group:
+            g = grams(r[1])
+            near = [x for x in left if len(g & grams(x[1])) >= 0.8 * len(g | grams(x[1]))]
+            group += near
+            left = [x for x in left if x not in near]
+        low = min(((r[0] is None, r[0] or 0) for r in group))
+        kept.append([r for r in group if (r[0] is None, r[0] or 0) == low])
+    return kept
+
+
+def test_keep_one_row_of_each_class(repeated_ids):
+    rows = [(r["doc_id"], r["text"]) for r in repeated_ids.collect()]
+    out = ngram_join.keep_one(repeated_ids)
+    assert out.columns == repeated_ids.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    want = brute_keep_one(rows)
+    assert len(got) == len(want)
+    for w in want:
+        options = w if isinstance(w, list) else [w]
+        hit = next(g for g in got if g in options)
+        got.remove(hit)
+    assert not got
+
+
+def test_sets_of_one_short_key_are_told_apart(spark, monkeypatch):
+    rows = [(i, make_text(30 + i // 2, 60)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    features = ngram_join._features
+
+    def clash(n, bands, r):
+        run = features(n, bands, r)
+
+        def same_key(batches):
+            import pyarrow as pa
+
+            for b in run(batches):
+                at = b.schema.get_field_index("key")
+                yield b.set_column(at, "key", pa.array([77] * len(b), pa.int64()))
+
+        return same_key
+
+    monkeypatch.setattr(ngram_join, "_features", clash)
+    got = {r["doc_id"]: (r["class_id"], r["n_copies"]) for r in ngram_join.ngram_jaccard_join(df).collect()}
+    assert got == {i: (i - i % 2, 2) for i in range(12)}
+
+
+def brute_line_dedup(rows, order):
+    """By definition, over rows in ``order``; rows without an id have no windows."""
+    seen, out = set(), []
+    for i in order:
+        doc_id, text = rows[i]
+        lines = (text or "").split("\n")
+        kept = [(x.strip(" \t\r\f\v"), k) for k, x in enumerate(lines) if x.strip(" \t\r\f\v")]
+        gone = set()
+        for k in range(max(1, len(kept) - 2)) if kept and doc_id is not None else ():
+            w = kept[k : k + 3]
+            key = tuple(x for x, _ in w)
+            if key in seen:
+                gone |= set(range(w[0][1], w[-1][1] + 1))
+            seen.add(key)
+        out.append((doc_id, len(lines), len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(r.randint(0, 60), "\n".join(r.choice(["a", "b", "c ", " d", "", "e"]) for _ in range(r.randint(0, 9)))) for _ in range(60)]
+    rows = list(dict(rows).items())  # one row an id: the order is that of the ids
+    rows += [(None, "a\nb\nc"), (None, "a\nb\nc"), (70, None), (71, ""), (72, "a\nb\nc"), (73, "x\ny\nz\n"), (73, "x\ny\nz\n"), (73, "x\ny\nz\n"), (74, " \nonly\n"), (74, " \nonly\n"), (75, "q\n" * 30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit("clash")).withColumn("h1", F.lit(1))
+    got = sorted((tuple(x) for x in line_dedup.line_dedup(df).collect()), key=repr)
+    assert got == brute_line_dedup(rows, sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0)))
+
+
+def test_line_dedup_of_one_id_with_several_texts(spark):
+    rows = [(1, "a\nb\nc"), (2, "p\nq\nr\ns"), (2, "a\nb\nc\nz"), (2, "z\nu\nv"), (3, "z\nu\nv")]
+    got = sorted(tuple(x) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 3, 0, "a\nb\nc"), (2, 3, 0, "z\nu\nv"), (2, 4, 0, "p\nq\nr\ns"), (2, 4, 3, "z"), (3, 3, 3, "")]
+
+
+def brute_mixture(rows, max_repeats, budget, blocks, seed, place):
+    """Uses of each row by definition: exponents on a fine grid, passes one after another, block by block in the order of the turns."""
+    import math
+
+    size = collections.Counter()
+    for _, src, n in rows:
+        size[src] += n
+    live = {s: t for s, t in size.items() if t}
+    whole = lambda e: max(live.values()) ** (1 - e) * sum(t**e for t in live.values())
+    share = lambda e, s: live[s] ** e / sum(t**e for t in live.values())
+    repeats = lambda e: max((budget or whole(e)) * share(e, s) / live[s] for s in live)
+    e = next(k / 100_000 for k in range(100_001) if repeats(k / 100_000) <= max_repeats * (1 + 1e-6))
+    uses = collections.Counter()
+    for s in size:
+        own = [(i, n) for i, src, n in rows if src == s]
+        want = (budget or whole(e)) * share(e, s) if s in live else 0
+        passes = math.floor(want / live[s] + 1e-4) if s in live else 1
+        for i, _ in own:
+            uses[i] += passes
+        rest = want - passes * size[s] if s in live else 0
+        used, turns = 0, sorted({(place["turn", place[i] % blocks, passes], place[i] % blocks) for i, _ in own})
+        for _, block in turns:
+            for p in sorted({place[i] for i, _ in own if place[i] % blocks == block}):
+                if used < rest - 1e-4 * max(1, size[s]):
+                    for i, n in own:
+                        if place[i] == p:
+                            uses[i] += 1
+                    used += sum(n for i, n in own if place[i] == p)
+    return +uses, e
+
+
+@pytest.mark.parametrize("max_repeats,budget", [(1.5, None), (2.5, None), (3.0, 700.0), (1.0, 300.0)])
+def test_mixing_against_brute_force(spark, max_repeats, budget):
+    rows = [(i, "big" if i < 60 else "mid" if i < 90 else "small" if i < 100 else "tie", (i * 7) % 5 + 1) for i in range(110)] + [(200, "void", 0), (200, "void", 0)]
+    d = spark.createDataFrame([(i, s, " ".join(["w"] * n)) for i, s, n in rows], "doc_id long, source string, text string")
+    place = {r[0]: r[1] for r in d.select("doc_id", F.xxhash64("doc_id", F.lit(17))).collect()}
+    turns = spark.range(8).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("e"))
+    place |= {("turn", r["b"], r["e"]): r["t"] for r in turns.select("b", "e", F.xxhash64("b", "e", F.lit(17)).alias("t")).collect()}
+    out = mixing.mix_sources(d, max_repeats=max_repeats, budget=budget, blocks=8).collect()
+    uses, e = brute_mixture(rows, max_repeats, budget, 8, 17, place)
+    got = collections.Counter(r["doc_id"] for r in out)
+    got[200] //= 2  # two rows
+    uses[200] //= 2
+    assert got == uses
+    assert max(uses.values()) <= np.ceil(max_repeats)
+
+
+def test_mixing_limit_holds_with_a_budget(spark):
+    d = spark.createDataFrame([(i, "a" if i < 90 else "b", "x y z") for i in range(100)], "doc_id long, source string, text string")
+    with pytest.raises(ValueError, match="max_repeats"):
+        mixing.mix_sources(d, max_repeats=1.5, budget=3000)
+    out = collections.Counter(r["doc_id"] for r in mixing.mix_sources(d, max_repeats=1.5, budget=330).collect())
+    assert max(out.values()) <= 2 and abs(sum(out.values()) - 110) <= 2
+    odd = d.withColumn("__x", F.col("doc_id")).withColumn("in_0", F.lit("i")).withColumn("tokens", F.lit(1))
+    assert mixing.mix_sources(odd).select(odd.columns).where("`__x` <> doc_id").isEmpty()
