@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import map_batches, slices
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the base patterns, and the one that the field alone finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address is what stands before an at-sign, as far as it goes, and a domain after it.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+#: Runs of digits are taken whole: a match that fails at the start of a run fails within it.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_|\S")
+#: Long mixtures of letters and digits are one token.
+_TOKEN = re.compile(r"(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+|[0-9]+|[^\W\d_]+|[^\w\s]|_|\S")
 #: Words that a sequence is built around: with a digit, an at-sign or a spelled-out one.
 _TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
 _AROUND = re.compile(r"\S+")
@@ -34,15 +40,15 @@ the user <email>root@localhost</email> logged in
 send it to <email>anna [at] example [dot] com</email> today
 ask <email>tom.lee (at) mail (dot) example (dot) org</email> or me
 reach <email>maria[at]example.net</email> soon
-en casa.<email>ren.34@mail7.example.com</email> geiever la
-ADDRESS!! <email>BOB.12@MAIL.EXAMPLE.COM</email>!! OF!!
+escribe a casa.<email>luz.9@correo.example.com</email> hoy mismo
+SEND!! <email>KAI.77@POST.EXAMPLE.NET</email>!! NOW!!
 we meet @ noon near the hall
 follow @someuser for more
 rate @ 12 per unit
 from <ip>192.168.10.7</ip> to the server
 hosts <ip>10.0.0.1</ip> and <ip>172.16.254.3</ip> were up
-les <ip>8.20.209.178</ip> le
-ERROR!! <ip>169.122.221.182</ip>!! OF!!
+der server <ip>91.3.44.210</ip> war aus
+FAILED!! <ip>203.0.113.77</ip>!! AT!!
 see section 3.2.1 of the text
 licensed under version 4.0.
 version 2.0.13 was released
@@ -52,26 +58,26 @@ rates of 12.5 and 7.25 percent
 pay with <card>4111 1111 1111 1111</card> please
 the card <card>5500-0000-0000-0004</card> is lost
 card number <card>{L}</card> was used
-nte <card>{L}</card> raie
-la <card>{L}</card> und
-THE!! <card>{L}</card>!! NTSH!!
-the%%% <card>{L}</card>$$$ and&&&
+numéro <card>{L}</card> merci
+mit <card>{L}</card> bezahlt
+PAY!! <card>{L}</card>!! HERE!!
+paid%%% <card>{L}</card>$$$ by&&&
 order {X} was sent
-los {X} en
-le {X} êonque
-OF!! {X}!! AND!!
-le&&& {X}$$$ den&&&
+los números {X} en lista
+le colis {X} êtait parti
+PARCEL!! {X}!! CAME!!
+lot&&& {X}$$$ neu&&&
 parcel 123456789012 arrived
 isbn 978-3-16-148410-0 in print
-call <phone>+1 (017) 555-7713</phone> now
-le <phone>+49 30 901820</phone> und
-thlystti <phone>+1 (974) 555-3436</phone> thatenon it
-rr <phone>+1 (136) 555-7479</phone>%%% of
-call me on <phone>(017) 555-7713</phone> today
+call <phone>+1 (312) 555-0188</phone> now
+oder <phone>+49 30 901820</phone> und so
+desk <phone>+1 (206) 555-0121</phone> is open
+ring <phone>+1 (415) 555-0163</phone>%%% of
+call me on <phone>(312) 555-0188</phone> today
 tel <phone>(040) 555-0199</phone>.
-phone: <phone>017-555-7713</phone>
+phone: <phone>312-555-0188</phone>
 her phone is <phone>030-555-0134</phone> at home
-fax <phone>017.555.7713</phone> or mail
+fax <phone>312.555.0188</phone> or mail
 mobile <phone>0171 555 7713</phone>
 tel. <phone>040 5550199</phone>
 call <phone>555-0134</phone> at once
@@ -85,10 +91,19 @@ in 1999 they had 20 or 30 of them
 chapter 12 verse 3-4
 room 101 and 102 are full
 a ratio of 16:9 in 1080p
-token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" of
-TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!! THE!!
+token = "<secret>{H}</secret>" is set
+TOKEN = "<secret>{H}</secret>"!! DONE!!
+the token="<secret>{H}</secret>"%%% and
+api_key: <secret>{H}</secret> in the file
+secret = '<secret>{M}</secret>' ok
+export PASSWORD=<secret>{M}</secret> first
+client secret "<secret>{M}</secret>" was leaked
+commit {H} was merged
+file {H} has this sum
+sum {M} of the file
+{H} files changed
 key 0x7fff5694dc58 at line 42
-sha1 b44e15e09fd311c3cf3163b66d5a9875b883d8ce done
+sha1 {H} done
 id 550e8400-e29b-41d4-a716-446655440000 was made
 bus 42 leaves at 7.30 from stop 3
 score 3-1 and 2-2 after 90 minutes
@@ -97,8 +112,9 @@ lot 12345 sold for 1 200 000
 http://example.com/en/123?page=2 was read
 article 7 (2) and 12 (3)
 """.strip().splitlines()
-_LUHN_OK, _LUHN_BAD = "4111111111111111", "9807915762804490"
-_LEXICON = {w: "call" for w in ("tel", "phone", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono")} | {w: "mail" for w in ("mail", "email", "e-mail")} | {"at": "at", "dot": "dot"}
+#: What stands for {L} and {X}, numbers that pass and fail Luhn's test, and for {H} and {M}, long mixtures of letters and digits.
+_FILL = {"{L}": "4111111111111111", "{X}": "9807915762804490", "{H}": "0123456789abcdef0123456789abcdef01234567", "{M}": "Ab3De5Gh7Jk9Mn2Pq4St6"}
+_LEXICON = {w: "call" for w in ("tel", "phone", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono")} | {w: "mail" for w in ("mail", "email", "e-mail")} | {w: "key" for w in ("token", "secret", "password", "passwd", "key", "apikey", "credential")} | {"at": "at", "dot": "dot"}
 _SEED_ROUNDS, _RATE, _DECAY = 150, 0.1, 0.002
 
 
@@ -115,16 +131,15 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, end, kind)`` of the patterns, leftmost and non-overlapping per kind, sorted by start and kind."""
     out = []
-    at = text.find("@")
+    end, at = 0, text.find("@")
     while at >= 0:
-        # no match spans white space: look at the word around the sign
-        lo, hi = at, at
-        while lo and text[lo - 1] > " ":
-            lo -= 1
-        while hi < len(text) and text[hi] > " ":
-            hi += 1
-        out += [(m.start(), m.end(), 0) for m in _EMAIL.finditer(text, lo, hi)]
-        at = text.find("@", hi)
+        before = text[end:at]
+        start = end + len(before.rstrip(_LOCAL))
+        found = _DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            out.append((start, found.end(), 0))
+        end = found.end() if found else at + 1
+        at = text.find("@", end)
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p[-9:]) <= 255 for p in m[0].split(".")):
             out.append((m.start(), m.end(), 1))
@@ -173,6 +188,8 @@ def sequences(text: str) -> list[list[re.Match]]:
 
 def shape(token: str) -> str:
     c = token[0]
+    if len(token) >= 20 and token.isascii() and not token.isalpha() and not token.isdigit():
+        return "X"
     if "0" <= c <= "9" and token.isascii():
         n = len(token)
         if 14 <= n <= 19:
@@ -187,23 +204,23 @@ def shape(token: str) -> str:
     return c if c < "\x7f" else "^"
 
 
-def _features(seq: list[re.Match]) -> list[tuple[str, ...]]:
+def _features(seq: list[re.Match]) -> Iterator[tuple[str, ...]]:
     shapes = ["<s>", *(shape(m[0]) for m in seq), "</s>", "</s>"]
-    out = []
     for i, m in enumerate(seq, 1):
         gap = "_" if i == 1 or seq[i - 2].end() < m.start() else "."
         after = "_" if i == len(seq) or m.end() < seq[i].start() else "."
         before2 = shapes[i - 2] if i > 1 else "<s>"
-        out.append((
+        yield (
             f"s={shapes[i]}", f"g={gap}{shapes[i]}{after}", f"p={shapes[i - 1]}{gap}{shapes[i]}", f"n={shapes[i]}{after}{shapes[i + 1]}",
             f"q={shapes[i - 1]}{gap}", f"t={shapes[i - 1]}{gap}{shapes[i]}{after}{shapes[i + 1]}", f"u={before2}|{shapes[i - 1]}{gap}{shapes[i]}", f"v={shapes[i]}{after}{shapes[i + 1]}|{shapes[i + 2]}",
-        ))
-    return out
+        )
 
 
 def _parse(line: str) -> tuple[list[re.Match], list[int]]:
     text, spans = "", []
-    for part in re.split(r"(<\w+>[^<]*</\w+>)", line.replace("{L}", _LUHN_OK).replace("{X}", _LUHN_BAD)):
+    for short, full in _FILL.items():
+        line = line.replace(short, full)
+    for part in re.split(r"(<\w+>[^<]*</\w+>)", line):
         if m := re.fullmatch(r"<(\w+)>([^<]*)</\w+>", part):
             spans.append((len(text), len(text) + len(m[2]), KINDS.index(m[1])))
             text += m[2]
@@ -234,7 +251,7 @@ class WordShapeCRF:
 
     def __init__(self, labelled: list[str] = LABELLED):
         pairs = [_parse(x) for x in labelled]
-        feats = [_features(t) for t, _ in pairs]
+        feats = [list(_features(t)) for t, _ in pairs]
         self.index: dict[str, int] = {}
         for f in feats:
             for fs in f:
@@ -283,22 +300,25 @@ class WordShapeCRF:
             got = self.cache[f] = sum((self.emit[self.index[x]] for x in f if x in self.index), np.zeros(len(LABELS)))
         return got
 
-    def decode(self, seqs: list[list[re.Match]], limit: int = 4096) -> list[list[int]]:
-        """The best labels of each sequence, by Viterbi over padded batches of sequences of like length."""
+    def decode(self, seqs: list[list[re.Match]], limit: int = 100_000) -> list[list[int]]:
+        """The best labels of each sequence, by Viterbi over padded batches of sequences of like length, of about ``limit`` tokens."""
         out: list[list[int]] = [[]] * len(seqs)
         order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
         start = np.array([-1e4 if x[0] == "I" else 0.0 for x in LABELS])
-        while order:
-            n, own = max(1, len(seqs[order[0]])), []
-            while order and len(own) < limit and len(seqs[order[0]]) <= n + n // 4 + 2:
-                own.append(order.pop(0))
+        at = 0
+        while at < len(order):
+            n, own = max(1, len(seqs[order[at]])), []
+            while at < len(order) and len(seqs[order[at]]) <= n + n // 4 + 2 and (not own or (len(own) + 1) * n <= limit):
+                own.append(order[at])
+                at += 1
             n = max(len(seqs[i]) for i in own)
             if not n:
                 continue
             lengths = np.array([len(seqs[i]) for i in own])
             e = np.zeros((len(own), n, len(LABELS)))
             for r, i in enumerate(own):
-                e[r, : lengths[r]] = [self._scores(f) for f in _features(seqs[i])]
+                for t, f in enumerate(_features(seqs[i])):
+                    e[r, t] = self._scores(f)
             best, back = e[:, 0] + start, np.zeros((n, len(own), len(LABELS)), np.int8)
             for t in range(1, n):
                 step = best[:, :, None] + self.fixed
@@ -366,23 +386,24 @@ def _find(crf: WordShapeCRF):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = find_spans([x or "" for x in part.column("__text").to_pylist()], crf)
-            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in range(len(KINDS))]
+            counts = [pa.array([sum(s[2] == k for s in base) for base, _ in rows], pa.int64()) for k in range(len(BASE_KINDS))]
             sums = [hashlib.sha256(_join(base).encode()).hexdigest() for base, _ in rows]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *counts, pa.array(sums, pa.string()), pa.array([_join(s) for _, s in rows], pa.string())],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                [part.column("doc_id"), *counts, pa.array(sums, pa.string()), pa.array([_join(s) for _, s in rows], pa.string()), pa.array([len(s) for _, s in rows], pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_spans"],
             )
 
     return run
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
-    Counts and hash are of the base patterns' spans, ``spans`` has these and the field's, as ``kind:start:end`` in code points, by start and then kind.
+    Counts and hash are of the base patterns' spans, ``spans`` has these and the field's, as ``kind:start:end`` in code points, by start and then kind; ``n_spans`` is their number.
+    The field also finds secrets (keys, tokens and passwords after a word that says so), which have no base pattern.
     Null and empty texts have none; repeated rows each get their row; extra columns are ignored. The
     field is fitted on the driver on LABELLED, in seconds. Whole texts stream by partition.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return map_batches(d, _find(model()), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string")
+    counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
+    return map_batches(d, _find(model()), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {counts}, base_sha256 string, spans string, n_spans long")

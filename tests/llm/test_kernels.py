@@ -210,6 +210,61 @@ def test_added_spans_leave_base_spans_and_clean_text_alone():
     assert [s for _, s in pii_crf.find_spans(clean, crf)] == [[]] * 4
 
 
+@given(st.text(alphabet="a@.-_%9", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_addresses_one_after_another(text):
+    assert pii_crf.base_spans(text) == plain_base(text)
+
+
+def test_base_patterns_are_linear():
+    import time
+
+    began = time.process_time()
+    for t in ("1" * 1_000_000, "a" * 1_000_000 + "@", "@" * 300_000, "a@" * 300_000, "1." * 400_000, "+1" + "(" * 1_000_000):
+        pii_crf.base_spans(t)
+    assert time.process_time() - began < 8
+
+
+def test_secrets_only_after_words_that_say_so():
+    crf, key = pii_crf.model(), "9f8e7d6c5b4a39281706f5e4d3c2b1a001122334"
+    found = lambda t: [t[a:b] for a, b, k in pii_crf.find_spans([t], crf)[0][1] if pii_crf.KINDS[k] == "secret"]
+    assert found(f'x token = "{key}" y') == [key] and found(f"api_key: {key}") == [key]
+    assert found(f"commit {key} was merged") == [] and found(key) == []
+
+
+def plain_spans(text, crf):
+    """All spans by definition: each sequence labelled by a table of best scores, cell by cell."""
+    base, out = plain_base(text), []
+    for seq in pii_crf.sequences(text):
+        f = list(pii_crf._features(seq))
+        k = len(pii_crf.LABELS)
+        best = [{y: (crf._scores(f[0])[y] - (1e4 if pii_crf.LABELS[y][0] == "I" else 0), [y]) for y in range(k)}]
+        for x in f[1:]:
+            row = {}
+            for y in range(k):
+                score, path = max(((best[-1][z][0] + crf.fixed[z, y], best[-1][z][1]) for z in range(k)), key=lambda c: c[0])
+                row[y] = (score + crf._scores(x)[y], [*path, y])
+            best.append(row)
+        tags = max(best[-1].values(), key=lambda c: c[0])[1]
+        starts = [i for i, y in enumerate(tags) if y and (y % 2 or not i or tags[i - 1] not in (y, y - 1))]
+        for i in starts:
+            kind, j = (tags[i] - 1) // 2, i + 1
+            while j < len(tags) and tags[j] == 2 + 2 * kind:
+                j += 1
+            a, b = seq[i].start(), seq[j - 1].end()
+            if all(b <= x or y <= a for x, y, _ in base):
+                out.append((a, b, kind))
+    return sorted(base + out, key=lambda s: (s[0], s[2]))
+
+
+def test_all_spans_against_brute_force():
+    crf, r = pii_crf.model(), random.Random(8)
+    words = ["call", "(312) 555-0188", "token =", "9f8e7d6c5b4a39281706f5e4d3c2b1a001122334", "a.b@c.de", "the", "1.2.3.4", "joe [at] x [dot] org", "+1 (206) 555-0121", "4111 1111 1111 1111", "12", "1999,", "of", "tel", "030-555-0134", "@", "é9"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    for t, (base, every) in zip(texts, pii_crf.find_spans(texts, crf), strict=True):
+        assert base == plain_base(t) and every == plain_spans(t, crf)
+
+
 def test_html_blocks():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=x>Home</a></nav>
     <div class="cookie-notice">We use cookies on this site to make it better for you and for all.</div>
