@@ -21,9 +21,7 @@ RULES = {
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "upper_share": "n_upper / greatest(word_chars, 1)",
 }
-#: Parts of the allowed false rejection that the rules get, by name.
-PARTS = {"symbol_share": 0.5, "dup_line_share": 0.1, "repeat_share": 0.2, "upper_share": 0.2}
-#: What a rejected share of good documents weighs against one of bad documents when a cutoff is chosen.
+#: What a rejected share of good documents weighs against one of bad documents when a cutoff is chosen, on labels that don't certify it.
 FALSE_COST = 10
 #: Cutoffs are tried on this fixed grid, from mild to strict.
 GRID = [i / 50 for i in range(49, 0, -1)]
@@ -90,36 +88,52 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
 
 
-def select_cutoffs(counts: dict[tuple[str, str, int], list[int]], strata: list[str], max_false_rejection: float, confidence: float) -> dict[tuple[str, str], float]:
-    """The cutoff of each stratum and rule, where one is certified.
+Counts = dict[tuple[str, str, int], list[int]]
+
+
+def _above(counts: Counts, stratum: str, rule: str) -> tuple[int, int, list[tuple[int, int]]]:
+    """The good and the bad documents, and those above each cutoff of GRID."""
+    cells = [counts.get((stratum, rule, i), [0, 0]) for i in range(len(GRID) + 1)]
+    fp = tp = 0
+    out = []
+    for c in cells[:-1]:
+        fp, tp = fp + c[0], tp + c[1]
+        out.append((fp, tp))
+    return sum(c[0] for c in cells), sum(c[1] for c in cells), out
+
+
+def choose_cutoffs(counts: Counts, strata: list[str], max_false_rejection: float) -> dict[tuple[str, str], int]:
+    """The place in GRID of each stratum's and rule's best cutoff: that of the best balance (share of bad less FALSE_COST times the share of good rejected) within ``max_false_rejection``, the mildest of equals. Rules without a positive balance are left out."""
+    out = {}
+    for s in strata:
+        for rule in RULES:
+            good, bad, above = _above(counts, s, rule)
+            best = 0.0
+            for i, (fp, tp) in enumerate(above):
+                if good and bad and fp <= max_false_rejection * good and (balance := tp / bad - FALSE_COST * fp / good) > best + 1e-12:
+                    best, out[s, rule] = balance, i
+    return out
+
+
+def certify_cutoffs(counts: Counts, chosen: dict[tuple[str, str], int], max_false_rejection: float, confidence: float) -> dict[tuple[str, str], float]:
+    """The cutoff of each stratum and rule that is certified: the chosen one, or the strictest milder one.
 
     ``counts[stratum, rule, i]`` has the good and the bad documents whose value
     is above GRID[i] and, but for i = 0, not above GRID[i - 1]; i = len(GRID) has the rest.
     A cutoff is certified if the exact binomial test rejects, at the level of
-    its stratum and rule, that the rule rejects over its part (PARTS) of
-    ``max_false_rejection`` of good documents. Levels are ``(1 - confidence) / (strata *
-    rules)`` (Bonferroni) and each grid is tested in fixed sequence from mild to
-    strict, stopping at the first that fails. Of the certified cutoffs the one
-    of the best balance (share of bad less share of good rejected) is taken,
-    the mildest of equals; none if it rejects no bad document.
+    its stratum and rule, that the rule rejects over its part of ``max_false_rejection`` (the same for each
+    chosen rule of the stratum) of good documents. Levels are ``(1 - confidence)`` by the number of chosen
+    strata and rules (Bonferroni) and each grid is tested in fixed sequence from mild to
+    strict, stopping at the first that fails. None of ``counts`` may have been used to choose.
     """
-    level = (1 - confidence) / (len(strata) * len(RULES))
     out: dict[tuple[str, str], float] = {}
-    for s in strata:
-        for rule in RULES:
-            cells = [counts.get((s, rule, i), [0, 0]) for i in range(len(GRID) + 1)]
-            good, bad = (sum(c[k] for c in cells) for k in (0, 1))
-            if not good or not bad:
-                continue
-            fp = tp = 0
-            best = 0.0
-            for i, cutoff in enumerate(GRID):
-                fp += cells[i][0]
-                tp += cells[i][1]
-                if binomial_tail(fp, good, max_false_rejection * PARTS[rule]) > level:
-                    break
-                if (balance := tp / bad - FALSE_COST * fp / good) > best + 1e-12:
-                    best, out[s, rule] = balance, cutoff
+    for (s, rule), last in chosen.items():
+        part = max_false_rejection / sum(x == s for x, _ in chosen)
+        good, _, above = _above(counts, s, rule)
+        for cutoff, (fp, _) in zip(GRID[: last + 1], above, strict=False):
+            if not good or binomial_tail(fp, good, part) > (1 - confidence) / len(chosen):
+                break
+            out[s, rule] = cutoff
     return out
 
 
@@ -130,20 +144,20 @@ def quality_rules(
     text_col: str = "text",
     stratum_col: str = "lang",
     strata: tuple[str, ...] = ("de", "en", "es", "fr"),
-    max_false_rejection: float = 0.05,
+    max_false_rejection: float = 0.02,
     confidence: float = 0.95,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, stratum, the counts of STATS, ``base_failed``, ``rule`` (the first rule that it fails, else null) and ``kept``.
 
-    ``labels`` has ``doc_id`` and ``quality`` (1: good, 0: bad). All labelled
-    documents that pass the base rules are the holdout that certifies the cutoffs; the grid is fixed, so
-    nothing else is fitted on them. With probability ``confidence``, the share
+    ``labels`` has ``doc_id`` and ``quality`` (1: good, 0: bad). Labelled
+    documents that pass the base rules are halved by a hash of their ids: one half chooses rules and cutoffs, the
+    other, which has no part in that, certifies them. With probability ``confidence``, the share
     of good documents that the rules reject is at most ``max_false_rejection``
     in every stratum. Values of ``stratum_col`` outside ``strata``, nulls too,
     form the stratum "other". Null and empty texts have no words and fail the
-    base rules. Repeated rows and ids are judged row by row; a document with
-    several labels counts once a label, null labels don't count. Without labels
+    base rules. Repeated rows and ids are judged row by row; a labelled id counts once however many rows it has, in each
+    rule by the greatest value among them, and once for each of its labels if they differ. Null labels don't count. Without labels
     no cutoff is certified and the base rules decide alone. Extra columns are ignored.
 
     Columns of ``docs`` named in ``keep`` come back as ``__in_<name>``.
@@ -157,12 +171,14 @@ def quality_rules(
     stats = write_table(with_stats(docs, id_col, text_col, stratum), "quality-stats")
     judged = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     held = stats.where(~base_failed()).join(judged, F.col("doc_id") == F.col("__id"))
-    cell = lambda rule: F.lit(len(GRID)) - F.size(F.filter(F.lit(GRID), lambda g: F.expr(RULES[rule]) > g))
-    cells = held.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES))).alias("x"))
-    counts: dict[tuple[str, str, int], list[int]] = {}
-    for r in cells.groupBy("stratum", "quality", "x.rule", "x.cell").count().collect():
-        counts.setdefault((r["stratum"], r["rule"], r["cell"]), [0, 0])[1 - r["quality"]] += r["count"]
-    cutoffs = select_cutoffs(counts, known, max_false_rejection, confidence)
+    held = held.groupBy("doc_id", "stratum", "quality").agg(*(F.max(F.expr(f)).alias(r) for r, f in RULES.items()))
+    cell = lambda rule: F.lit(len(GRID)) - F.size(F.filter(F.lit(GRID), lambda g: F.col(rule) > g))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).alias("half")
+    cells = held.select(half, "stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES))).alias("x"))
+    halves: tuple[Counts, Counts] = ({}, {})
+    for r in cells.groupBy("half", "stratum", "quality", "x.rule", "x.cell").count().collect():
+        halves[r["half"]].setdefault((r["stratum"], r["rule"], r["cell"]), [0, 0])[1 - r["quality"]] += r["count"]
+    cutoffs = certify_cutoffs(halves[1], choose_cutoffs(halves[0], known, max_false_rejection), max_false_rejection, confidence)
     failed = F.lit(None).cast("string")
     for (s, rule), cutoff in sorted(cutoffs.items(), reverse=True):
         failed = F.when((F.col("stratum") == s) & (F.expr(RULES[rule]) > cutoff), F.lit(rule)).otherwise(failed)

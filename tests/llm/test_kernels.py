@@ -123,10 +123,26 @@ def test_cutoffs_hold_the_promised_risk():
     grid = len(quality_rules.GRID)
     for good in (50, 5000):
         counts = {("en", "symbol_share", grid): [good, 0], ("en", "symbol_share", 0): [0, 40]}
-        found = quality_rules.select_cutoffs(counts, ["en", "other"], 0.02, 0.95)
-        assert bool(found) == (good == 5000)
+        chosen = quality_rules.choose_cutoffs(counts, ["en", "other"], 0.02)
+        assert chosen == {("en", "symbol_share"): 0}
+        assert bool(quality_rules.certify_cutoffs(counts, chosen, 0.02, 0.95)) == (good == 5000)
     half = {("en", "symbol_share", 0): [2500, 40], ("en", "symbol_share", grid): [2500, 0]}
-    assert not quality_rules.select_cutoffs(half, ["en"], 0.02, 0.95)
+    assert not quality_rules.choose_cutoffs(half, ["en"], 0.02)
+    # what the choosing half likes, the certifying half may not
+    assert not quality_rules.certify_cutoffs(half, {("en", "symbol_share"): 5}, 0.02, 0.95)
+    # the strictest cutoff before the first that fails
+    mixed = {("en", "repeat_share", 0): [0, 5], ("en", "repeat_share", 3): [400, 5], ("en", "repeat_share", grid): [4600, 0]}
+    assert quality_rules.certify_cutoffs(mixed, {("en", "repeat_share"): 9}, 0.02, 0.95) == {("en", "repeat_share"): quality_rules.GRID[2]}
+
+
+def test_certified_cutoffs_are_seldom_wrong():
+    """Over many draws of labels from a rule that rejects just over the limit, hardly any is certified."""
+    r, wrong = np.random.default_rng(4), 0
+    for _ in range(400):
+        bad = int(r.binomial(1000, 0.021))
+        counts = {("en", "upper_share", 0): [bad, 30], ("en", "upper_share", len(quality_rules.GRID)): [1000 - bad, 0]}
+        wrong += bool(quality_rules.certify_cutoffs(counts, {("en", "upper_share"): 0}, 0.02, 0.95))
+    assert wrong <= 0.05 * 400 + 12
 
 
 def test_passages_by_hand():
