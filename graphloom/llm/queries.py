@@ -12,6 +12,8 @@ from graphloom.llm import decontam, html_extract, line_dedup, mixing, ngram_join
 TOKENIZER = "word_bpe_49k.json"
 URL_ALLOW = ["org/", "com/fr/"]
 URL_BLOCK = ["example.org/es/", "example.org/en/1", "com/de/"]
+#: The second tier of the URL filter, a block list of hosts like those that such filters are fed: it decides where none of the rules fits.
+URL_BLOCK_LIST = [f"{name}.example.{end}/" for name in ("ads-track", "casino-win", "spam-farm") for end in ("com", "net", "org")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_filter.rule_table(spark, URL_ALLOW, URL_BLOCK)
-    method = url_filter.rule_table(spark, [], [h + "/" for h in url_filter.BLOCKED_HOSTS])
+    method = url_filter.rule_table(spark, [], URL_BLOCK_LIST)
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), rules, method)
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hosts that the method itself blocks where no rule of the caller's fits (with all their subdomains).
-BLOCKED_HOSTS = tuple(f"{name}.example.{end}" for name in ("ads-track", "casino-win", "spam-farm") for end in ("com", "net", "org"))
 #: Rules up to this many are sent to every executor; more are joined by shuffle.
 BROADCAST_RULES = 100_000
 
@@ -22,7 +20,11 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def rule_table(spark: SparkSession, allow: list[str], block: list[str]) -> DataFrame:
     """Rules ``rule, verdict, tier`` from strings like ``example.org/es/``."""
-    return spark.createDataFrame([*((r, "allow") for r in allow), *((r, "block") for r in block)], "rule string, verdict string")
+    rows = [*((r, "allow") for r in allow), *((r, "block") for r in block)]
+    if not rows:
+        return spark.sql("SELECT '' AS rule, '' AS verdict WHERE false")
+    names = {f"r{i}": r for i, (r, _) in enumerate(rows)}
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"(:r{i}, '{v}')" for i, (_, v) in enumerate(rows)) + " AS t(rule, verdict)", args=names)
 
 
 def _keyed(rules: DataFrame, tier: int) -> DataFrame:

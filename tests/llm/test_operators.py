@@ -99,6 +99,47 @@ def test_rules_reject_what_labels_support(spark):
     assert shares[True] == 1.0 and shares[False] == 0.0
 
 
+def test_kept_against_brute_force(spark):
+    """The whole verdict by definition: halves, chosen and certified cutoffs, and each document's own shares."""
+    import random
+
+    r, rows, lab = random.Random(3), [], []
+    for i in range(4000):
+        w = make_text(i, 55).split()
+        if i % 10 == 0:
+            w = [x + "##" if r.random() < 0.3 + 0.7 * (i % 20 == 0) else x for x in w]
+        rows.append((i, " ".join(w), r.choice(["en", "fr", None])))
+        lab.append((i, int(i % 10 > 0)))
+    rows += rows[:7] * 30  # repeated rows count once
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter((x["doc_id"], x["kept"]) for x in quality_rules.quality_rules(d, spark.createDataFrame(lab, "doc_id long, quality int")).collect())
+    half = {x[0]: x[1] for x in d.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2))).collect()}
+    shares, stats = {}, {}
+    for i, t, lang in rows:
+        s = dict(zip(["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"], quality_rules.text_stats(t.encode()), strict=True))
+        stats[i] = ("other" if lang is None else lang, s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])
+        shares[i] = {"symbol_share": s["n_symbols"] / s["word_chars"], "dup_line_share": s["n_dup_lines"] / s["n_lines"], "repeat_share": s["n_repeat_words"] / s["n_words"], "upper_share": s["n_upper"] / s["word_chars"]}
+    cut, chosen = {}, {}
+    own = lambda s, q, h: [i for i, k in lab if k == q and half[i] == h and stats[i] == (s, False)]
+    for s in ("de", "en", "es", "fr", "other"):
+        for rule in quality_rules.RULES:
+            best = 0.0
+            good, bad = own(s, 1, 0), own(s, 0, 0)
+            for c in quality_rules.GRID:
+                fp, tp = (sum(shares[i][rule] > c for i in x) / max(1, len(x)) for x in (good, bad))
+                if good and bad and fp <= 0.02 and tp - 10 * fp > best + 1e-12:
+                    best, chosen[s, rule] = tp - 10 * fp, c
+    for (s, rule), last in chosen.items():
+        good = own(s, 1, 1)
+        for c in quality_rules.GRID:
+            fp = sum(shares[i][rule] > c for i in good)
+            if c < last or quality_rules.binomial_tail(fp, len(good), 0.02 / sum(x == s for x, _ in chosen)) > 0.05 / len(chosen):
+                break
+            cut[s, rule] = c
+    want = collections.Counter((i, not stats[i][1] and not any(s == stats[i][0] and shares[i][rule] > c for (s, rule), c in cut.items())) for i, _, _ in rows)
+    assert got == want and cut and any(not k for _, k in got)
+
+
 def test_decontamination(spark, docs, nothing):
     item = " ".join(make_text(3, 120).split()[10:40])
     bench = spark.createDataFrame([(1, item), (2, "one TWO"), (3, None), (4, ""), (None, "x"), (5, item)], "item_id long, text string")
@@ -184,7 +225,7 @@ def test_url_filter(spark):
     urls = ["https://A.example.ORG/es/1?x", "http://example.org/en/12", "https://x.com/fr/a", "x.com/de/", None, "http://y.com/de/#", "ftp://org", "http://org/", "http://", "a://b.org?q=/es/", "https://m.spam-farm.example.com/en/1"]
     p = spark.createDataFrame(list(enumerate(urls)) + [(0, urls[0])], "page_id long, url string").withColumn("host", F.lit("clash"))
     rules = url_filter.rule_table(spark, queries.URL_ALLOW, queries.URL_BLOCK)
-    method = url_filter.rule_table(spark, [], [h + "/" for h in url_filter.BLOCKED_HOSTS])
+    method = url_filter.rule_table(spark, [], queries.URL_BLOCK_LIST)
     rows = url_filter.filter_urls(p, rules, method).collect()
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in rows}
     assert len(rows) == 12
@@ -198,6 +239,17 @@ def test_url_filter(spark):
     assert not url_filter.filter_urls(p.limit(0), rules).collect()
 
 
+def test_url_filter_with_many_rules_and_long_urls(spark, monkeypatch):
+    """Rules beyond the size that is sent to every executor join by shuffle, with equal results."""
+    hosts = spark.range(400).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example.net/a")).alias("rule"), F.lit("block").alias("verdict"))
+    urls = [(i, f"https://www.h{i}.example.net/{'a' if i % 2 else 'b'}{'x' * (i % 7)}") for i in range(500)] + [(900, "http://" + "s." * 3000 + "h1.example.net/a" + "y" * 100_000), (901, "http://" + "." * 50 + "/"), (None, None)]
+    p = spark.createDataFrame(urls, "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("full", F.lit("clash"))
+    want = {i: "block" if u and (i == 900 or i < 400 and i % 2) else "allow" for i, u in urls}
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+        assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(p, hosts).collect()} == want
+
+
 def test_classifier(spark, docs, nothing, labels, sf):
     out = quality_mil.quality_scores(docs, labels)
     rows = out.collect()
