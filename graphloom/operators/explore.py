@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.search import fuzzy_search, query_terms
 from graphloom.operators.analytics import entry_point
 from graphloom.operators.similarity import dot, minhash, token_shingles
+from graphloom.operators.structural import UNLIMITED
 from graphloom.operators.traversal import bfs
 from graphloom.plans.tables import write_table
 from graphloom.sources.graphs import CodeGraph
@@ -30,11 +31,12 @@ def labelled(nodes: DataFrame, patterns: list[tuple[str, str]], default: str) ->
     return nodes.select("id", role.alias("role"))
 
 
-def data_flow(g: CodeGraph, start: str, max_depth: int = 5, reverse: bool = False, cap: int = 1000) -> DataFrame:
-    """``id, depth, role``: what data reaches along calls from ``start`` (or, in reverse, where it comes from), as sources, transforms, sinks or others; the first ``cap`` by depth and id."""
+def data_flow(g: CodeGraph, start: str, max_depth: int = 5, reverse: bool = False, cap: int | None = None) -> DataFrame:
+    """``id, depth, role``: what data reaches along calls from ``start`` (or, in reverse, where it comes from), as sources, transforms, sinks or others; with ``cap``, the first by depth and id."""
     starts = g.edges.sparkSession.createDataFrame([(start, start)], "root string, id string")
     reach = bfs(g.of_type("calls"), starts, max_depth, reverse)
-    return reach.join(labelled(g.nodes, FLOW_PATTERNS, "other"), "id").select("id", "depth", "role").orderBy("depth", "id").limit(cap)
+    out = reach.join(labelled(g.nodes, FLOW_PATTERNS, "other"), "id").select("id", "depth", "role")
+    return out if cap is None else out.orderBy("depth", "id").limit(cap)
 
 
 def error_flow(g: CodeGraph, max_depth: int = 5) -> DataFrame:
@@ -131,7 +133,7 @@ def package_blast(dependencies: DataFrame, package: str) -> DataFrame:
     """``package, depth``: packages that need ``package`` (``src_package, dst_package``), directly or not."""
     e = dependencies.select(F.col("src_package").alias("src"), F.col("dst_package").alias("dst"))
     starts = e.sparkSession.createDataFrame([(package, package)], "root string, id string")
-    return bfs(e, starts, 100, reverse=True).select(F.col("id").alias("package"), "depth").where("depth > 0")
+    return bfs(e, starts, UNLIMITED, reverse=True).select(F.col("id").alias("package"), "depth").where("depth > 0")
 
 
 def arc_consistent(domains: DataFrame, constraints: DataFrame, max_rounds: int = 100) -> DataFrame:

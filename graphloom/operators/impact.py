@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.search import is_test_file
 from graphloom.operators.analytics import strongly_connected
+from graphloom.operators.structural import UNLIMITED
 from graphloom.operators.traversal import bfs
-from graphloom.plans.tables import write_table
+from graphloom.plans.tables import GrowingTable, write_table
 from graphloom.sources.graphs import CodeGraph
 
 #: Direct callers from which on a change is of critical, high or medium risk.
@@ -84,36 +85,42 @@ def coverage(g: CodeGraph, tests: DataFrame, max_depth: int = 10) -> DataFrame:
 
 def side_effects(g: CodeGraph, patterns: DataFrame) -> DataFrame:
     """``id, effects, pure``: the kinds of effect (``pattern, effect`` on names) of what a node calls, directly or not; pure without any."""
-    own = g.nodes.select("id", "name").join(F.broadcast(patterns), F.expr("name rlike pattern")).select(F.col("id").alias("root"), "id", "effect")
-    reach = bfs(g.of_type("calls"), own.select("root", "id").distinct(), reverse=True)
-    got = reach.join(own.select("root", "effect").distinct(), "root").groupBy("id").agg(F.countDistinct("effect").alias("effects"))
+    own = g.nodes.select("id", "name").join(F.broadcast(patterns), F.expr("name rlike pattern")).select(F.col("effect").alias("root"), "id").distinct()
+    reach = bfs(g.of_type("calls").select("src", "dst").distinct(), own, UNLIMITED, reverse=True)
+    got = reach.groupBy("id").agg(F.countDistinct("root").alias("effects"))
     return g.nodes.select("id").join(got, "id", "left").na.fill(0, ["effects"]).select("id", "effects", (F.col("effects") == 0).alias("pure"))
 
 
 def taint(g: CodeGraph, sources: DataFrame, sanitizers: DataFrame, sinks: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``sink, cwe, depth, state, vulnerable``: tainted data from ``sources`` (``id``) along calls.
+    """``source, sink, cwe, depth, state, vulnerable``: tainted data along calls, traced from each of ``sources`` (``id``) on its own.
 
-    Data starts untrusted; a partial sanitizer (``id, complete``) makes it mixed, a complete one clean. A node keeps the
-    worst state of its first visit's level. A sink (``id, cwe``) is vulnerable if it is reached untrusted or mixed and no
-    complete sanitizer was met anywhere on the trace.
+    Data starts untrusted; a partial sanitizer (``id, complete``, perhaps ``cwe``) makes it mixed, a complete one clean. A node has the
+    worst state that reaches it at its first level. A sink (``id, cwe``) is vulnerable if what reaches it from before is untrusted or mixed and the
+    trace of its source met no complete sanitizer at an earlier level: one for all kinds of sinks, or, if ``sanitizers`` has a ``cwe``, one for the sink's.
     """
     calls = g.of_type("calls").select("src", "dst").distinct()
-    cleaned = sanitizers.select(F.col("id").alias("dst"), F.when(F.col("complete"), 2).otherwise(1).alias("level"))
-    seen = write_table(sources.select("id", F.lit(0).alias("state"), F.lit(0).alias("depth")).distinct(), "taint")
-    frontier = seen
+    kinds = sanitizers if "cwe" in sanitizers.columns else sanitizers.withColumn("cwe", F.lit(None).cast("string"))
+    cleaned = kinds.groupBy(F.col("id").alias("dst")).agg(F.max(F.when(F.col("complete"), 2).otherwise(1)).alias("level"))
+    first = sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("state"), F.lit(0).alias("came"), F.lit(0).alias("depth")).distinct()
+    table = GrowingTable(first, "taint")
+    frontier = table.read()
     for d in range(1, max_depth + 1):
         step = (
             frontier.join(calls.withColumnRenamed("src", "id"), "id").join(cleaned, "dst", "left")
-            .groupBy(F.col("dst").alias("id")).agg(F.min(F.greatest("state", F.coalesce("level", F.lit(0)))).alias("state"))
-            .join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+            .groupBy("source", F.col("dst").alias("id")).agg(F.min(F.coalesce("level", "state")).alias("state"), F.min("state").alias("came"))
+            .join(table.read().select("source", "id"), ["source", "id"], "left_anti").withColumn("depth", F.lit(d))
         )
-        frontier = write_table(step, "taint")
+        frontier = table.add(step)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+    seen = table.read()
     name = F.when(F.col("state") == 0, "untrusted").when(F.col("state") == 1, "mixed").otherwise("clean")
-    complete = not seen.join(sanitizers.where("complete").select("id"), "id", "left_semi").isEmpty()
-    return seen.join(sinks, "id").select(F.col("id").alias("sink"), "cwe", "depth", name.alias("state"), ((F.col("state") < 2) & ~F.lit(complete)).alias("vulnerable"))
+    met = seen.join(kinds.where("complete").select("id", F.col("cwe").alias("safe_for")), "id").groupBy("source", "safe_for").agg(F.min("depth").alias("met"))
+    own = seen.where("depth > 0").join(sinks.select("id", "cwe"), "id")
+    cleared = own.join(met, "source").where("met < depth AND (safe_for IS NULL OR safe_for = cwe)").select("source", "id", "cwe").distinct().withColumn("cleared", F.lit(True))
+    return own.join(cleared, ["source", "id", "cwe"], "left").select(
+        "source", F.col("id").alias("sink"), "cwe", "depth", name.alias("state"), ((F.col("came") < 2) & F.col("cleared").isNull()).alias("vulnerable")
+    )
 
 
 def zone_crossings(g: CodeGraph, zones: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.graphs import CodeGraph
 
+#: Limits of results and depths of user queries, and the greatest that they may ask for. UNLIMITED asks for everything.
 DEFAULT_LIMIT, MAX_LIMIT = 1000, 10_000
 DEFAULT_DEPTH, MAX_DEPTH = 10, 100
+UNLIMITED = -(1 << 31)
 
 
 def clamp_limit(limit: int | None) -> int:
-    """The default for none or a limit below 1, and never more than the maximum."""
+    """The default for none or a limit below 1, and never more than the maximum; UNLIMITED has none."""
+    if limit == UNLIMITED:
+        return 1 << 62
     return DEFAULT_LIMIT if limit is None or limit <= 0 else min(limit, MAX_LIMIT)
 
 
 def clamp_depth(depth: int | None) -> int:
-    """The default for none or a negative depth; 0 is a depth of its own."""
+    """The default for none or a negative depth, and never more than the maximum; 0 is a depth of its own, UNLIMITED has no bound."""
+    if depth == UNLIMITED:
+        return 1 << 62
     return DEFAULT_DEPTH if depth is None or depth < 0 else min(depth, MAX_DEPTH)
 
 
@@ -45,16 +51,23 @@ def edges_of_file(g: CodeGraph, file_path: str) -> DataFrame:
     return g.edges.where(F.col("file_path") == file_path)
 
 
-def callers(g: CodeGraph, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """``target, caller``: the source of each incoming call of ``targets`` (``id``), as often as it calls; at most ``limit`` a target, in order of source and line.
+def _first(found: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """The first rows of each ``dst`` in ``order``, and whether there were more (``truncated``)."""
+    most = clamp_limit(limit)
+    if limit == UNLIMITED:
+        return found.withColumn("truncated", F.lit(False))
+    ranked = found.withColumn("rn", F.row_number().over(Window.partitionBy("dst").orderBy(*order))).where(F.col("rn") <= most + 1)
+    more = F.max("rn").over(Window.partitionBy("dst")) > most
+    return ranked.withColumn("truncated", more).where(F.col("rn") <= most).drop("rn")
+
+
+def callers(g: CodeGraph, targets: DataFrame, limit: int | None = UNLIMITED) -> DataFrame:
+    """``target, caller``: the source of each incoming call of ``targets`` (``id``), as often as it calls; with a limit, at most so many a target, in order of source and line, and ``truncated``.
 
     A target without callers, or that isn't in the graph, has no rows.
     """
-    w = Window.partitionBy("dst").orderBy("src", "line")
-    found = g.of_type("calls").join(targets.select(F.col("id").alias("dst")), "dst")
-    if limit is not None:
-        found = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= clamp_limit(limit))
-    return found.select(F.col("dst").alias("target"), F.col("src").alias("caller"))
+    found = _first(g.of_type("calls").join(targets.select(F.col("id").alias("dst")), "dst"), ["src", "line"], limit)
+    return found.select(F.col("dst").alias("target"), F.col("src").alias("caller"), *([] if limit == UNLIMITED else ["truncated"]))
 
 
 def callees(g: CodeGraph, sources: DataFrame) -> DataFrame:
@@ -82,10 +95,9 @@ def implementations(g: CodeGraph, targets: DataFrame) -> DataFrame:
 
 
 def references(g: CodeGraph, targets: DataFrame, limit: int | None = None) -> DataFrame:
-    """``target, src, etype, file_path, line`` of all incoming edges, references and implements first; at most ``limit`` a target."""
+    """``target, src, etype, file_path, line, truncated`` of incoming edges, references and implements first; at most ``limit`` a target (UNLIMITED: all), ``truncated`` where there are more."""
     found = g.edges.join(targets.select(F.col("id").alias("dst")), "dst").withColumn("late", (~F.col("etype").isin("references", "implements")).cast("int"))
-    w = Window.partitionBy("dst").orderBy("late", "src", "etype", "file_path", "line")
-    return found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= clamp_limit(limit)).select(F.col("dst").alias("target"), "src", "etype", "file_path", "line")
+    return _first(found, ["late", "src", "etype", "file_path", "line"], limit).select(F.col("dst").alias("target"), "src", "etype", "file_path", "line", "truncated")
 
 
 def importers(g: CodeGraph, package: str) -> DataFrame:

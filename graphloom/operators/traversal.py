@@ -5,43 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.structural import clamp_depth
-from graphloom.plans.tables import write_table
+from graphloom.operators.sequential import adjacency, breadth_first, fits, in_one_task
+from graphloom.operators.structural import UNLIMITED, clamp_depth
+from graphloom.plans.tables import GrowingTable, write_table
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False, both: bool = False, until: str | None = None) -> DataFrame:
-    """``root, id, depth, parent``: what each ``root`` of ``starts`` (``root, id``) reaches in at most ``max_depth`` steps.
+    """``root, id, depth, parent``: what each ``root`` of ``starts`` (``root, id``) reaches in at most ``max_depth`` steps (UNLIMITED: in any number).
 
     Each node is listed once a root, at its least depth, with the least
     parent of the level before; starts have depth 0 and a null parent. Edges of any
     number lead to a node once. A level is one join and one aggregation over the frontier
-    alone; visited nodes are a table for each level, so a lost executor
-    costs one level. With ``until``, the loop ends when that node is found.
+    alone, added to one table, so a lost executor costs one level and plans don't
+    grow. With ``until``, the loop ends when that node is found.
     """
     pairs = edges.select("src", "dst")
     if reverse or both:
         turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         pairs = pairs.unionByName(turned) if both else turned
-    seen = write_table(
-        starts.select("root", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast(dict(starts.dtypes)["id"])}), "bfs"
-    )
-    frontier = seen
-    for depth in range(1, clamp_depth(max_depth) + 1):
+    first = starts.select("root", "id").distinct().withColumns({"depth": F.lit(0), "parent": F.lit(None).cast(dict(starts.dtypes)["id"])})
+    table = GrowingTable(first, "bfs")
+    frontier = table.read()
+    depth, most = 0, clamp_depth(max_depth)
+    while depth < most:
+        depth += 1
         step = (
             frontier.select("root", F.col("id").alias("src"))
             .join(pairs, "src")
             .groupBy("root", F.col("dst").alias("id"))
             .agg(F.min("src").alias("parent"))
-            .join(seen.select("root", "id"), ["root", "id"], "left_anti")
+            .join(table.read().select("root", "id"), ["root", "id"], "left_anti")
             .select("root", "id", F.lit(depth).alias("depth"), "parent")
         )
-        frontier = write_table(step, "bfs")
+        frontier = table.add(step)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
         if until is not None and not frontier.where(F.col("id") == until).isEmpty():
             break
-    return seen
+    return table.read()
 
 
 def one_start(edges: DataFrame, id: str) -> DataFrame:
@@ -73,9 +74,32 @@ def type_hierarchy(g, id: str, max_depth: int | None = None) -> DataFrame:
     return bfs(g.of_type("implements", "embeds"), one_start(g.edges, id), max_depth, both=True).drop("root")
 
 
-def shortest_path(g, src: str, dst: str, max_depth: int = 100) -> tuple[int, list[str]]:
-    """Length and nodes of a shortest directed path over all edge types; (-1, []) if there is none. Unknown ids raise KeyError."""
+def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential: bool | None = None) -> tuple[int, list[str]]:
+    """Length and nodes of a shortest directed path over all edge types; (-1, []) if there is none. Unknown ids raise KeyError.
+
+    Of the paths of least length, that of the least parents from ``dst`` on. Graphs that fit are walked in one task, others level by level.
+    """
     known(g.nodes, src, dst)
+    if src == dst:
+        return 0, [src]
+    pairs = g.edges.select("src", "dst").distinct()
+    if fits(pairs) if sequential is None else sequential:
+
+        def walk(a, b, ids):
+            import pandas as pd
+
+            place = {v: i for i, v in enumerate(ids)}
+            if src not in place or dst not in place:
+                return
+            depth, parent = breadth_first(adjacency(a, b, len(ids)), place[src])
+            if 0 <= depth[place[dst]] <= clamp_depth(max_depth):
+                way = [place[dst]]
+                while way[-1] != place[src]:
+                    way.append(parent[way[-1]])
+                yield pd.DataFrame({"at": range(len(way)), "id": [ids[i] for i in reversed(way)]})
+
+        path = [r["id"] for r in in_one_task(pairs, walk, f"at long, id {dict(g.edges.dtypes)['src']}").orderBy("at").collect()]
+        return (len(path) - 1, path) if path else (-1, [])
     seen = bfs(g.edges, one_start(g.edges, src), max_depth, until=dst)
     path = [dst]
     # a path has as many rows as it is long: one lookup a step

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import write_table
+from graphloom.plans.tables import drop_table, write_table
 
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
@@ -19,10 +19,14 @@ def root_paths(tree: DataFrame, max_doublings: int = 40) -> DataFrame:
     state = write_table(tree.select("id", F.array("id").alias("path"), F.col("parent").alias("up")), "paths")
     for _ in range(max_doublings):
         if state.where("up IS NOT NULL").isEmpty():
-            return state.select("id", "path")
+            out = state.select("id", "path")
+            out._table_path = state._table_path
+            return out
         above = state.select(F.col("id").alias("up"), F.col("path").alias("above"), F.col("up").alias("next"))
         joined = state.where("up IS NOT NULL").join(above, "up").select("id", F.concat("above", "path").alias("path"), F.col("next").alias("up"))
-        state = write_table(state.where("up IS NULL").unionByName(joined), "paths")
+        longer = write_table(state.where("up IS NULL").unionByName(joined), "paths")
+        drop_table(state)
+        state = longer
     raise ValueError("the tree has a cycle")
 
 

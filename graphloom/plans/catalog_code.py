@@ -10,25 +10,31 @@ from graphloom.registry import query
 from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, session_graph, supply_graph
 
 
-@query(
-    "blast_radius_orders",
-    f"""WITH {SUPPLY_SQL}, t AS (SELECT id FROM nodes WHERE package = 'statusP'), d AS (SELECT t.id, count(DISTINCT e.src) AS direct FROM t LEFT JOIN edges e ON e.dst = t.id AND e.etype = 'calls' GROUP BY t.id)
-SELECT id, direct, CASE WHEN direct >= 20 THEN 'critical' WHEN direct >= 10 THEN 'high' WHEN direct >= 4 THEN 'medium' ELSE 'low' END AS risk FROM d""",
-)
+_BLAST = """w AS (SELECT id AS root, id, 0 AS depth FROM t UNION SELECT w.root, e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.id AND e.etype = 'calls' WHERE w.depth < 3),
+f AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id), i AS (SELECT DISTINCT e.dst AS root, e.src AS id FROM edges e JOIN t ON t.id = e.dst WHERE e.etype IN ('implements', 'embeds')),
+h AS (SELECT root, n.file_path FROM (SELECT root, id FROM f WHERE depth > 0 UNION SELECT root, id FROM i) JOIN nodes n USING (id)),
+c AS (SELECT t.id, (SELECT count(*) FROM f WHERE root = t.id AND depth = 1) AS direct, (SELECT count(*) FROM f WHERE root = t.id AND depth > 1) AS indirect, (SELECT count(*) FROM i WHERE root = t.id) AS implementers,
+  (SELECT count(DISTINCT file_path) FROM h WHERE root = t.id) AS files, 0::BIGINT AS tests FROM t)
+SELECT *, CASE WHEN direct >= 20 THEN 'critical' WHEN direct >= 10 THEN 'high' WHEN direct >= 4 THEN 'medium' ELSE 'low' END AS risk FROM c"""
+
+
+@query("blast_radius_orders", f"WITH RECURSIVE {SUPPLY_SQL}, t AS (SELECT id FROM nodes WHERE package = 'statusP'), {_BLAST}")
 def blast_radius_orders(spark, d):
     g = supply_graph(spark, d)
-    return impact.blast_radius(g, g.nodes.where("package = 'statusP'").select("id")).select("id", "direct", "risk")
+    return impact.blast_radius(g, g.nodes.where("package = 'statusP'").select("id"))
 
 
-@query(
-    "blast_radius_sessions",
-    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE name = 'purchase' UNION SELECT w.root, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.id WHERE w.depth < 3),
-f AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id)
-SELECT root AS id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 1) AS indirect FROM f GROUP BY root""",
-)
+@query("blast_radius_parts", f"WITH RECURSIVE {SUPPLY_SQL}, t AS (SELECT id FROM nodes WHERE package = 'Brand#11'), {_BLAST}")
+def blast_radius_parts(spark, d):
+    """Parts have implementers and no callers."""
+    g = supply_graph(spark, d)
+    return impact.blast_radius(g, g.nodes.where("package = 'Brand#11'").select("id"))
+
+
+@query("blast_radius_sessions", f"WITH RECURSIVE {SESSION_SQL}, t AS (SELECT id FROM nodes WHERE name = 'purchase'), {_BLAST}")
 def blast_radius_sessions(spark, d):
     g = session_graph(spark, d)
-    return impact.blast_radius(g, g.nodes.where("name = 'purchase'").select("id")).select("id", "direct", "indirect")
+    return impact.blast_radius(g, g.nodes.where("name = 'purchase'").select("id"))
 
 
 @query(
@@ -42,16 +48,31 @@ def coverage_sessions(spark, d):
     return impact.coverage(g, g.nodes.where("name = 'signup' AND package < '3'").select("id"), 4)
 
 
-@query(
-    "taint_sessions",
-    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT id, 0 AS depth FROM nodes WHERE name = 'signup' UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.id WHERE w.depth < 4),
-f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
-SELECT f.id AS sink, 'CWE-89' AS cwe, f.depth FROM f JOIN nodes n USING (id) WHERE n.name = 'purchase'""",
-)
+def _taint_sql(depth: int) -> str:
+    """States level by level: clicks sanitize completely, views in part."""
+    level = "CASE b.name WHEN 'click' THEN 2 WHEN 'view' THEN 1 END"
+    steps = ["t0 AS (SELECT id AS source, id, 0 AS state, 0 AS came, 0 AS depth FROM nodes WHERE name = 'signup')"]
+    for k in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT source, id FROM t{i}" for i in range(k))
+        steps.append(
+            f"t{k} AS (SELECT t.source, e.dst AS id, min(coalesce({level}, t.state)) AS state, min(t.state) AS came, {k} AS depth FROM t{k - 1} t JOIN e ON e.src = t.id JOIN nodes b ON b.id = e.dst"
+            f" WHERE (t.source, e.dst) NOT IN (SELECT (source, id) FROM ({before})) GROUP BY t.source, e.dst)"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(depth + 1))
+    return (
+        f"WITH {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), {', '.join(steps)}, seen AS ({every}) "
+        "SELECT s.source, s.id AS sink, 'CWE-89' AS cwe, s.depth, CASE s.state WHEN 0 THEN 'untrusted' WHEN 1 THEN 'mixed' ELSE 'clean' END AS state, "
+        "s.came < 2 AND NOT EXISTS (SELECT 1 FROM seen c JOIN nodes m ON m.id = c.id AND m.name = 'click' WHERE c.source = s.source AND c.depth < s.depth) AS vulnerable "
+        "FROM seen s JOIN nodes n ON n.id = s.id WHERE n.name IN ('purchase', 'error') AND s.depth > 0"
+    )
+
+
+@query("taint_sessions", _taint_sql(4))
 def taint_sessions(spark, d):
     g = session_graph(spark, d)
-    at = lambda name: g.nodes.where(F.col("name") == name).select("id")
-    return impact.taint(g, at("signup"), at("view").withColumn("complete", F.lit(False)), at("purchase").withColumn("cwe", F.lit("CWE-89")), 4).select("sink", "cwe", "depth")
+    at = lambda *names: g.nodes.where(F.col("name").isin(*names)).select("id", "name")
+    clean = at("view", "click").select("id", (F.col("name") == "click").alias("complete"))
+    return impact.taint(g, at("signup").select("id"), clean, at("purchase", "error").select("id", F.lit("CWE-89").alias("cwe")), 4)
 
 
 @query(
@@ -64,7 +85,13 @@ def zone_crossings(spark, d):
     return impact.zone_crossings(g, g.nodes.select("id", F.col("kind").alias("zone")), allowed)
 
 
-@query("circular_packages")
+@query(
+    "circular_packages",
+    f"""WITH RECURSIVE {SUPPLY_SQL}, e AS (SELECT DISTINCT a.package AS src, b.package AS dst FROM edges x JOIN nodes a ON a.id = x.src JOIN nodes b ON b.id = x.dst WHERE a.package <> b.package),
+reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst),
+c AS (SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src)
+SELECT component, count(*) AS length, CASE WHEN count(*) > 5 THEN 'error' WHEN count(*) > 2 THEN 'warning' ELSE 'info' END AS severity FROM c GROUP BY component""",
+)
 def circular_packages(spark, d):
     return impact.circular_dependencies(supply_graph(spark, d), "package")
 

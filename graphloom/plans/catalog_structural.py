@@ -28,8 +28,8 @@ def callers_of_open_orders(spark, d):
 
 @query(
     "callers_limited",
-    f"""WITH {SESSION_SQL}, r AS (SELECT dst AS target, src AS caller, row_number() OVER (PARTITION BY dst ORDER BY src) AS rn FROM edges)
-SELECT target, caller FROM r WHERE rn <= 3""",
+    f"""WITH {SESSION_SQL}, r AS (SELECT dst AS target, src AS caller, row_number() OVER (PARTITION BY dst ORDER BY src) AS rn, count(*) OVER (PARTITION BY dst) > 3 AS truncated FROM edges)
+SELECT target, caller, truncated FROM r WHERE rn <= 3""",
 )
 def callers_limited(spark, d):
     g = session_graph(spark, d)
@@ -56,9 +56,9 @@ def implementations_of_parts(spark, d):
 @query(
     "references_of_suppliers",
     f"""WITH {SUPPLY_SQL}, r AS (SELECT e.dst AS target, e.src, e.etype, '' AS file_path, e.line,
-  row_number() OVER (PARTITION BY e.dst ORDER BY CASE WHEN e.etype IN ('references', 'implements') THEN 0 ELSE 1 END, e.src, e.etype, e.line) AS rn
+  row_number() OVER (PARTITION BY e.dst ORDER BY CASE WHEN e.etype IN ('references', 'implements') THEN 0 ELSE 1 END, e.src, e.etype, e.line) AS rn, count(*) OVER (PARTITION BY e.dst) > 25 AS truncated
   FROM edges e JOIN nodes n ON n.id = e.dst WHERE n.kind = 'class')
-SELECT target, src, etype, file_path, line FROM r WHERE rn <= 25""",
+SELECT target, src, etype, file_path, line, truncated FROM r WHERE rn <= 25""",
 )
 def references_of_suppliers(spark, d):
     g = supply_graph(spark, d)

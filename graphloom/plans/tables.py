@@ -38,6 +38,26 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+class GrowingTable:
+    """Rows that are added step by step under one path: a reader's plan stays one scan however many steps there were."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema, self.path, self.steps = first.sparkSession, first.schema, new_path(first.sparkSession, name), 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Write ``rows`` as the next step, and return a reader of them alone."""
+        at = f"{self.path}/{self.steps:06d}"
+        rows.select(*self.schema.names).write.parquet(at)
+        self.steps += 1
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def read(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        out._table_path = self.path
+        return out
+
+
 def drop_table(df: DataFrame | None) -> None:
     """Delete what :func:`write_table` wrote for ``df``."""
     path = getattr(df, "_table_path", None)

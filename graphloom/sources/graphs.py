@@ -144,7 +144,7 @@ def session_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 SESSION_SQL = """
 ev AS (SELECT user_id, event_type, ts, event_id, user_id || '/' || event_type AS id FROM events),
-nodes AS (SELECT DISTINCT id, event_type AS name, 'function' AS kind, CAST(user_id AS VARCHAR) AS package, event_type <> 'error' AS exported FROM ev),
+nodes AS (SELECT DISTINCT id, event_type AS name, 'function' AS kind, CAST(user_id AS VARCHAR) AS package, user_id || '/events.py' AS file_path, event_type <> 'error' AS exported FROM ev),
 edges AS (
   SELECT src, dst, 'calls' AS etype FROM (SELECT id AS src, lead(id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM ev) WHERE dst IS NOT NULL
 )"""
