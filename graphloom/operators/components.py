@@ -43,14 +43,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "components",
     )
     before = None
+    rows = table.count()
     for _ in range(max_rounds):
-        new = write_table(_stars(_stars(table, True), False), "components")
+        new = write_table(_stars(_stars(table, True), False), "components", rows)
         drop_table(table)
         table = new
         mark = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
-        before = mark
+        before, rows = mark, mark[0]
     else:
         raise RuntimeError("components did not settle")
     stars = table.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -8,7 +8,7 @@ from graphloom.operators import analytics as an
 from graphloom.operators import dominators as dm
 from graphloom.operators import trees
 from graphloom.registry import query
-from graphloom.sources.graphs import FLOW_SQL, TREE_SQL, CodeGraph, flow_graph, geography_tree, session_graph
+from graphloom.sources.graphs import FLOW_SQL, SESSION_SQL, TREE_SQL, CodeGraph, flow_graph, geography_tree, session_graph
 
 
 def _pairs(t):
@@ -133,19 +133,110 @@ def post_dominators_flow(spark, d):
     return dm.post_dominators(flow_graph(spark, d)).select("id", "idom")
 
 
+#: Control flow of each user's events, from "start" to "end", and dominance by its definition: without the dominator, the node isn't reached.
+_CFG = f"""{SESSION_SQL}, places AS (SELECT package AS u, arg_min(id, (ts, event_id)) AS first, arg_max(id, (ts, event_id)) AS last FROM (SELECT *, CAST(user_id AS VARCHAR) AS package FROM ev) GROUP BY package),
+users AS (SELECT package AS u, id FROM nodes), steps AS (SELECT n.package AS u, e.src, e.dst FROM edges e JOIN nodes n ON n.id = e.src UNION ALL SELECT u, 'start', first FROM places),
+cfg AS (SELECT DISTINCT * FROM steps), back_cfg AS (SELECT * FROM cfg UNION SELECT u, last, 'end' FROM places),
+fw AS (SELECT u, id AS gone, 'start' AS id FROM users UNION SELECT f.u, f.gone, c.dst FROM fw f JOIN cfg c ON c.u = f.u AND c.src = f.id WHERE c.dst <> f.gone),
+dom AS (SELECT a.u, d.id AS d, a.id AS n FROM users a JOIN users d ON d.u = a.u AND d.id <> a.id WHERE NOT EXISTS (SELECT 1 FROM fw WHERE fw.u = a.u AND fw.gone = d.id AND fw.id = a.id)
+  UNION ALL SELECT u, 'start', id FROM users),
+doms AS (SELECT u, n, d, (SELECT count(*) FROM dom y WHERE y.u = x.u AND y.n = x.d) AS depth FROM dom x),
+bw AS (SELECT u, id AS gone, 'end' AS id FROM users UNION SELECT f.u, f.gone, c.src FROM bw f JOIN back_cfg c ON c.u = f.u AND c.dst = f.id WHERE c.src <> f.gone),
+pdom AS (SELECT a.u, d.id AS d, a.id AS n FROM users a JOIN users d ON d.u = a.u AND d.id <> a.id WHERE NOT EXISTS (SELECT 1 FROM bw WHERE bw.u = a.u AND bw.gone = d.id AND bw.id = a.id)
+  UNION ALL SELECT u, 'end', id FROM users),
+pdoms AS (SELECT u, n, d, (SELECT count(*) FROM pdom y WHERE y.u = x.u AND y.n = x.d) AS depth FROM pdom x),
+ipdom AS (SELECT u, n, arg_max(d, depth) AS d FROM pdoms GROUP BY u, n)"""
+
+
 def _loops(spark, d):
     """Transitions of the events of each user, entered at each user's first event."""
-    g = session_graph(spark, d)
-    first = g.nodes.groupBy("package").agg(F.min("id").alias("dst")).select(F.lit("start").alias("src"), "dst")
-    return g.edges.select("src", "dst").unionByName(first)
+    return _session_flow(spark, d)[0]
+
+
+def _session_flow(spark, d):
+    """Transitions from "start" on, and the same with "end" after each user's last event."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("u"), F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_type")).alias("id"), F.struct("ts", "event_id").alias("at"))
+    ends = e.groupBy("u").agg(F.min_by("id", "at").alias("first"), F.max_by("id", "at").alias("last"))
+    flow = session_graph(spark, d).edges.select("src", "dst").unionByName(ends.select(F.lit("start").alias("src"), F.col("first").alias("dst")))
+    return flow, flow.unionByName(ends.select(F.col("last").alias("src"), F.lit("end").alias("dst")))
+
+
+@query("dominators_sessions", f"WITH RECURSIVE {_CFG} SELECT n AS id, arg_max(d, depth) AS idom FROM doms GROUP BY u, n UNION ALL SELECT 'start', 'start'")
+def dominators_sessions(spark, d):
+    return dm.dominators(_loops(spark, d), "start").select("id", "idom")
+
 
+@query("post_dominators_sessions", f"WITH RECURSIVE {_CFG} SELECT n AS id, d AS idom FROM ipdom UNION ALL SELECT 'start', 'end' UNION ALL SELECT 'end', 'end'")
+def post_dominators_sessions(spark, d):
+    return dm.post_dominators(_session_flow(spark, d)[1], "end").select("id", "idom")
 
-@query("natural_loops_sessions")
+
+@query(
+    "control_dependence_sessions",
+    f"""WITH RECURSIVE {_CFG}, all_steps AS (SELECT * FROM steps UNION ALL SELECT u, last, 'end' FROM places), branch AS (SELECT src FROM all_steps GROUP BY src HAVING count(*) >= 2),
+up AS (SELECT u, n, d FROM pdom UNION ALL SELECT u, id, id FROM users)
+SELECT DISTINCT p.d AS id, c.src AS depends_on FROM back_cfg c JOIN branch USING (src) JOIN up p ON p.u = c.u AND p.n = c.dst
+WHERE p.d <> 'end' AND NOT EXISTS (SELECT 1 FROM pdom q WHERE q.u = c.u AND q.n = c.src AND q.d = p.d)""",
+)
+def control_dependence_sessions(spark, d):
+    e = _session_flow(spark, d)[1]
+    return dm.control_dependence(e, dm.post_dominators(e, "end"))
+
+
+@query(
+    "sese_regions_sessions",
+    f"""WITH RECURSIVE {_CFG}, down AS (SELECT u, d, n FROM dom UNION ALL SELECT u, id, id FROM users), up AS (SELECT u, d, n FROM pdom UNION ALL SELECT u, id, id FROM users)
+SELECT p.n AS entry, p.d AS exit, (SELECT count(*) FROM down a JOIN up b ON b.u = a.u AND b.n = a.n WHERE a.u = p.u AND a.d = p.n AND b.d = p.d) AS size FROM ipdom p JOIN dom x ON x.u = p.u AND x.d = p.n AND x.n = p.d
+UNION ALL SELECT 'start', 'end', (SELECT count(*) FROM users) + 2""",
+)
+def sese_regions_sessions(spark, d):
+    e = _session_flow(spark, d)[1]
+    return dm.sese_regions(e, dm.dominators(e, "start"), dm.post_dominators(e, "end"))
+
+
+@query(
+    "reducibility_sessions",
+    f"""WITH RECURSIVE {_CFG}, down AS (SELECT u, d, n FROM dom UNION ALL SELECT u, id, id FROM users UNION ALL SELECT u, 'start', 'start' FROM places),
+k AS (SELECT s.u, s.src, s.dst, CASE WHEN EXISTS (SELECT 1 FROM down x WHERE x.u = s.u AND x.d = s.dst AND x.n = s.src) THEN 'back' WHEN EXISTS (SELECT 1 FROM down x WHERE x.u = s.u AND x.d = s.src AND x.n = s.dst) THEN 'forward' ELSE 'cross' END AS class FROM steps s),
+live AS (SELECT DISTINCT src, dst FROM k WHERE class <> 'back'), t AS (SELECT src, dst FROM live UNION SELECT t.src, l.dst FROM t JOIN live l ON l.src = t.dst),
+cyc AS (SELECT src AS id FROM t WHERE src = dst), stuck AS ((SELECT id FROM cyc) UNION (SELECT a.dst FROM t a JOIN cyc c ON c.id = a.src JOIN t b ON b.src = a.dst JOIN cyc e ON e.id = b.dst)),
+n AS (SELECT count(*) AS s FROM stuck), v AS (SELECT count(*) + 1 AS v FROM users)
+SELECT s = 0 AS is_reducible, count(*) FILTER (class = 'back') AS back_edges, count(*) FILTER (class = 'forward') AS forward_edges, count(*) FILTER (class = 'cross') AS cross_edges, s AS irreducible_nodes, round(1 - s / v, 4) AS score FROM k, n, v GROUP BY s, v""",
+)
+def reducibility_sessions(spark, d):
+    e = _loops(spark, d)
+    return dm.reducibility(e, dm.dominators(e, "start"))
+
+
+@query(
+    "natural_loops_sessions",
+    f"""WITH RECURSIVE {_CFG}, down AS (SELECT u, d, n FROM dom UNION ALL SELECT u, id, id FROM users),
+back AS (SELECT s.u, s.src AS tail, s.dst AS header FROM steps s JOIN down x ON x.u = s.u AND x.d = s.dst AND x.n = s.src),
+body AS (SELECT header, header AS id FROM back UNION SELECT header, tail FROM back UNION SELECT b.header, c.src FROM body b JOIN cfg c ON c.dst = b.id WHERE b.id <> b.header),
+sizes AS (SELECT header, count(*) AS size, (SELECT count(*) FROM back k WHERE k.header = b.header) AS back_edges FROM body b GROUP BY header),
+nest AS (SELECT s.header, arg_min(o.header, (o.size, o.header)) AS parent FROM sizes s JOIN body b ON b.id = s.header AND b.header <> s.header JOIN sizes o ON o.header = b.header WHERE o.size > s.size OR o.size = s.size AND o.header < s.header GROUP BY s.header),
+levels AS (SELECT header, 1 AS depth FROM sizes WHERE header NOT IN (SELECT header FROM nest) UNION ALL SELECT n.header, l.depth + 1 FROM levels l JOIN nest n ON n.parent = l.header)
+SELECT s.header, size, back_edges, parent, depth FROM sizes s LEFT JOIN nest USING (header) JOIN levels USING (header)""",
+)
 def natural_loops_sessions(spark, d):
     e = _loops(spark, d)
     return dm.natural_loops(e, dm.dominators(e, "start"))[0]
 
 
+@query(
+    "dominators_deep",
+    """SELECT 'o' || a.o_orderkey AS id, 'o' || CASE WHEN c.o_orderkey % 7 = 0 THEN c.o_orderkey ELSE b.o_orderkey END AS parent
+FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey - 1 LEFT JOIN orders c ON c.o_orderkey = a.o_orderkey - 2""",
+)
+def dominators_deep(spark, d):
+    """All orders as one chain: each key leads to the next and every seventh also to the one after it, so the graph is as deep as the table is long."""
+    keys = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    steps = keys.select("k", F.explode(F.when(F.col("k") % 7 == 0, F.array(F.col("k") + 1, F.col("k") + 2)).otherwise(F.array(F.col("k") + 1))).alias("to"))
+    steps = steps.join(keys.withColumnRenamed("k", "to"), "to", "left_semi")
+    name = lambda c: F.concat(F.lit("o"), F.col(c).cast("string"))
+    return dm.dominator_tree(steps.select(name("k").alias("src"), name("to").alias("dst")), "o" + str(keys.agg(F.min("k")).first()[0]))
+
+
 @query("control_dependence_flow")
 def control_dependence_flow(spark, d):
     e = flow_graph(spark, d)

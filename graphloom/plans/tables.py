@@ -28,10 +28,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of it."""
+#: Rows of a table of known size that a task writes at least.
+TASK_ROWS = 20_000
+
+
+def write_table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a reader of it. With ``rows``, about as many as there are, a small table is written by few tasks."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None and rows < TASK_ROWS * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(1 + rows // TASK_ROWS)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path

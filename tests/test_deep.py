@@ -79,14 +79,15 @@ def test_a_chain_of_a_thousand(spark):
     assert tr.shortest_path(graph(spark, [(f"n{i:04d}", f"n{i + 1:04d}") for i in range(n)]), "n0000", f"n{n:04d}")[0] == n
 
 
-def test_unlimited_walks(spark):
-    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(104)]
-    g = graph(spark, chain, {"n104": "write_file"})
+def test_unlimited_walks(spark, monkeypatch):
+    monkeypatch.setattr(st, "MAX_DEPTH", 11)
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(14)]
+    g = graph(spark, chain, {"n014": "write_file"})
     reach = tr.bfs(g.edges, tr.one_start(g.edges, "n000"), st.UNLIMITED)
-    assert reach.count() == 105 and tr.bfs(g.edges, tr.one_start(g.edges, "n000")).count() == 11
+    assert reach.count() == 15 and tr.bfs(g.edges, tr.one_start(g.edges, "n000")).count() == 11 and tr.bfs(g.edges, tr.one_start(g.edges, "n000"), 50).count() == 12
     for one in (True, False):
-        assert tr.shortest_path(g, "n000", "n104", sequential=one)[0] == 104
-    assert tr.shortest_path(g, "n104", "n000") == (-1, []) and tr.shortest_path(g, "n000", "n000") == (0, ["n000"])
+        assert tr.shortest_path(g, "n000", "n014", sequential=one)[0] == 14
+    assert tr.shortest_path(g, "n014", "n000") == (-1, []) and tr.shortest_path(g, "n000", "n000") == (0, ["n000"])
 
 
 def test_side_effects_at_any_distance(spark):
@@ -96,9 +97,10 @@ def test_side_effects_at_any_distance(spark):
     assert got == {f"n{i:02d}": (1, False) for i in range(17)} | {"free": (0, True), "leaf": (0, True)}
 
 
-def test_package_blast_at_any_distance(spark):
-    d = spark.createDataFrame([(f"p{i:03d}", f"p{i + 1:03d}") for i in range(103)], "src_package string, dst_package string")
-    assert explore.package_blast(d, "p103").count() == 103
+def test_package_blast_at_any_distance(spark, monkeypatch):
+    monkeypatch.setattr(st, "MAX_DEPTH", 5)
+    d = spark.createDataFrame([(f"p{i:03d}", f"p{i + 1:03d}") for i in range(13)], "src_package string, dst_package string")
+    assert explore.package_blast(d, "p013").count() == 13
 
 
 def test_truncation_is_told(spark):
