@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import split_likely
+from graphloom.plans.tables import write_table
+
 WINDOW = 3
 #: Repeated rows are made anew in chunks of this many, dealt to all tasks.
 CHUNK = 100_000
@@ -34,7 +37,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Only hashes move: 128 bits a window and its place. Counts and first places
     are pre-aggregated; windows seen once drop out before the places join
-    them, and a join on a hot window can be split. Texts are shuffled once, repeated rows folded before that.
+    them, and a join on a hot window can be split. Texts are shuffled once, repeated rows folded before that; only texts of repeated rows, if there are any, are read again.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(3), t, F.lit(5)).alias("h2"), t.alias("text"))
@@ -86,8 +89,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # the other copies: every window of theirs is a later occurrence
     again = d.groupBy(*row).agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("doc_id").alias("id"), F.col("h1").alias("x"), F.col("h2").alias("y"))
+    again = write_table(again, "line-repeats")
+    if again.isEmpty():
+        return first
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h1") == F.col("x")) & (F.col("h2") == F.col("y"))
-    texts = d.join(again, same, "left_semi").groupBy(*row).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    likely, _ = split_likely(d, again.select("x"), "h1")
+    texts = likely.join(again, same, "left_semi").groupBy(*row).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     bare = texts.withColumn("lines", _lines(F.col("text"))).withColumn("kept", _counting(F.col("lines")))
     bare = bare.withColumn("lo", F.when(F.col("doc_id").isNotNull(), F.get("kept", F.lit(0))["at"])).withColumn("hi", F.get("kept", F.size("kept") - 1)["at"])
     rest = F.array_join(F.concat(F.expr("slice(lines, 1, lo)"), F.expr("slice(lines, hi + 2, size(lines))")), "\n")
