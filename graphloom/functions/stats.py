@@ -26,6 +26,19 @@ def count_min(df: DataFrame, item: str, eps: float = 0.002, confidence: float =
     return df.agg(F.count_min_sketch(F.col(item), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def count_min_estimates(df: DataFrame, item: str, eps: float = 0.002, confidence: float = 0.99) -> DataFrame:
+    """``item, estimate``: how often each item occurs, by a Count-Min table: never less than it does, and more by ``eps`` of all rows at most with ``confidence``.
+
+    Cells are (row of the table, hashed column); counting them is one aggregation, so tables of parts add up, and an item's estimate is the least of its cells.
+    """
+    width, depth = math.ceil(math.e / eps), math.ceil(math.log(1 / (1 - confidence)))
+    cells = lambda c: F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda r: F.struct(r.alias("row"), F.pmod(F.xxhash64(c, r), F.lit(width)).alias("col")))
+    counted = df.groupBy(item).agg(F.count("*").alias("n"))
+    placed = counted.select(F.col(item).alias("item"), "n", F.explode(cells(F.col(item))).alias("cell"))
+    table = placed.groupBy("cell").agg(F.sum("n").alias("total"))
+    return placed.join(table, "cell").groupBy("item").agg(F.min("total").alias("estimate"))
+
+
 def trend(history: DataFrame, now_ms: int, days: int = 7) -> DataFrame:
     """``symbol_id, points, baseline, current, growth, direction, rapid`` of ``symbol_id, timestamp_ms, direct_callers``.
 
@@ -86,19 +99,23 @@ def welch(df: DataFrame, group: str, a: str, b: str, x: str) -> DataFrame:
     ).withColumn("effect", F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large"))
 
 
-def bootstrap_mean(df: DataFrame, x: str, rounds: int = 200, level: float = 0.95, seed: int = 11) -> DataFrame:
-    """``mean, low, high``: a percentile interval of the mean by Poisson resampling: each row has a weight of its own in each round, so one pass is enough."""
+def bootstrap_mean(df: DataFrame, x: str, key: str, rounds: int = 200, level: float = 0.95, seed: int = 11) -> DataFrame:
+    """``mean, low, high``: a percentile interval of the mean by Poisson resampling: each row has a weight of its own in each round.
+
+    Weights are drawn from a hash of the row's ``key`` and the round, so they don't depend on partitions. All rounds are sums of one
+    aggregation; no row is copied.
+    """
     # Poisson(1) weights by inversion of a seeded uniform hash
-    u = lambda i: (F.pmod(F.xxhash64(F.monotonically_increasing_id(), i, F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     cut, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
-        cut.append(total)
+        cut.append(int(total * (1 << 30)))
         term /= k + 1
-    wide = df.select(F.col(x).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.monotonically_increasing_id().alias("__i"))
-    wide = wide.withColumn("u", u(F.col("round")))
-    w = sum(((F.col("u") > c).cast("int") for c in cut), F.lit(0))
-    means = wide.groupBy("round").agg((F.sum(F.col("x") * w) / F.sum(w)).alias("m"))
+    own = df.select(F.col(x).cast("double").alias("x"), F.col(key).alias("key"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda i: F.pmod(F.xxhash64("key", i, F.lit(seed)), F.lit(1 << 30)))
+    weights = own.select("x", F.transform(drawn, lambda u: sum(((u > c).cast("int") for c in cut), F.lit(0))).alias("w"))
+    each = [F.struct(F.sum(F.col("x") * F.col("w")[i]).alias("s"), F.sum(F.when(F.col("x").isNotNull(), F.col("w")[i])).alias("n")) for i in range(rounds)]
+    means = weights.agg(F.array(*each).alias("r")).select(F.explode("r").alias("r")).select((F.col("r.s") / F.col("r.n")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 

@@ -134,13 +134,8 @@ def euler_tour(paths: DataFrame) -> DataFrame:
     return base.join(tin, "id").join(head, "id").select("id", "parent", "depth", "size", "tin", (F.col("tin") + F.col("size") - 1).alias("tout"), "heavy", "head")
 
 
-def range_aggregate(values: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``lo, hi, sum, min, max, gcd`` of ``values`` (``pos, value``) over closed ``ranges`` (``lo, hi``): a range join."""
-    return ranges.join(values, (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi")), "left").groupBy("lo", "hi").agg(*monoids(F.col("value")).values())
-
-
 def range_aggregate_binned(values: DataFrame, ranges: DataFrame, bin_size: int) -> DataFrame:
-    """:func:`range_aggregate` as an equi-join on bins of positions: each value has one bin, each range those it meets."""
+    """``lo, hi, sum, min, max, gcd`` of ``values`` (``pos, value``) over closed ``ranges`` (``lo, hi``): an equi-join on bins of positions; each value has one bin, each range those it meets."""
     bins = F.sequence(F.floor(F.col("lo") / bin_size), F.floor(F.col("hi") / bin_size))
     wide = ranges.select("lo", "hi", F.explode(bins).alias("bin"))
     own = values.withColumn("bin", F.floor(F.col("pos") / bin_size))
@@ -157,7 +152,12 @@ def range_update(values: DataFrame, updates: DataFrame) -> DataFrame:
     both = values.select("pos", "value").join(steps, "pos", "full")
     block = F.floor(F.col("pos") / 4096)
     sums = both.groupBy(block.alias("block")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d"))
-    carried = sums.select("block", F.coalesce(F.sum("d").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
+    # carries in two levels: within groups of blocks, and over the groups, of which there is one for 16 million positions
+    sums = sums.withColumn("group", F.floor(F.col("block") / 4096))
+    before = lambda *by: F.coalesce(F.sum("d").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("group").agg(F.sum("d").alias("d"))
+    over = groups.select("group", F.coalesce(F.sum("d").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("over"))
+    carried = sums.withColumn("within", before("group")).join(over, "group").select("block", (F.col("within") + F.col("over")).alias("carry"))
     w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         both.withColumn("block", block).join(carried, "block")

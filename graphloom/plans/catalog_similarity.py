@@ -22,7 +22,15 @@ def fuzzy_prefix_search(spark, d):
     return search.fuzzy_search(g.nodes.where("kind <> 'struct'"), "supplier").where("match IN ('exact', 'prefix')")
 
 
-@query("fuzzy_search_top")
+@query(
+    "fuzzy_search_top",
+    f"""WITH {SUPPLY_SQL}, q AS (SELECT *, lower(name) AS low, strpos(lower(name), 'order12') - 1 AS loc FROM nodes),
+m AS (SELECT *, CASE WHEN low = 'order12' THEN 'exact' WHEN starts_with(low, 'order12') THEN 'prefix' WHEN loc >= 0 THEN 'substring' WHEN levenshtein(low, 'order12') <= 2 THEN 'fuzzy' END AS match FROM q),
+c AS (SELECT *, CASE WHEN exported THEN 0 ELSE 20000 END AS context FROM m WHERE match IS NOT NULL)
+SELECT id, name, match, (CASE WHEN match = 'exact' THEN context ELSE CASE match WHEN 'prefix' THEN 1 WHEN 'substring' THEN 3 ELSE 4 END * 100000 + context
+  + CASE WHEN match = 'substring' AND loc > 0 THEN least(99, loc * 100 // length(name)) ELSE 0 END * 100 + least(99, abs(length(name) - 7)) * 10 + CASE kind WHEN 'function' THEN 0 WHEN 'interface' THEN 1 WHEN 'struct' THEN 1 ELSE 5 END END)::BIGINT AS score
+FROM c ORDER BY score, id LIMIT 50""",
+)
 def fuzzy_search_top(spark, d):
     return search.fuzzy_search(supply_graph(spark, d).nodes, "Order12", 50)
 
@@ -44,6 +52,20 @@ def bm25_benchmark(spark, d):
     return search.bm25(docs, asked).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    "bm25_top",
+    f"""WITH own AS (SELECT doc_id, list_distinct({_TERMS}) AS terms FROM documents), size AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM own),
+post AS (SELECT doc_id, len(terms) AS l, unnest(terms) AS term FROM own), asked AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS})) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+raw AS (SELECT query_id, doc_id, sum((ln((n + 1) / (df + 1)) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * l / mean))) AS raw FROM asked JOIN post USING (term) JOIN df USING (term), size GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, doc_id) AS rank FROM raw QUALIFY rank <= 10""",
+)
+def bm25_top(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25_top(docs, asked, 10).withColumn("score", F.round("score", 6))
+
+
 @query(
     "ucb1_event_types",
     """WITH p AS (SELECT event_type AS arm, count(*) AS plays, avg(value) AS mean FROM events GROUP BY event_type), t AS (SELECT count(*) AS n FROM events)
@@ -94,10 +116,19 @@ def clone_pairs(spark, d):
     return sim.clones(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("minhash_similarity_of_items")
-def minhash_similarity_of_items(spark, d):
-    b = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), sim.minhash(sim.token_shingles(F.col("text"), 3)).alias("signature"))
-    return sim.lsh_query(b, b, 16, 8, 5)
+_SHINGLES = "list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+
+@query(
+    "similar_documents",
+    rf"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS g FROM t WHERE len(w) > 0),
+p AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM s), m AS (SELECT a.doc_id AS query, b.doc_id AS id, a.n AS x, b.n AS y, count(*) AS shared FROM p a JOIN p b USING (gram) WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL)
+SELECT query, id, round(shared / (x + y - shared), 9) AS similarity FROM m WHERE shared >= 0.8 * (x + y - shared) - 1e-9""",
+)
+def similar_documents(spark, d):
+    """Documents whose id is divisible by 100, against all."""
+    t = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return sim.similar_texts(t, t.where("id % 100 = 0")).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("color_histogram_sessions")

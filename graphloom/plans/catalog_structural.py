@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import structural as st
 from graphloom.operators import traversal as tr
 from graphloom.registry import query
-from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, WEB_SQL, session_graph, supply_graph, web_graph
+from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, WEB_SQL, CodeGraph, session_graph, supply_graph, web_graph
 
 
 
@@ -105,9 +105,9 @@ def hierarchy_drill_down(spark, d):
     return st.drill_down(supply_graph(spark, d), "nation3")
 
 
-@query("siblings", f"WITH {SUPPLY_SQL} SELECT n.id, n.name FROM nodes n JOIN nodes o ON o.id = 's1' AND n.file_path = o.file_path AND n.kind = o.kind WHERE n.id <> 's1'")
+@query("siblings", f"WITH {SUPPLY_SQL} SELECT n.id, n.name FROM nodes n JOIN nodes o ON o.id = 'c1' AND n.file_path = o.file_path AND n.kind = o.kind WHERE n.id <> 'c1'")
 def siblings(spark, d):
-    return st.siblings(supply_graph(spark, d), "s1").select("id", "name")
+    return st.siblings(supply_graph(spark, d), "c1").select("id", "name")
 
 
 @query(
@@ -119,9 +119,11 @@ def graph_stats(spark, d):
     return st.graph_stats(supply_graph(spark, d))
 
 
-@query("dangling_edges", f"WITH {SUPPLY_SQL} SELECT src, dst, etype, line FROM edges WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)")
+@query("dangling_edges", f"WITH {SUPPLY_SQL}, left_over AS (SELECT id FROM nodes WHERE kind <> 'class' AND package <> 'statusP') SELECT src, dst, etype, line FROM edges WHERE src NOT IN (SELECT id FROM left_over) OR dst NOT IN (SELECT id FROM left_over)")
 def dangling_edges(spark, d):
-    return st.dangling_edges(supply_graph(spark, d)).select("src", "dst", "etype", "line")
+    """Edges of a graph that lost its suppliers and the pending orders."""
+    g = supply_graph(spark, d)
+    return st.dangling_edges(CodeGraph(g.nodes.where("kind <> 'class' AND package <> 'statusP'"), g.edges)).select("src", "dst", "etype", "line")
 
 
 @query(

@@ -172,7 +172,42 @@ def welch_test(spark, d):
 
 @query("bootstrap_mean")
 def bootstrap_mean(spark, d):
-    return stats.bootstrap_mean(_events(spark, d), "value")
+    return stats.bootstrap_mean(_events(spark, d), "value", "event_id")
+
+
+@query("bootstrap_covers_the_mean", "SELECT round(avg(value), 6) AS exact, true AS covered, true AS narrow FROM events")
+def bootstrap_covers_the_mean(spark, d):
+    """The interval holds the mean and is about four standard errors wide."""
+    e = _events(spark, d)
+    b = stats.bootstrap_mean(e, "value", "event_id")
+    m = e.agg(F.avg("value").alias("m"), (F.stddev("value") / F.sqrt(F.count("value"))).alias("s"))
+    return m.crossJoin(F.broadcast(b)).select(F.round("m", 6).alias("exact"), F.col("m").between(F.col("low"), F.col("high")).alias("covered"), (F.col("high") - F.col("low")).between(3 * F.col("s"), 5 * F.col("s")).alias("narrow"))
+
+
+@query("distinct_users_within_bound", "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type")
+def distinct_users_within_bound(spark, d):
+    """Merged daily sketches against the exact number: within three relative standard errors of a sketch of 2 ** 14 registers."""
+    e = _events(spark, d).withColumn("day", F.to_date("ts"))
+    merged = stats.merge_sketches(stats.distinct_sketch(e, ["event_type", "day"], "user_id"), ["event_type"]).select("event_type", stats.sketch_estimate("sketch").alias("about"))
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(merged, "event_type").select("event_type", "users", (F.abs(F.col("about") - F.col("users")) <= 3 * 1.04 / 128 * F.col("users") + 1).alias("close"))
+
+
+@query("count_min_within_bound", "SELECT user_id AS item, count(*) AS n, true AS over, true AS close FROM events GROUP BY user_id")
+def count_min_within_bound(spark, d):
+    e = _events(spark, d)
+    exact = e.groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("n"))
+    total = e.agg(F.count("*").alias("total"))
+    both = exact.join(stats.count_min_estimates(e, "user_id"), "item").crossJoin(F.broadcast(total))
+    return both.select("item", "n", (F.col("estimate") >= F.col("n")).alias("over"), (F.col("estimate") - F.col("n") <= 0.002 * F.col("total")).alias("close"))
+
+
+@query(
+    "heavy_hitters_exact",
+    "SELECT user_id AS item, count(*) AS count FROM events GROUP BY user_id QUALIFY rank() OVER (ORDER BY count(*) DESC, user_id) <= 20",
+)
+def heavy_hitters_exact(spark, d):
+    return _events(spark, d).groupBy(F.col("user_id").alias("item")).count().orderBy(F.desc("count"), "item").limit(20)
 
 
 @query(

@@ -76,13 +76,13 @@ def implicit_implementations(symbols: DataFrame) -> DataFrame:
     return _edges(satisfied_interfaces(t, i).join(at, "type").select(F.col("type").alias("src"), F.col("interface").alias("dst"), "file_path", "line"), "implements")
 
 
-def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
+def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame, max_calls: int | None = MAX_CALLS) -> DataFrame:
     """``src, dst, etype, file_path, line``: one edge for each call site, to a symbol or a placeholder ``external:<name>``.
 
     Candidates are ranked: methods of the caller's own type for this, self and super; for a receiver, methods of a type or functions of a file or package of that name (without regard to case);
     for a bare name, the same file, then names that the file imports, then the whole project. A method whose receiver fits nothing is
     taken only if the project has one of its name (any, for Go). Functions and methods go before others, then the least id.
-    A call that resolves to its own caller leaves no edge.
+    A call that resolves to its own caller leaves no edge. Aliases of imports stand for what they import. The first ``max_calls`` call sites of a caller count (None: all).
     """
     s = symbols.where("kind NOT IN ('field', 'key')").select(
         F.col("id").alias("dst"), F.col("name").alias("target"), F.col("file_path").alias("c_file"), F.col("package").alias("c_package"), F.col("kind").alias("c_kind"), F.col("receiver").alias("c_owner"), F.col("language").alias("c_language")
@@ -90,7 +90,16 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> D
     owner = symbols.select(F.col("id").alias("caller_id"), F.col("receiver").alias("own"), F.col("language").alias("language"))
     bases = symbols.where(F.size("bases") > 0).select(F.col("name").alias("own"), F.col("bases").alias("own_bases")).dropDuplicates(["own"])
     w = Window.partitionBy("caller_id").orderBy("line", "target", "receiver")
-    c = calls.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= MAX_CALLS)
+    c = calls.withColumn("nth", F.row_number().over(w))
+    if max_calls is not None:
+        c = c.where(F.col("nth") <= max_calls)
+    # names that an import renames: a function by its own name, a module by the end of its path
+    renamed = imports.where("alias IS NOT NULL").groupBy("file_path", "alias").agg(F.min(F.when(F.size("names") == 1, F.get("names", F.lit(0)))).alias("real"), F.min("path").alias("module"))
+    renamed = renamed.select("file_path", "alias", "real", F.regexp_extract(F.regexp_replace("module", r"\.\w{1,4}$", ""), r"([^/.]*)/?$", 1).alias("module"))
+    c = c.join(renamed.select("file_path", F.col("alias").alias("target"), "real"), ["file_path", "target"], "left")
+    c = c.withColumn("target", F.when(F.col("receiver").isNull(), F.coalesce("real", "target")).otherwise(F.col("target"))).drop("real")
+    c = c.join(renamed.where("real IS NULL").select("file_path", F.col("alias").alias("receiver"), "module"), ["file_path", "receiver"], "left")
+    c = c.withColumn("receiver", F.coalesce("module", "receiver")).drop("module")
     c = write_table(c.join(owner, "caller_id").join(bases, "own", "left").withColumn("last", F.element_at(F.split("receiver", r"\."), -1)), "calls")
     named = imports.where(F.size("names") > 0).select("file_path", F.explode("names").alias("target"), F.lit(True).alias("imported")).distinct()
     alone = s.where("c_kind IN ('method', 'property')").groupBy("target").agg(F.count("*").alias("n_methods"))
@@ -139,6 +148,18 @@ def type_edges(symbols: DataFrame) -> DataFrame:
     return _edges(resolve_names(r, symbols, kinds), "receives").unionByName(_edges(resolve_names(v, symbols, kinds), "returns")).where("src <> dst")
 
 
+def reference_edges(symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """References edges of :func:`graphloom.sources.parsers.references`: at their own lines, one for a name and line. A type that the project doesn't have leaves none; a decorator's argument with a capital becomes a placeholder."""
+    kinds = ("class", "struct", "interface", "type")
+    w = refs.select("src", "file_path", "line", "name", "why").distinct().withColumn("key", F.struct("src", "name", "line", "why"))
+    types = resolve_names(w.where("why <> 'decorator'"), symbols, kinds)
+    args = w.where("why = 'decorator'")
+    found = resolve_names(args, symbols)
+    outside = args.join(found.select("key"), "key", "left_anti").where(F.col("name").rlike("^[A-Z]")).withColumn("dst", F.concat(F.lit("external:"), F.col("name")))
+    every = types.select("src", "dst", "file_path", "line").unionByName(found.select("src", "dst", "file_path", "line")).unionByName(outside.select("src", "dst", "file_path", "line"))
+    return _edges(every.where("src <> dst").distinct(), "references")
+
+
 def defines_edges(symbols: DataFrame) -> DataFrame:
     return _edges(symbols.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst"), "file_path", F.col("start_line").alias("line")), "defines")
 
@@ -156,15 +177,16 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.where(ok).select(*EDGE_COLUMNS)
 
 
-def build_graph(files: DataFrame) -> CodeGraph:
-    """The graph of ``files`` (``file_path, text``): symbols, files and external placeholders as nodes; calls, imports, implements, embeds, receives, returns and defines as edges."""
+def build_graph(files: DataFrame, max_calls: int | None = MAX_CALLS) -> CodeGraph:
+    """The graph of ``files`` (``file_path, text``): symbols, files and external placeholders as nodes; calls, imports, implements, embeds, receives, returns, references and defines as edges. ``max_calls`` is of :func:`resolve_calls`."""
     symbols = write_table(parsers.symbols(files), "symbols")
     bad = parsers.invalid_symbols(symbols).select("id")
     symbols = symbols.join(bad, "id", "left_anti")
     imports = write_table(parsers.imports(files), "imports")
     calls = write_table(parsers.call_sites(files), "call-sites")
-    edges = resolve_calls(symbols, imports, calls)
-    for part in (import_edges(symbols, imports), inheritance(symbols), implicit_implementations(symbols), type_edges(symbols), defines_edges(symbols)):
+    edges = resolve_calls(symbols, imports, calls, max_calls)
+    refs = reference_edges(symbols, parsers.references(files))
+    for part in (refs, import_edges(symbols, imports), inheritance(symbols), implicit_implementations(symbols), type_edges(symbols), defines_edges(symbols)):
         edges = edges.unionByName(part)
     edges = write_table(edges, "edges")
     outside = edges.where("dst LIKE 'external:%'").select(F.col("dst").alias("id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.sources.graphs import CodeGraph
 
 #: What a project walk leaves out by default.
-DEFAULT_EXCLUDES = ("vendor/**", "node_modules/**", ".git/**", "dist/**", "build/**", "__pycache__/**", ".venv/**", "venv/**", "target/**", "**/*_test.go", "**/test_*.py", "**/*_test.py", "**/conftest.py", "**/*.test.js", "**/*.spec.js", "**/*.test.ts", "**/*.spec.ts", "**/*.test.tsx", "**/*.spec.tsx")
+DEFAULT_EXCLUDES = ("vendor", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache", "*_test.go", "*_test.py", "test_*.py", "conftest.py", "*.test.ts", "*.test.js", "*.spec.ts", "*.spec.js", "*.test.tsx", "*.test.jsx")
 
 
 def glob_regex(glob: str) -> str:
@@ -44,7 +44,7 @@ def glob_regex_column(glob: Column) -> Column:
 
 
 def walk(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), excludes: tuple[str, ...] = DEFAULT_EXCLUDES) -> DataFrame:
-    """``file_path, text, size, mtime_ms`` of the files below ``root``, relative to it."""
+    """``file_path, text, size, mtime_ms`` of the files below ``root``, relative to it. An exclude without a slash fits a file's or a directory's name at any depth."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     marker = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
     path = F.substring_index(F.col("path"), marker, -1)
@@ -52,7 +52,8 @@ def walk(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), exclu
     if extensions:
         out = out.where(F.col("file_path").rlike(r"(" + "|".join(re.escape(e) for e in extensions) + r")$"))
     for g in excludes:
-        out = out.where(~F.col("file_path").rlike(glob_regex(g)))
+        whole = glob_regex(g)
+        out = out.where(~F.col("file_path").rlike(whole if "/" in g else whole.removesuffix("$") + "(?:/|$)"))
     return out
 
 

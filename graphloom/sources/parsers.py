@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 SYMBOLS = "file_path string, id string, name string, kind string, package string, start_line int, end_line int, exported boolean, language string, signature string, receiver string, parent string, bases array<string>, returns string, code string"
 IMPORTS = "file_path string, path string, alias string, names array<string>, is_wildcard boolean, is_relative boolean"
+REFERENCES = "file_path string, src string, name string, line int, why string"
 CALLS = "file_path string, caller_id string, target string, receiver string, is_method boolean, line int"
 
 
@@ -27,6 +28,7 @@ class Parsed:
     symbols: list[dict] = field(default_factory=list)
     imports: list[dict] = field(default_factory=list)
     calls: list[dict] = field(default_factory=list)
+    references: list[dict] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
 
     def symbol(self, path: str, name: str, kind: str, line: int, end: int, language: str, **more) -> str:
@@ -38,6 +40,9 @@ class Parsed:
     def call(self, path: str, caller: str, target: str, receiver: str | None, line: int) -> None:
         self.calls.append({"file_path": path, "caller_id": caller, "target": target, "receiver": receiver, "is_method": bool(receiver), "line": line})
 
+    def refer(self, path: str, src: str, name: str, line: int, why: str) -> None:
+        self.references.append({"file_path": path, "src": src, "name": name, "line": line, "why": why})
+
     def include(self, path: str, what: str, alias: str | None = None, names: list[str] | None = None, relative: bool = False) -> None:
         names = names or []
         self.imports.append({"file_path": path, "path": what, "alias": alias, "names": [n for n in names if n != "*"], "is_wildcard": "*" in names, "is_relative": relative})
@@ -65,6 +70,33 @@ def parse_python(path: str, text: str) -> Parsed:
                     out.call(path, owner, f.attr, ast.unparse(f.value), n.lineno)
             calls(n, owner)
 
+    def names(node: ast.AST | None) -> Iterator[tuple[str, int]]:
+        """Names in an annotation or an argument, also in quotes."""
+        for n in ast.walk(node) if node is not None else ():
+            if isinstance(n, ast.Name):
+                yield n.id, n.lineno
+            elif isinstance(n, ast.Constant) and isinstance(n.value, str):
+                yield from ((w, n.lineno) for w in re.findall(r"[A-Za-z_]\w*", n.value))
+
+    def refer(n: ast.AST, id: str) -> None:
+        """What a function or class refers to: arguments of decorators, annotations, and types in isinstance."""
+        for d in n.decorator_list:
+            for arg in [*d.args, *(k.value for k in d.keywords)] if isinstance(d, ast.Call) else ():
+                if isinstance(arg, ast.Name):
+                    out.refer(path, id, arg.id, d.lineno, "decorator")
+        if isinstance(n, ast.ClassDef):
+            return
+        own = n.args
+        for a in [*own.posonlyargs, *own.args, *own.kwonlyargs, *filter(None, (own.vararg, own.kwarg))]:
+            for name, line in names(a.annotation):
+                out.refer(path, id, name, line, "type")
+        for name, line in names(n.returns):
+            out.refer(path, id, name, line, "type")
+        for c in ast.walk(n):
+            if isinstance(c, ast.Call) and isinstance(c.func, ast.Name) and c.func.id == "isinstance" and len(c.args) == 2:
+                for name, line in names(c.args[1]):
+                    out.refer(path, id, name, line, "narrowing")
+
     def visit(body: list[ast.stmt], parent: str | None, cls: str | None) -> None:
         for n in body:
             if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -74,15 +106,22 @@ def parse_python(path: str, text: str) -> Parsed:
                     signature=f"def {n.name}({ast.unparse(n.args)})" + (f" -> {returns}" if returns else ""), returns=returns, code="\n".join(lines[n.lineno - 1 : n.end_lineno]),
                 )
                 calls(n, id)
+                refer(n, id)
                 visit(n.body, id, None)
             elif isinstance(n, ast.ClassDef):
                 id = out.symbol(path, n.name, "class", n.lineno, n.end_lineno, "python", package=package, exported=not n.name.startswith("_"), parent=parent, bases=[ast.unparse(b) for b in n.bases], signature=f"class {n.name}")
+                refer(n, id)
                 visit(n.body, id, n.name)
             elif isinstance(n, ast.Import):
                 for a in n.names:
                     out.include(path, a.name, a.asname)
             elif isinstance(n, ast.ImportFrom):
-                out.include(path, "." * n.level + (n.module or ""), None, [a.name for a in n.names], n.level > 0)
+                where = "." * n.level + (n.module or "")
+                if plain := [a.name for a in n.names if not a.asname]:
+                    out.include(path, where, None, plain, n.level > 0)
+                for a in n.names:
+                    if a.asname:
+                        out.include(path, where, a.asname, [a.name], n.level > 0)
             elif isinstance(n, ast.Assign | ast.AnnAssign) and parent is None:
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     if isinstance(t, ast.Name):
@@ -152,6 +191,42 @@ def parse_go(path: str, text: str) -> Parsed:
         elif m := re.match(r"(var|const)\s+(\w+)", x):
             out.symbol(path, m[2], "constant" if m[1] == "const" else "variable", i + 1, i + 1, "go", package=package, exported=m[2][0].isupper())
         i += 1
+    return _refer_by_text(out, path, text.split("\n"))
+
+
+def _named(out: Parsed, path: str, where: str, inner: str, mark: str) -> list[str]:
+    """The names of an import list that keep their names; the renamed ones are noted one by one."""
+    names = []
+    for part in inner.split(","):
+        a, _, b = (x.strip() for x in (part.partition(":") if mark == ":" else re.sub(r"\s+as\s+", ":", part).partition(":")))
+        if a and b:
+            out.include(path, where, b, [a], where.startswith("."))
+        elif a:
+            names.append(a.split()[-1])
+    return names
+
+
+def _refer_by_text(out: Parsed, path: str, lines: list[str]) -> Parsed:
+    """References of symbols of other languages: types in signatures, type arguments, instanceof and type assertions, arguments of decorators above."""
+    for s in out.symbols:
+        if s["kind"] not in ("function", "method", "class", "interface", "struct", "type"):
+            continue
+        at, id = s["start_line"], s["id"]
+        head = re.sub(rf"\b{re.escape(s['name'])}\b", " ", s["signature"] or "", count=1)
+        own = set(re.findall(r"(?::\s*|<\s*|[,|&]\s*|=>\s*)\*?([A-Z][\w$]*)", head) if s["language"] != "go" else re.findall(r"(?:[\s*\]\[,(])([A-Z]\w*)", head))
+        for name in sorted(own):
+            out.refer(path, id, name, at, "type")
+        if s["kind"] in ("function", "method"):
+            for i in range(at - 1, min(s["end_line"], len(lines))):
+                for name in re.findall(r"\binstanceof\s+([A-Za-z_$][\w$]*)" if s["language"] != "go" else r"\.\(\*?([A-Za-z_]\w*)\)", lines[i]):
+                    if name != "type":
+                        out.refer(path, id, name, i + 1, "narrowing")
+        for i in range(at - 2, -1, -1):
+            m = re.match(r"\s*@[\w$.]+\(([^)]*)\)", lines[i])
+            if not m and not re.match(r"\s*@", lines[i]):
+                break
+            for name in re.findall(r"(?:^|[\[,(]\s*)([A-Za-z_$][\w$]*)\s*(?=$|[,\])])", m[1]) if m else ():
+                out.refer(path, id, name, i + 1, "decorator")
     return out
 
 
@@ -165,14 +240,17 @@ def _script(language: str) -> Callable[[str, str], Parsed]:
                 cls = None
             exported = bool(re.match(r"\s*export\b", x)) or "module.exports" in text
             if m := re.match(r"\s*import\s+(?:type\s+)?(.*?)\s*from\s*['\"]([^'\"]+)['\"]", x):
-                names = re.findall(r"[\w$]+", m[1].partition("{")[2].partition("}")[0])
+                inner = m[1].partition("{")[2].partition("}")[0]
+                names = _named(out, path, m[2], inner, "as")
                 star = re.search(r"\*\s+as\s+([\w$]+)", m[1])
                 out.include(path, m[2], star[1] if star else (re.match(r"[\w$]+", m[1]) or [None])[0], [*names, *(["*"] if star else [])], m[2].startswith("."))
             elif m := re.match(r"\s*import\s*['\"]([^'\"]+)['\"]", x):
                 out.include(path, m[1], None, None, m[1].startswith("."))
             elif m := re.match(r"\s*(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?(?:require|import)\(\s*['\"]([^'\"]+)['\"]", x):
                 plain = not m[1].startswith("{")
-                out.include(path, m[2], m[1] if plain else None, None if plain else re.findall(r"[\w$]+", m[1]), m[2].startswith("."))
+                out.include(path, m[2], m[1] if plain else None, None if plain else _named(out, path, m[2], m[1].strip("{} "), ":"), m[2].startswith("."))
+            elif m := re.search(r"\bimport\(\s*['\"]([^'\"]+)['\"]", x):
+                out.include(path, m[1], None, None, m[1].startswith("."))
             elif m := re.match(r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([\w$]+)(?:<[^>]*>)?(?:\s+extends\s+([\w$.,\s]+?))?(?:\s+implements\s+([\w$.,\s]+?))?\s*\{", x):
                 end = _body_end(lines, i)
                 bases = [b.strip() for g in (m[3], m[4]) if g for b in g.split(",")]
@@ -190,7 +268,7 @@ def _script(language: str) -> Callable[[str, str], Parsed]:
                 _calls_in(out, path, id, lines, i, end)
             elif not cls and (m := re.match(r"(?:export\s+)?(const|let|var)\s+([\w$]+)", x)):
                 out.symbol(path, m[2], "constant" if m[1] == "const" else "variable", i + 1, i + 1, language, package=package, exported=exported)
-        return out
+        return _refer_by_text(out, path, lines)
 
     return parse
 
@@ -286,6 +364,11 @@ def call_sites(files: DataFrame) -> DataFrame:
     return files.select("file_path", "text").mapInPandas(_rows("calls", _names(CALLS)), CALLS)
 
 
+def references(files: DataFrame) -> DataFrame:
+    """``file_path, src, name, line, why``: names that symbols refer to beside their calls: as types, in type tests and in decorators."""
+    return files.select("file_path", "text").mapInPandas(_rows("references", _names(REFERENCES)), REFERENCES)
+
+
 def parse_errors(files: DataFrame) -> DataFrame:
     """``file_path, error`` of files that don't parse."""
 

@@ -103,3 +103,39 @@ def test_formats(spark):
 
     o = owners(spark.createDataFrame([("a/x.go",), ("b/y.py",)], "file_path string"), spark.createDataFrame([(1, "*", "all"), (2, "a/**", "team")], "at int, pattern string, owner string"))
     assert sorted(map(tuple, o.select("file_path", "owner").collect())) == [("a/x.go", "team"), ("b/y.py", "all")]
+
+
+def test_excludes_at_any_depth(spark, tmp_path):
+    keep = ["svc/a.go", "web/x.ts", "building/a.go"]
+    drop = ["svc/vendor/a.go", "web/node_modules/x/i.js", ".tox/a.py", "a/.mypy_cache/b.py", "x.test.jsx", "p/test_a.py", "p/conftest.py", "p/a_test.go", "build/z.go"]
+    for p in keep + drop:
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    assert sorted(r["file_path"] for r in files.walk(spark, f"file://{tmp_path}").select("file_path").collect()) == sorted(keep)
+
+
+def test_references_and_renamed_imports(spark):
+    texts = {
+        "lib/util.ts": "export function work(x: Item): Result {\n  return x\n}\nexport class Item {\n}\n",
+        "lib/more.js": "function helper() {\n  return 1\n}\nmodule.exports = { helper }\n",
+        "app.ts": "import { work as w } from './lib/util'\nconst m = require('./lib/more')\n@Inject(Item, Unknown)\nexport class App {\n}\nexport function go(a: Promise<Item>) {\n  if (a instanceof Item) { w(a) }\n  m.helper()\n}\nexport function later() {\n  return import('./lib/more')\n}\n",
+        "m.py": "from n import run as r\n@deco(Model, 3)\ndef f(x: 'Model', y: list[Other]) -> Model:\n    if isinstance(x, Other):\n        return r(x)\n",
+        "n.py": "class Model:\n    pass\nclass Other:\n    pass\ndef run(x):\n    return x\n",
+        "s.go": "package s\ntype Store struct {\n}\nfunc Open(a *Store) Store {\n\tx := y.(Store)\n\treturn x\n}\n",
+    }
+    g = construction.build_graph(spark.createDataFrame(list(texts.items()), "file_path string, text string"))
+    names = {r["id"]: r["name"] for r in g.nodes.collect()}
+    rows = g.edges.collect()
+    refs = {(names[r["src"]], names[r["dst"]], r["line"]) for r in rows if r["etype"] == "references"}
+    assert {("work", "Item", 1), ("App", "Item", 3), ("App", "Unknown", 3), ("go", "Item", 6), ("go", "Item", 7), ("f", "Model", 2), ("f", "Model", 3), ("f", "Other", 3), ("f", "Other", 4), ("Open", "Store", 4), ("Open", "Store", 5)} <= refs
+    assert not any(d == "Result" for _, d, _ in refs)
+    calls = {(names[r["src"]], names[r["dst"]]) for r in rows if r["etype"] == "calls"}
+    assert {("go", "work"), ("go", "helper"), ("f", "run")} <= calls
+    assert ("app.ts", "lib/more.js") in {(names[r["src"]], names[r["dst"]]) for r in rows if r["etype"] == "imports"}
+
+
+def test_call_sites_beyond_the_limit(spark):
+    text = "def callee():\n    pass\ndef caller():\n" + "    callee()\n" * 1200
+    f = spark.createDataFrame([("a.py", text)], "file_path string, text string")
+    n = lambda most: construction.build_graph(f, most).edges.where("etype = 'calls'").count()
+    assert n(1000) == 1000 and n(None) == 1200
