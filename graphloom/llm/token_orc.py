@@ -17,7 +17,7 @@ from graphloom.llm.common import map_batches, slices, text_bytes, worker_state
 from graphloom.plans.tables import new_path
 
 #: Words of a generation whose ids a worker keeps: those met since the last change of generations, and those of the generation before.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
