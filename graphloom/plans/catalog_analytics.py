@@ -137,8 +137,17 @@ def community_summary_by_package(spark, d):
     return an.community_summary(g, g.nodes.select("id", F.col("package").alias("community")))
 
 
-@query("articulation_web")
+@query(
+    "articulation_web",
+    f"""WITH RECURSIVE {WEB_SQL}, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), sym AS (SELECT a AS x, b AS y FROM p UNION ALL SELECT b, a FROM p),
+deg AS (SELECT x, min(y) AS one FROM sym GROUP BY x HAVING count(*) > 1),
+cut AS (SELECT x AS gone, one AS id FROM deg UNION SELECT c.gone, s.y FROM cut c JOIN sym s ON s.x = c.id WHERE s.y <> c.gone),
+split AS (SELECT a, b, a AS id FROM p UNION SELECT t.a, t.b, s.y FROM split t JOIN sym s ON s.x = t.id WHERE NOT (s.x = t.a AND s.y = t.b OR s.x = t.b AND s.y = t.a))
+SELECT DISTINCT 'point' AS kind, d.x AS a, CAST(NULL AS VARCHAR) AS b FROM deg d JOIN sym s USING (x) WHERE NOT EXISTS (SELECT 1 FROM cut c WHERE c.gone = d.x AND c.id = s.y)
+UNION ALL SELECT 'bridge', a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM split t WHERE t.a = p.a AND t.b = p.b AND t.id = p.b)""",
+)
 def articulation_web(spark, d):
+    """Cut nodes and edges; the SQL takes each away and looks at what is still reached."""
     return articulation(web_graph(spark, d).edges)
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as an
-from graphloom.operators import code, impact
+from graphloom.operators import code, explore, impact
 from graphloom.registry import query
-from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, session_graph, supply_graph
+from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, CodeGraph, session_graph, supply_graph
 
 
 _BLAST = """w AS (SELECT id AS root, id, 0 AS depth FROM t UNION SELECT w.root, e.src, w.depth + 1 FROM w JOIN edges e ON e.dst = w.id AND e.etype = 'calls' WHERE w.depth < 3),
@@ -201,12 +201,34 @@ def satisfied_interfaces(spark, d):
     return code.satisfied_interfaces(types, asked.select(F.col("n_name").alias("interface"), go, F.col("p_brand").alias("method")))
 
 
-@query("design_patterns")
+def _named_sessions(spark, d, names: dict[str, str]):
+    """The session graph with other names for its event types."""
+    g = session_graph(spark, d)
+    name = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    return CodeGraph(g.nodes.withColumn("name", F.coalesce(name[F.col("name")], F.col("name"))), g.edges)
+
+
+@query(
+    "design_patterns",
+    f"""WITH {SESSION_SQL}, p(name, pattern, base) AS (VALUES ('signup', 'factory', 0.7), ('purchase', 'repository', 0.6), ('error', 'middleware', 0.8), ('view', 'builder', 0.8), ('click', 'observer', 0.6))
+SELECT id, pattern, round(least(1, base + CASE WHEN id IN (SELECT dst FROM edges) THEN 0.2 ELSE 0 END), 4)::DOUBLE AS confidence FROM nodes JOIN p USING (name)""",
+)
 def design_patterns(spark, d):
-    g = supply_graph(spark, d)
+    g = _named_sessions(spark, d, {"signup": "NewSession", "purchase": "PurchaseRepository", "error": "ErrorMiddleware", "view": "ViewBuilder", "click": "OnClick"})
     return code.design_patterns(g.nodes, g.edges)
 
 
+@query(
+    "error_flow_of_sessions",
+    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE dst NOT IN (SELECT id FROM nodes WHERE name = 'signup')),
+w AS (SELECT id AS origin, id, 0 AS depth FROM nodes WHERE name = 'error' UNION SELECT w.origin, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.id WHERE w.depth < 5),
+f AS (SELECT origin, id, min(depth) AS depth FROM w GROUP BY origin, id)
+SELECT origin, id, depth, CASE name WHEN 'error' THEN 'origin' WHEN 'signup' THEN 'handler' ELSE 'passes' END AS role, id NOT IN (SELECT dst FROM edges) AND name <> 'signup' AS escapes FROM f JOIN nodes USING (id)""",
+)
+def error_flow_of_sessions(spark, d):
+    return explore.error_flow(_named_sessions(spark, d, {"error": "raise_error", "signup": "recover"}))
+
+
 @query("api_of_communities")
 def api_of_communities(spark, d):
     g = session_graph(spark, d)

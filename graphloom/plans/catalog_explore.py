@@ -80,12 +80,6 @@ def arc_consistency(spark, d):
     return explore.arc_consistent(domains, p)
 
 
-@query("error_flow_sessions")
-def error_flow_sessions(spark, d):
-    g = session_graph(spark, d)
-    return explore.error_flow(g)
-
-
 @query("resolved_query")
 def resolved_query(spark, d):
     return explore.resolve_query(supply_graph(spark, d), "which orders of `nation3` does Customer000000001 place")

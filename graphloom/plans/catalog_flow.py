@@ -249,7 +249,7 @@ def sese_regions_flow(spark, d):
     return dm.sese_regions(e, dm.dominators(e, "world"), dm.post_dominators(e))
 
 
-@query("critical_path_flow")
+@query("critical_path_flow", f"WITH RECURSIVE {_DOM}, up AS (SELECT id, idom, 0 AS back FROM dom WHERE id = 'p1' UNION ALL SELECT d.id, d.idom, u.back + 1 FROM up u JOIN dom d ON d.id = u.idom WHERE u.idom <> u.id) SELECT (max(back) OVER () - back)::INTEGER AS at, id FROM up")
 def critical_path_flow(spark, d):
     return dm.critical_path(dm.dominators(flow_graph(spark, d), "world"), "p1")
 
