@@ -6,7 +6,7 @@ import os
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,18 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in keep else chr(next(free)) for b in range(256)]
 
 
+class _Words(dict):
+    """Ids by word. A word that isn't there is encoded and kept."""
+
+    def __init__(self, make: Callable[[bytes], bytes], known: dict[bytes, bytes]):
+        super().__init__(known)
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     """Encodes with the tokenizers library, once for each distinct piece of text.
 
@@ -54,8 +66,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.young: dict[bytes, bytes] = {}
+        self.young = _Words(self._word, {})
         self.old: dict[bytes, bytes] = {}
+        self.long: list[bytes] = []  # not to be kept
         self.hot: dict[bytes, bytes] = {}  # met in both generations: they start the next one
         same = lambda text, parts: self._ids([text])[0] == b"".join(self._ids(parts))
         self.by_word = all(same(t, t.split()) for t in ("a b", "ab  cd\n\nef", " x\t", "don't 42 !? é", "the the"))
@@ -85,6 +98,17 @@ class WordEncoder:
             return self._model(letters)
         return self._kept(stem, letters) + self._kept(word[len(stem) :], word[len(stem) :].decode())
 
+    def _word(self, word: bytes) -> bytes:
+        """The ids of a word that isn't in this generation."""
+        if (ids := self.old.get(word)) is not None:
+            self.hot[word] = ids
+            return ids
+        if len(word) > 48:
+            self.long.append(word)
+        else:
+            ids = self._direct(word)
+        return self._ids([word.decode("utf-8", "replace")])[0] if ids is None else ids
+
     def _kept(self, piece: bytes, text: str) -> bytes:
         if (got := self.young.get(piece)) is None:
             got = self.young[piece] = self.old.get(piece) or self._model(text)
@@ -96,27 +120,13 @@ class WordEncoder:
             return self._ids([t.decode("utf-8", "replace") for t in texts])
         if self.lower:
             texts = [t.lower() if b"<|" not in t else t for t in texts]  # special tokens keep their case
-        split = [t.split() for t in texts]
-        young, old, hot, rest = self.young, self.old, self.hot, []
-        for w in set().union(*split).difference(young):
-            if (ids := old.get(w)) is not None:
-                hot[w] = ids
-            elif len(w) <= 48:
-                ids = self._direct(w)
-            if ids is None:
-                rest.append(w)
-            else:
-                young[w] = ids
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            young.update(zip(part, self._ids([w.decode("utf-8", "replace") for w in part]), strict=True))
-        get = young.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for w in rest:
-            if len(w) > 48:
-                del young[w]
-        if len(young) > CACHE_WORDS:
-            self.old, self.young, self.hot = young, hot if len(hot) < CACHE_WORDS // 2 else {}, {}
+        get = self.young.__getitem__
+        out = [b"".join(map(get, t.split())) for t in texts]
+        for w in self.long:
+            self.young.pop(w, None)
+        self.long.clear()
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young, self.hot = self.young, _Words(self._word, self.hot if len(self.hot) < CACHE_WORDS // 2 else {}), {}
         return out
 
 
