@@ -202,7 +202,7 @@ def retained(events: DataFrame, now_ms: int, days: int) -> DataFrame:
 # --- invariants --------------------------------------------------------------
 
 
-def holds_unique(df: DataFrame, *keys: str) -> Column:
+def holds_unique(*keys: str) -> Column:
     """Aggregate: no two rows have the same ``keys``."""
     return F.count("*") == F.countDistinct(F.struct(*keys))
 

@@ -11,9 +11,14 @@ from graphloom.plans.tables import write_table
 def token_shingles(text: Column, k: int = 5) -> Column:
     """Distinct runs of ``k`` words; all words if there are fewer, but some."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(own: Column) -> Column:
+        n = F.size(own)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, k), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    # the array around the words makes them once, not once a run
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(words), runs), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def minhash(items: Column, hashes: int = 128) -> Column:

@@ -88,8 +88,9 @@ def test_policies(spark):
 
 def test_invariants(spark):
     d = spark.createDataFrame([(1, 0.5), (2, 0.5), (2, 0.5)], "k int, x double")
-    got = {r["property"]: r["holds"] for r in pj.check(d, {"u": pj.holds_unique("k"), "b": pj.holds_bounded("x", 0, 1), "d": pj.holds_distribution("x"), "i": pj.implies(pj.holds_unique("k"), pj.holds_distribution("x"))}).collect()}
-    assert got == {"u": False, "b": True, "d": False, "i": True}
+    got = {r["property"]: r["holds"] for r in pj.check(d, {"u": pj.holds_unique("k"), "b": pj.holds_bounded("x", 0, 1), "d": pj.holds_distribution("x"), "i": pj.implies(pj.holds_unique("k"), pj.holds_distribution("x")), "one": pj.holds_unique("k", "x")}).collect()}
+    assert got == {"u": False, "b": True, "d": False, "i": True, "one": False}
+    assert pj.check(d.distinct(), {"u": pj.holds_unique("k")}).first()["holds"]
     assert all(r["holds"] for r in pj.check(d.limit(0), {"u": pj.holds_unique("k"), "b": pj.holds_bounded("x", 0, 1)}).collect())
 
 
