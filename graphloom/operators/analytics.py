@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.plans.tables import drop_table, write_table
+from graphloom.operators.sequential import fits, in_one_task
+from graphloom.plans.tables import GrowingTable, drop_table, write_table
 from graphloom.sources.graphs import CodeGraph
 
 
@@ -83,17 +84,50 @@ def exit_nodes(g: CodeGraph) -> DataFrame:
     return g.nodes.join(used, F.col("id") == F.col("used"), "left_anti").select("id")
 
 
-def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, small_graph: int = 10) -> DataFrame:
+def _power_iteration(damping: float, max_iterations: int, tolerance: float, small_graph: int):
+    def walk(src, dst, ids):
+        """Rows with a target are edges, those without are nodes."""
+        import numpy as np
+        import pandas as pd
+
+        node = np.zeros(len(ids), bool)
+        node[src[dst < 0]] = True
+        s, d = src[dst >= 0], dst[dst >= 0]
+        out = np.bincount(s, minlength=len(ids))
+        real = node[s] & node[d]
+        share = 1.0 / out[s[real]]
+        s, d = s[real], d[real]
+        n, sink = int(node.sum()), node & (out == 0)
+        rank = np.where(node, 1.0 / max(n, 1), 0.0)
+        for _ in range(max_iterations if n else 0):
+            given = np.bincount(d, weights=rank[s] * share, minlength=len(ids))
+            new = np.where(node, (1 - damping) / n + damping * rank[sink].sum() / n + damping * given, 0.0)
+            moved, rank = np.abs(new - rank).max(), new
+            if moved < tolerance or n < small_graph:
+                break
+        found = np.flatnonzero(node)
+        for at in range(0, len(found), 100_000):
+            part = found[at : at + 100_000]
+            yield pd.DataFrame({"id": [ids[i] for i in part], "rank": rank[part]})
+
+    return walk
+
+
+def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, small_graph: int = 10, sequential: bool | None = None) -> DataFrame:
     """``id, rank`` after power iteration.
 
     Ranks start at 1/N; a node passes ``damping`` of its rank over its edges,
     parallel edges each their share; nodes without outgoing edges pass it to all nodes alike.
     Ends when no rank moves by ``tolerance`` or more, after ``max_iterations``, or after one
-    iteration on graphs of fewer than ``small_graph`` nodes. Edges are
-    pre-aggregated to weights once; an iteration is one join and one aggregation.
+    iteration on graphs of fewer than ``small_graph`` nodes. Graphs that fit one task (checked) are iterated there.
+    For larger ones, edges are pre-aggregated to weights once; an iteration is one join and one aggregation.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping must lie between 0 and 1")
+    ids = g.nodes.select(F.col("id").alias("src"), F.lit(None).cast(dict(g.nodes.dtypes)["id"]).alias("dst"))
+    rows = g.edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").unionByName(ids.where("src IS NOT NULL"))
+    if fits(rows) if sequential is None else sequential:
+        return in_one_task(rows, _power_iteration(damping, max_iterations, tolerance, small_graph), f"id {dict(ids.dtypes)['src']}, rank double")
     out = g.edges.groupBy("src").agg(F.count("*").alias("out"))
     links = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
     links = write_table(links, "pagerank-links")
@@ -160,14 +194,12 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
                 break
         back = live.join(colors.select(F.col("id").alias("src"), F.col("color").alias("c1")), "src").join(colors.select(F.col("id").alias("dst"), F.col("color").alias("c2")), "dst").where("c1 = c2")
         back = write_table(back.select("src", "dst", F.col("c1").alias("color")), "scc-back")
-        found = write_table(colors.where("id = color").select("id", "color"), "scc-found")
-        frontier = found
-        while True:
-            step = back.join(frontier.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct().join(found, ["id", "color"], "left_anti")
-            frontier = write_table(step, "scc-found")
-            if frontier.isEmpty():
-                break
-            found = write_table(found.unionByName(frontier), "scc-found")
+        table = GrowingTable(colors.where("id = color").select("id", "color"), "scc-found")
+        frontier = table.read()
+        while not frontier.isEmpty():
+            step = back.join(frontier.select(F.col("id").alias("dst"), "color"), ["dst", "color"]).select(F.col("src").alias("id"), "color").distinct().join(table.read(), ["id", "color"], "left_anti")
+            frontier = table.add(step)
+        found = table.read()
         done = write_table(done.unionByName(found.select("id", F.col("color").alias("component"))), "scc-done")
         gone = found.select("id")
         live = write_table(
@@ -207,12 +239,12 @@ def modularity(g: CodeGraph, communities: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 12) -> DataFrame:
+def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 200) -> DataFrame:
     """``id, community``: local moves that raise modularity, then a split of each community into connected parts.
 
     In each round half of the nodes (by hash, alternating) may move to the neighbouring
     community of the greatest gain, the least on ties, if it is strictly positive; so two neighbours
-    seldom swap for ever. Rounds end when none moves. Every community is connected in the end.
+    seldom swap for ever. Rounds end when none of either half moves, or after ``max_rounds`` (100 passes over all nodes). Every community is connected in the end.
     """
     pair = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     links = write_table(pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("w")), "community-links")
@@ -237,7 +269,9 @@ def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 12) ->
         best = options.groupBy("id").agg(F.min_by("community", F.struct(-F.round("gain", 15), F.col("community"))).alias("to"))
         new = write_table(labels.join(best, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "community")
         moved = new.where("moved").count()
+        drop_table(labels)
         labels = new.drop("moved")
+        labels._table_path = new._table_path
         quiet = 0 if moved else quiet + 1
         if quiet == 2:
             break
@@ -264,30 +298,43 @@ def community_summary(g: CodeGraph, found: DataFrame, min_size: int = 1) -> Data
     )
 
 
+#: Words that mark symbols of test code, in any case.
+TEST_WORDS = ("assert", "test", "mock", "stub", "fixture", "setup", "teardown", "benchmark", "expect", "verify", "fake", "spy")
+
+
 def file_classes(g: CodeGraph, passes: int = 5, overrides: dict[str, bool] | None = None) -> DataFrame:
     """``file_path, production``: whether files are production code.
 
-    By the share of incoming among all cross-file edges: below .05 a file isn't, files without
-    cross-file edges are. Test names, and a majority of test symbols, decide
-    against; then up to ``passes`` rounds count only edges from production files: below .10 of
-    the sum, or over 20 incoming edges of which fewer than .10 come from production files, decides against. ``overrides`` prevail.
+    By the share of incoming among all cross-file edges: below .05 a file isn't, from .15 on and without
+    cross-file edges it is; one between is unless over half of its symbols are tests, and then stays. Test names of files,
+    and test words (TEST_WORDS) in over .60 of three symbols or more, decide
+    against; then up to ``passes`` rounds, without the files between, count only edges from and to production files: below .10 of
+    the sum, none left of some, or over 20 incoming edges of which fewer than .10 come from production files, decides against. ``overrides`` prevail.
     """
     f = g.nodes.where("kind <> 'external'").select("id", "file_path", "name")
     e = g.edges.join(f.select(F.col("id").alias("src"), F.col("file_path").alias("a")), "src").join(f.select(F.col("id").alias("dst"), F.col("file_path").alias("b")), "dst").where("a <> b")
     cross = write_table(e.groupBy("a", "b").agg(F.count("*").alias("n")), "file-edges")
     test_file = F.col("file_path").rlike(r"(_test\.go|_test\.py|(^|/)test_[^/]*\.py|(^|/)conftest\.py|\.(test|spec)\.[jt]sx?)$|(^|/)(tests?|__tests__|testdata|fixtures)/")
-    names = f.groupBy("file_path").agg(F.avg(F.col("name").rlike(r"^(Test|Benchmark|Fuzz|Example)[A-Z_]|^test_").cast("int")).alias("tests"))
+    is_test, wordy = F.col("name").rlike(r"^(Test|Benchmark|Fuzz|Example)[A-Z_]|^test_"), F.lower("name").rlike("|".join(TEST_WORDS))
+    names = f.groupBy("file_path").agg(F.avg(is_test.cast("int")).alias("tests"), F.avg(wordy.cast("int")).alias("words"), F.count("*").alias("symbols"))
     into, out = cross.groupBy(F.col("b").alias("file_path")).agg(F.sum("n").alias("i")), cross.groupBy(F.col("a").alias("file_path")).agg(F.sum("n").alias("o"))
     base = names.join(into, "file_path", "left").join(out, "file_path", "left").na.fill(0, ["i", "o"])
     ratio = F.when(F.col("i") + F.col("o") > 0, F.col("i") / (F.col("i") + F.col("o"))).otherwise(1.0)
-    state = write_table(base.select("file_path", "i", "o", (~test_file & (F.col("tests") <= 0.5) & (ratio >= 0.05)).alias("production")), "file-classes")
+    between = (ratio >= 0.05) & (ratio < 0.15)
+    dense = (F.col("symbols") >= 3) & (F.col("words") > 0.60)
+    good = ~test_file & ~dense & (ratio >= 0.05) & ~(between & (F.col("tests") > 0.5))
+    state = write_table(base.select("file_path", "i", "o", good.alias("production"), between.alias("settled")), "file-classes")
     for _ in range(passes):
-        good = state.where("production").select(F.col("file_path").alias("a"))
-        real = cross.join(good, "a").groupBy(F.col("b").alias("file_path")).agg(F.sum("n").alias("r"))
-        share = F.when(F.col("r") + F.col("o") > 0, F.col("r") / (F.col("r") + F.col("o"))).otherwise(F.when(F.col("i") > 0, 0.0).otherwise(1.0))
-        keep = F.col("production") & (share >= 0.10) & ~((F.col("i") > 20) & (F.col("r") / F.greatest("i", F.lit(1)) < 0.10))
-        new = write_table(state.join(real, "file_path", "left").na.fill(0, ["r"]).select("file_path", "i", "o", keep.alias("production")), "file-classes")
+        ok = state.where("production").select("file_path")
+        real = cross.join(ok.withColumnRenamed("file_path", "a"), "a").groupBy(F.col("b").alias("file_path")).agg(F.sum("n").alias("r"))
+        sent = cross.join(ok.withColumnRenamed("file_path", "b"), "b").groupBy(F.col("a").alias("file_path")).agg(F.sum("n").alias("s"))
+        total = F.col("r") + F.col("s")
+        fails = F.when(total == 0, F.col("i") + F.col("o") > 0).otherwise((F.col("r") / total < 0.10) | ((F.col("i") > 20) & (F.col("r") / F.greatest("i", F.lit(1)) < 0.10)))
+        keep = F.col("production") & (F.col("settled") | ~fails)
+        joined = state.join(real, "file_path", "left").join(sent, "file_path", "left").na.fill(0, ["r", "s"])
+        new = write_table(joined.select("file_path", "i", "o", keep.alias("production"), "settled"), "file-classes")
         same = new.where("production").count() == state.where("production").count()
+        drop_table(state)
         state = new
         if same:
             break

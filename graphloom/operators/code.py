@@ -120,6 +120,67 @@ def design_patterns(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return hit.join(used, "id", "left").select("id", "pattern", F.round(F.least(F.lit(1.0), F.col("base") + F.coalesce("used", F.lit(0.0))), 4).alias("confidence"))
 
 
+def structural_patterns(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, pattern, evidence, confidence`` by what symbols (``id, name, kind, receiver, package, signature, returns``) are made of, not by their names alone.
+
+    A factory makes a type of the project; a builder has two methods or more that give itself back, and one that builds; an option
+    returns one; a singleton's accessor returns a type; a middleware takes and gives back a handler; a strategy is an interface that two
+    types or more implement; an observer's subject has methods to subscribe and to notify; a repository has methods that read and that
+    write. ``evidence`` is the number of these parts; more of them are surer, .95 at most.
+    """
+    types = symbols.where("kind IN ('struct', 'class', 'interface', 'type')").select(F.col("id").alias("tid"), F.col("name").alias("type"), "package")
+    f = symbols.where("kind IN ('function', 'method')")
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("returns", F.lit("")), F.lit(r"[A-Za-z_]\w*"), 0)))
+    made = f.select("id", "name", word.alias("type")).join(types.select("type").distinct(), "type", "left_semi")
+    out = lambda df, pattern, n: df.groupBy("id").agg(n.cast("long").alias("evidence")).select("id", F.lit(pattern).alias("pattern"), "evidence")
+    m = f.where("receiver IS NOT NULL").join(types.withColumnRenamed("type", "receiver"), ["receiver", "package"]).select(F.col("tid").alias("id"), "name", "receiver", F.coalesce("returns", F.lit("")).alias("back"))
+    has = lambda regex: F.count_if(F.col("name").rlike(regex))
+    both = m.groupBy("id").agg(
+        F.count_if(F.col("back").contains(F.col("receiver"))).alias("fluent"), has(r"(?i)^build$").alias("builds"),
+        has(r"(?i)^(subscribe|register|attach|on[A-Z_]|add_?\w*(listener|observer))").alias("subs"), has(r"(?i)^(notify|emit|publish|fire|dispatch)").alias("news"),
+        has(r"(?i)^(get|find|list|load|fetch)").alias("reads"), has(r"(?i)^(save|create|insert|update|delete|store|put)").alias("writes"),
+    )
+    pick = lambda cond, pattern, n: both.where(cond).select("id", F.lit(pattern).alias("pattern"), F.expr(n).cast("long").alias("evidence"))
+    handler = r"(?i)handler|middleware|func\s*\("
+    parts = [
+        out(made.where(F.col("name").rlike(r"^(New|Create|Make|new_|create_|make_)")), "factory", F.count("*")),
+        out(made.where(F.col("name").rlike(r"(?i)^(get_?)?instance$|^default$")), "singleton", F.count("*")),
+        out(f.where(F.col("name").rlike("^With[A-Z]") & F.coalesce(F.col("returns"), F.lit("")).rlike(r"Option|func")), "options", F.count("*")),
+        out(f.where(F.col("returns").rlike(handler) & F.regexp_extract("signature", r"\(([^)]*)\)", 1).rlike(handler)), "middleware", F.count("*")),
+        out(edges.where("etype = 'implements'").select(F.col("dst").alias("id"), "src"), "strategy", F.countDistinct("src")).where("evidence >= 2"),
+        pick("fluent >= 2 AND builds > 0", "builder", "fluent + builds"), pick("subs > 0 AND news > 0", "observer", "subs + news"), pick("reads > 0 AND writes > 0", "repository", "reads + writes"),
+    ]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.select("id", "pattern", "evidence", F.round(F.least(F.lit(0.95), 0.7 + 0.1 * F.col("evidence")), 4).alias("confidence"))
+
+
+def conventions(symbols: DataFrame, imports: DataFrame, min_share: float = 0.3) -> DataFrame:
+    """``kind, pattern, share`` beside those of naming: how errors are handled, files organised, tests written, symbols documented and modules imported, over all symbols and imports; patterns of ``min_share`` or more."""
+    f = symbols.where("kind IN ('function', 'method')")
+    code, returns = F.coalesce(F.col("code"), F.lit("")), F.coalesce(F.col("returns"), F.lit(""))
+
+    def share(df: DataFrame, kind: str, **cases: Column) -> DataFrame:
+        found = df.agg(*(F.avg(c.cast("int")).alias(n) for n, c in cases.items()))
+        rows = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(n.replace("_", " ")).alias("pattern"), F.col(n).alias("share")) for n in cases))
+        return found.select(F.explode(rows).alias("x")).select("x.*")
+
+    test = F.col("name").rlike(r"^(Test|Benchmark|Fuzz|Example)[A-Z_]|^test_")
+    per_file = symbols.groupBy("file_path").agg(F.count_if(F.col("kind").isin("struct", "class", "interface")).alias("types"), F.max(F.col("file_path").rlike(r"(_test\.\w+|(^|/)test_[^/]*|\.(test|spec)\.\w+)$")).alias("test"))
+    parts = [
+        share(f, "errors", returned=returns.rlike(r"\berror\b"), wrapped=code.rlike(r"%w|raise .* from |errors\.Wrap"), raised=code.rlike(r"\b(raise|throw|panic)\b"), caught=code.rlike(r"\b(except|catch|recover)\b")),
+        share(per_file, "files", one_type_a_file=F.col("types") == 1, tests_beside=F.col("test")),
+        share(f.where(test), "tests", table_driven=code.rlike(r"(?s)range\s+(tests|cases|tt)|parametrize|\.each\("), subtests=code.rlike(r"t\.Run\(|subTest\(|describe\(")),
+        share(f.where("exported"), "documentation", documented=code.rlike(r"(?s)^[^\n]*:\s*\n\s*(\"{3}|'{3})|/\*\*|^\s*//")),
+        share(imports, "imports", relative=F.col("is_relative"), aliased=F.col("alias").isNotNull(), wildcard=F.col("is_wildcard")),
+    ]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.where(F.col("share") >= min_share).withColumn("share", F.round("share", 6))
+
+
 def naming_conventions(symbols: DataFrame, min_share: float = 0.3) -> DataFrame:
     """``language, kind, style, share`` of the styles that at least ``min_share`` of the names of a kind have, over all symbols."""
     style = F.when(F.col("name").rlike(r"^[A-Z][A-Z0-9_]+$"), "UPPER").when(F.col("name").rlike(r"^[A-Z][A-Za-z0-9]*$"), "Pascal").when(F.col("name").rlike(r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"), "snake").when(F.col("name").rlike(r"^[a-z][A-Za-z0-9]*$"), "camel").otherwise("other")

@@ -218,6 +218,17 @@ def design_patterns(spark, d):
     return code.design_patterns(g.nodes, g.edges)
 
 
+@query(
+    "data_flow_roles",
+    f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), w AS (SELECT min(id) AS id, 0 AS depth FROM nodes UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.id WHERE w.depth < 5)
+SELECT id, min(depth) AS depth, CASE name WHEN 'view' THEN 'source' WHEN 'purchase' THEN 'sink' WHEN 'click' THEN 'transform' ELSE 'other' END AS role FROM w JOIN nodes USING (id) GROUP BY id, name""",
+)
+def data_flow_roles(spark, d):
+    """Views read, purchases save, clicks format."""
+    g = _named_sessions(spark, d, {"view": "read_view", "purchase": "save_purchase", "click": "format_click"})
+    return explore.data_flow(g, g.nodes.agg(F.min("id")).first()[0])
+
+
 @query(
     "error_flow_of_sessions",
     f"""WITH RECURSIVE {SESSION_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE dst NOT IN (SELECT id FROM nodes WHERE name = 'signup')),

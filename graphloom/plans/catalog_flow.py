@@ -16,11 +16,12 @@ def _pairs(t):
     c = t.where(F.col("id").startswith("c")).select(F.col("id").alias("u"), F.concat(F.lit("s"), F.substring("id", 2, 20)).alias("v"))
     s = t.where(F.col("id").startswith("s")).select(F.col("id").alias("v"))
     extra = t.sparkSession.createDataFrame([("n1", "n2"), ("r0", "n24"), ("world", "c1"), ("c1", "c1")], "u string, v string")
-    return c.join(s, "v").select("u", "v").unionByName(extra)
+    far = t.where(F.col("id").startswith("c") & (F.pmod("value", F.lit(3)) == 0)).select(F.col("id").alias("u"), F.col("parent").alias("p")).join(t.select(F.col("id").alias("p"), F.col("parent").alias("v")), "p").select("u", "v")
+    return c.join(s, "v").select("u", "v").unionByName(extra).unionByName(far)
 
 
 _PAIRS = """pairs AS (SELECT a.id AS u, b.id AS v FROM tree a JOIN tree b ON b.id = 's' || substr(a.id, 2) WHERE a.id LIKE 'c%'
-  UNION ALL VALUES ('n1', 'n2'), ('r0', 'n24'), ('world', 'c1'), ('c1', 'c1')),
+  UNION ALL VALUES ('n1', 'n2'), ('r0', 'n24'), ('world', 'c1'), ('c1', 'c1') UNION ALL SELECT a.id, p.parent FROM tree a JOIN tree p ON p.id = a.parent WHERE a.id LIKE 'c%' AND ((a.value % 3) + 3) % 3 = 0),
 meet AS (SELECT p.u, p.v, arg_max(a.ancestor, d.depth) AS lca, max(d.depth) AS depth FROM pairs p JOIN up a ON a.id = p.u JOIN up b ON b.id = p.v AND b.ancestor = a.ancestor JOIN depths d ON d.id = a.ancestor GROUP BY p.u, p.v)"""
 
 
@@ -43,17 +44,17 @@ def tree_lca(spark, d):
     f"""WITH RECURSIVE {TREE_SQL}, {_PAIRS}, onpath AS (
   SELECT DISTINCT m.u, m.v, a.ancestor AS id FROM meet m JOIN (SELECT u AS e, u, v FROM meet UNION ALL SELECT v, u, v FROM meet) x ON x.u = m.u AND x.v = m.v
   JOIN up a ON a.id = x.e JOIN depths d ON d.id = a.ancestor WHERE d.depth >= m.depth)
-SELECT u, v, sum(value)::BIGINT AS sum, min(value) AS min, max(value) AS max FROM onpath JOIN tree USING (id) GROUP BY u, v""",
+SELECT u, v, sum(value)::BIGINT AS sum, min(value) AS min, max(value) AS max, list_reduce(list_distinct(list(abs(value))), lambda a, b: gcd(a, b)) AS gcd FROM onpath JOIN tree USING (id) GROUP BY u, v""",
 )
 def tree_path_aggregates(spark, d):
     t = geography_tree(spark, d)
-    return trees.path_aggregate(trees.root_paths(t), t.select("id", "value"), _pairs(t)).drop("gcd")
+    return trees.path_aggregate(trees.root_paths(t), t.select("id", "value"), _pairs(t))
 
 
-@query("tree_subtree_aggregates", f"WITH RECURSIVE {TREE_SQL} SELECT u.ancestor AS id, count(*) AS nodes, sum(t.value)::BIGINT AS sum, min(t.value) AS min, max(t.value) AS max FROM up u JOIN tree t ON t.id = u.id GROUP BY u.ancestor")
+@query("tree_subtree_aggregates", f"WITH RECURSIVE {TREE_SQL} SELECT u.ancestor AS id, count(*) AS nodes, sum(t.value)::BIGINT AS sum, min(t.value) AS min, max(t.value) AS max, list_reduce(list_distinct(list(abs(t.value))), lambda a, b: gcd(a, b)) AS gcd FROM up u JOIN tree t ON t.id = u.id GROUP BY u.ancestor")
 def tree_subtree_aggregates(spark, d):
     t = geography_tree(spark, d)
-    return trees.subtree_aggregate(trees.root_paths(t), t.select("id", "value")).drop("gcd")
+    return trees.subtree_aggregate(trees.root_paths(t), t.select("id", "value"))
 
 
 @query("tree_gcd", f"WITH RECURSIVE {TREE_SQL} SELECT u.ancestor AS id, list_reduce(list_distinct(list(abs(t.value))), lambda a, b: gcd(a, b)) AS gcd FROM up u JOIN tree t ON t.id = u.id GROUP BY u.ancestor")
@@ -66,11 +67,13 @@ def tree_gcd(spark, d):
     "euler_tour",
     f"""WITH RECURSIVE {TREE_SQL}, sizes AS (SELECT ancestor AS id, count(*) AS size FROM up GROUP BY ancestor),
 b AS (SELECT t.id, t.parent, s.size, coalesce(sum(s.size) OVER (PARTITION BY t.parent ORDER BY t.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN t.parent IS NULL THEN 0 ELSE 1 END AS step FROM tree t JOIN sizes s USING (id)),
-i AS (SELECT u.id, sum(b.step)::BIGINT AS tin FROM up u JOIN b ON b.id = u.ancestor GROUP BY u.id)
-SELECT b.id, b.parent, d.depth, b.size, i.tin, i.tin + b.size - 1 AS tout FROM b JOIN i USING (id) JOIN depths d USING (id)""",
+i AS (SELECT u.id, sum(b.step)::BIGINT AS tin FROM up u JOIN b ON b.id = u.ancestor GROUP BY u.id),
+h AS (SELECT parent AS id, arg_min(id, (-size, id)) AS heavy FROM b WHERE parent IS NOT NULL GROUP BY parent),
+tops AS (SELECT b.id FROM b LEFT JOIN h ON h.id = b.parent WHERE h.heavy IS NULL OR h.heavy <> b.id), c AS (SELECT u.id, arg_min(u.ancestor, u.dist) AS head FROM up u JOIN tops t ON t.id = u.ancestor GROUP BY u.id)
+SELECT b.id, b.parent, d.depth, b.size, i.tin, i.tin + b.size - 1 AS tout, h.heavy, c.head FROM b JOIN i USING (id) JOIN depths d USING (id) LEFT JOIN h USING (id) JOIN c USING (id)""",
 )
 def euler_tour(spark, d):
-    return trees.euler_tour(trees.root_paths(geography_tree(spark, d))).drop("heavy", "head")
+    return trees.euler_tour(trees.root_paths(geography_tree(spark, d)))
 
 
 @query(

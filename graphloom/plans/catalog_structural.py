@@ -71,6 +71,28 @@ def importers_of_hosts(spark, d):
     return g.of_type("imports").groupBy(F.col("dst").alias("imported")).agg(F.countDistinct("src").alias("importers"))
 
 
+@query(
+    "importers_of_first_host",
+    f"WITH {WEB_SQL}, h AS (SELECT min(package) AS host FROM nodes WHERE kind = 'file') SELECT DISTINCT e.src AS importer FROM edges e JOIN nodes n ON n.id = e.dst, h WHERE n.package = h.host AND n.kind = 'file'",
+)
+def importers_of_first_host(spark, d):
+    g = web_graph(spark, d)
+    return st.importers(g, g.nodes.where("kind = 'file'").agg(F.min("package")).first()[0])
+
+
+@query(
+    "external_dependencies",
+    f"""WITH {WEB_SQL}, s AS (SELECT min(id) AS id FROM nodes WHERE kind = 'file'), x AS (SELECT dst AS id, 1 AS depth, min(src) AS first_caller FROM edges WHERE src IN (SELECT id FROM s) AND starts_with(dst, 'external:') GROUP BY dst),
+n AS (SELECT id, regexp_extract(id, '[^/]*/?$') AS name FROM x)
+SELECT id, CASE WHEN contains(name, '.') THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) ELSE '' END AS package, depth, first_caller FROM x JOIN n USING (id)""",
+)
+def external_dependencies(spark, d):
+    """What the first page links to outside."""
+    g = web_graph(spark, d)
+    first = g.nodes.where("kind = 'file'").agg(F.min("id").alias("id")).withColumn("depth", F.lit(0))
+    return st.external_dependencies(g, first)
+
+
 @query("external_targets", f"WITH {WEB_SQL} SELECT id, count(*) AS links FROM nodes JOIN edges ON dst = id WHERE kind = 'external' GROUP BY id")
 def external_targets(spark, d):
     g = web_graph(spark, d)

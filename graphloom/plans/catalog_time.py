@@ -76,7 +76,7 @@ def user_sessions(spark, d):
 def streamed_counts(spark, d):
     e = _events(spark, d)
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet*").parquet(d).groupBy("event_type").agg(F.count("*").alias("n"))
-    return jn.run_to_memory(stream, "streamed_counts", "complete")
+    return jn.run_to_table(stream, "streamed_counts", "complete")
 
 
 @query(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+import json
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,6 +158,55 @@ def tree(files: DataFrame) -> DataFrame:
     return files.select(F.explode(dirs).alias("dir"), F.length("text").alias("n")).groupBy("dir").agg(F.count("*").alias("files"), F.sum("n").alias("size"))
 
 
+def find_files(files: DataFrame, *globs: str) -> DataFrame:
+    """Files whose path one of ``globs`` fits."""
+    hit = F.lit(False)
+    for g in globs:
+        hit = hit | F.col("file_path").rlike(glob_regex(g))
+    return files.where(hit)
+
+
+def json_set(files: DataFrame, path: str, value: str) -> DataFrame:
+    """``files`` with the value at ``path`` (``$.a.b``) of their JSON text set to the JSON ``value``; objects on the way are made; texts that aren't objects stay."""
+    keys = path.removeprefix("$.").split(".")
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                root = json.loads(text or "")
+            except ValueError:
+                return text
+            at = root
+            for k in keys[:-1]:
+                at = at.setdefault(k, {}) if isinstance(at, dict) else None
+            if not isinstance(at, dict):
+                return text
+            at[keys[-1]] = json.loads(value)
+            return json.dumps(root, ensure_ascii=False)
+
+        return texts.map(one)
+
+    return files.withColumn("text", put("text"))
+
+
+def diff_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``file_path, change, at, text``: lines removed from and added to files (``file_path, text``), by the longest common runs of each file."""
+    both = old.select("file_path", F.col("text").alias("a")).join(new.select("file_path", F.col("text").alias("b")), "file_path", "full").where("NOT a <=> b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, a, b in zip(pdf["file_path"], pdf["a"], pdf["b"], strict=True):
+                x, y = (([] if t is None else t.split("\n")) for t in (a, b))
+                for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, False).get_opcodes():
+                    if tag != "equal":
+                        rows += [(path, "removed", n + 1, x[n]) for n in range(i, j)] + [(path, "added", n + 1, y[n]) for n in range(k, m)]
+            yield pd.DataFrame(rows, columns=["file_path", "change", "at", "text"])
+
+    return both.mapInPandas(run, "file_path string, change string, at int, text string")
+
+
 def json_path(files: DataFrame, path: str) -> DataFrame:
     return files.select("file_path", F.get_json_object("text", path).alias("value"))
 
@@ -185,6 +238,30 @@ def to_dot(g: CodeGraph) -> DataFrame:
     return ends.unionByName(e)
 
 
+def to_html(g: CodeGraph, most: int = 2000) -> str:
+    """A page that draws the graph by forces (with D3 from its public address): for graphs of at most ``most`` edges; a larger one raises ValueError."""
+    edges = g.edges.select("src", "dst", "etype").limit(most + 1).collect()
+    if len(edges) > most:
+        raise ValueError(f"a page shows at most {most} edges")
+    ids = sorted({x for e in edges for x in (e["src"], e["dst"])})
+    data = json.dumps({"nodes": [{"id": i} for i in ids], "links": [{"source": e["src"], "target": e["dst"], "type": e["etype"]} for e in edges]}).replace("</", "<\\/")
+    return (
+        '<!DOCTYPE html><meta charset="utf-8"><svg width="1200" height="800"></svg><script src="https://d3js.org/d3.v7.min.js"></script><script>'
+        f"const g={data},s=d3.select('svg'),l=s.selectAll('line').data(g.links).join('line').attr('stroke','#999'),n=s.selectAll('text').data(g.nodes).join('text').text(d=>d.id);"
+        "d3.forceSimulation(g.nodes).force('l',d3.forceLink(g.links).id(d=>d.id)).force('c',d3.forceManyBody()).force('m',d3.forceCenter(600,400))"
+        ".on('tick',()=>{l.attr('x1',d=>d.source.x).attr('y1',d=>d.source.y).attr('x2',d=>d.target.x).attr('y2',d=>d.target.y);n.attr('x',d=>d.x).attr('y',d=>d.y)});</script>"
+    )
+
+
+def export(df: DataFrame, path: str, form: str = "csv") -> None:
+    """Write rows as CSV with a header or as JSON lines; nested columns become JSON in CSV."""
+    if form == "json":
+        df.write.mode("overwrite").json(path)
+    else:
+        nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
+        df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_vectors(vectors: DataFrame, path: str, graph_hash: str) -> bool:
     """Write vectors for a graph unless that graph's are there; whether they were written."""
     spark = vectors.sparkSession

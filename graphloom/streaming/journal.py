@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphloom.plans.tables import new_path
 from graphloom.sources.graphs import CodeGraph
 
 
@@ -27,8 +30,25 @@ def state(journal: DataFrame, upto: int | None = None) -> DataFrame:
 
 
 def follow(spark: SparkSession, path: str, schema: str, sink: str) -> StreamingQuery:
-    """The journal as a stream into a memory table: a live feed of deltas."""
-    return spark.readStream.schema(schema).parquet(path).writeStream.format("memory").queryName(sink).outputMode("append").trigger(availableNow=True).start()
+    """The journal as a stream into a Parquet folder ``sink``: a feed of deltas that goes on where it stopped."""
+    stream = spark.readStream.schema(schema).parquet(path)
+    return stream.writeStream.format("parquet").option("checkpointLocation", f"{sink}/_state").outputMode("append").trigger(availableNow=True).start(sink)
+
+
+def watch(spark: SparkSession, path: str, schema: str, act: Callable[[DataFrame], None], ignore: str | None = None, every: str = "100 milliseconds", batch_files: int = 1000, once: bool = False) -> StreamingQuery:
+    """Give ``act`` the :func:`dirty_files` of each batch of change notes (``seq, file_path, op``) that arrives below ``path``.
+
+    Batches are what came in ``every`` span, at most ``batch_files`` notes files, so bursts are taken together. With
+    ``once``, what is there now is worked off and the stream ends.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files).parquet(path)
+
+    def run(batch: DataFrame, _: int) -> None:
+        found = dirty_files(batch, ignore)
+        if not found.isEmpty():
+            act(found)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", new_path(spark, "watch")).trigger(**({"availableNow": True} if once else {"processingTime": every})).start()
 
 
 def dirty_files(changes: DataFrame, ignore: str | None = None) -> DataFrame:
@@ -100,11 +120,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", by: str = "user_id", ts
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a memory table and return that table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into a table in the shared folder: rows are added, or with ``mode="complete"`` replaced, batch by batch."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def step_cycles(steps: DataFrame, session: str, order: list[str], step: Column) -> DataFrame:

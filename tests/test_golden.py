@@ -263,8 +263,8 @@ def test_journal(spark, tmp_path):
     j = spark.createDataFrame([(1, "a", "put", 1), (2, "b", "put", 2), (3, "a", "delete", 0)], "seq long, key string, op string, value int")
     assert rows(journal.state(j), "key", "value") == [("b", 2)] and rows(journal.state(j, 2), "key", "value") == [("a", 1), ("b", 2)]
     journal.append(j, f"file://{tmp_path}/j")
-    journal.follow(spark, f"file://{tmp_path}/j", "seq long, key string, op string, value int", "feed").awaitTermination()
-    assert spark.table("feed").count() == 3
+    journal.follow(spark, f"file://{tmp_path}/j", "seq long, key string, op string, value int", f"file://{tmp_path}/feed").awaitTermination()
+    assert spark.read.parquet(f"file://{tmp_path}/feed").count() == 3
     g = graph(spark, [("A", "function", "p"), ("B", "function", "p"), ("C", "function", "p")], [("A", "B", "calls"), ("B", "C", "calls")])
     fresh = graph(spark, [("B", "function", "p")], [])
     new, how = journal.refresh(g, spark.createDataFrame([("p/B.go", "modified")], "file_path string, op string"), fresh)

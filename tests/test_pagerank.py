@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from graphloom.operators import dominators as dm
+from graphloom.operators.analytics import pagerank
 from graphloom.sources.graphs import CodeGraph, supply_graph
 from graphloom.plans import catalog_flow
 from graphloom.plans.catalog_flow import flow_graph
@@ -39,6 +40,16 @@ def test_supply_converges(spark, sf):
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-8
 
 
+def test_both_ways_give_the_same_ranks(spark):
+    """Parallel edges, self-loops, nodes without edges, sinks, and edges to and from what is no node."""
+    links = [("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "c"), ("d", "a"), ("a", "gone"), ("lost", "a"), *((f"n{i}", f"n{(i * 3) % 9}") for i in range(9))]
+    nodes = spark.createDataFrame([(x,) for x in ["a", "b", "c", "d", "alone", *(f"n{i}" for i in range(9))]], "id string")
+    g = CodeGraph(nodes, spark.createDataFrame(links, "src string, dst string"))
+    one, many = ({r["id"]: r["rank"] for r in pagerank(g, sequential=s).collect()} for s in (True, False))
+    assert one.keys() == many.keys() and one == pytest.approx(many, abs=1e-12)
+    assert not pagerank(CodeGraph(nodes.limit(0), g.edges)).collect()
+
+
 def test_weighted_criticality_runs_to_the_end(spark, sf, monkeypatch):
     """On a ring with one chord, ranks still move after 20 iterations."""
     links = [(f"n{i}", f"n{(i + 1) % 12}") for i in range(12)] + [("world", "n0"), ("n0", "n5"), ("n3", "n0")]

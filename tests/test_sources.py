@@ -139,3 +139,40 @@ def test_call_sites_beyond_the_limit(spark):
     f = spark.createDataFrame([("a.py", text)], "file_path string, text string")
     n = lambda most: construction.build_graph(f, most).edges.where("etype = 'calls'").count()
     assert n(1000) == 1000 and n(None) == 1200
+
+
+def test_edits_and_exports(spark, tmp_path, project):
+    assert {r["file_path"] for r in files.find_files(project, "*.go", "web/**").collect()} == {p for p in PROJECT if p.endswith(".go") or p.startswith("web/")}
+    j = spark.createDataFrame([("a.json", '{"a": {"b": 1}}'), ("b.json", "[1]"), ("c.json", "no"), ("d.json", None)], "file_path string, text string")
+    assert {r["file_path"]: r["text"] for r in files.json_set(j, "$.a.c", '"x"').collect()} == {"a.json": '{"a": {"b": 1, "c": "x"}}', "b.json": "[1]", "c.json": "no", "d.json": None}
+    new = spark.createDataFrame([("a.json", "x\ny"), ("b.json", "[1]"), ("e.json", "n")], "file_path string, text string")
+    old = spark.createDataFrame([("a.json", "x\nz\ny"), ("b.json", "[1]"), ("f.json", "q")], "file_path string, text string")
+    assert sorted(tuple(r) for r in files.diff_lines(old, new).collect()) == [("a.json", "removed", 2, "z"), ("e.json", "added", 1, "n"), ("f.json", "removed", 1, "q")]
+    g = construction.build_graph(project)
+    assert "d3.v7" in files.to_html(g)
+    with pytest.raises(ValueError, match="at most 1"):
+        files.to_html(g, 1)
+    rows = spark.createDataFrame([(1, ["a", "b"])], "id int, tags array<string>")
+    files.export(rows, f"file://{tmp_path}/c")
+    files.export(rows, f"file://{tmp_path}/j", "json")
+    assert spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/c").first()["tags"] == '["a","b"]'
+    assert spark.read.json(f"file://{tmp_path}/j").first()["tags"] == ["a", "b"]
+
+
+def test_patterns_by_structure_and_conventions(spark):
+    from graphloom.operators import code
+
+    schema = "id string, name string, kind string, receiver string, package string, signature string, returns string, code string, exported boolean, file_path string"
+    row = lambda name, kind="function", receiver=None, returns=None, sig="", text="": (f"{receiver or ''}.{name}", name, kind, receiver, "p", sig, returns, text, True, "a.go")
+    s = spark.createDataFrame([
+        row("Store", "struct"), row("Query", "struct"), row("Bus", "struct"), row("Shape", "interface"), row("Plain", "struct"),
+        row("NewStore", returns="*Store"), row("NewThing", returns="int"), row("GetInstance", returns="Store"), row("WithSize", returns="Option"), row("WithNothing", returns="int"),
+        row("Logged", sig="func Logged(next Handler) Handler", returns="Handler"), row("Where", "method", "Query", "*Query"), row("Limit", "method", "Query", "*Query"), row("Build", "method", "Query", "string"),
+        row("Subscribe", "method", "Bus"), row("Notify", "method", "Bus"), row("Get", "method", "Store", "error"), row("Save", "method", "Store", "error"), row("Get", "method", "Plain"), row("TestX", text="for _, tt := range tests { t.Run() }"),
+    ], schema)
+    e = spark.createDataFrame([("Circle", ".Shape", "implements"), ("Square", ".Shape", "implements"), ("X", ".Plain", "implements")], "src string, dst string, etype string")
+    got = {(r["id"], r["pattern"]) for r in code.structural_patterns(s, e).collect()}
+    assert got == {(".NewStore", "factory"), (".GetInstance", "singleton"), (".WithSize", "options"), (".Logged", "middleware"), (".Shape", "strategy"), (".Query", "builder"), (".Bus", "observer"), (".Store", "repository")}
+    imports = spark.createDataFrame([("a.go", None, False, True), ("a.go", "x", False, False)], "file_path string, alias string, is_wildcard boolean, is_relative boolean")
+    share = {(r["kind"], r["pattern"]): r["share"] for r in code.conventions(s, imports, 0.1).collect()}
+    assert share["imports", "relative"] == 0.5 and share["tests", "table driven"] == 1.0 and share["errors", "returned"] == round(2 / 15, 6) and ("imports", "wildcard") not in share
