@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import chunks, map_batches, slices, text_bytes, word_hashes
+from graphloom.plans.tables import drop_table, write_table
 
 #: Words of a passage.
 PASSAGE = 64
-#: Labelled documents that a model is fitted on at most: those of the least hashed ids.
-MAX_TRAIN = 6000
+#: Labelled documents that a model is fitted on at most, those of the least hashed ids, and the bytes of their features.
+MAX_TRAIN, MAX_TRAIN_BYTES = 6000, 256 << 20
 _CLASSES = (
     b"abcdefghijklmnopqrstuvwxyz",
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -170,21 +171,28 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> GatedAttention:
-    """Fit a model on labelled documents that are not held out, ``max_train`` at most.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> GatedAttention:
+    """Fit a model on labelled documents that are not held out, ``max_train`` at most, and of these on as many as have ``max_bytes`` of features.
 
-    Nulls among the labels and labels other than 0 and 1 don't count. With
+    A labelled id counts once for each of its labels, by the text of the least hash if it has several rows. Nulls among the labels and labels other than 0 and 1 don't count. With
     fewer than one document of either label, the model scores the share of label 1 (0.5 if there are none).
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     own = known.where(F.col("__id").isNotNull() & ~held_out(F.col("__id")))
     chosen = own.orderBy(F.xxhash64("__id"), "__id", "quality").limit(max_train)
-    rows = (
-        docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
-        .select("quality", F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-        .select("quality", "__text", F.xxhash64("__id", "__text").alias("__order"))
-    )
-    got = map_batches(rows.select("quality", "__text"), _encode, "quality int, features binary").toPandas()
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("__own"), text.alias("__text")).join(F.broadcast(chosen), F.col("__own") == F.col("__id"))
+    rows = rows.groupBy("__id", "quality").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    encoded = map_batches(rows.select("quality", "__text"), _encode, "quality int, features binary")
+    encoded = write_table(encoded.withColumn("place", F.xxhash64("features", "quality")), "mil-features")
+    last, used = None, 0
+    for place, size in sorted((r[0], r[1]) for r in encoded.select("place", F.length("features")).collect()):
+        used += size
+        if used > max_bytes:
+            break
+        last = place
+    got = encoded.where(F.col("place") <= F.lit(last)).toPandas() if last is not None else encoded.limit(0).toPandas()
+    drop_table(encoded)
     got = got.assign(key=[hash_bytes(f) for f in got["features"]]).sort_values(["key", "quality"], kind="stable")
     model = GatedAttention(N_FEATURES)
     y = got["quality"].to_numpy(np.float64)

@@ -259,6 +259,21 @@ def test_classifier(spark, docs, nothing, labels, sf):
     assert {r["score"] for r in quality_mil.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_bounds_and_ties(spark):
+    """Repeated rows of a labelled id don't weigh more, bytes are bounded, equal texts have equal scores."""
+    rows = [(i, make_text(i, 40) if i % 2 else "## " * 30 + str(i)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    many = d.unionByName(d.where("doc_id IN (1, 2, 3)")).unionByName(d.where("doc_id = 1")).withColumn("quality", F.lit("clash"))
+    once = {r["doc_id"]: r["score"] for r in quality_mil.quality_scores(d, lab).collect()}
+    got = quality_mil.quality_scores(many, lab).collect()
+    assert len(got) == 44 and all(r["score"] == once[r["doc_id"]] for r in got)
+    small = quality_mil.train(d, lab, max_bytes=5 * 4 * quality_mil.N_FEATURES)
+    assert set(small.p) == {"W", "b", "V", "U", "w", "c", "d"}
+    same = quality_mil.quality_scores(d.select("doc_id", F.lit("one text").alias("text")), lab).select("score").distinct()
+    assert same.count() == 1
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     scored = queries.op4_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")

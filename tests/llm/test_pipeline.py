@@ -28,6 +28,35 @@ def test_stages(spark, sf):
     assert last.count() == docs.count()
 
 
+def test_odd_rows(spark, sf):
+    """Nulls everywhere, repeated ids and rows, empty and long texts, and columns whose names clash with those inside."""
+    from pyspark.sql import functions as F
+    from tests_llm_helpers import make_text
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("text IS NOT NULL").first()["text"]
+    base = make_text(40, 90)
+    rows = [
+        (1, base, "en", "a"), (1, base, "en", "a"), (2, base, None, None), (2, make_text(41, 90), "en", "b"), (None, make_text(42, 90), "en", "a"), (3, None, "en", "a"), (4, "", None, "a"),
+        (5, make_text(43, 30_000), "fr", "b"), (6, item, "en", "b"), (7, make_text(44, 2000) + " " + item + " " + make_text(45, 2000), "en", "b"), (8, "same " * 80, "en", "a"), (9, make_text(46, 90) + "\n\tx", "de", ""),
+    ]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("__x", "__row", "mark", "in_0", "__block", "row", "gone", "key", "tokens"):
+        docs = docs.withColumn(name, F.lit(1))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = write_table(stage(spark, docs, sf), name)
+        assert out.columns == docs.columns, name
+        docs = out
+        kept.append(sorted((r["doc_id"] or 0, r["text"][:20]) for r in out.select("doc_id", "text").distinct().collect()))
+    good = [0, 1, 2, 5, 6, 7, 9]
+    assert [i for i, _ in kept[0]] == sorted([*good, 2]) and [i for i, _ in kept[1]] == good
+    assert [i for i, _ in kept[2]] == [0, 1, 2, 5, 7, 9] == [i for i, _ in kept[3]]
+    cut = docs.where("doc_id = 7").first()
+    assert item[:60] not in cut["text"] and cut["n_chars"] == len(cut["text"])
+    digest = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert digest.count() == docs.count()
+
+
 def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
