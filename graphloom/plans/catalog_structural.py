@@ -71,13 +71,9 @@ def importers_of_hosts(spark, d):
     return g.of_type("imports").groupBy(F.col("dst").alias("imported")).agg(F.countDistinct("src").alias("importers"))
 
 
-@query(
-    "importers_of_first_host",
-    f"WITH {WEB_SQL}, h AS (SELECT min(package) AS host FROM nodes WHERE kind = 'file') SELECT DISTINCT e.src AS importer FROM edges e JOIN nodes n ON n.id = e.dst, h WHERE n.package = h.host AND n.kind = 'file'",
-)
-def importers_of_first_host(spark, d):
-    g = web_graph(spark, d)
-    return st.importers(g, g.nodes.where("kind = 'file'").agg(F.min("package")).first()[0])
+@query("importers_of_external_pages", f"WITH {WEB_SQL} SELECT DISTINCT e.src AS importer FROM edges e JOIN nodes n ON n.id = e.dst WHERE n.package = ''")
+def importers_of_external_pages(spark, d):
+    return st.importers(web_graph(spark, d), "")
 
 
 @query(
