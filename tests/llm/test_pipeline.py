@@ -37,7 +37,7 @@ def test_odd_rows(spark, sf):
     base = make_text(40, 90)
     rows = [
         (1, base, "en", "a"), (1, base, "en", "a"), (2, base, None, None), (2, make_text(41, 90), "en", "b"), (None, make_text(42, 90), "en", "a"), (3, None, "en", "a"), (4, "", None, "a"),
-        (5, make_text(43, 30_000), "fr", "b"), (6, item, "en", "b"), (7, make_text(44, 2000) + " " + item + " " + make_text(45, 2000), "en", "b"), (8, "same " * 80, "en", "a"), (9, make_text(46, 90) + "\n\tx", "de", ""),
+        (5, make_text(43, 30_000), "fr", "b"), (6, item + " " + make_text(47, 60), "en", "b"), (7, make_text(44, 2000) + " " + item + " " + make_text(45, 2000), "en", "b"), (8, "same " * 80, "en", "a"), (9, make_text(46, 90) + "\n\tx", "de", ""),
     ]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     for name in ("__x", "__row", "mark", "in_0", "__block", "row", "gone", "key", "tokens"):
