@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html_extract, line_dedup, mixing, ngram_join, pii_crf, quality_mil, quality_rules, token_orc, url_filter
+from graphloom.llm import decontam, fill_middle, fingerprint, html_extract, line_dedup, mixing, ngram_join, pii_crf, quality_mil, quality_rules, token_orc, url_filter, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 URL_ALLOW = ["org/", "com/fr/"]
@@ -79,11 +79,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_url_filter, op3_ngram_join, op4_quality_classifier, op5_token_files,
         op6_personal_data, op7_quality_rules, op8_html_extraction, op9_decontamination, op10_line_dedup,
+        op11_fill_in_middle, op12_fingerprints, op13_whitening,
     )
 }
 
@@ -151,5 +166,23 @@ WITH lines AS (
 SELECT l.doc_id, len(ls) AS n_lines, coalesce(len(g), 0) AS n_removed,
        array_to_string(CASE WHEN g IS NULL THEN ls ELSE list_filter(ls, lambda x, i: NOT list_contains(g, i)) END, chr(10)) AS text
 FROM lines l LEFT JOIN gone USING (doc_id)
+""",
+    "op11_fill_in_middle": """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (n + 1) AS c2,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs
+), cut AS (
+  SELECT doc_id, t, CAST(n AS BIGINT) AS n, form, CAST(least(c1, c2) AS BIGINT) AS a, CAST(greatest(c1, c2) AS BIGINT) AS b FROM drawn
+), parts AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
 """,
 }
