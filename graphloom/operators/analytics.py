@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.components import connected_components
+from graphloom.operators.communities import communities
 from graphloom.operators.sequential import fits, in_one_task
 from graphloom.plans.tables import GrowingTable, drop_table, write_table
 from graphloom.sources.graphs import CodeGraph
 
+__all__ = ["communities"]
+
 
 def degrees(g: CodeGraph) -> DataFrame:
     """``id, in_degree, out_degree`` of every node; parallel edges count each."""
@@ -241,60 +241,6 @@ def modularity(g: CodeGraph, communities: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 200, patience: int = 4) -> DataFrame:
-    """``id, community``: local moves that raise modularity, then a split of each community into connected parts.
-
-    In each round half of the nodes (by hash, alternating) may move to the neighbouring
-    community of the greatest gain, the least on ties, if it is strictly positive; so two neighbours
-    seldom swap for ever. Rounds end when none of either half moves or modularity hasn't risen for ``patience`` rounds; the labels of the
-    greatest modularity count (those after ``max_rounds`` at the latest). Every community is connected in the end.
-    """
-    pair = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    links = write_table(pair.unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("w")), "community-links")
-    ends = g.edges.select(F.col("src").alias("id")).unionByName(g.edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("k"))
-    base = write_table(g.nodes.select("id").distinct().join(ends, "id", "left").na.fill(0, ["k"]), "community-nodes")
-    m = g.edges.count()
-    labels = write_table(base.select("id", "k", F.col("id").alias("community")), "community")
-    if not m:
-        return labels.select("id", "community")
-    quiet = stale = 0
-    best_labels, best_q = labels, -math.inf
-    for r in range(max_rounds):
-        total = labels.groupBy("community").agg(F.sum("k").alias("total"))
-        toward = links.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("e"))
-        own = labels.select("id", "k", F.col("community").alias("now")).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)) == r % 2)
-        here = toward.select("id", F.col("community").alias("now"), F.col("e").alias("e_now"))
-        inside = toward.join(labels.select("id", "community"), ["id", "community"]).agg(F.coalesce(F.sum("e"), F.lit(0)).alias("inside"))
-        spread = total.agg(F.sum(F.pow(F.col("total") / (2.0 * m), 2)).alias("spread"))
-        q = inside.crossJoin(F.broadcast(spread)).select(F.col("inside") / (2.0 * m) - resolution * F.col("spread")).first()[0]
-        stale = 0 if q > best_q + 1e-9 else stale + 1
-        if q > best_q:
-            best_labels, best_q = labels, q
-        if stale == patience:
-            break
-        options = (
-            own.join(here, ["id", "now"], "left").join(total.select(F.col("community").alias("now"), F.col("total").alias("t_now")), "now")
-            .join(toward, "id").join(total, "community").where("community <> now")
-            .withColumn("gain", (F.col("e") - F.coalesce("e_now", F.lit(0))) / m - resolution * F.col("k") * (F.col("total") - (F.col("t_now") - F.col("k"))) / (2.0 * m * m))
-            .where("gain > 1e-12")
-        )
-        best = options.groupBy("id").agg(F.min_by("community", F.struct(-F.round("gain", 15), F.col("community"))).alias("to"))
-        new = write_table(labels.join(best, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), "community")
-        moved = new.where("moved").count()
-        labels = new.drop("moved")
-        quiet = 0 if moved else quiet + 1
-        if quiet == 2:
-            best_labels = labels
-            break
-    labels = best_labels
-    inner = (
-        pair.join(labels.select(F.col("id").alias("a"), F.col("community").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("community").alias("y")), "b")
-        .where("x = y").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    )
-    parts = connected_components(inner)
-    return labels.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("community"))
-
-
 def community_summary(g: CodeGraph, found: DataFrame, min_size: int = 1) -> DataFrame:
     """``community, size, package, internal, external, connectivity`` of communities of ``min_size`` or more; the package is the most frequent one, the least of ties; a single node has connectivity 1."""
     own = found.select("id", "community")

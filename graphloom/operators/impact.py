@@ -92,11 +92,12 @@ def side_effects(g: CodeGraph, patterns: DataFrame) -> DataFrame:
 
 
 def taint(g: CodeGraph, sources: DataFrame, sanitizers: DataFrame, sinks: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``source, sink, cwe, depth, state, vulnerable``: tainted data along calls, traced from each of ``sources`` (``id``) on its own.
+    """``source, sink, cwe, depth, state, vulnerable, truncated``: tainted data along calls, traced from each of ``sources`` (``id``) on its own.
 
     Data starts untrusted; a partial sanitizer (``id, complete``, perhaps ``cwe``) makes it mixed, a complete one clean. A node has the
     worst state that reaches it at its first level. A sink (``id, cwe``) is vulnerable if what reaches it from before is untrusted or mixed and the
     trace of its source met no complete sanitizer at an earlier level: one for all kinds of sinks, or, if ``sanitizers`` has a ``cwe``, one for the sink's.
+    ``truncated``: the trace of the source would go on beyond ``max_depth`` calls, so sinks may be missing; with UNLIMITED none is.
     """
     calls = g.of_type("calls").select("src", "dst").distinct()
     kinds = sanitizers if "cwe" in sanitizers.columns else sanitizers.withColumn("cwe", F.lit(None).cast("string"))
@@ -114,12 +115,14 @@ def taint(g: CodeGraph, sources: DataFrame, sanitizers: DataFrame, sinks: DataFr
         if frontier.isEmpty():
             break
     seen = table.read()
+    on = frontier.where(F.lit(max_depth) == F.col("depth")).join(calls.withColumnRenamed("src", "id"), "id").select("source", F.col("dst").alias("id"))
+    on = on.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", F.lit(True).alias("truncated")).distinct()
     name = F.when(F.col("state") == 0, "untrusted").when(F.col("state") == 1, "mixed").otherwise("clean")
     met = seen.join(kinds.where("complete").select("id", F.col("cwe").alias("safe_for")), "id").groupBy("source", "safe_for").agg(F.min("depth").alias("met"))
     own = seen.where("depth > 0").join(sinks.select("id", "cwe"), "id")
     cleared = own.join(met, "source").where("met < depth AND (safe_for IS NULL OR safe_for = cwe)").select("source", "id", "cwe").distinct().withColumn("cleared", F.lit(True))
-    return own.join(cleared, ["source", "id", "cwe"], "left").select(
-        "source", F.col("id").alias("sink"), "cwe", "depth", name.alias("state"), ((F.col("came") < 2) & F.col("cleared").isNull()).alias("vulnerable")
+    return own.join(cleared, ["source", "id", "cwe"], "left").join(on, "source", "left").select(
+        "source", F.col("id").alias("sink"), "cwe", "depth", name.alias("state"), ((F.col("came") < 2) & F.col("cleared").isNull()).alias("vulnerable"), F.coalesce("truncated", F.lit(False)).alias("truncated")
     )
 
 

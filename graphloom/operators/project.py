@@ -113,23 +113,46 @@ def shortest_cycle(dependencies: DataFrame, package: str, sequential: bool | Non
 # --- type checks -------------------------------------------------------------
 
 
+#: Builtin types whose values pass for others', and the numbers that a conversion turns into each other.
+BUILTIN_FITS = {
+    "int": ["int64", "int32"], "int64": ["int"], "int32": ["int"], "float64": ["float32"], "float32": ["float64"], "byte": ["uint8"], "rune": ["int32"],
+}
+NUMERIC = ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "float32", "float64"]
+#: Types that take any value, and how sure each reason is.
+ANYTHING = ["interface{}", "any"]
+SURE = {"exact": 1.0, "anything": 0.95, "builtin": 0.95, "interface": 0.9, "dereference": 0.7, "address": 0.6, "none": 0.8}
+
+
 def type_compatibility(pairs: DataFrame, satisfied: DataFrame) -> DataFrame:
-    """``source, target, compatible, reason, confidence`` of ``pairs`` (``source, target``): equal names, numbers that widen, an interface that the source satisfies (``type, interface``), pointer and value, slices of compatible elements."""
-    norm = lambda c: F.regexp_replace(F.trim(c), r"\s+", "")
-    s, t = norm(F.col("source")), norm(F.col("target"))
-    p = pairs.withColumns({"s": s, "t": t})
-    ok = satisfied.select(F.col("type").alias("s"), F.col("interface").alias("t"), F.lit(True).alias("fits")).distinct()
-    widen = [("int8", "int16"), ("int8", "int32"), ("int8", "int64"), ("int16", "int32"), ("int16", "int64"), ("int32", "int64"), ("float32", "float64"), ("byte", "uint8"), ("uint8", "byte"), ("rune", "int32"), ("int32", "rune")]
-    anything = F.col("t").isin("any", "interface{}", "object", "Any")
-    wide = F.concat_ws(">", "s", "t").isin(*(f"{a}>{b}" for a, b in widen))
-    bare = lambda c: F.regexp_replace(c, r"^\*", "")
-    part = lambda c: F.regexp_extract(c, r"^\[\d*\](.+)$", 1)
+    """``source, target, compatible, reason, confidence, conversions`` of ``pairs`` (``source, target``).
+
+    The first reason that holds: names that are equal but for space around them (exact), a target that takes anything, builtin types that
+    pass for each other, an interface that the source satisfies (``type, interface``, from implements edges), a pointer for its value
+    (dereference) or a value for its pointer (address). Else none, with ``conversions``: what a programmer may write. Slices are
+    compatible if their names are equal. A null or empty name gives the reason invalid and a null confidence.
+    """
+    p = pairs.withColumns({"s": F.trim("source"), "t": F.trim("target")})
+    ok = satisfied.select(F.trim("type").alias("s"), F.trim("interface").alias("t"), F.lit(True).alias("fits")).distinct()
+    s, t = F.col("s"), F.col("t")
+    builtin = F.concat_ws(">", s, t).isin(*(f"{a}>{b}" for a, fits in BUILTIN_FITS.items() for b in fits))
     reason = (
-        F.when(F.col("s") == F.col("t"), "exact").when(anything, "anything").when(wide, "widening").when(F.col("fits"), "interface")
-        .when(bare(F.col("s")) == bare(F.col("t")), "pointer").when((part(F.col("s")) != "") & (part(F.col("s")) == part(F.col("t"))), "slice").otherwise("none")
+        F.when(F.coalesce(F.col("source"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("target"), F.lit("")).eqNullSafe(""), "invalid")
+        .when(s == t, "exact").when(t.isin(*ANYTHING), "anything").when(builtin, "builtin").when(F.col("fits"), "interface")
+        .when(s == F.concat(F.lit("*"), t), "dereference").when(t == F.concat(F.lit("*"), s), "address").otherwise("none")
+    )
+    ways = [
+        (s.isin(*NUMERIC) & t.isin(*NUMERIC), F.concat(t, F.lit("(value)"))),
+        (s.isin("[]byte", "[]rune") & (t == "string"), F.lit("string(value)")),
+        ((s == "string") & t.isin("[]byte", "[]rune"), F.concat(t, F.lit("(value)"))),
+        (~s.startswith("*") & t.startswith("*"), F.lit("&value (if addressable)")),
+        (s.startswith("*") & ~t.startswith("*"), F.lit("*value (dereference)")),
+    ]
+    found = F.filter(F.array(*(F.when(on, way) for on, way in ways)), lambda x: x.isNotNull())
+    sure = F.create_map(*(F.lit(x) for kv in SURE.items() for x in kv))
+    return p.join(ok, ["s", "t"], "left").withColumn("reason", reason).select(
+        "source", "target", (~F.col("reason").isin("none", "invalid")).alias("compatible"), "reason", F.try_element_at(sure, F.col("reason")).alias("confidence"),
+        F.when(F.col("reason") == "none", found).otherwise(F.array().cast("array<string>")).alias("conversions"),
     )
-    sure = F.create_map(*(F.lit(x) for kv in {"exact": 1.0, "anything": 0.95, "widening": 0.95, "interface": 0.9, "pointer": 0.8, "slice": 0.85, "none": 0.8}.items() for x in kv))
-    return p.join(ok, ["s", "t"], "left").withColumn("reason", reason).select("source", "target", (F.col("reason") != "none").alias("compatible"), "reason", sure[F.col("reason")].alias("confidence"))
 
 
 def missing_methods(types: DataFrame, interfaces: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,10 +205,11 @@ def history(events: DataFrame, symbol_id: str, since_ms: int, until_ms: int) ->
 
 
 def recent_events(events: DataFrame, limit: int, by_symbol: bool = False) -> DataFrame:
-    """The latest ``limit`` events of all, or of each symbol; ties by symbol."""
+    """The latest ``limit`` events of all, or of each symbol; ties by symbol, then by the other columns."""
+    order = [F.desc("timestamp_ms"), "symbol_id", *(f"`{c}`" for c in events.columns if c not in ("timestamp_ms", "symbol_id"))]
     if not by_symbol:
-        return events.orderBy(F.desc("timestamp_ms"), "symbol_id").limit(limit)
-    w = Window.partitionBy("symbol_id").orderBy(F.desc("timestamp_ms"))
+        return events.orderBy(*order).limit(limit)
+    w = Window.partitionBy("symbol_id").orderBy(*order)
     return events.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit).drop("nth")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import write_table
+from graphloom.plans.tables import drop_table, write_table
 
 
 def token_shingles(text: Column, k: int = 5) -> Column:
@@ -86,10 +86,10 @@ def similar_texts(texts: DataFrame, asked: DataFrame, threshold: float = 0.8, k:
     return q.select(F.col("id").alias("query"), F.col("key").alias("qk")).join(exact, "qk").join(every.select("id", "key"), "key").where("query <> id").select("query", "id", "similarity")
 
 
-def clones(texts: DataFrame, threshold: float = 0.8, k: int = 5, min_lines: int = 5, hashes: int = 100, bands: int = 20) -> DataFrame:
+def clones(texts: DataFrame, threshold: float = 0.8, k: int = 5, min_lines: int = 5, hashes: int = 100, bands: int = 25) -> DataFrame:
     """``a, b, similarity, kind, confidence`` of similar texts (``id, text``) of ``min_lines`` lines or more.
 
-    Pairs come from LSH and are decided on their exact shingle sets: exact from .95 on, structural (equal but
+    Pairs come from LSH (25 bands of 4 rows: .97 of pairs at .6 share one, .9999 of those at .8) and are decided on their exact shingle sets: exact from .95 on, structural (equal but
     for letters and digits) from .6 on, else near from ``threshold`` on; confidence is the similarity times 1, .8 and .9. Texts with
     one set of shingles are folded: each is paired with the least id of its set, and only these are compared.
     """
@@ -162,20 +162,23 @@ def fingerprint_similarity(a: str, b: str) -> Column:
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
-def color_refinement(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``id, color``: labels (``id, label``) refined by the multisets of neighbours' colours, over edges both ways, until the number of colours stays."""
+def color_refinement(nodes: DataFrame, edges: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """``id, color, settled``: labels (``id, label``) refined by the multisets of neighbours' colours, over edges both ways, until the number of colours stays.
+
+    At most ``rounds`` rounds; ``settled`` says whether colours stayed by then. With None there is no bound: colours only
+    ever split, so there are fewer rounds than nodes.
+    """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     colors = write_table(nodes.select("id", F.xxhash64("label").alias("color")), "wl")
-    n = colors.select("color").distinct().count()
-    for _ in range(rounds):
+    n, r, settled = colors.select("color").distinct().count(), 0, False
+    while not settled and (rounds is None or r < rounds):
         # a sum of hashes stands for the multiset: no list of a hub's neighbours is gathered
         around = both.join(colors.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.xxhash64("color").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
-        colors = write_table(colors.join(around, "id", "left").select("id", F.xxhash64("color", "sum", "n").alias("color")), "wl")
-        m = colors.select("color").distinct().count()
-        if m == n:
-            break
-        n = m
-    return colors
+        new = write_table(colors.join(around, "id", "left").select("id", F.xxhash64("color", "sum", "n").alias("color")), "wl")
+        drop_table(colors)
+        colors, m, r = new, new.select("color").distinct().count(), r + 1
+        settled, n = m == n, m
+    return colors.withColumn("settled", F.lit(settled))
 
 
 def color_histogram(colors: DataFrame) -> DataFrame:

@@ -120,8 +120,13 @@ def modularity_by_package(spark, d):
     return an.modularity(g, g.nodes.select("id", F.col("package").alias("community"))).select(F.round("modularity", 9).alias("modularity"))
 
 
-@query("communities_sessions")
+@query(
+    "communities_sessions",
+    f"""WITH {SESSION_SQL} SELECT min(n.id) AS community, count(*) AS size, n.package, any_value(e.internal) AS internal, 0::BIGINT AS external, 1.0::DOUBLE AS connectivity
+FROM nodes n LEFT JOIN (SELECT split_part(src, '/', 1) AS package, count(*) AS internal FROM edges GROUP BY ALL) e USING (package) GROUP BY n.package""",
+)
 def communities_sessions(spark, d):
+    """A user's event types are a component of their own, and none is worth splitting in a graph of many users: each is a community."""
     g = session_graph(spark, d)
     return an.community_summary(g, an.communities(g))
 

@@ -72,7 +72,7 @@ def taint_sessions(spark, d):
     g = session_graph(spark, d)
     at = lambda *names: g.nodes.where(F.col("name").isin(*names)).select("id", "name")
     clean = at("view", "click").select("id", (F.col("name") == "click").alias("complete"))
-    return impact.taint(g, at("signup").select("id"), clean, at("purchase", "error").select("id", F.lit("CWE-89").alias("cwe")), 4)
+    return impact.taint(g, at("signup").select("id"), clean, at("purchase", "error").select("id", F.lit("CWE-89").alias("cwe")), 4).drop("truncated")
 
 
 @query(

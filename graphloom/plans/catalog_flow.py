@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as an
 from graphloom.operators import dominators as dm
-from graphloom.operators import trees
+from graphloom.operators import dyadic, trees
 from graphloom.registry import query
 from graphloom.sources.graphs import FLOW_SQL, SESSION_SQL, TREE_SQL, CodeGraph, flow_graph, geography_tree, session_graph
 
@@ -98,6 +98,42 @@ def range_updates(spark, d):
     return trees.range_update(v, u)
 
 
+def _order_values(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").cast("long").alias("value"))
+
+
+def _long_ranges(spark, d):
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("lo"), (F.col("c_custkey") * (F.col("c_nationkey") + 1)).alias("hi"))
+
+
+_LONG_SQL = """v AS (SELECT o_orderkey AS pos, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders), r AS (SELECT DISTINCT c_custkey AS lo, c_custkey * (c_nationkey + 1) AS hi FROM customer)"""
+
+
+@query(
+    "dyadic_ranges",
+    f"WITH {_LONG_SQL} SELECT lo, hi, count(value) AS n, sum(value)::BIGINT AS sum, min(value) AS min, max(value) AS max FROM r LEFT JOIN v ON pos BETWEEN lo AND hi GROUP BY lo, hi",
+)
+def dyadic_ranges(spark, d):
+    """Ranges of up to the whole table of orders, each from at most two nodes a level."""
+    v = _order_values(spark, d)
+    levels = dyadic.levels_of(v)
+    return dyadic.range_aggregate(dyadic.dyadic_nodes(v, levels), _long_ranges(spark, d), levels)
+
+
+@query(
+    "dyadic_pending_sums",
+    f"""WITH {_LONG_SQL}, u AS (SELECT c_custkey AS lo, c_custkey * (c_nationkey + 1) AS hi, CAST(floor(c_acctbal) AS BIGINT) AS delta FROM customer),
+w AS (SELECT pos, value + coalesce((SELECT sum(delta) FROM u WHERE pos BETWEEN lo AND hi), 0) AS value FROM v)
+SELECT lo, hi, count(value) AS n, sum(value)::BIGINT AS sum FROM r LEFT JOIN w ON pos BETWEEN lo AND hi GROUP BY lo, hi""",
+)
+def dyadic_pending_sums(spark, d):
+    """The same ranges after additions to each, which wait on nodes: no order is rewritten."""
+    v, r = _order_values(spark, d), _long_ranges(spark, d)
+    levels = dyadic.levels_of(v)
+    delta = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("lo"), (F.col("c_custkey") * (F.col("c_nationkey") + 1)).alias("hi"), F.floor("c_acctbal").cast("long").alias("delta"))
+    return dyadic.updated_sums(dyadic.dyadic_nodes(v, levels), dyadic.lazy_updates(delta, levels), r, levels)
+
+
 _DOM = f"""{FLOW_SQL}, sup AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS n, 'r' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
 part_of AS (SELECT f.dst AS id, count(DISTINCT s.id) AS s, min(s.id) AS s1, count(DISTINCT s.n) AS n, min(s.n) AS n1, count(DISTINCT s.r) AS r, min(s.r) AS r1 FROM flow f JOIN sup s ON s.id = f.src GROUP BY f.dst),
 dom AS (SELECT dst AS id, src AS idom FROM flow WHERE dst NOT LIKE 'p%' UNION ALL SELECT 'world', 'world'

@@ -56,20 +56,34 @@ def cycle_through_package(spark, d):
     return spark.createDataFrame(list(enumerate(way)), "place int, package string")
 
 
+_TYPES = ["int", "int64", "int32", "float64", "float32", "byte", "rune", "string", "[]byte", "int8", "{}", "*{}", "[]{}"]
+_NAMES_SQL = lambda key, extra: "CASE " + key + f" % {13 + len(extra)} " + " ".join(f"WHEN {i} THEN " + (f"'{x.format('')}' || p_brand" if "{}" in x and "interface" not in x else x if x == "p_type" else f"'{x}'") for i, x in enumerate([*_TYPES, *extra])) + " END"
+
+
 @query(
     "type_compatibility",
-    """WITH p AS (SELECT DISTINCT CASE WHEN p_size % 5 = 0 THEN 'int32' WHEN p_size % 5 = 1 THEN '*' || p_brand WHEN p_size % 5 = 2 THEN '[]' || p_brand WHEN p_size % 5 = 3 THEN p_type ELSE p_brand END AS source,
-  CASE WHEN p_size % 5 = 0 THEN 'int64' WHEN p_size % 5 = 2 THEN '[3]' || p_brand ELSE p_brand END AS target FROM part),
-r AS (SELECT *, CASE WHEN source = target THEN 'exact' WHEN source = 'int32' THEN 'widening' WHEN source LIKE '*%' THEN 'pointer' WHEN source LIKE '[]%' THEN 'slice' WHEN source LIKE 'Brand%' THEN 'exact' ELSE 'none' END AS reason FROM p)
-SELECT source, target, reason <> 'none' AS compatible, reason, CASE reason WHEN 'exact' THEN 1.0 WHEN 'widening' THEN 0.95 WHEN 'pointer' THEN 0.8 WHEN 'slice' THEN 0.85 ELSE 0.8 END::DOUBLE AS confidence FROM r""",
+    f"""WITH p AS (SELECT DISTINCT {_NAMES_SQL("p_size", [])} AS source, {_NAMES_SQL("p_partkey", ["any", "interface{}", "uint8", "p_type"])} AS target FROM part),
+fits AS (SELECT DISTINCT p_brand AS s, p_type AS t FROM part WHERE p_size > 25),
+builtin(s, t) AS (VALUES ('int', 'int64'), ('int', 'int32'), ('int64', 'int'), ('int32', 'int'), ('float64', 'float32'), ('float32', 'float64'), ('byte', 'uint8'), ('rune', 'int32')),
+r AS (SELECT *, CASE WHEN source = target THEN 'exact' WHEN target IN ('any', 'interface{{}}') THEN 'anything' WHEN (source, target) IN (SELECT (s, t) FROM builtin) THEN 'builtin' WHEN (source, target) IN (SELECT (s, t) FROM fits) THEN 'interface'
+  WHEN source LIKE '*%' AND substr(source, 2) = target THEN 'dereference' WHEN target LIKE '*%' AND substr(target, 2) = source THEN 'address' ELSE 'none' END AS reason,
+  regexp_full_match(source, '(int|int8|int32|int64|uint8|float32|float64)') AND regexp_full_match(target, '(int|int8|int32|int64|uint8|float32|float64)') AS numbers FROM p)
+SELECT source, target, reason <> 'none' AS compatible, reason, CASE reason WHEN 'exact' THEN 1.0 WHEN 'interface' THEN 0.9 WHEN 'dereference' THEN 0.7 WHEN 'address' THEN 0.6 WHEN 'none' THEN 0.8 ELSE 0.95 END::DOUBLE AS confidence,
+  CASE WHEN reason <> 'none' THEN CAST([] AS VARCHAR[]) WHEN numbers THEN [target || '(value)'] WHEN source = '[]byte' AND target = 'string' THEN ['string(value)'] WHEN source = 'string' AND target = '[]byte' THEN ['[]byte(value)']
+    WHEN source NOT LIKE '*%' AND target LIKE '*%' THEN ['&value (if addressable)'] WHEN source LIKE '*%' AND target NOT LIKE '*%' THEN ['*value (dereference)'] ELSE CAST([] AS VARCHAR[]) END AS conversions FROM r""",
 )
 def type_compatibility(spark, d):
+    """Every reason: builtin types, pointers and slices of brands, and the types of large parts as interfaces that their brands satisfy."""
     p = spark.read.parquet(f"{d}/part.parquet")
-    k, b = F.col("p_size") % 5, F.col("p_brand")
-    source = F.when(k == 0, "int32").when(k == 1, F.concat(F.lit("*"), b)).when(k == 2, F.concat(F.lit("[]"), b)).when(k == 3, F.col("p_type")).otherwise(b)
-    target = F.when(k == 0, "int64").when(k == 2, F.concat(F.lit("[3]"), b)).otherwise(b)
-    none = spark.sql("SELECT '' AS type, '' AS interface WHERE false")
-    return pj.type_compatibility(p.select(source.alias("source"), target.alias("target")).distinct(), none)
+
+    def names(key, kinds):
+        at = F.expr(f"{key} % {len(kinds)}")
+        value = [F.col(x) if x == "p_type" else F.concat(F.lit(x.removesuffix("{}")), F.col("p_brand")) if x in _TYPES[-3:] else F.lit(x) for x in kinds]
+        return F.get(F.array(*value), at)
+
+    fits = p.where("p_size > 25").select(F.col("p_brand").alias("type"), F.col("p_type").alias("interface"))
+    pairs = p.select(names("p_size", _TYPES).alias("source"), names("p_partkey", [*_TYPES, "any", "interface{}", "uint8", "p_type"]).alias("target"))
+    return pj.type_compatibility(pairs.distinct(), fits)
 
 
 @query(

@@ -134,7 +134,7 @@ def similar_documents(spark, d):
 @query("color_histogram_sessions")
 def color_histogram_sessions(spark, d):
     g = session_graph(spark, d)
-    return sim.color_histogram(sim.color_refinement(g.nodes.select("id", F.col("name").alias("label")), g.edges))
+    return sim.color_histogram(sim.color_refinement(g.nodes.select("id", F.col("name").alias("label")), g.edges, None))
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import stats
+from graphloom.functions import sketches, stats
 from graphloom.registry import query
 from graphloom.sources.graphs import CodeGraph, session_graph
 from graphloom.streaming import journal as jn
@@ -43,6 +43,48 @@ def turnstile_totals(spark, d):
     return jn.turnstile(_events(spark, d).select(F.col("user_id").alias("key"), delta.alias("delta")))
 
 
+def _item_updates(spark, d):
+    """Inserts of the edges from suppliers (even numbers) to parts (odd ones) of all line items, and deletes of those of small quantities."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select((2 * F.col("l_suppkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst"), "l_quantity", "l_discount")
+    big = F.expr("l_quantity > 30 AND l_discount > 0.08 AND src % 3 = dst % 3")
+    return li.select("src", "dst", F.lit(1).alias("delta")).unionByName(li.where(~big).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(-1).alias("delta")))
+
+
+_LEFT_SQL = """left_edges AS (SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem WHERE l_quantity > 30 AND l_discount > 0.08 AND (2 * l_suppkey) % 3 = (2 * l_partkey + 1) % 3)"""
+
+
+@query(
+    "sketch_components",
+    f"""WITH RECURSIVE {_LEFT_SQL}, sym AS (SELECT a, b FROM left_edges UNION SELECT b, a FROM left_edges), ids AS (SELECT 2 * s_suppkey AS id FROM supplier UNION SELECT 2 * p_partkey + 1 FROM part),
+low AS (SELECT id, id AS reach FROM ids UNION SELECT s.b, l.reach FROM low l JOIN sym s ON s.a = l.id)
+SELECT id, min(reach) AS component FROM low GROUP BY id""",
+)
+def sketch_components(spark, d):
+    """Components of suppliers and parts by the edges that deletes have left, from sketches of the updates alone."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    nodes = t("supplier").select((2 * F.col("s_suppkey")).alias("id")).unionByName(t("part").select((2 * F.col("p_partkey") + 1).alias("id")))
+    found, whole = sketches.agm_components(nodes, sketches.agm_sketch(_item_updates(spark, d), 30))
+    if not whole:
+        raise RuntimeError("the sketch has too few rounds")
+    return found
+
+
+@query(
+    "sketch_of_parts",
+    """WITH t AS (SELECT user_id AS key, sum(CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN -1 ELSE 0 END)::BIGINT AS total FROM events GROUP BY user_id HAVING total <> 0)
+SELECT count(*) > 0 AS found, count(*) AS live, 0::BIGINT AS not_live FROM t""",
+)
+def sketch_of_parts(spark, d):
+    """Samples from merged sketches of even and odd events, held against the exact totals: whether there are any, the live keys, and samples that aren't live with their total."""
+    delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)
+    u = _events(spark, d).select("event_id", F.col("user_id").alias("key"), delta.alias("delta"))
+    half = lambda k: sketches.l0_sketch(u.where(f"event_id % 2 = {k}"), 64)
+    got = sketches.l0_samples(sketches.merged(half(0), half(1)))
+    live = jn.turnstile(u)
+    bad = got.join(live, ["key", "total"], "left_anti").agg(F.count("*").alias("not_live"))
+    return got.agg((F.count("*") > 0).alias("found")).crossJoin(live.agg(F.count("*").alias("live"))).crossJoin(bad)
+
+
 @query("net_edges", "SELECT user_id AS src, event_type AS dst, sum(CASE WHEN value < 50 THEN 1 ELSE -1 END)::BIGINT AS n FROM events GROUP BY ALL HAVING n > 0")
 def net_edges(spark, d):
     return jn.net_edges(_events(spark, d).select(F.col("user_id").alias("src"), F.col("event_type").alias("dst"), F.when(F.col("value") < 50, 1).otherwise(-1).alias("sign")))

@@ -121,16 +121,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes", by: str = "user_id", ts
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a table in the shared folder: rows are added, or with ``mode="complete"`` replaced, batch by batch."""
+    """Run a stream over what is there now into a table in the shared folder: rows are added, or with ``mode="complete"`` those of the last batch count.
+
+    Each batch has a folder of its own, by its number, that a repeated batch overwrites: after a failure no row is there twice,
+    and readers of an earlier batch keep their files.
+    """
     spark = stream.sparkSession
     path = new_path(spark, name)
+    last = f"{path}/none"
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def save(batch: DataFrame, number: int) -> None:
+        nonlocal last
+        last = f"{path}/{number:012d}"
+        batch.write.mode("overwrite").parquet(last)
 
     q = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if last.endswith("none"):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(last if mode == "complete" else path)
 
 
 def step_cycles(steps: DataFrame, session: str, order: list[str], step: Column) -> DataFrame:

@@ -301,3 +301,60 @@ def test_exploration(spark):
     pairs = fp.selectExpr("id AS i", "fp AS a").crossJoin(fp.selectExpr("id AS j", "fp AS b")).where("i < j")
     got = {(r["i"], r["j"]): r["s"] for r in pairs.select("i", "j", similarity.fingerprint_similarity("a", "b").alias("s")).collect()}
     assert got["f", "g"] == pytest.approx(1.0) and got["f", "h"] < 0.5
+
+
+def modularity_of(edges, label):
+    m, q = len(edges), 0.0
+    for c in set(label.values()):
+        inner = sum(label[a] == c == label[b] for a, b in edges)
+        ends = sum((label[a] == c) + (label[b] == c) for a, b in edges)
+        q += inner / m - (ends / (2 * m)) ** 2
+    return q
+
+
+def one_level(nodes, edges):
+    """Local moves in sequence until none gains: what one level can reach."""
+    label = {v: v for v in nodes}
+    moved = True
+    while moved:
+        moved = False
+        for v in nodes:
+            best, now = label[v], modularity_of(edges, label)
+            for c in sorted({label[b] if a == v else label[a] for a, b in edges if v in (a, b)}):
+                label[v], old = c, label[v]
+                q = modularity_of(edges, label)
+                label[v] = old
+                if q > now + 1e-9:
+                    best, now = c, q
+            moved |= best != label[v]
+            label[v] = best
+    return label
+
+
+def test_communities_on_several_levels(spark):
+    """A ring of small cliques, a random graph and a lone node, as components of one graph; cliques in pairs only join on a second level."""
+    import random
+
+    r = random.Random(2)
+    edges = [(f"k{c:02}.{i}", f"k{c:02}.{j}") for c in range(24) for i in range(4) for j in range(i)] + [(f"k{c:02}.0", f"k{(c + 1) % 24:02}.1") for c in range(24)]
+    edges += [(f"r{r.randrange(12)}", f"r{r.randrange(12)}") for _ in range(30)]
+    nodes = sorted({v for e in edges for v in e} | {"lone"})
+    g = graph(spark, [(v, "function", "p") for v in nodes], [(a, b, "calls") for a, b in edges])
+    found = an.communities(g)
+    label = {x["id"]: x["community"] for x in found.collect()}
+    assert set(label) == set(nodes) and all(label[c] == c and c == min(v for v in nodes if label[v] == c) for c in label.values())
+    q = modularity_of(edges, label)
+    assert an.modularity(g, found).first()[0] == pytest.approx(q)
+    assert q >= modularity_of(edges, one_level(nodes, edges)) - 1e-9
+    sizes = [sum(x == c for x in label.values()) for c in set(label.values()) if c.startswith("k")]
+    assert max(sizes) >= 8 and all(s % 4 == 0 for s in sizes)
+    for c in set(label.values()):  # connected
+        own = {v for v in nodes if label[v] == c}
+        reached, todo = {c}, [c]
+        while todo:
+            v = todo.pop()
+            for w in {b if a == v else a for a, b in edges if v in (a, b)} & own - reached:
+                reached.add(w)
+                todo.append(w)
+        assert reached == own
+    assert an.communities(graph(spark, [("a", "function", "p")], [])).collect()[0]["community"] == "a"

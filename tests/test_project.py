@@ -70,10 +70,17 @@ def test_shortest_cycle_both_ways(spark):
 
 
 def test_types_methods_and_plans(spark):
-    pairs = spark.createDataFrame([("int", "int"), ("int32", "int64"), ("int64", "int32"), ("File", "Reader"), ("*File", "File"), ("[]T", "[2]T"), ("T", "any"), ("A", "B")], "source string, target string")
-    ok = spark.createDataFrame([("File", "Reader")], "type string, interface string")
-    got = {(r["source"], r["target"]): r["reason"] for r in pj.type_compatibility(pairs, ok).collect()}
-    assert got == {("int", "int"): "exact", ("int32", "int64"): "widening", ("int64", "int32"): "none", ("File", "Reader"): "interface", ("*File", "File"): "pointer", ("[]T", "[2]T"): "slice", ("T", "any"): "anything", ("A", "B"): "none"}
+    want = {
+        (" int", "int "): ("exact", 1.0, []), ("int", "int64"): ("builtin", 0.95, []), ("int64", "int"): ("builtin", 0.95, []), ("int32", "int64"): ("none", 0.8, ["int64(value)"]), ("int8", "int16"): ("none", 0.8, ["int16(value)"]),
+        ("float64", "float32"): ("builtin", 0.95, []), ("byte", "uint8"): ("builtin", 0.95, []), ("uint8", "byte"): ("none", 0.8, []), ("rune", "int32"): ("builtin", 0.95, []), ("File", "Reader"): ("interface", 0.9, []), ("Reader", "File"): ("none", 0.8, []),
+        ("*File", "File"): ("dereference", 0.7, []), ("File", "*File"): ("address", 0.6, []), ("**T", "T"): ("none", 0.8, ["*value (dereference)"]), ("[]T", "[]T"): ("exact", 1.0, []), ("[]T", "[2]T"): ("none", 0.8, []),
+        ("T", "any"): ("anything", 0.95, []), ("T", "interface{}"): ("anything", 0.95, []), ("string", "[]rune"): ("none", 0.8, ["[]rune(value)"]), ("[]byte", "string"): ("none", 0.8, ["string(value)"]), ("A", "*B"): ("none", 0.8, ["&value (if addressable)"]), ("", "any"): ("invalid", None, []), (None, "x"): ("invalid", None, []),
+    }
+    pairs = spark.createDataFrame(list(want), "source string, target string")
+    ok = spark.createDataFrame([("File", "Reader"), ("File", "Reader")], "type string, interface string")
+    got = pj.type_compatibility(pairs, ok).collect()
+    assert len(got) == len(want) and {(r["source"], r["target"]): (r["reason"], r["confidence"], r["conversions"]) for r in got} == want
+    assert all(r["compatible"] == (r["reason"] not in ("none", "invalid")) for r in got)
     g = CodeGraph(spark.createDataFrame([node("a"), node("b")], NODES), spark.createDataFrame([], EDGES))
     bad = pj.invalid_changes(g, spark.createDataFrame([("a", "x"), ("a", "y"), ("z", "x")], "id string, change string")).collect()
     assert {(r["id"], r["reason"]) for r in bad} == {("a", "conflicting changes"), ("z", "no such symbol")}
