@@ -6,6 +6,7 @@ import bisect
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +38,11 @@ CLOSED_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu\w*|breadcrumbs?|footer|sidebar|side|widget\w*|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|reply|respond|disqus|discussion|pagination|pager|copyright|legal|toolbar|tags|toc|skip\w*|complementary|contentinfo|navigation|dialog|alertdialog)(?=$|[\s_\d-])",
     re.I,
 )
+#: Those of them that stay closed whatever they hold; others may turn out to wrap a page.
+FIRM_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|related|recommend\w*|comments?|commentlist|replies|reply|respond|disqus|discussion|footer|contentinfo|dialog|alertdialog)(?=$|[\s_\d-])",
+    re.I,
+)
 RAISED_NAMES = re.compile(r"(?:^|[\s_-])(?:form|search\w*|login|header|masthead|banner)(?=$|[\s_\d-])", re.I)
 #: Names that only say what stands beside an element, or not.
 _BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]\S+", re.I)
@@ -45,6 +51,9 @@ _HEADING = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?=$|[\s_\d-])", r
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-?content|entry-?content|article-?body|post-?body|main-?content|story)(?=$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: Names that make an article element one of a reader or an advertiser.
+_OTHERS = re.compile(r"(?:^|\s)(?:comments?|comment-(?:item|body|content|text|entry)|reply|replies|ads?|advert\w*|sponsored|promo)(?=$|\s)", re.I)
+_HREF = re.compile(r"(?:^|\s)href(?=\s*=)", re.I)
 _MARKS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -63,7 +72,7 @@ class Thresholds:
     votes: int
 
 
-#: Thresholds by region. Elements and names only shift them; in a closed region none is in reach.
+#: Thresholds by region. Elements and names only shift them; in a closed region none is in reach, but see :func:`reopen`.
 THRESHOLDS = {
     MAIN: Thresholds(0.99, 25, 0.10, False, 1),
     PLAIN: Thresholds(0.33, 70, 0.15, True, 0),
@@ -83,6 +92,9 @@ class Block:
     text: str = ""
     label: int = 0
     rule: str = ""
+    #: In a closed region that only a name closed, one that may also wrap a page; and there within an article.
+    soft: bool = False
+    inner: bool = False
 
 
 def _kind(tag: str, attributes: str, inside_main: bool) -> int:
@@ -103,6 +115,8 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int:
             value = _BESIDE.sub("", value)
             if inside_main:
                 value = _HEADING.sub("", value)
+            if tag in MAIN_TAGS and _OTHERS.search(value):
+                return CLOSED
             if MAIN_NAMES.search(value) or name == "role" and value.lower() == "main":
                 kind = MAIN
             elif kind == PLAIN and CLOSED_NAMES.search(value):
@@ -116,13 +130,59 @@ def _letters(text: str) -> int:
     return len("".join(text.split()))
 
 
+def _softly(tag: str, attributes: str) -> bool:
+    """Whether an element that opens a closed region does so by a name alone, and by none of FIRM_NAMES."""
+    if tag in CLOSED_TAGS:
+        return False
+    for name, *values in _MARKS.findall(attributes):
+        if name.lower() not in ("class", "id", "role") or FIRM_NAMES.search(_BESIDE.sub("", "".join(values))):
+            return False
+    return True
+
+
+#: Elements that end an open one of their kind.
+_LISTED = frozenset(("li", "dd", "dt", "tr", "td", "th", "option"))
+
+
+@dataclass(frozen=True)
+class Around:
+    """What stands around a place of a page: the kind and number of its region; whether a name alone has closed it, and an article opened within."""
+
+    kind: int = PLAIN
+    region: int = 0
+    soft: bool = False
+    inner: bool = False
+
+
+class Link:
+    """Whether text stands in a link: in an ``a`` with href, until its end tag, the next ``a``, or the end of the block that it began in, whichever comes first."""
+
+    def __init__(self) -> None:
+        self.on = False
+        self.block = ""
+        self.inside = 0
+
+    def anchor(self, opens: bool, block: str) -> None:
+        self.on, self.block, self.inside = opens, block, 0
+
+    def block_tag(self, tag: str, closing: bool) -> None:
+        if not self.on:
+            return
+        if self.inside:
+            self.inside += -1 if closing else 1
+        elif closing or self.block == "p" or self.block == tag and tag in _LISTED:
+            self.on = False
+        else:
+            self.inside = 1
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order: what stands between block-level tags. Unclosed and stray tags are tolerated."""
+    """The text blocks of a page in order: what stands between block-level tags. Unclosed and stray tags are tolerated; time is linear in the page."""
     out: list[Block] = []
     block = Block()
-    stack: list[tuple[str, int, int]] = []  # element, kind and number of the region around it
-    kind = PLAIN
-    region = regions = links = 0
+    stack: list[tuple[str, Around]] = []  # element, and what stands around it
+    opened: Counter[str] = Counter()  # elements on the stack
+    around, regions, link, last = Around(), 0, Link(), ""
     raw = None
     at = 0
 
@@ -131,16 +191,24 @@ def blocks(page: str) -> list[Block]:
         if block.parts:
             block.text = " ".join(html.unescape("".join(block.parts)).split())
             if block.text:
-                block.kind, block.region = kind, region
+                block.kind, block.region, block.soft, block.inner = around.kind, around.region, around.soft, around.inner
                 out.append(block)
         block = Block()
 
     def add(text: str) -> None:
         if text:
             block.parts.append(text)
-            if links:
+            if link.on:
                 block.linked += _letters(html.unescape(text))
 
+    def leave(n: int) -> None:
+        """Close the innermost elements until ``n`` are open."""
+        nonlocal around
+        around = stack[n][1]
+        for name, _ in stack[n:]:
+            opened[name] -= 1
+        del stack[n:]
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -175,36 +243,68 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
+            if tag not in VOID:
+                link.block_tag(tag, closing)
+                last = "" if closing else tag
         if tag == "a":
-            links = 0 if closing else 1
+            link.anchor(not closing and _HREF.search(m[3]) is not None, last)
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    _, kind, region = stack[i]
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                flush()
+                n = len(stack) - 1
+                while stack[n][0] != tag:
+                    n -= 1
+                leave(n)
         elif tag in BLOCK_TAGS and stack and stack[-1][0] == "p":  # ends an open paragraph
-            _, kind, region = stack.pop()
+            leave(len(stack) - 1)
         if closing:
             continue
         if tag in BLOCK_TAGS or tag in ("span", "a", "b", "i", "em", "strong", "small") and m[3]:
-            own = PLAIN if kind == CLOSED else _kind(tag, m[3], kind == MAIN)
-            if own or tag in ("div", "section", "ul", "ol", "table"):
-                if own:
+            shut = around.kind == CLOSED
+            own = _kind(tag, m[3], around.kind == MAIN)
+            firm = shut and around.soft and own == CLOSED and (around.inner or not _softly(tag, m[3]))
+            inner = shut and around.soft and own == MAIN and not around.inner
+            enters = (firm or inner) if shut else own != PLAIN
+            if enters or tag in ("div", "section", "ul", "ol", "table"):
+                if enters:
                     flush()
-                stack.append((tag, kind, region))
-                if own:
+                stack.append((tag, around))
+                opened[tag] += 1
+                if enters:
                     regions += 1
-                    kind, region = own, regions
+                    around = Around(CLOSED, regions, inner, inner) if shut else Around(own, regions, own == CLOSED and _softly(tag, m[3]))
     if raw is None:
         add(page[at:])
     flush()
     return out
 
 
+def _dense(b: Block) -> bool:
+    t = THRESHOLDS[PLAIN]
+    return b.linked <= t.links * _letters(b.text) and len(b.text) >= t.long and stop_density(b.text) >= t.stop
+
+
+def reopen(page_blocks: list[Block]) -> None:
+    """Open what a name has closed where it wraps the page: names shift thresholds, they don't lose a page's text.
+
+    On a page without an article elsewhere, articles in such regions are articles if more text stands in them than outside. Where no dense text
+    stands outside at all, blocks of such regions count as text if they pass raised thresholds.
+    """
+    soft = [b for b in page_blocks if b.soft]
+    if not soft or any(b.kind == MAIN for b in page_blocks):
+        return
+    size = lambda some: sum(len(b.text) for b in some if _dense(b))
+    outside, inner = size(b for b in page_blocks if b.kind != CLOSED), [b for b in soft if b.inner]
+    if size(inner) > outside:
+        for b in inner:
+            b.kind = MAIN
+    elif not outside:
+        for b in soft:
+            b.kind = RAISED
+
+
 def stop_density(text: str) -> float:
     """The share of stop words among the words of letters."""
     words = [w.lower() for w in _WORDS.findall(text)]
@@ -224,6 +324,7 @@ def classify(page_blocks: list[Block]) -> None:
     are needed where thresholds are raised. Without a decided neighbour it is in, but where thresholds are
     raised (``alone``). On pages with an article, what stands in no region has raised thresholds.
     """
+    reopen(page_blocks)
     article = any(b.kind == MAIN for b in page_blocks)
     for b in page_blocks:
         if article and b.kind == PLAIN:
