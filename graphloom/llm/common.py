@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -82,15 +82,25 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     if df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name)) > BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
 
+    # mapInArrow reads dots and backquotes in names as syntax
+    names = df.columns if any(set(c) & {".", "`"} for c in df.columns) else None
+    if names:
+        df = df.toDF(*(f"c{i}" for i in range(len(names))))
+
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches) if names else run(batches)
         finally:
             _trim()
 
     return df.mapInArrow(released, schema)
 
 
+def every(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names: dots and backquotes in them are no syntax."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names`` with underscores before them until no column of ``df`` has one."""
     taken = {c.lower() for c in df.columns}
@@ -205,4 +215,4 @@ def split_likely(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFram
     byte = F.conv(F.hex(F.substring(data, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2, F.lit(0))
     marked = rows.withColumn(bucket, F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(maps), bucket, "left")
-    return marked.where(bit == 1).select(*rows.columns), marked.where(bit == 0).select(*rows.columns)
+    return marked.where(bit == 1).select(*every(rows)), marked.where(bit == 0).select(*every(rows))

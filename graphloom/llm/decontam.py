@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD_TABLE, map_batches, slices, text_bytes, unused, worker_state
+from graphloom.llm.common import WORD_TABLE, every, map_batches, slices, text_bytes, unused, worker_state
 from graphloom.plans.tables import write_table
 
 #: Words of benchmark items in one automaton; more items make more automata.
@@ -343,7 +343,7 @@ def remove_spans(
         found = write_table(found.select(F.col("doc_id").alias(hit), bad.alias(over), long.alias(long_spans)).where(F.col(over) | (F.size(long_spans) > 0)), "decontam-spans")
         kept = held.join(found, F.col(row) == F.col(hit), "left_anti").drop(row)
         done = kept if done is None else done.unionByName(kept)
-        cut = held.join(found.where(~F.col(over)), F.col(row) == F.col(hit)).select(*docs.columns, long_spans)
+        cut = held.join(found.where(~F.col(over)), F.col(row) == F.col(hit)).select(*every(docs), long_spans)
         todo = write_table(map_batches(cut, _remove_noted(text_col, long_spans), docs.schema), "decontam-cut")
         if todo.isEmpty():
             return done

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.llm.common import map_batches, slices, text_bytes
+from graphloom.llm.common import every, map_batches, slices, text_bytes
 from graphloom.plans.tables import write_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -66,10 +66,10 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def with_stats(docs: DataFrame, id_col: str, text_col: str, stratum: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``stratum`` and the counts of STATS for each document, before them the columns ``keep`` as ``__in_<name>``."""
+def with_stats(docs: DataFrame, id_col: str, text_col: str, stratum: Column, keep: bool = False) -> DataFrame:
+    """``doc_id``, ``stratum`` and the counts of STATS for each document; with ``keep``, before them the columns of ``docs`` as ``__in_<number>``."""
     d = docs.select(
-        *(F.col(c).alias(f"__in_{c}") for c in keep), F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("__text")
+        *(c.alias(f"__in_{i}") for i, c in enumerate(every(docs) if keep else [])), F.col(id_col).alias("doc_id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("__text")
     )
     own = StructType([f for f in d.schema.fields if f.name != "__text"])
     return map_batches(d, _stats, StructType(own.fields + StructType.fromDDL(STATS).fields))
@@ -146,7 +146,7 @@ def quality_rules(
     strata: tuple[str, ...] = ("de", "en", "es", "fr"),
     max_false_rejection: float = 0.02,
     confidence: float = 0.95,
-    keep: tuple[str, ...] = (),
+    keep: bool = False,
 ) -> DataFrame:
     """One row per document: id, stratum, the counts of STATS, ``base_failed``, ``rule`` (the first rule that it fails, else null) and ``kept``.
 
@@ -160,7 +160,7 @@ def quality_rules(
     rule by the greatest value among them, and once for each of its labels if they differ. Null labels don't count. Without labels
     no cutoff is certified and the base rules decide alone. Extra columns are ignored.
 
-    Columns of ``docs`` named in ``keep`` come back as ``__in_<name>``.
+    With ``keep``, the columns of ``docs`` come back as ``__in_<number>``.
 
     Counts are taken once and written down; labels join them, not the texts. The
     holdout is read as counts by stratum, rule and grid cell: some thousand
@@ -183,7 +183,7 @@ def quality_rules(
     for (s, rule), cutoff in sorted(cutoffs.items(), reverse=True):
         failed = F.when((F.col("stratum") == s) & (F.expr(RULES[rule]) > cutoff), F.lit(rule)).otherwise(failed)
     if keep:
-        stats = with_stats(docs, id_col, text_col, stratum, keep)
+        stats = with_stats(docs, id_col, text_col, stratum, True)
     return (
         stats.withColumn("base_failed", base_failed())
         .withColumn("rule", failed)
@@ -193,5 +193,5 @@ def quality_rules(
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, in all their columns, that :func:`quality_rules` keeps."""
-    judged = quality_rules(docs, labels, keep=tuple(docs.columns), **options)
-    return judged.where("kept").select(*(F.col(f"__in_{c}").alias(c) for c in docs.columns))
+    judged = quality_rules(docs, labels, keep=True, **options)
+    return judged.where("kept").select(*(F.col(f"__in_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from graphloom.llm import decontam, ngram_join
+from graphloom.llm.common import every
 from graphloom.plans.tables import write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,12 +41,13 @@ def test_odd_rows(spark, sf):
         (5, make_text(43, 30_000), "fr", "b"), (6, item + " " + make_text(47, 60), "en", "b"), (7, make_text(44, 2000) + " " + item + " " + make_text(45, 2000), "en", "b"), (8, "same " * 80, "en", "a"), (9, make_text(46, 90) + "\n\tx", "de", ""),
     ]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("__x", "__row", "mark", "in_0", "__block", "row", "gone", "key", "tokens"):
-        docs = docs.withColumn(name, F.lit(1))
+    for name in ("__x", "__row", "mark", "in_0", "__block", "row", "gone", "key", "tokens", "a.b", "x`y", "mix_tokens", "mix_pos", "c0"):
+        docs = docs.withColumn(name, F.lit(1))  # a stage gives them back as they are
     kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = write_table(stage(spark, docs, sf), name)
         assert out.columns == docs.columns, name
+        assert all(v == 1 for r in out.select(*every(out)[5:]).collect() for v in r), name
         docs = out
         kept.append(sorted((r["doc_id"] or 0, r["text"][:20]) for r in out.select("doc_id", "text").distinct().collect()))
     good = [0, 1, 2, 5, 6, 7, 9]
@@ -61,3 +63,16 @@ def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert not stage(spark, docs, sf).collect()
+
+
+def test_many_rows_of_one(spark):
+    """A row that stands thousands of times in a class with a near copy is compared once."""
+    from tests_llm_helpers import make_text
+
+    base = make_text(60, 80)
+    near = " ".join(w if i != 40 else "changed" for i, w in enumerate(base.split()))
+    rows = [(1, base)] * 3000 + [(2, near)] * 2 + [(3, make_text(61, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_jaccard_join(docs).groupBy("doc_id", "class_id", "n_copies", "n_links").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 3000, 1, 3000), (2, 1, 2, 1, 2), (3, 3, 1, 0, 1)]
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(docs).collect()) == [1, 3]
