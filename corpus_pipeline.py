@@ -29,7 +29,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of sources uses them, at least once each."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # under names that meet none of the operator's
+    mixed = mixing.mix_sources(docs.toDF(*own.values()), own["doc_id"], own["source"], own["text"])
+    return mixed.select(*(F.col(n).alias(c) for c, n in own.items()))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
