@@ -11,6 +11,8 @@ from graphloom.sources.graphs import CodeGraph
 
 #: Gains of modularity below this are rounding.
 LEAST_GAIN = 1e-12
+#: Rounds of a level end when at most one of so many nodes still moves or waits.
+LAST_NODES = 50
 
 
 def _told(df: DataFrame, name: str, rows: int, **what) -> tuple[DataFrame, dict]:
@@ -50,7 +52,7 @@ def _local_moves(nodes: DataFrame, links: DataFrame, m: int, n: int, resolution:
         new, seen = _told(new, "community", n, open=F.count_if(F.col("moved") | F.col("waits")))
         drop_table(state)
         state = new
-        if not seen["open"]:
+        if seen["open"] <= n // LAST_NODES:
             break
     return state
 
@@ -58,7 +60,7 @@ def _local_moves(nodes: DataFrame, links: DataFrame, m: int, n: int, resolution:
 def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 24, max_levels: int = 30, least_rise: float = 1e-6) -> DataFrame:
     """``id, community``: nodes grouped for a great modularity; each community is connected and named by its least node.
 
-    On each level nodes move to neighbouring communities (at most ``max_rounds`` rounds); communities are then refined into their
+    On each level nodes move to neighbouring communities (at most ``max_rounds`` rounds, and until few still would); communities are then refined into their
     connected parts, and each part is contracted to one node of the next level, whose
     links carry the weight of those they stand for. Levels end when nothing is contracted or
     modularity rises by less than ``least_rise``, and a level that lowers it (moves of one round are made side by side)
@@ -85,7 +87,7 @@ def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 24, max
         parts = connected_components(both.where("x = y AND a < b"), "a", "b")
         part = write_table(nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("part")), "community-parts", n)
         ends = links.join(part.withColumnsRenamed({"id": "a", "part": "x"}), "a").join(part.withColumnsRenamed({"id": "b", "part": "y"}), "b")
-        fewer = write_table(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "community-links", n)
+        fewer, across = _told(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "community-links", n, links=F.count_if(F.col("a") != F.col("b")))
         held = fewer.where("a = b").select(F.col("a").alias("id"), F.col("w").alias("more"))
         merged = nodes.join(part, "id").groupBy(F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.sum("inner").alias("inner"))
         merged = merged.join(held, "id", "left").select("id", "k", (F.col("inner") + F.coalesce("more", F.lit(0))).alias("inner"))
@@ -98,7 +100,7 @@ def communities(g: CodeGraph, resolution: float = 1.0, max_rounds: int = 24, max
         found = found.join(part.withColumnsRenamed({"id": "community", "part": "next"}), "community").select("id", F.col("next").alias("community"))
         links, nodes, n, q = fewer.where("a <> b"), merged, seen["n"], value(seen)
         links._table_path = fewer._table_path
-        if rise < least_rise:
+        if rise < least_rise or not across["links"]:
             break
     named = found.groupBy("community").agg(F.min("id").alias("least"))
     return found.join(named, "community").select("id", F.col("least").alias("community"))
