@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.code import satisfied_interfaces
@@ -40,9 +42,9 @@ def resolve_names(wanted: DataFrame, symbols: DataFrame, kinds: tuple[str, ...]
     return wanted.join(best, "key")
 
 
-def inheritance(symbols: DataFrame) -> DataFrame:
-    """``src, dst, etype, file_path, line``: implements edges to interfaces, embeds edges to structs and classes, for each named base."""
-    bases = symbols.select(F.col("id").alias("src"), "file_path", F.col("start_line").alias("line"), F.col("kind").alias("own"), F.explode("bases").alias("base"))
+def inheritance(symbols: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """``src, dst, etype, file_path, line``: implements edges to interfaces, embeds edges to structs and classes, for each named base (of the symbols ``own``, if given)."""
+    bases = (symbols if own is None else own).select(F.col("id").alias("src"), "file_path", F.col("start_line").alias("line"), F.col("kind").alias("own"), F.explode("bases").alias("base"))
     w = bases.select("src", "file_path", "line", "own", F.element_at(F.split("base", r"\."), -1).alias("name")).withColumn("key", F.struct("src", "name"))
     r = resolve_names(w, symbols, ("class", "struct", "interface", "type")).where("src <> dst").join(symbols.select(F.col("id").alias("dst"), F.col("kind").alias("target")), "dst")
     implements = (F.col("target") == "interface") & (F.col("own") != "interface")
@@ -88,7 +90,7 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame, max_
         F.col("id").alias("dst"), F.col("name").alias("target"), F.col("file_path").alias("c_file"), F.col("package").alias("c_package"), F.col("kind").alias("c_kind"), F.col("receiver").alias("c_owner"), F.col("language").alias("c_language")
     )
     owner = symbols.select(F.col("id").alias("caller_id"), F.col("receiver").alias("own"), F.col("language").alias("language"))
-    bases = symbols.where(F.size("bases") > 0).select(F.col("name").alias("own"), F.col("bases").alias("own_bases")).dropDuplicates(["own"])
+    bases = symbols.where(F.size("bases") > 0).groupBy(F.col("name").alias("own")).agg(F.min_by("bases", "id").alias("own_bases"))
     w = Window.partitionBy("caller_id").orderBy("line", "target", "receiver")
     c = calls.withColumn("nth", F.row_number().over(w))
     if max_calls is not None:
@@ -127,11 +129,15 @@ def resolve_calls(symbols: DataFrame, imports: DataFrame, calls: DataFrame, max_
     return _edges(out.where("src <> dst"), "calls")
 
 
+def import_path() -> Column:
+    """The path that an import's ``path`` asks for, without leading dots and known endings, with slashes."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^(\.{1,2}/)+|^\.+", ""), r"\.(js|ts|tsx|jsx|css|html|sh)$", ""), r"(?<=\w)\.(?=\w)", "/")
+
+
 def import_edges(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Imports edges from a file's node to the files that a path names, by full path or by its end, else to a placeholder."""
     files = symbols.select("file_path").distinct().withColumn("stem", F.regexp_replace("file_path", r"(/__init__)?\.[^/.]*$", ""))
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^(\.{1,2}/)+|^\.+", ""), r"\.(js|ts|tsx|jsx|css|html|sh)$", ""), r"(?<=\w)\.(?=\w)", "/")
-    w = imports.withColumn("wanted", path).withColumn("tail", F.element_at(F.split("wanted", "/"), -1))
+    w = imports.withColumn("wanted", import_path()).withColumn("tail", F.element_at(F.split("wanted", "/"), -1))
     t = files.select(F.col("file_path").alias("dst_file"), "stem", F.element_at(F.split("stem", "/"), -1).alias("tail"))
     hit = w.join(t, "tail").where("stem = wanted OR endswith(stem, concat('/', wanted))").where("dst_file <> file_path")
     best = hit.groupBy("file_path", "path").agg(F.min_by("dst_file", F.struct(F.length("stem"), "dst_file")).alias("dst_file"))
@@ -139,10 +145,10 @@ def import_edges(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     return _edges(imports.select("file_path", "path").distinct().join(best, ["file_path", "path"], "left").select(F.concat(F.lit("file:"), F.col("file_path")).alias("src"), dst.alias("dst"), "file_path", F.lit(1).alias("line")), "imports")
 
 
-def type_edges(symbols: DataFrame) -> DataFrame:
-    """Receives edges from methods to their receiver's type, and returns edges to the types that results name."""
+def type_edges(symbols: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Receives edges from methods (of the symbols ``own``, if given) to their receiver's type, and returns edges to the types that results name."""
     kinds = ("class", "struct", "interface", "type")
-    m = symbols.where(F.col("kind").isin(*CALLABLE))
+    m = (symbols if own is None else own).where(F.col("kind").isin(*CALLABLE))
     r = m.where("receiver IS NOT NULL").select(F.col("id").alias("src"), "file_path", F.col("start_line").alias("line"), F.col("receiver").alias("name")).withColumn("key", F.col("src"))
     v = m.where("returns IS NOT NULL").select(F.col("id").alias("src"), "file_path", F.col("start_line").alias("line"), F.explode(F.array_distinct(F.regexp_extract_all("returns", F.lit(r"[A-Za-z_]\w*"), 0))).alias("name")).withColumn("key", F.struct("src", "name"))
     return _edges(resolve_names(r, symbols, kinds), "receives").unionByName(_edges(resolve_names(v, symbols, kinds), "returns")).where("src <> dst")
@@ -177,18 +183,103 @@ def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.where(ok).select(*EDGE_COLUMNS)
 
 
+@dataclass(frozen=True)
+class Project:
+    """What parsers found in a project's files, and the edges it resolves to, before those that don't fit are left out: what :func:`refresh` starts from."""
+
+    files: DataFrame  # file_path
+    symbols: DataFrame
+    imports: DataFrame
+    calls: DataFrame
+    references: DataFrame
+    edges: DataFrame  # with origin: the step that made an edge
+
+
+def _parsed(files: DataFrame) -> dict[str, DataFrame]:
+    found = parsers.symbols(files)
+    bad = parsers.invalid_symbols(found).select("id")
+    return {
+        "files": files.select("file_path").distinct(), "symbols": write_table(write_table(found, "symbols").join(bad, "id", "left_anti"), "symbols"), "imports": write_table(parsers.imports(files), "imports"),
+        "calls": write_table(parsers.call_sites(files), "call-sites"), "references": write_table(parsers.references(files), "references"),
+    }
+
+
+def _resolved(parsed: dict[str, DataFrame], max_calls: int | None, only: DataFrame | None = None) -> DataFrame:
+    """The edges of all sources, or of those in ``only`` (``id``) and all implicit implementations."""
+    symbols, few = parsed["symbols"], lambda d, c: d if only is None else d.join(only.withColumnRenamed("id", c), c, "left_semi")
+    own = few(symbols, "id")
+    imports = parsed["imports"] if only is None else few(parsed["imports"].withColumn("at", F.concat(F.lit("file:"), F.col("file_path"))), "at").drop("at")
+    parts = {
+        "calls": resolve_calls(symbols, parsed["imports"], few(parsed["calls"], "caller_id"), max_calls), "references": reference_edges(symbols, few(parsed["references"], "src")), "imports": import_edges(symbols, imports),
+        "bases": inheritance(symbols, own), "implicit": implicit_implementations(symbols), "types": type_edges(symbols, own), "defines": few(defines_edges(symbols), "src"),
+    }
+    every = None
+    for name, part in parts.items():
+        part = part.withColumn("origin", F.lit(name))
+        every = part if every is None else every.unionByName(part)
+    return write_table(every, "edges")
+
+
+def parse_project(files: DataFrame, max_calls: int | None = MAX_CALLS) -> Project:
+    """A project of ``files`` (``file_path, text``)."""
+    parsed = _parsed(files)
+    return Project(**parsed, edges=_resolved(parsed, max_calls))
+
+
+_SHAPE = ["id", "name", "kind", "package", "file_path", "receiver", "language", "bases", "returns"]
+
+
+def refresh(p: Project, changed: DataFrame, files: DataFrame, max_calls: int | None = MAX_CALLS) -> Project:
+    """The project after a batch of ``changed`` files (``file_path``; added, edited and removed ones), of which ``files`` (``file_path, text``) are there: the same as parsing all anew.
+
+    Only these are parsed. What is resolved anew is found by name: names of symbols that came, went or changed (not those of
+    symbols whose bodies alone did) lead to the callers, referring symbols, subtypes and methods in other files that use them, and paths of
+    files that came or went to the files that import them. All other edges stay. Implicit implementations are
+    sets of methods over the whole project, and are taken anew from the symbols.
+    """
+    gone = changed.select("file_path").distinct()
+    fresh = _parsed(files.join(gone, "file_path", "left_semi"))
+    now = {}
+    for name, new in fresh.items():
+        now[name] = write_table(getattr(p, name).join(gone, "file_path", "left_anti").unionByName(new), name)
+    before = p.symbols.join(gone, "file_path", "left_semi")
+    shape = lambda d: d.select(*_SHAPE)
+    moved = shape(before).exceptAll(shape(fresh["symbols"])).unionByName(shape(fresh["symbols"]).exceptAll(shape(before)))
+    names = write_table(moved.select("name").distinct(), "moved-names")
+    last = lambda c: F.element_at(F.split(c, r"\."), -1)
+    users = lambda d, key, name: d.join(names.select(F.col("name").alias(name)), name, "left_semi").select(F.col(key).alias("id"))
+    alias = now["imports"].where("alias IS NOT NULL").select("file_path", F.col("alias").alias("target"), F.explode("names").alias("real"))
+    methods = now["symbols"].select(F.col("id").alias("caller_id"), F.col("receiver").alias("own")).where("own IS NOT NULL")
+    types = now["symbols"].where(F.col("kind").isin(*CALLABLE))
+    stems = lambda d: d.select("file_path").distinct()
+    came = stems(p.symbols).exceptAll(stems(now["symbols"])).unionByName(stems(now["symbols"]).exceptAll(stems(p.symbols)))
+    tails = write_table(came.select(F.element_at(F.split(F.regexp_replace("file_path", r"(/__init__)?\.[^/.]*$", ""), "/"), -1).alias("tail")).distinct(), "moved-files")
+    only = (
+        before.select("id").unionByName(fresh["symbols"].select("id"))
+        .unionByName(gone.select(F.concat(F.lit("file:"), F.col("file_path")).alias("id")))
+        .unionByName(fresh["calls"].select(F.col("caller_id").alias("id"))).unionByName(fresh["references"].select(F.col("src").alias("id")))
+        .unionByName(p.calls.join(gone, "file_path", "left_semi").select(F.col("caller_id").alias("id"))).unionByName(p.references.join(gone, "file_path", "left_semi").select(F.col("src").alias("id")))
+        .unionByName(users(now["calls"], "caller_id", "target"))
+        .unionByName(users(now["calls"].join(alias, ["file_path", "target"]), "caller_id", "real"))
+        .unionByName(users(now["calls"].join(methods, "caller_id"), "caller_id", "own"))
+        .unionByName(users(now["references"], "src", "name"))
+        .unionByName(users(now["symbols"].select("id", F.explode("bases").alias("base")).withColumn("base", last("base")), "id", "base"))
+        .unionByName(users(types, "id", "receiver"))
+        .unionByName(users(types.where("returns IS NOT NULL").select("id", F.explode(F.regexp_extract_all("returns", F.lit(r"[A-Za-z_]\w*"), 0)).alias("word")), "id", "word"))
+        .unionByName(now["imports"].withColumn("tail", last(F.regexp_replace(import_path(), "/", "."))).join(tails, "tail", "left_semi").select(F.concat(F.lit("file:"), F.col("file_path")).alias("id")))
+    )
+    only = write_table(only.distinct(), "moved-sources")
+    kept = p.edges.where("origin <> 'implicit'").join(only.withColumnRenamed("id", "src"), "src", "left_anti")
+    return Project(**now, edges=write_table(kept.unionByName(_resolved(now, max_calls, only)), "edges"))
+
+
 def build_graph(files: DataFrame, max_calls: int | None = MAX_CALLS) -> CodeGraph:
     """The graph of ``files`` (``file_path, text``): symbols, files and external placeholders as nodes; calls, imports, implements, embeds, receives, returns, references and defines as edges. ``max_calls`` is of :func:`resolve_calls`."""
-    symbols = write_table(parsers.symbols(files), "symbols")
-    bad = parsers.invalid_symbols(symbols).select("id")
-    symbols = symbols.join(bad, "id", "left_anti")
-    imports = write_table(parsers.imports(files), "imports")
-    calls = write_table(parsers.call_sites(files), "call-sites")
-    edges = resolve_calls(symbols, imports, calls, max_calls)
-    refs = reference_edges(symbols, parsers.references(files))
-    for part in (refs, import_edges(symbols, imports), inheritance(symbols), implicit_implementations(symbols), type_edges(symbols), defines_edges(symbols)):
-        edges = edges.unionByName(part)
-    edges = write_table(edges, "edges")
+    return project_graph(parse_project(files, max_calls))
+
+
+def project_graph(p: Project) -> CodeGraph:
+    symbols, edges, files = p.symbols, p.edges.drop("origin"), p.files
     outside = edges.where("dst LIKE 'external:%'").select(F.col("dst").alias("id"))
     nodes = nodes_of(symbols, outside)
     package = F.when(F.col("file_path").contains("/"), F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1)).otherwise("")
