@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import analytics as an
 from graphloom.operators import dominators as dm
-from graphloom.operators import dyadic, trees
+from graphloom.operators import chains, dyadic, trees
 from graphloom.registry import query
 from graphloom.sources.graphs import FLOW_SQL, SESSION_SQL, TREE_SQL, CodeGraph, flow_graph, geography_tree, session_graph
 
@@ -51,6 +51,22 @@ def tree_path_aggregates(spark, d):
     return trees.path_aggregate(trees.root_paths(t), t.select("id", "value"), _pairs(t))
 
 
+@query(
+    "tree_path_segments",
+    f"""WITH RECURSIVE {TREE_SQL}, {_PAIRS}, onpath AS (
+  SELECT DISTINCT m.u, m.v, a.ancestor AS id FROM meet m JOIN (SELECT u AS e, u, v FROM meet UNION ALL SELECT v, u, v FROM meet) x ON x.u = m.u AND x.v = m.v
+  JOIN up a ON a.id = x.e JOIN depths d ON d.id = a.ancestor WHERE d.depth >= m.depth),
+sizes AS (SELECT ancestor AS id, count(*) AS size FROM up GROUP BY ancestor),
+heavy AS (SELECT id FROM (SELECT t.id, row_number() OVER (PARTITION BY t.parent ORDER BY s.size DESC, t.id) AS rn FROM tree t JOIN sizes s USING (id) WHERE t.parent IS NOT NULL) WHERE rn = 1),
+heads AS (SELECT u.id, arg_min(u.ancestor, u.dist) AS head FROM up u WHERE u.ancestor NOT IN (SELECT id FROM heavy) GROUP BY u.id)
+SELECT u, v, count(*)::BIGINT AS nodes, sum(value)::BIGINT AS sum, min(value) AS min, max(value) AS max, count(DISTINCT head) AS segments FROM onpath JOIN tree USING (id) JOIN heads USING (id) GROUP BY u, v""",
+)
+def tree_path_segments(spark, d):
+    """The paths of tree_path_aggregates from stretches of heavy chains, and how many each took."""
+    t = geography_tree(spark, d)
+    return chains.segment_aggregate(chains.heavy_chains(t), t.select("id", "value"), _pairs(t))
+
+
 @query("tree_subtree_aggregates", f"WITH RECURSIVE {TREE_SQL} SELECT u.ancestor AS id, count(*) AS nodes, sum(t.value)::BIGINT AS sum, min(t.value) AS min, max(t.value) AS max, list_reduce(list_distinct(list(abs(t.value))), lambda a, b: gcd(a, b)) AS gcd FROM up u JOIN tree t ON t.id = u.id GROUP BY u.ancestor")
 def tree_subtree_aggregates(spark, d):
     t = geography_tree(spark, d)

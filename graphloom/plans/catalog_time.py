@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import sketches, stats
+from graphloom.plans.tables import new_path
 from graphloom.registry import query
 from graphloom.sources.graphs import CodeGraph, session_graph
+from graphloom.streaming import checkpoints as cp
 from graphloom.streaming import journal as jn
 
 
@@ -37,6 +39,22 @@ def journal_state_at(spark, d):
     return jn.state(_journal(spark, d), 500)
 
 
+@query(
+    "journal_state_from_snapshot",
+    """WITH r AS (SELECT user_id AS key, event_id AS seq, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events)
+SELECT key, seq, value FROM r WHERE rn = 1 AND event_type <> 'error'""",
+)
+def journal_state_from_snapshot(spark, d):
+    """The state from a snapshot in the middle of the journal and the deltas after it, when the segments before are gone."""
+    path, j = new_path(spark, "journal"), _journal(spark, d)
+    middle = j.agg(F.expr("max(seq) div 2")).first()[0]
+    size = 1 + middle // 4
+    cp.append(j, path, size)
+    cp.checkpoint(spark, path, middle, size)
+    cp.compact(spark, path, size)
+    return cp.state_at(spark, path, segment=size)
+
+
 @query("turnstile_totals", "SELECT user_id AS key, sum(CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN -1 ELSE 0 END)::BIGINT AS total FROM events GROUP BY user_id HAVING total <> 0")
 def turnstile_totals(spark, d):
     delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)
