@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import search
 from graphloom.operators import similarity as sim
+from graphloom.operators import vector_index
 from graphloom.registry import query
 from graphloom.sources.graphs import SESSION_SQL, SUPPLY_SQL, session_graph, supply_graph
 
@@ -99,6 +100,32 @@ def nearest_vectors(spark, d):
     return sim.nearest(v, v.where("id % 100 = 0"), 10).select("query", "id", F.round("similarity", 6).alias("similarity"))
 
 
+_FILTERED_SQL = """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (
+SELECT a.id AS query, b.id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0 AND b.label < 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rn FROM p)
+SELECT query, id, round(s, 6) AS similarity FROM r WHERE rn <= 10"""
+
+
+def _indexed(spark, d):
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return v, vector_index.build_index(v)
+
+
+@query("vector_index_exact", _FILTERED_SQL)
+def vector_index_exact(spark, d):
+    """The ten nearest vectors of some labels, by an index whose cells are ruled out by their reach."""
+    v, index = _indexed(spark, d)
+    return vector_index.search(index, v.where("id % 100 = 0"), 10, where=F.col("label") < 4, exact=True).select("query", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("vector_index_search")
+def vector_index_search(spark, d):
+    """The ten nearest vectors from as many cells as reach a measured recall of .95."""
+    v, index = _indexed(spark, d)
+    probes, _ = vector_index.choose_probes(index, v, 0.95)
+    return vector_index.search(index, v.where("id % 100 = 0"), 10, probes)
+
+
 @query(
     "part_name_jaccard",
     """WITH p AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand) AS first, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part)
