@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.communities import communities
@@ -115,20 +115,20 @@ def _power_iteration(damping: float, max_iterations: int, tolerance: float, smal
     return walk
 
 
-def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, small_graph: int = 10, sequential: bool | None = None) -> DataFrame:
+def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, small_graph: int = 10, sequential: bool = False) -> DataFrame:
     """``id, rank`` after power iteration.
 
     Ranks start at 1/N; a node passes ``damping`` of its rank over its edges,
     parallel edges each their share; nodes without outgoing edges pass it to all nodes alike.
     Ends when no rank moves by ``tolerance`` or more, after ``max_iterations``, or after one
-    iteration on graphs of fewer than ``small_graph`` nodes. Graphs that fit one task (checked) are iterated there.
-    For larger ones, edges are pre-aggregated to weights once; an iteration is one join and one aggregation.
+    iteration on graphs of fewer than ``small_graph`` nodes. Edges are pre-aggregated to weights once; an iteration is one join
+    and one aggregation. With ``sequential``, a graph that fits one task (checked) is iterated there.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping must lie between 0 and 1")
     ids = g.nodes.select(F.col("id").alias("src"), F.lit(None).cast(dict(g.nodes.dtypes)["id"]).alias("dst"))
     rows = g.edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").unionByName(ids.where("src IS NOT NULL"))
-    if fits(rows) if sequential is None else sequential:
+    if sequential and fits(rows):
         return in_one_task(rows, _power_iteration(damping, max_iterations, tolerance, small_graph), f"id {dict(ids.dtypes)['src']}, rank double")
     out = g.edges.groupBy("src").agg(F.count("*").alias("out"))
     links = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
@@ -144,8 +144,10 @@ def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tol
         new = ranks.withColumnRenamed("rank", "old").join(given, "id", "left").select(
             "id", "sink", (F.lit((1 - damping) / n + damping * sunk / n) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("rank"), "old"
         )
-        new = write_table(new, "pagerank")
-        moved, sunk = new.agg(F.max(F.abs(F.col("rank") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0))).first()
+        seen = Observation()
+        change = F.abs(F.col("rank") - F.col("old"))
+        new = write_table(new.observe(seen, F.max(change).alias("moved"), F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)).alias("sunk")), "pagerank")
+        moved, sunk = seen.get["moved"], seen.get["sunk"]
         drop_table(ranks)
         path = new._table_path
         ranks = new.drop("old")

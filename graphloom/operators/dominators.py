@@ -14,19 +14,19 @@ from graphloom.plans.tables import GrowingTable, drop_table, write_table
 VIRTUAL_EXIT = "__exit__"
 
 
-def dominator_tree(edges: DataFrame, entry: str, sequential: bool | None = None, max_rounds: int = 10_000) -> DataFrame:
+def dominator_tree(edges: DataFrame, entry: str, sequential: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """``id, parent``: the immediate dominator of each node that ``entry`` reaches, at any depth; null for the entry.
 
-    Graphs whose distinct edges fit one task (checked) are walked there in almost linear time. Larger
-    ones take rounds over a dominator tree that starts as the breadth-first tree: each node's new parent
+    Rounds over a dominator tree that starts as the breadth-first tree: each node's new parent
     is the deepest common ancestor of its predecessors, which is the common prefix of the least and the
     greatest of their root paths, so a round is one grouped min and max. Trees stay
-    consistent, as root paths are built anew by pointer doubling. Ends when nothing moves. Both ways give the same rows.
+    consistent, as root paths are built anew by pointer doubling. Ends when nothing moves. With ``sequential`` (the default), a graph whose
+    distinct edges fit one task (checked) is walked there in almost linear time: rounds take long on small deep ones. Both ways give the same rows.
     """
     kind = dict(edges.dtypes)["src"]
     starts = edges.sparkSession.createDataFrame([(entry, entry)], f"root {kind}, id {kind}")
     pairs = write_table(edges.where("src <> dst").select("src", "dst").distinct(), "dom-edges")
-    if fits(pairs) if sequential is None else sequential:
+    if sequential and fits(pairs):
 
         def walk(src, dst, ids):
             import pandas as pd
@@ -61,7 +61,7 @@ def dominator_tree(edges: DataFrame, entry: str, sequential: bool | None = None,
     raise RuntimeError("dominators did not settle")
 
 
-def dominators(edges: DataFrame, entry: str, sequential: bool | None = None) -> DataFrame:
+def dominators(edges: DataFrame, entry: str, sequential: bool = True) -> DataFrame:
     """``id, idom, path``: immediate dominators of what ``entry`` reaches, and all dominators in order; the entry's own is itself. See :func:`dominator_tree`."""
     tree = write_table(dominator_tree(edges, entry, sequential), "dom")
     return root_paths(tree).join(tree, "id").select("id", F.coalesce("parent", "id").alias("idom"), "path")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.sequential import adjacency, breadth_first, fits, in_one_task
 from graphloom.operators.structural import UNLIMITED
-from graphloom.operators.traversal import bfs
+from graphloom.operators.traversal import bfs, way_up
+from graphloom.plans.tables import write_table
 from graphloom.sources.graphs import CodeGraph
 
 # --- index batches -----------------------------------------------------------
@@ -78,10 +79,10 @@ def minimal_context(g: CodeGraph, targets: DataFrame, budget: int = 4000) -> Dat
 # --- packages ----------------------------------------------------------------
 
 
-def shortest_cycle(dependencies: DataFrame, package: str, sequential: bool | None = None) -> list[str]:
+def shortest_cycle(dependencies: DataFrame, package: str, sequential: bool = False) -> list[str]:
     """The packages of a shortest cycle through ``package`` (``src_package, dst_package``), which comes first and last; empty if there is none. Of equal ones, that of the least packages."""
     e = dependencies.select(F.col("src_package").alias("src"), F.col("dst_package").alias("dst")).distinct()
-    if fits(e) if sequential is None else sequential:
+    if sequential and fits(e):
 
         def walk(a, b, ids):
             import pandas as pd
@@ -100,14 +101,11 @@ def shortest_cycle(dependencies: DataFrame, package: str, sequential: bool | Non
 
         return [r["id"] for r in in_one_task(e, walk, "at long, id string").orderBy("at").collect()]
     seen = bfs(e, e.sparkSession.createDataFrame([(package, package)], "root string, id string"), UNLIMITED)
+    seen = write_table(seen.select("id", "parent", "depth"), "seen")
     last = seen.join(e.where(F.col("dst") == package).select(F.col("src").alias("id")), "id").orderBy("depth", "id").first()
-    way = [package]
-    while last is not None:
-        way.append(last["id"])
-        if last["id"] == package:
-            return way[::-1]
-        last = seen.where(F.col("id") == last["parent"]).first()
-    return []
+    if last is None:
+        return []
+    return [r["id"] for r in way_up(seen, last["id"], last["depth"]).join(seen, "id").orderBy("depth").select("id").collect()] + [package]
 
 
 # --- type checks -------------------------------------------------------------

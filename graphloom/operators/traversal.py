@@ -74,16 +74,29 @@ def type_hierarchy(g, id: str, max_depth: int | None = None) -> DataFrame:
     return bfs(g.of_type("implements", "embeds"), one_start(g.edges, id), max_depth, both=True).drop("root")
 
 
-def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential: bool | None = None) -> tuple[int, list[str]]:
+def way_up(tree: DataFrame, id, length: int) -> DataFrame:
+    """``id`` of a node and all its ancestors in ``tree`` (``id, parent``), of which there are ``length``: by jumps of powers of two, so that the jobs are as many as the length has binary digits."""
+    jump = tree.where("parent IS NOT NULL").select("id", F.col("parent").alias("up"))
+    jumps = [write_table(jump, "way")]
+    for _ in range(max(0, length.bit_length() - 1)):
+        last = jumps[-1]
+        jumps.append(write_table(last.join(last.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), "way"))
+    found = tree.where(F.col("id") == id).select("id")
+    for jump in reversed(jumps):
+        found = found.join(jump, "id", "left").select(F.explode(F.array_compact(F.array("id", "up"))).alias("id"))
+    return found.distinct()
+
+
+def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential: bool = False) -> tuple[int, list[str]]:
     """Length and nodes of a shortest directed path over all edge types; (-1, []) if there is none. Unknown ids raise KeyError.
 
-    Of the paths of least length, that of the least parents from ``dst`` on. Graphs that fit are walked in one task, others level by level.
+    Of the paths of least length, that of the least parents from ``dst`` on. Level by level; with ``sequential``, a graph that fits one task (checked) is walked there.
     """
     known(g.nodes, src, dst)
     if src == dst:
         return 0, [src]
     pairs = g.edges.select("src", "dst").distinct()
-    if fits(pairs) if sequential is None else sequential:
+    if sequential and fits(pairs):
 
         def walk(a, b, ids):
             import pandas as pd
@@ -101,14 +114,13 @@ def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential:
         path = [r["id"] for r in in_one_task(pairs, walk, f"at long, id {dict(g.edges.dtypes)['src']}").orderBy("at").collect()]
         return (len(path) - 1, path) if path else (-1, [])
     seen = bfs(g.edges, one_start(g.edges, src), max_depth, until=dst)
-    path = [dst]
-    # a path has as many rows as it is long: one lookup a step
-    while path[-1] != src:
-        row = seen.where(F.col("id") == path[-1]).first()
-        if row is None:
-            return -1, []
-        path.append(row["parent"])
-    return len(path) - 1, path[::-1]
+    seen = write_table(seen.select("id", "parent", "depth"), "seen")
+    last = seen.where(F.col("id") == dst).first()
+    if last is None:
+        return -1, []
+    # as many rows as the path is long
+    path = [r["id"] for r in way_up(seen, dst, last["depth"]).join(seen, "id").orderBy("depth").select("id").collect()]
+    return len(path) - 1, path
 
 
 def distances(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
