@@ -223,8 +223,11 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: fl
         "key", "mark", "mark2", "part", "blocks", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")).cast("int").alias("parts")
     )
     likely, _ = split_likely(texts, placed.select("mark"), "mark")
-    # repeated rows are folded before their shuffle: each set goes to its blocks once
-    likely = likely.groupBy("mark", "mark2").agg(F.first("__text").alias("__text"))
+    # repeated rows, where there are any, are folded before their shuffle: each set goes to its blocks once
+    repeated = write_table(features.groupBy("mark", "mark2").count().where("count > 1").select("mark", "mark2"), "ngram-repeated", 1)
+    if not repeated.isEmpty():
+        many, likely = split_likely(likely, repeated.select("mark"), "mark")
+        likely = likely.select("mark", "mark2", "__text").unionByName(many.groupBy("mark", "mark2").agg(F.first("__text").alias("__text")))
     sets = map_batches(
         likely.join(wanted, ["mark", "mark2"]).select("key", "part", "parts", "blocks", "__text"), _sets(n), "part long, a int, b int, block int, key long, grams binary"
     )
