@@ -224,7 +224,7 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: fl
     )
     likely, _ = split_likely(texts, placed.select("mark"), "mark")
     # repeated rows, where there are any, are folded before their shuffle: each set goes to its blocks once
-    repeated = write_table(features.groupBy("mark", "mark2").count().where("count > 1").select("mark", "mark2"), "ngram-repeated", 1)
+    repeated = write_table(features.groupBy("mark", "mark2").count().where("count > 1").select("mark", "mark2"), "ngram-repeated")
     if not repeated.isEmpty():
         many, likely = split_likely(likely, repeated.select("mark"), "mark")
         likely = likely.select("mark", "mark2", "__text").unionByName(many.groupBy("mark", "mark2").agg(F.first("__text").alias("__text")))
