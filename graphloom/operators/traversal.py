@@ -87,10 +87,10 @@ def way_up(tree: DataFrame, id, length: int) -> DataFrame:
     return found.distinct()
 
 
-def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential: bool = False) -> tuple[int, list[str]]:
+def shortest_path(g, src: str, dst: str, max_depth: int = UNLIMITED, sequential: bool = True) -> tuple[int, list[str]]:
     """Length and nodes of a shortest directed path over all edge types; (-1, []) if there is none. Unknown ids raise KeyError.
 
-    Of the paths of least length, that of the least parents from ``dst`` on. Level by level; with ``sequential``, a graph that fits one task (checked) is walked there.
+    Of the paths of least length, that of the least parents from ``dst`` on. Level by level; with ``sequential`` (the default), a graph that fits one task (checked) is walked there, as deep ones take a job a level.
     """
     known(g.nodes, src, dst)
     if src == dst:

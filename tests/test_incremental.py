@@ -42,11 +42,11 @@ def test_refresh_equals_rebuild(spark):
     files = lambda t: spark.createDataFrame(sorted(t.items()), "file_path string, text string")
     project = construction.parse_project(files(texts))
     seen = set()
-    for step in range(3):
-        changed = r.sample(FILES, 2)
+    for step in range(2):
+        changed = r.sample(FILES, 3)
         for f in changed:
             k = r.random()
-            if f in texts and k < 0.25 and step:
+            if f in texts and k < 0.3:
                 del texts[f]
             elif f in texts and k < 0.45:
                 texts[f] = "\n" + texts[f]  # the same symbols, elsewhere
