@@ -1,7 +1,7 @@
 """Source-code parsers: file texts to symbols, imports and call sites.
 
-Python files go through the standard library's syntax trees, the other languages
-through line-wise patterns. Each parser takes ``(path, text)`` and
+Python files go through the standard library's syntax trees; Go, JavaScript and TypeScript are matched
+bracket by bracket in texts without strings and comments (see :mod:`lexing`), the other languages by patterns. Each parser takes ``(path, text)`` and
 returns a :class:`Parsed`; :data:`PARSERS` finds one by extension.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.lexing import Bare, bare
+
 SYMBOLS = "file_path string, id string, name string, kind string, package string, start_line int, end_line int, exported boolean, language string, signature string, receiver string, parent string, bases array<string>, returns string, code string"
 IMPORTS = "file_path string, path string, alias string, names array<string>, is_wildcard boolean, is_relative boolean"
 REFERENCES = "file_path string, src string, name string, line int, why string"
@@ -133,65 +135,127 @@ def parse_python(path: str, text: str) -> Parsed:
     return out
 
 
-def _body_end(lines: list[str], at: int) -> int:
-    """The line on which the braces that open from line ``at`` on are closed again."""
-    depth = 0
-    opened = False
-    for i in range(at, len(lines)):
-        bare = re.sub(r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'|`[^`]*`|//.*", "", lines[i])
-        depth += bare.count("{") - bare.count("}")
-        opened |= "{" in bare
-        if opened and depth <= 0 or not opened and i > at + 1:
-            return i
-    return len(lines) - 1
-
-
-_CALL = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\.)?([A-Za-z_$][\w$]*)\s*\(")
-_KEYWORDS = frozenset("if for while switch return func function catch go defer select range typeof new await async else case with do super constructor".split())
-
-
-def _calls_in(out: Parsed, path: str, id: str, lines: list[str], at: int, end: int) -> None:
-    for i in range(at, end + 1):
-        bare = re.sub(r"\"(\\.|[^\"\\])*\"|'(\\.|[^'\\])*'|//.*", "", lines[i] if i > at else lines[i][lines[i].find("{") + 1 :] if "{" in lines[i] else "")
-        for m in _CALL.finditer(bare):
-            if m[2] not in _KEYWORDS:
-                out.call(path, id, m[2], m[1], i + 1)
+_CALL = re.compile(r"(?:([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\??\.)?([A-Za-z_$][\w$]*)\s*\(")
+_GO_KEYWORDS = frozenset("if for switch return func go defer select range else case".split())
+_SCRIPT_KEYWORDS = frozenset("if for while switch return function catch typeof new await async else case with do super constructor import".split())
+
+
+def _own_calls(out: Parsed, path: str, b: Bare, bodies: list[tuple[int, int, str]], names: set[int], keywords: frozenset[str]) -> None:
+    """Calls in ``bodies`` (start, end, symbol), each of the innermost one; ``names`` are where declared names stand, which are no calls."""
+    bodies = sorted(bodies, key=lambda x: (x[0], -x[1]))
+    around: list[tuple[int, int, str]] = []
+    k = 0
+    for m in _CALL.finditer(b.text):
+        at = m.start(2)
+        while k < len(bodies) and bodies[k][0] <= at:
+            around.append(bodies[k])
+            k += 1
+            while len(around) > 1 and around[-2][1] < around[-1][0]:
+                del around[-2]
+        while around and around[-1][1] < at:
+            around.pop()
+        if around and at not in names and m[2] not in keywords:
+            out.call(path, around[-1][2], m[2], m[1].replace("?", "") if m[1] else None, b.line(at))
+
+
+_GO_TOP = re.compile(r"^(func|type|var|const|import)\b[ \t]*", re.M)
+_GO_NAME = re.compile(r"\s*([^\W\d]\w*)\s*")
+_GO_METHOD = re.compile(r"^[ \t]*([^\W\d]\w*)\(", re.M)
+
+
+def _go_body(b: Bare, at: int) -> int:
+    """Where the body of a function opens whose parameters end before ``at``; the end of the line if it has none."""
+    while at < len(b.text):
+        m = re.compile(r"(?:interface|struct)\s*\{|[(\[{\n]").search(b.text, at)
+        if not m:
+            break
+        if m[0] in "{\n":
+            return m.start()
+        at = b.end(m.end() - 1) + 1  # a type's own brackets
+    return len(b.text)
+
+
+def _go_specs(b: Bare, at: int) -> Iterator[int]:
+    """Where the specifications of a type, var, const or import declaration begin: one, or those in its parentheses."""
+    if b.text[at : at + 1] != "(":
+        yield at
+        return
+    stop = b.end(at)
+    for m in re.compile(r"[^\s;()]").finditer(b.text, at + 1, stop):
+        before = b.text[at + 1 : m.start()].rstrip(" \t")[-1:]
+        if before in ("", "\n", ";") and b.inside(m.start()) == at:
+            yield m.start()
 
 
 def parse_go(path: str, text: str) -> Parsed:
-    out, lines = Parsed(), text.split("\n")
-    package = next((m[1] for x in lines if (m := re.match(r"package\s+(\w+)", x))), "")
-    block = False
-    i = 0
-    while i < len(lines):
-        x = lines[i]
-        if block or re.match(r"import\s", x):
-            for m in re.finditer(r"(?:([\w.]+)\s+)?\"([^\"]+)\"", re.sub(r"^import\s*", "", x)):
-                out.include(path, m[2], m[1], ["*"] if m[1] == "." else None)
-            block = (block or "(" in x) and ")" not in x
-        elif m := re.match(r"func\s+(?:\(\s*\w*\s*\*?\s*([\w.]+)(?:\[[^\]]*\])?\s*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(", x):
-            end = _body_end(lines, i)
-            sig = x.split("{")[0].strip()
-            tail = sig[sig.rfind(")") + 1 :].strip() or (sig[sig.rfind("(") + 1 : -1] if sig.count("(") > (2 if m[1] else 1) else "")
-            id = out.symbol(path, m[2], "method" if m[1] else "function", i + 1, end + 1, "go", package=package, exported=m[2][0].isupper(), receiver=m[1], signature=sig, returns=tail or None, code="\n".join(lines[i : end + 1]))
-            _calls_in(out, path, id, lines, i, end)
-            i = end
-        elif m := re.match(r"type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)\b", x):
-            end = _body_end(lines, i)
-            body = [b.strip() for b in lines[i + 1 : end]]
-            bases = [b.lstrip("*") for b in body if re.fullmatch(r"\*?[\w.]+", b)]
-            id = out.symbol(path, m[1], m[2], i + 1, end + 1, "go", package=package, exported=m[1][0].isupper(), bases=bases, signature=x.split("{")[0].strip(), code="\n".join(lines[i : end + 1]))
-            if m[2] == "interface":
-                for k, b in enumerate(body):
-                    if n := re.match(r"(\w+)\(", b):
-                        out.symbol(path, n[1], "method", i + 2 + k, i + 2 + k, "go", package=package, exported=n[1][0].isupper(), receiver=m[1], parent=id, signature=b)
-            i = end
-        elif m := re.match(r"type\s+(\w+)\s", x):
-            out.symbol(path, m[1], "type", i + 1, i + 1, "go", package=package, exported=m[1][0].isupper(), signature=x.strip())
-        elif m := re.match(r"(var|const)\s+(\w+)", x):
-            out.symbol(path, m[2], "constant" if m[1] == "const" else "variable", i + 1, i + 1, "go", package=package, exported=m[2][0].isupper())
-        i += 1
-    return _refer_by_text(out, path, text.split("\n"))
+    """Go files: declarations at the top level, also grouped ones and signatures over several lines."""
+    out, b = Parsed(), bare(text)
+    code = b.text
+    package = next((m[1] for m in re.finditer(r"^package\s+(\w+)", code, re.M)), "")
+    more = lambda name: {"package": package, "exported": name[0].isupper()}
+    bodies: list[tuple[int, int, str]] = []
+    names: set[int] = set()
+    done = -1
+    for top in _GO_TOP.finditer(code):
+        first, at = top.start(), top.end()
+        if first < done or b.inside(first) != -1:
+            continue
+        if top[1] == "func":
+            receiver = None
+            if code[at : at + 1] == "(":
+                m = re.fullmatch(r"(?:\w+\s+)?\*?\s*([\w.]+)(?:\[.*\])?", code[at + 1 : b.end(at)].strip(), re.S)
+                receiver = m[1] if m else None
+                at = b.end(at) + 1
+            if not (m := _GO_NAME.match(code, at)):
+                continue
+            name, at = m[1], m.end()
+            if code[at : at + 1] == "[":
+                at = b.end(at) + 1
+            if code[at : at + 1] != "(":
+                continue
+            params = b.end(at) + 1
+            body = _go_body(b, params)
+            done = b.end(body) if code[body : body + 1] == "{" else body
+            returns = b.head(params, body)
+            if returns.startswith("(") and b.end(code.index("(", params)) >= code.rfind(")", params, body):
+                returns = returns[1:-1].strip()
+            id = out.symbol(path, name, "method" if receiver else "function", b.line(first), b.line(min(done, max(len(code) - 1, 0))), "go", receiver=receiver, signature=b.head(first, body), returns=returns or None, code=b.rows(first, done), **more(name))
+            names.add(m.start(1))
+            bodies.append((body, done, id))
+            continue
+        for spec in _go_specs(b, at):
+            if top[1] == "import":
+                if m := re.compile(r"([\w.]+)?[ \t]*(\"|`)?").match(code, spec):
+                    quote = text.find('"', m.start()) if m[2] else -1
+                    if quote >= 0:
+                        out.include(path, b.quoted(quote), m[1], ["*"] if m[1] == "." else None)
+                continue
+            if not (m := _GO_NAME.match(code, spec)):
+                continue
+            name, line = m[1], b.line(spec)
+            if top[1] != "type":
+                out.symbol(path, name, "constant" if top[1] == "const" else "variable", line, line, "go", **more(name))
+                continue
+            after = m.end()
+            if code[after : after + 1] == "[" and not code[after:].startswith("[]") and (t := re.compile(r"\s*(?:struct|interface)\b").match(code, b.end(after) + 1)):
+                after = t.start()
+            begin = first if spec == at else spec
+            if not (kind := re.compile(r"\s*(struct|interface)\s*\{").match(code, after)):
+                stop = code.find("\n", spec)
+                out.symbol(path, name, "type", line, line, "go", signature=b.head(begin, stop if stop >= 0 else len(code)), **more(name))
+                continue
+            body = kind.end() - 1
+            stop = b.end(body)
+            inner = code[body + 1 : stop]
+            bases = [x.lstrip("*") for x in (re.sub(r"`.*|\".*", "", y).strip() for y in inner.split("\n")) if re.fullmatch(r"\*?[^\W\d][\w.]*", x)]
+            id = out.symbol(path, name, kind[1], b.line(begin), b.line(stop), "go", bases=bases, signature=b.head(begin, body), code=b.rows(begin, stop), **more(name))
+            done = max(done, stop)
+            for m in _GO_METHOD.finditer(code, body + 1, stop) if kind[1] == "interface" else ():
+                if b.inside(m.start(1)) == body:
+                    end = _go_body(b, b.end(m.end() - 1) + 1)
+                    out.symbol(path, m[1], "method", b.line(m.start(1)), b.line(max(m.start(1), min(end, stop) - 1)), "go", receiver=name, parent=id, signature=b.head(m.start(1), min(end, stop)), **more(m[1]))
+    _own_calls(out, path, b, bodies, names, _GO_KEYWORDS)
+    return _refer_by_text(out, path, code.split("\n"))
 
 
 def _named(out: Parsed, path: str, where: str, inner: str, mark: str) -> list[str]:
@@ -230,45 +294,172 @@ def _refer_by_text(out: Parsed, path: str, lines: list[str]) -> Parsed:
     return out
 
 
+_WORDS = r"(?:(?:export|default|declare|abstract|async)\s+)*"
+_S_TYPE = re.compile(rf"(?:^|(?<=[;{{}}]))[ \t]*({_WORDS})(class|interface|enum|type)\s+([\w$]+)", re.M)
+_S_FUNCTION = re.compile(rf"({_WORDS})\bfunction\b\s*\*?\s*([\w$]+)\s*(?=[<(])")
+_S_BINDING = re.compile(r"(?:^|(?<=[;{}]))[ \t]*((?:export\s+)?)(const|let|var)\s+([\w$]+)\s*(?::(?:[^=;\n]|=>)+?)?(?:=(?![=>])\s*)?", re.M)
+_S_VALUE = re.compile(r"(?:async\b\s*)?(?:function\b\s*\*?\s*[\w$]*\s*)?")
+_S_MEMBER = re.compile(r"((?:(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+|\*\s*)*)(#?[A-Za-z_$][\w$]*)\s*[?!]?\s*(?=[<(])")
+_S_FIELD = re.compile(r"((?:(?:public|private|protected|static|readonly|override)\s+)*)(#?[A-Za-z_$][\w$]*)\s*(?::(?:[^=;\n]|=>)+?)?=(?![=>])\s*")
+_S_IMPORT = re.compile(r"^[ \t]*import\b(?!\s*[(.])\s*(?:type\s+(?!from\b))?([^'\";()]*?)(?:\bfrom\s*)?(?=['\"])", re.M)
+_S_REQUIRE = re.compile(r"(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?(?:require|import)\(\s*(?=['\"])")
+_S_DYNAMIC = re.compile(r"\bimport\(\s*(?=['\"])")
+
+
+def _past_angles(code: str, at: int) -> int:
+    """The place behind the type parameters that begin at ``at``, if any do."""
+    if code[at : at + 1] != "<":
+        return at
+    depth = 0
+    for m in re.compile(r"=>|[<>;+/]|\b(?:function|class|const|let|var|return)\b").finditer(code, at):
+        step = {"<": 1, ">": -1, "=>": 0}.get(m[0])
+        if step is None:
+            break
+        depth += step
+        if not depth:
+            return m.end()
+    return at
+
+
+def _script_body(b: Bare, at: int) -> int | None:
+    """The opening brace of a function whose parameters end before ``at``, behind its result's type; None if a semicolon or a line's end comes first."""
+    code = b.text
+    typed = re.compile(r"\s*:\s*").match(code, at)
+    at = typed.end() if typed else re.compile(r"\s*").match(code, at).end()
+    if not typed:
+        return at if code[at : at + 1] == "{" else None
+    while m := re.compile(r"[(\[{;\n]").search(code, at):
+        if m[0] in ";\n":
+            return None
+        before = code[at : m.start()].rstrip()
+        if m[0] == "{" and before and before[-1] not in "|&<,:":
+            return m.start()
+        at = b.end(m.start()) + 1  # brackets of the type itself
+        if m[0] == "{" and (n := re.compile(r"[ \t]*(?=\{)").match(code, at)):
+            return n.end()
+        if m[0] != "{" and (n := re.compile(r"[ \t]*(?=\{)").match(code, at)):
+            return n.end()
+    return None
+
+
+def _arrow(b: Bare, at: int) -> tuple[int, int] | None:
+    """Body (start, end) of the function value that begins at ``at``: an arrow function or a function expression; None if it is something else."""
+    code = b.text
+    word = _S_VALUE.match(code, at)
+    at = _past_angles(code, word.end())
+    if code[at : at + 1] == "(":
+        at = b.end(at) + 1
+    elif m := re.compile(r"[\w$]+(?=\s*=>)").match(code, at):
+        at = m.end()
+    else:
+        return None
+    if "function" in word[0]:
+        body = _script_body(b, at)
+        return None if body is None else (body, b.end(body))
+    m = re.compile(r"\s*(?::(?:[^=;{}\n]|=>(?=[^{}\n]*=>))+?)?\s*=>\s*").match(code, at)
+    if not m:
+        return None
+    body = m.end()
+    if code[body : body + 1] == "{":
+        return body, b.end(body)
+    at = body  # an expression: to the end of its statement
+    while n := re.compile(r"[(\[{]|[)\]};,\n]|\Z").search(code, at):
+        if n[0] and n[0] in "([{":
+            at = b.end(n.start()) + 1
+        else:
+            return body, max(n.start() - 1, body)
+    return body, body
+
+
 def _script(language: str) -> Callable[[str, str], Parsed]:
+    """JavaScript and TypeScript: types, functions at any depth, members of classes, function values of constants."""
+
     def parse(path: str, text: str) -> Parsed:
-        out, lines = Parsed(), text.split("\n")
+        out, b = Parsed(), bare(text, True)
+        code = b.text
         package = path.rsplit("/", 1)[0] if "/" in path else ""
-        cls: tuple[str, str, int] | None = None
-        for i, x in enumerate(lines):
-            if cls and i > cls[2]:
-                cls = None
-            exported = bool(re.match(r"\s*export\b", x)) or "module.exports" in text
-            if m := re.match(r"\s*import\s+(?:type\s+)?(.*?)\s*from\s*['\"]([^'\"]+)['\"]", x):
-                inner = m[1].partition("{")[2].partition("}")[0]
-                names = _named(out, path, m[2], inner, "as")
-                star = re.search(r"\*\s+as\s+([\w$]+)", m[1])
-                out.include(path, m[2], star[1] if star else (re.match(r"[\w$]+", m[1]) or [None])[0], [*names, *(["*"] if star else [])], m[2].startswith("."))
-            elif m := re.match(r"\s*import\s*['\"]([^'\"]+)['\"]", x):
-                out.include(path, m[1], None, None, m[1].startswith("."))
-            elif m := re.match(r"\s*(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?(?:require|import)\(\s*['\"]([^'\"]+)['\"]", x):
-                plain = not m[1].startswith("{")
-                out.include(path, m[2], m[1] if plain else None, None if plain else _named(out, path, m[2], m[1].strip("{} "), ":"), m[2].startswith("."))
-            elif m := re.search(r"\bimport\(\s*['\"]([^'\"]+)['\"]", x):
-                out.include(path, m[1], None, None, m[1].startswith("."))
-            elif m := re.match(r"\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([\w$]+)(?:<[^>]*>)?(?:\s+extends\s+([\w$.,\s]+?))?(?:\s+implements\s+([\w$.,\s]+?))?\s*\{", x):
-                end = _body_end(lines, i)
-                bases = [b.strip() for g in (m[3], m[4]) if g for b in g.split(",")]
-                id = out.symbol(path, m[2], m[1], i + 1, end + 1, language, package=package, exported=exported, bases=bases, signature=x.strip().rstrip("{").strip(), code="\n".join(lines[i : end + 1]))
-                cls = (id, m[2], end)
-            elif m := re.match(r"\s*(?:export\s+)?type\s+([\w$]+)\s*(?:<[^>]*>)?\s*=", x):
-                out.symbol(path, m[1], "type", i + 1, i + 1, language, package=package, exported=exported, signature=x.strip())
-            elif (m := re.match(r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^>]*>)?\(", x)) or (m := re.match(r"\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>", x)):
-                end = _body_end(lines, i) if "{" in x else i
-                id = out.symbol(path, m[1], "function", i + 1, end + 1, language, package=package, exported=exported, signature=x.strip().rstrip("{").strip(), code="\n".join(lines[i : end + 1]))
-                _calls_in(out, path, id, lines, i, end)
-            elif cls and (m := re.match(r"\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|readonly\s+|get\s+|set\s+)*([\w$]+)\s*\([^;]*\)\s*(?::[^{]+)?\{", x)) and m[1] not in _KEYWORDS - {"constructor"}:
-                end = _body_end(lines, i)
-                id = out.symbol(path, m[1], "method", i + 1, end + 1, language, package=package, exported="private" not in x, receiver=cls[1], parent=cls[0], signature=x.strip().rstrip("{").strip(), code="\n".join(lines[i : end + 1]))
-                _calls_in(out, path, id, lines, i, end)
-            elif not cls and (m := re.match(r"(?:export\s+)?(const|let|var)\s+([\w$]+)", x)):
-                out.symbol(path, m[2], "constant" if m[1] == "const" else "variable", i + 1, i + 1, language, package=package, exported=exported)
-        return _refer_by_text(out, path, lines)
+        everything = "module.exports" in code
+        found: list[tuple[int, int, int, str, str, str, dict]] = []  # start, body, end, name, kind, signature, more
+        names: set[int] = set()
+        types: dict[int, tuple[str, str]] = {}  # body to name and kind
+
+        def add(first: int, body: int, end: int, name: str, kind: str, words: str, **more) -> None:
+            found.append((first, body, end, name, kind, b.head(first, body), {"exported": everything or "export" in words} | more))
+
+        for m in _S_TYPE.finditer(code):
+            first = m.start(1)
+            if m[2] == "type":
+                if re.compile(r"\s*=").match(code, _past_angles(code, m.end())):
+                    stop = re.compile(r"[;\n]|\Z").search(code, m.end()).start()
+                    add(first, stop, stop - 1, m[3], "type", m[1])
+                continue
+            at = _past_angles(code, m.end())
+            body = code.find("{", at)
+            if body < 0:
+                continue
+            heads = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", b.head(at, body)))
+            bases = [x.strip() for g in re.split(r"\b(?:extends|implements)\b", heads)[1:] for x in g.split(",") if x.strip()]
+            types[body] = m[3], m[2]
+            add(first, body, b.end(body), m[3], m[2], m[1], bases=bases)
+        for m in _S_FUNCTION.finditer(code):
+            at = _past_angles(code, m.end())
+            names.add(m.start(2))
+            if code[at : at + 1] == "(" and (body := _script_body(b, b.end(at) + 1)) is not None and not re.search(r"[=(,:]\s*$", code[max(0, m.start() - 40) : m.start()]):
+                add(m.start(), body, b.end(body), m[2], "function", m[1])
+        taken = set()
+        for m in _S_REQUIRE.finditer(code):
+            plain, where = not m[1].startswith("{"), b.quoted(m.end())
+            taken |= {m.start(1), m.end()}
+            out.include(path, where, m[1] if plain else None, None if plain else _named(out, path, where, m[1].strip("{} \n"), ":"), where.startswith("."))
+        for m in _S_BINDING.finditer(code):
+            if value := _arrow(b, m.end()):
+                add(m.start(1) if m[1] else m.start(2), *value, m[3], "function", m[1])
+            elif b.inside(m.start(2)) == -1 and m.start(3) not in taken:
+                add(m.start(1) if m[1] else m.start(2), m.start(3), m.start(3), m[3], "constant" if m[2] == "const" else "variable", m[1], signature="")
+        visible = lambda m: "" if "private" in m[1] or m[2][0] == "#" else "export"
+        for m in _S_MEMBER.finditer(code) if types else ():
+            body = b.inside(m.start(2))
+            if body not in types or types[body][1] == "enum" or m[2] in _SCRIPT_KEYWORDS - {"constructor"}:
+                continue
+            at = _past_angles(code, m.end())
+            if code[at : at + 1] != "(":
+                continue
+            end = b.end(at) + 1
+            start = _script_body(b, end)
+            if start is not None:
+                names.add(m.start(2))
+                add(m.start(), start, b.end(start), m[2], "method", visible(m), receiver=types[body][0], parent=body)
+            elif types[body][1] == "interface":
+                stop = re.compile(r"[;,\n]|\Z").search(code, end).start()
+                add(m.start(), stop, stop - 1, m[2], "method", "export", receiver=types[body][0], parent=body)
+        for m in _S_FIELD.finditer(code) if types else ():
+            body = b.inside(m.start(2))
+            if types.get(body, ("", ""))[1] == "class" and (value := _arrow(b, m.end())):
+                add(m.start(), *value, m[2], "method", visible(m), receiver=types[body][0], parent=body)
+        bodies, around, ids = [], [], {}
+        for first, body, end, name, kind, signature, more in sorted(found, key=lambda x: (x[0], -x[2])):
+            while around and around[-1][0] < first:
+                around.pop()
+            parent = ids.get(more.pop("parent", None)) or (around[-1][1] if around else None)
+            last = max(end, first)
+            id = out.symbol(path, name, kind, b.line(first), b.line(last), language, **{"package": package, "parent": parent, "signature": signature} | more, code=b.rows(first, last) if kind not in ("constant", "variable", "type") else "")
+            if kind in ("class", "interface"):
+                ids[body] = id
+            if kind in ("function", "method"):
+                bodies.append((body, end, id))
+                around.append((end, id))
+        for m in _S_IMPORT.finditer(code):
+            where, what = b.quoted(m.end()), m[1].strip()
+            star = re.search(r"\*\s+as\s+([\w$]+)", what)
+            inner = what.partition("{")[2].partition("}")[0]
+            own = re.match(r"[\w$]+", what)
+            kept = _named(out, path, where, inner, "as")
+            out.include(path, where, star[1] if star else own[0] if own else None, [*kept, *(["*"] if star else [])], where.startswith("."))
+        for m in _S_DYNAMIC.finditer(code):
+            if m.end() not in taken:
+                out.include(path, b.quoted(m.end()), None, None, b.quoted(m.end()).startswith("."))
+        _own_calls(out, path, b, bodies, names, _SCRIPT_KEYWORDS)
+        return _refer_by_text(out, path, code.split("\n"))
 
     return parse
 
