@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.lifting import is_ancestor, lift, subtree_sizes, ways_up
 from graphloom.operators.sequential import adjacency, fits, immediate_dominators, in_one_task
 from graphloom.operators.structural import UNLIMITED
 from graphloom.operators.traversal import bfs
@@ -96,17 +97,25 @@ def lowest_common_dominator(dom: DataFrame, nodes: list[str]) -> str | None:
     return row["lcd"] if row["n"] == len(set(nodes)) else None
 
 
+def immediate(dom: DataFrame) -> DataFrame:
+    """``id, parent`` of ``dom`` (``id, idom``), in which the entry's own dominator is itself or null."""
+    return dom.select("id", F.when(F.col("idom") != F.col("id"), F.col("idom")).alias("parent"))
+
+
+def _between(dom: DataFrame, pairs: DataFrame, key: str, node: str) -> DataFrame:
+    """``key, id``: of each pair, the dominators of ``node`` that don't strictly dominate ``key``."""
+    t = lift(immediate(dom))
+    low = immediate(dom).join(t.levels.withColumnRenamed("id", "parent"), "parent", "left").select(F.col("id").alias(key), (F.col("level") + 1).alias("low"))
+    return ways_up(t, pairs.join(low, key, "left").select(key, F.col(node).alias("id"), F.coalesce("low", F.lit(0)).alias("low")), key)
+
+
 def dominance_frontier(edges: DataFrame, dom: DataFrame) -> DataFrame:
-    """``id, frontier``: where the dominance of ``id`` ends: it dominates a predecessor, but not strictly the node. Self-loops are skipped."""
-    pairs = edges.where("src <> dst").select("src", "dst").distinct()
-    strict = closure(dom.select("id", "path")).where("dist > 0").select(F.col("id").alias("dst"), "ancestor")
-    up = closure(dom.select("id", "path")).select(F.col("id").alias("src"), "ancestor")
-    node = dom.select(F.col("id").alias("dst"))
-    return (
-        pairs.join(node, "dst").join(up, "src").select("dst", "ancestor").distinct()
-        .join(strict, ["dst", "ancestor"], "left_anti")
-        .select(F.col("ancestor").alias("id"), F.col("dst").alias("frontier"))
-    )
+    """``id, frontier``: where the dominance of ``id`` ends: it dominates a predecessor, but not strictly the node. Self-loops are skipped.
+
+    ``dom`` needs ``id, idom`` alone: the nodes are those on the way from each predecessor up to the node's immediate dominator.
+    """
+    pairs = edges.where("src <> dst").select("src", "dst").distinct().join(dom.select(F.col("id").alias("dst")), "dst")
+    return _between(dom, pairs, "dst", "src").select("id", F.col("dst").alias("frontier"))
 
 
 def merge_points(edges: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -119,12 +128,7 @@ def control_dependence(edges: DataFrame, post: DataFrame) -> DataFrame:
     """``id, depends_on``: nodes whose execution a node of two or more outgoing edges decides: they post-dominate a successor, but not strictly the node."""
     branch = edges.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select("src")
     pairs = edges.join(branch, "src").select("src", "dst").distinct()
-    strict = closure(post.select("id", "path")).where("dist > 0").select(F.col("id").alias("src"), "ancestor")
-    up = closure(post.select("id", "path")).select(F.col("id").alias("dst"), "ancestor")
-    return (
-        pairs.join(up, "dst").select("src", "ancestor").distinct().join(strict, ["src", "ancestor"], "left_anti")
-        .select(F.col("ancestor").alias("id"), F.col("src").alias("depends_on"))
-    )
+    return _between(post, pairs, "src", "dst").select("id", F.col("src").alias("depends_on"))
 
 
 def natural_loops(edges: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -134,8 +138,7 @@ def natural_loops(edges: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFram
     backwards without crossing the header, also from nodes that the entry doesn't reach. The parent is the smallest other loop whose body
     has the header (the least header of ties); depth counts from 1.
     """
-    paths = dom.select(F.col("id").alias("src"), "path")
-    back = write_table(edges.join(paths, "src").where(F.expr("array_contains(path, dst)")).select(F.col("src").alias("tail"), F.col("dst").alias("header")), "loops-back")
+    back = write_table(is_ancestor(lift(immediate(dom)), edges.select("src", "dst"), "dst", "src", "back").where("back").select(F.col("src").alias("tail"), F.col("dst").alias("header")), "loops-back")
     table = GrowingTable(back.select("header", F.col("header").alias("id")).unionByName(back.select("header", F.col("tail").alias("id"))).distinct(), "loops-body")
     frontier = table.read().where("id <> header")
     into = write_table(edges.select("src", F.col("dst").alias("id")).distinct(), "loops-edges")
@@ -164,10 +167,9 @@ def sese_regions(edges: DataFrame, dom: DataFrame, post: DataFrame, min_size: in
 
 def edge_classes(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """``src, dst, class``: back if the target dominates the source, forward if the source dominates the target, else cross (also if an end isn't reached)."""
-    p = dom.select("id", "path")
-    joined = edges.join(p.withColumnsRenamed({"id": "src", "path": "ps"}), "src", "left").join(p.withColumnsRenamed({"id": "dst", "path": "pd"}), "dst", "left")
-    kind = F.when(F.coalesce(F.expr("array_contains(ps, dst)"), F.lit(False)), "back").when(F.coalesce(F.expr("array_contains(pd, src)"), F.lit(False)), "forward").otherwise("cross")
-    return joined.select("src", "dst", kind.alias("class"))
+    t = lift(immediate(dom))
+    joined = is_ancestor(t, is_ancestor(t, edges.select("src", "dst"), "dst", "src", "back"), "src", "dst", "forward")
+    return joined.select("src", "dst", F.when(F.col("back"), "back").when(F.col("forward"), "forward").otherwise("cross").alias("class"))
 
 
 def reducibility(edges: DataFrame, dom: DataFrame) -> DataFrame:
@@ -208,7 +210,7 @@ def weighted_criticality(dom: DataFrame, ranks: DataFrame) -> DataFrame:
     Dominance and centrality are the sizes of dominated subtrees and the ranks, scaled to 0..1
     (1 for a single node, .5 if all are equal); criticality is their product, quadrants are cut at .5, risk at .7, .4 and .2.
     """
-    sub = closure(dom.select("id", "path")).groupBy(F.col("ancestor").alias("id")).agg((F.count("*") - 1).alias("dominated"))
+    sub = subtree_sizes(lift(immediate(dom))).select("id", (F.col("size") - 1).alias("dominated"))
     both = sub.join(ranks.select("id", "rank"), "id", "left").na.fill(0.0, ["rank"])
     span = both.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("dominated", "rank") for f in (F.min, F.max)))
     scaled = lambda c: F.when(F.col("n") == 1, 1.0).when(F.col(f"max_{c}") == F.col(f"min_{c}"), 0.5).otherwise((F.col(c) - F.col(f"min_{c}")) / (F.col(f"max_{c}") - F.col(f"min_{c}")))
