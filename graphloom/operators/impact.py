@@ -183,6 +183,21 @@ def module_api(g: CodeGraph, communities: DataFrame) -> DataFrame:
     return e.groupBy(F.col("b").alias("community"), F.col("dst").alias("id")).agg(F.countDistinct("src").alias("external_callers"))
 
 
+def api_coverage(g: CodeGraph, communities: DataFrame) -> DataFrame:
+    """``community, id, external_callers, dominated, coverage``: :func:`module_api` and how much of its community each node is the way into.
+
+    In the community's own calls every node that an interface node reaches is dominated by it, itself included, so ``dominated`` counts what
+    it reaches without leaving the community; coverage is its share of the community. Walks start at interface nodes
+    alone, with one join and aggregation a level.
+    """
+    api = write_table(module_api(g, communities), "module-api")
+    c = communities.select("id", "community").distinct()
+    inner = g.of_type("calls").select("src", "dst").distinct().join(c.withColumnsRenamed({"id": "src", "community": "a"}), "src").join(c.withColumnsRenamed({"id": "dst", "community": "b"}), "dst").where("a = b")
+    reach = bfs(write_table(inner.select("src", "dst"), "module-calls"), api.select(F.col("id").alias("root"), "id"), UNLIMITED)
+    size = c.groupBy("community").agg(F.count("*").alias("size"))
+    return api.join(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("dominated")), "id").join(size, "community").select("community", "id", "external_callers", "dominated", (F.col("dominated") / F.col("size")).alias("coverage"))
+
+
 def federation(repos: DataFrame, imports: DataFrame) -> DataFrame:
     """``repo, target, edges, risk``: edges between repositories, from exported symbols (``repo, path``) and imports (``repo, path``)."""
     owned = repos.select(F.col("repo").alias("target"), "path").distinct()

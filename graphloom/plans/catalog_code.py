@@ -244,3 +244,18 @@ def error_flow_of_sessions(spark, d):
 def api_of_communities(spark, d):
     g = session_graph(spark, d)
     return impact.module_api(g, an.communities(g))
+
+
+@query(
+    "api_coverage_of_sessions",
+    f"""WITH RECURSIVE {SESSION_SQL}, c AS (SELECT id, package || CASE WHEN name IN ('click', 'purchase', 'view') THEN ' a' ELSE ' b' END AS community FROM nodes),
+k AS (SELECT DISTINCT e.src, e.dst, a.community AS ca, b.community AS cb FROM edges e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst WHERE e.etype = 'calls'),
+api AS (SELECT cb AS community, dst AS id, count(DISTINCT src) AS external_callers FROM k WHERE ca <> cb GROUP BY ALL),
+r AS (SELECT id AS root, id FROM api UNION SELECT r.root, k.dst FROM r JOIN k ON k.src = r.id AND k.ca = k.cb)
+SELECT community, api.id, external_callers, dominated, dominated / size AS coverage FROM api
+JOIN (SELECT root, count(*) AS dominated FROM r GROUP BY root) d ON d.root = api.id JOIN (SELECT community, count(*) AS size FROM c GROUP BY community) s USING (community)""",
+)
+def api_coverage_of_sessions(spark, d):
+    g = session_graph(spark, d)
+    half = F.when(F.col("name").isin("click", "purchase", "view"), " a").otherwise(" b")
+    return impact.api_coverage(g, g.nodes.select("id", F.concat("package", half).alias("community")))
