@@ -9,7 +9,7 @@ from graphloom.streaming import bursts
 SCHEMA = "seq long, file_path string, op string"
 
 
-def _told(spark, sink, ready, seconds=60):
+def _told(spark, sink, ready, seconds=120):
     """The bursts told so far, once ``ready`` says that they are all there."""
     end = time.time() + seconds
     while True:
