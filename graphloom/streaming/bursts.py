@@ -84,7 +84,7 @@ def bursts(notes: DataFrame, quiet: float = 0.1, longest: float | None = None, r
 
     ``op`` and ``seq`` are those of the burst's last note by ``seq``, ``notes`` counts its different notes. A burst that goes on is told after
     ``longest`` seconds all the same, if given. Times are those of processing, so a burst ends without a further
-    note. A note (``file_path, seq``) that comes again within ``remember`` seconds counts once, in whatever batch. Notes without
+    note; notes of a batch count before its timers do. A note (``file_path, seq``) that comes again within ``remember`` seconds counts once, in whatever batch. Notes without
     a path or number are left out, and so are paths that ``ignore`` matches; ``op`` may be null. Numbers must not be negative.
     """
     own = notes.select("file_path", F.col("seq").cast("long").alias("seq"), "op").where("file_path IS NOT NULL AND seq >= 0")
