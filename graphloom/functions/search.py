@@ -81,54 +81,39 @@ def word_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")
 
 
+def _bm25_raw(docs: DataFrame, queries: DataFrame, k1: float, b: float) -> DataFrame:
+    """``query_id, doc_id, raw``: the scores of :func:`bm25` before they are scaled.
+
+    Documents are cut into terms once. What meets each document is the table of asked terms, which grows with the queries alone; a document's
+    terms stay together, so they are summed before the shuffle.
+    """
+    own = docs.select("doc_id", F.array_distinct(word_terms(F.col("text"))).alias("terms")).select("doc_id", F.size("terms").alias("len"), "terms")
+    own = write_table(own, "bm25-terms")
+    size = own.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    post = own.select("doc_id", "len", F.explode("terms").alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(word_terms(F.col("text")))).alias("term"))
+    df = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarity = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (k1 + 1)
+    terms = write_table(asked.join(df, "term").crossJoin(F.broadcast(size)).select("query_id", "term", rarity.alias("rarity"), "mean"), "bm25-asked")
+    weight = F.col("rarity") / (1 + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return post.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("raw"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``query_id, doc_id, score``: BM25 of ``docs`` (``doc_id, text``) for ``queries`` (``query_id, text``) that share a term.
 
     Term frequency is 0 or 1, a document's length its number of distinct terms, the inverse document frequency
     ln((N + 1) / (df + 1)) + 1; the best score of a query is scaled to 1. Statistics are of all documents.
     """
-    own = docs.select("doc_id", F.array_distinct(word_terms(F.col("text"))).alias("terms"))
-    size = own.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    post = own.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(word_terms(F.col("text")))).alias("term"))
-    post = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weight = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    raw = asked.join(post, "term").join(df, "term").crossJoin(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("raw"))
+    raw = _bm25_raw(docs, queries, k1, b)
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     return raw.join(best, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("best")).alias("score"))
 
 
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``query_id, doc_id, score, rank``: the best ``k`` of :func:`bm25` for each query, ties by id, exactly and without scoring every document that shares a term.
-
-    A term's greatest weight is that in the shortest document. The rarest terms' documents are scored first, and the score of the
-    ``k``-th is a floor. Terms in order of their greatest weights are left out as long as all of them together stay below the floor: a document
-    that has no other term can't be among the best. The rest propose candidates, which are then scored in full.
-    """
-    own = write_table(docs.select("doc_id", F.array_distinct(word_terms(F.col("text"))).alias("terms")), "bm25-terms")
-    n, mean, low = own.agg(F.count("*"), F.avg(F.size("terms")), F.min(F.when(F.size("terms") > 0, F.size("terms")))).first()
-    asked = queries.select("query_id", F.explode(F.array_distinct(word_terms(F.col("text")))).alias("term"))
-    post = own.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    post = write_table(post, "bm25-postings")
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weight = lambda size: (F.log((F.lit(n or 0) + 1) / (F.col("df") + 1)) + 1) * (k1 + 1) / (1 + k1 * (1 - b + b * size / F.lit(mean or 1.0)))
-    terms = write_table(asked.join(df, "term").withColumn("most", weight(F.lit(low or 1))), "bm25-asked")
-
-    def scored(proposed: DataFrame) -> DataFrame:
-        """Full scores of the documents that ``proposed`` (``query_id, term``) lead to, and their ranks up to ``k``."""
-        pairs = proposed.join(post, "term").select("query_id", "doc_id").distinct()
-        raw = pairs.join(post, "doc_id").join(terms, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(weight(F.col("len"))).alias("raw"))
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 9)), "doc_id")
-        return raw.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-    # the rarest terms that lead to k documents at least
-    rare = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    first = write_table(scored(terms.withColumn("before", F.coalesce(F.sum("df").over(rare), F.lit(0))).where(F.col("before") < k).select("query_id", "term")), "bm25-first")
-    floor = first.where(F.col("rank") == k).select("query_id", F.col("raw").alias("floor"))
-    common = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    needed = terms.withColumn("together", F.sum("most").over(common)).join(floor, "query_id", "left").where("floor IS NULL OR together >= floor - 1e-6")
-    best = write_table(scored(needed.select("query_id", "term")), "bm25-best")
+    """``query_id, doc_id, score, rank``: the best ``k`` of :func:`bm25` for each query, ties by id, exactly. Each task keeps its own best ``k`` of a query before they meet."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("raw", 9)), "doc_id")
+    best = write_table(_bm25_raw(docs, queries, k1, b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "bm25-best")
     top = best.where("rank = 1").select("query_id", F.col("raw").alias("top"))
     return best.join(top, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("top")).alias("score"), "rank")
 
