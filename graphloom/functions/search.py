@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,17 +66,27 @@ def _quote(text: str) -> str:
 STOP_TERMS = ("a", "an", "and", "are", "does", "do", "find", "for", "from", "get", "how", "in", "is", "list", "of", "on", "show", "that", "the", "this", "to", "what", "where", "which", "who", "with")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of an array ``value`` that is worked out once, however often ``body`` names it."""
+    return F.flatten(F.transform(F.array(value), body))
+
+
 def query_terms(text: Column) -> Column:
     """Distinct terms of a query, in order: quoted strings, paths and their last part, names whole and in parts, and adjacent pairs."""
     quoted = F.regexp_extract_all(text, F.lit(r"[\"'`]([^\"'`]+)[\"'`]"), 1)
     words = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_./]+"), 0), lambda w: F.length(w) > 1)
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[./]+|[./]+$", ""))
-    content = F.filter(words, lambda w: ~F.lower(w).isin(*STOP_TERMS) & (w != ""))
-    tails = F.filter(F.transform(content, lambda w: F.when(w.contains("/"), F.regexp_extract(w, r"[^/]+$", 0))), lambda w: w.isNotNull())
-    parts = F.flatten(F.transform(content, lambda w: F.split(F.regexp_replace(w, r"([a-z0-9])([A-Z])", "$1 $2"), r"[\s_./]+")))
-    pairs = F.when(F.size(content) > 1, F.transform(F.sequence(F.lit(1), F.size(content) - 1), lambda i: F.concat_ws(" ", F.element_at(content, i), F.element_at(content, i + 1)))).otherwise(F.array().cast("array<string>"))
-    lowered = F.transform(F.concat(quoted, content, tails, parts, pairs), lambda w: F.lower(w))
-    return F.array_distinct(F.filter(lowered, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_TERMS)))
+    words = F.transform(words, lambda w: F.btrim(w, F.lit("./")))
+    stop = F.array(*map(F.lit, STOP_TERMS))
+    content = F.filter(words, lambda w: ~F.array_contains(stop, F.lower(w)) & (w != ""))
+
+    def terms(c: Column) -> Column:
+        tails = F.filter(F.transform(c, lambda w: F.when(w.contains("/"), F.substring_index(w, "/", -1))), lambda w: w.isNotNull())
+        parts = F.flatten(F.transform(c, lambda w: F.split(F.regexp_replace(w, r"([a-z0-9])([A-Z])", "$1 $2"), r"[\s_./]+")))
+        pairs = F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.element_at(c, i + 1), w))
+        return F.concat(c, tails, parts, pairs)
+
+    lowered = F.transform(F.concat(quoted, _let(content, terms)), lambda w: F.lower(w))
+    return F.array_distinct(F.filter(lowered, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
 
 
 def word_terms(text: Column) -> Column:

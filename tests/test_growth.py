@@ -14,6 +14,16 @@ def optimized(df: DataFrame) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_query_terms_are_worked_out_once(spark):
+    """The words of a text were cut anew for each use of them, and for each pair."""
+    text = " ".join(f"pkg{i}/camelCase{i}" for i in range(3000))
+    terms = spark.createDataFrame([(text,), ("a/",), (None,)], "t string").select(search.query_terms(F.col("t")).alias("terms"))
+    assert optimized(terms).count("regexp_extract_all") == 2
+    long, short, none = (x["terms"] for x in terms.collect())
+    assert {"pkg7/camelcase7", "camelcase7", "pkg7", "camel", "case7", "pkg7/camelcase7 pkg8/camelcase8"} <= set(long) and short == [] and none is None
+    assert sum(" " in w for w in long) == 2999
+
+
 def test_best_of_search_joins_documents_with_questions_alone(spark, monkeypatch):
     """Candidates were joined with all postings by document, a table that Spark took for small."""
     plans = []
