@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.tables import shuffled
+
 #: Levels of nodes: positions run from 0 to 2 ** LEVELS - 1.
 LEVELS = 40
 
@@ -53,7 +55,7 @@ def range_aggregate(nodes: DataFrame, ranges: DataFrame, levels: int, *groups: s
     A range joins at most two nodes a level, however long it is. Ranges without values have n = 0 and nulls; ranges
     that reach beyond the positions are cut; equal ranges have one row.
     """
-    joined = _parts(ranges, levels, groups).join(nodes, [*groups, "level", "node"], "left")
+    joined = _parts(ranges, levels, groups).join(shuffled(nodes), [*groups, "level", "node"], "left")
     return joined.groupBy(*groups, "lo", "hi").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
@@ -74,22 +76,22 @@ def _above(rows: DataFrame, levels: int, first: int) -> DataFrame:
 def updated_values(values: DataFrame, lazy: DataFrame, levels: int) -> DataFrame:
     """``pos, value`` with what is pending on the nodes above each position."""
     own = values.select("pos", "value", F.lit(0).alias("level"), F.col("pos").cast("long").alias("node"))
-    more = _above(own, levels, 0).join(lazy.withColumnsRenamed({"level": "up_level", "node": "up_node"}), ["up_level", "up_node"]).groupBy("pos").agg(F.sum("delta").alias("delta"))
-    return values.select("pos", "value").join(more, "pos", "left").select("pos", (F.col("value") + F.coalesce("delta", F.lit(0))).alias("value"))
+    more = _above(own, levels, 0).join(shuffled(lazy.withColumnsRenamed({"level": "up_level", "node": "up_node"})), ["up_level", "up_node"]).groupBy("pos").agg(F.sum("delta").alias("delta"))
+    return values.select("pos", "value").join(shuffled(more), "pos", "left").select("pos", (F.col("value") + F.coalesce("delta", F.lit(0))).alias("value"))
 
 
 def updated_sums(nodes: DataFrame, lazy: DataFrame, ranges: DataFrame, levels: int) -> DataFrame:
     """``lo, hi, n, sum`` after the pending updates, without touching values: what is pending above a range's nodes counts for all their positions, what is pending below for its own."""
     parts = _parts(ranges, levels, ()).where("node IS NOT NULL")
     counts = nodes.select("level", "node", "n")
-    inside = _above(lazy.join(counts, ["level", "node"]), levels, 1).groupBy(F.col("up_level").alias("level"), F.col("up_node").alias("node")).agg(F.sum(F.col("delta") * F.col("n")).alias("below"))
+    inside = _above(lazy.join(shuffled(counts), ["level", "node"]), levels, 1).groupBy(F.col("up_level").alias("level"), F.col("up_node").alias("node")).agg(F.sum(F.col("delta") * F.col("n")).alias("below"))
     held = parts.select("level", "node").distinct()
     above = (
-        _above(held, levels, 0).join(lazy.withColumnsRenamed({"level": "up_level", "node": "up_node"}), ["up_level", "up_node"])
+        _above(held, levels, 0).join(shuffled(lazy.withColumnsRenamed({"level": "up_level", "node": "up_node"})), ["up_level", "up_node"])
         .groupBy("level", "node").agg(F.sum("delta").alias("above"))
     )
-    each = held.join(nodes.select("level", "node", "n", "sum"), ["level", "node"]).join(above, ["level", "node"], "left").join(inside, ["level", "node"], "left")
+    each = held.join(shuffled(nodes.select("level", "node", "n", "sum")), ["level", "node"]).join(shuffled(above), ["level", "node"], "left").join(shuffled(inside), ["level", "node"], "left")
     zero = F.lit(0)
     each = each.select("level", "node", "n", (F.col("sum") + F.coalesce("above", zero) * F.col("n") + F.coalesce("below", zero)).alias("sum"))
-    totals = parts.join(each, ["level", "node"]).groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
-    return ranges.select("lo", "hi").distinct().join(totals, ["lo", "hi"], "left").select("lo", "hi", F.coalesce("n", zero).alias("n"), "sum")
+    totals = parts.join(shuffled(each), ["level", "node"]).groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+    return ranges.select("lo", "hi").distinct().join(shuffled(totals), ["lo", "hi"], "left").select("lo", "hi", F.coalesce("n", zero).alias("n"), "sum")

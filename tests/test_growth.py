@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import search
+from graphloom.operators import dyadic
 
 
 def optimized(df: DataFrame) -> str:
@@ -33,3 +34,20 @@ def test_best_of_search_joins_documents_with_questions_alone(spark, monkeypatch)
     asked = spark.createDataFrame([(1, "the w1 w2"), (2, "w5")], "query_id long, text string")
     assert search.bm25_top(docs, asked, 3).count() == 6
     assert plans and not any(re.search(r"Join .*doc_id", p) for p in plans)
+
+
+def physical(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranges_are_never_broadcast(spark):
+    """Ranges fall into dozens of nodes each, which Spark doesn't see in the size of their table."""
+    v = spark.createDataFrame([(p, p % 5) for p in range(40)], "pos long, value long")
+    r = spark.createDataFrame([(3, 20), (0, 39), (25, 24)], "lo long, hi long")
+    u = spark.createDataFrame([(0, 9, 2), (5, 30, 1)], "lo long, hi long, delta long")
+    nodes, lazy = dyadic.dyadic_nodes(v, 6), dyadic.lazy_updates(u, 6)
+    found = [dyadic.updated_sums(nodes, lazy, r, 6), dyadic.range_aggregate(nodes, r, 6), dyadic.updated_values(v, lazy, 6)]
+    assert not any("BroadcastHashJoin" in physical(x) for x in found)
+    now = {p: p % 5 + 2 * (p < 10) + (5 <= p <= 30) for p in range(40)}
+    want = {(lo, hi): (max(0, hi - lo + 1), sum(now[p] for p in range(lo, hi + 1)) if lo <= hi else None) for lo, hi in [(3, 20), (0, 39), (25, 24)]}
+    assert {(x["lo"], x["hi"]): (x["n"], x["sum"]) for x in found[0].collect()} == want
