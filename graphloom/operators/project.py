@@ -82,6 +82,7 @@ def minimal_context(g: CodeGraph, targets: DataFrame, budget: int = 4000) -> Dat
 def shortest_cycle(dependencies: DataFrame, package: str, sequential: bool = False) -> list[str]:
     """The packages of a shortest cycle through ``package`` (``src_package, dst_package``), which comes first and last; empty if there is none. Of equal ones, that of the least packages."""
     e = dependencies.select(F.col("src_package").alias("src"), F.col("dst_package").alias("dst")).distinct()
+    e = write_table(e, "dependencies")
     if sequential and fits(e):
 
         def walk(a, b, ids):

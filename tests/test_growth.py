@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import search
-from graphloom.operators import dyadic
+from graphloom.operators import analytics, code, dyadic, explore, impact, project, structural
+from graphloom.sources.graphs import EDGE_COLUMNS, NODE_COLUMNS, CodeGraph
 
 
 def optimized(df: DataFrame) -> str:
@@ -51,3 +53,23 @@ def test_ranges_are_never_broadcast(spark):
     now = {p: p % 5 + 2 * (p < 10) + (5 <= p <= 30) for p in range(40)}
     want = {(lo, hi): (max(0, hi - lo + 1), sum(now[p] for p in range(lo, hi + 1)) if lo <= hi else None) for lo, hi in [(3, 20), (0, 39), (25, 24)]}
     assert {(x["lo"], x["hi"]): (x["n"], x["sum"]) for x in found[0].collect()} == want
+
+
+def small_graph(spark):
+    nodes = spark.createDataFrame([(i, i, "function", p, p + "/f.go", 1, 1, True, "go") for i, p in [("a", "x"), ("b", "y"), ("c", "z"), ("d", "x")]], ", ".join(f"{c} {t}" for c, t in zip(NODE_COLUMNS, ["string"] * 5 + ["int", "int", "boolean", "string"], strict=True)))
+    edges = spark.createDataFrame([(a, b, "calls", "", 1) for a, b in [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "gone"), ("lost", "b"), (None, "b")]], ", ".join(f"{c} {t}" for c, t in zip(EDGE_COLUMNS, ["string"] * 4 + ["int"], strict=True)))
+    return CodeGraph(nodes, edges)
+
+
+def seen_by(monkeypatch, module, name, at=0):
+    """Plans of the edges that ``module`` gives its loop."""
+    plans, loop = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: plans.append(optimized(a[at])) or loop(*a, **k))
+    return plans
+
+
+def test_cycle_takes_dependencies_once(spark, monkeypatch):
+    """Each step worked out the dependencies of packages from all edges anew."""
+    plans = seen_by(monkeypatch, project, "bfs")
+    assert project.shortest_cycle(structural.package_dependencies(small_graph(spark)), "x") == ["x", "y", "z", "x"]
+    assert plans and not any("Join" in p for p in plans)
