@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.tables import write_table
+
 #: Limits beyond which a symbol smells.
 MAX_LINES, MAX_PARAMETERS, MAX_METHODS, MAX_NESTING, MAGIC_DIGITS = 50, 5, 20, 4, 3
 
@@ -284,8 +286,19 @@ def signature_changes(pairs: DataFrame) -> DataFrame:
 
 
 def satisfied_interfaces(types: DataFrame, interfaces: DataFrame) -> DataFrame:
-    """``type, interface``: types (``type, language, method``) that have every method of an interface (``interface, language, method``); interfaces without methods are left out. Relational division."""
-    size = interfaces.select("interface", "method").distinct().groupBy("interface").agg(F.count("*").alias("n"))
-    t = types.select("type", "language", "method").distinct()
+    """``type, interface``: types (``type, language, method``) that have every method of an interface (``interface, language, method``); interfaces without methods are left out.
+
+    Types that have an interface's rarest method, in one of its languages, are looked at; the rest of their methods is then tested as a set.
+    """
+    t = types.select("type", "language", "method").where("type IS NOT NULL AND language IS NOT NULL AND method IS NOT NULL")
     i = interfaces.select("interface", "language", "method").distinct()
-    return t.join(i, ["language", "method"]).groupBy("type", "interface").agg(F.countDistinct("method").alias("k")).join(size, "interface").where("k = n AND type <> interface").select("type", "interface")
+    use = t.groupBy("language", "method").agg(F.count("*").alias("use"))
+    need = i.join(use, ["language", "method"], "left").groupBy("interface", "method").agg(F.collect_set("language").alias("languages"), F.sum("use").alias("use"))
+    # a method of no type has no use: nothing satisfies its interface
+    need = need.groupBy("interface").agg(F.min_by("method", F.struct(F.coalesce("use", F.lit(0)), "method")).alias("method"), F.collect_list(F.struct("method", "languages")).alias("need"), F.count("*").alias("n"), F.count("method").alias("named"))
+    need = write_table(need.where("n = named").drop("n", "named"), "interfaces-needed")
+    first = need.select("interface", "method").join(i, ["interface", "method"])
+    maybe = t.join(first, ["language", "method"]).where("type <> interface").select("type", "interface").distinct()
+    own = t.groupBy("type").agg(F.collect_set(F.struct("language", "method")).alias("own"))
+    has = F.forall("need", lambda x: F.exists(x["languages"], lambda k: F.array_contains("own", F.struct(k.alias("language"), x["method"].alias("method")))))
+    return maybe.join(own, "type").join(need.select("interface", "need"), "interface").where(has).select("type", "interface")

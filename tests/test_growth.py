@@ -73,3 +73,18 @@ def test_cycle_takes_dependencies_once(spark, monkeypatch):
     plans = seen_by(monkeypatch, project, "bfs")
     assert project.shortest_cycle(structural.package_dependencies(small_graph(spark)), "x") == ["x", "y", "z", "x"]
     assert plans and not any("Join" in p for p in plans)
+
+
+def test_satisfied_interfaces_by_definition(spark):
+    """Every pair of a type and an interface that share a method was counted, once a method."""
+    r = random.Random(3)
+    types = [(f"t{r.randrange(9)}", r.choice(["go", "ts"]), f"m{r.randrange(6)}") for _ in range(70)] + [("i1", "go", "m1"), ("t0", None, "m1"), ("t1", "go", None)]
+    faces = [(f"i{r.randrange(8)}", r.choice(["go", "ts"]), f"m{r.randrange(6)}") for _ in range(18)] + [("i1", "go", "m1"), ("none", "go", "m99"), ("null", "go", None), ("null", "go", "m1")]
+    found = code.satisfied_interfaces(spark.createDataFrame(types, "type string, language string, method string"), spark.createDataFrame(faces, "interface string, language string, method string"))
+    has = {(t, k, m) for t, k, m in types if k and m}
+    want = set()
+    for i in {f[0] for f in faces}:
+        needs = {m for f, _, m in faces if f == i}
+        want |= {(t, i) for t in {x[0] for x in types} if t != i and all(any(f == i and n == m and (t, k, m) in has for f, k, n in faces) for m in needs)}
+    assert sorted((r["type"], r["interface"]) for r in found.collect()) == sorted(want) and len(want) > 3
+    assert "count(distinct" not in optimized(found)
