@@ -131,7 +131,7 @@ def disproof(edges: DataFrame, refuted: DataFrame, max_depth: int = 3) -> DataFr
 
 def package_blast(dependencies: DataFrame, package: str) -> DataFrame:
     """``package, depth``: packages that need ``package`` (``src_package, dst_package``), directly or not."""
-    e = dependencies.select(F.col("src_package").alias("src"), F.col("dst_package").alias("dst"))
+    e = write_table(dependencies.select(F.col("src_package").alias("src"), F.col("dst_package").alias("dst")), "dependencies")
     starts = e.sparkSession.createDataFrame([(package, package)], "root string, id string")
     return bfs(e, starts, UNLIMITED, reverse=True).select(F.col("id").alias("package"), "depth").where("depth > 0")
 

@@ -75,6 +75,13 @@ def test_cycle_takes_dependencies_once(spark, monkeypatch):
     assert plans and not any("Join" in p for p in plans)
 
 
+def test_package_blast_takes_dependencies_once(spark, monkeypatch):
+    plans = seen_by(monkeypatch, explore, "bfs")
+    found = explore.package_blast(structural.package_dependencies(small_graph(spark)), "x")
+    assert {(r["package"], r["depth"]) for r in found.collect()} == {("z", 1), ("y", 2)}
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_satisfied_interfaces_by_definition(spark):
     """Every pair of a type and an interface that share a method was counted, once a method."""
     r = random.Random(3)
