@@ -82,6 +82,12 @@ def test_package_blast_takes_dependencies_once(spark, monkeypatch):
     assert plans and not any("Join" in p for p in plans)
 
 
+def test_circular_packages_take_dependencies_once(spark, monkeypatch):
+    plans = seen_by(monkeypatch, impact, "strongly_connected")
+    assert [tuple(r) for r in impact.circular_dependencies(small_graph(spark), "package").collect()] == [("x", 3, "warning")]
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_satisfied_interfaces_by_definition(spark):
     """Every pair of a type and an interface that share a method was counted, once a method."""
     r = random.Random(3)
