@@ -247,8 +247,9 @@ def community_summary(g: CodeGraph, found: DataFrame, min_size: int = 1) -> Data
     """``community, size, package, internal, external, connectivity`` of communities of ``min_size`` or more; the package is the most frequent one, the least of ties; a single node has connectivity 1."""
     own = found.select("id", "community")
     e = g.edges.join(own.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(own.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-    inner = e.where("a = b").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("internal"))
-    outer = e.where("a <> b").select(F.explode(F.array("a", "b")).alias("community")).groupBy("community").agg(F.count("*").alias("external"))
+    e = write_table(e.groupBy("a", "b").agg(F.count("*").alias("n")), "communities-met")
+    inner = e.where("a = b").select(F.col("a").alias("community"), F.col("n").alias("internal"))
+    outer = e.where("a <> b").select(F.explode(F.array("a", "b")).alias("community"), "n").groupBy("community").agg(F.sum("n").alias("external"))
     packs = own.join(g.nodes.select("id", "package"), "id").groupBy("community", "package").agg(F.count("*").alias("n"))
     main = packs.groupBy("community").agg(F.sum("n").alias("size"), F.min_by("package", F.struct(-F.col("n"), F.col("package"))).alias("package"))
     both = F.col("internal") + F.col("external")

@@ -88,6 +88,13 @@ def test_circular_packages_take_dependencies_once(spark, monkeypatch):
     assert plans and not any("Join" in p for p in plans)
 
 
+def test_community_summary_folds_edges_once(spark):
+    g = small_graph(spark)
+    found = analytics.community_summary(g, g.nodes.select("id", F.col("package").alias("community")))
+    assert {(r["community"], r["internal"], r["external"]) for r in found.collect()} == {("x", 1, 2), ("y", 0, 2), ("z", 0, 2)}
+    assert "src" not in optimized(found)
+
+
 def test_satisfied_interfaces_by_definition(spark):
     """Every pair of a type and an interface that share a method was counted, once a method."""
     r = random.Random(3)
