@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.contraction import contract
 from graphloom.operators.lifting import is_ancestor, lift, subtree_sizes, ways_up
 from graphloom.operators.sequential import adjacency, fits, immediate_dominators, in_one_task
 from graphloom.operators.structural import UNLIMITED
 from graphloom.operators.traversal import bfs
 from graphloom.operators.trees import _shared, closure, root_paths
-from graphloom.plans.tables import GrowingTable, drop_table, write_table
+from graphloom.plans.tables import GrowingTable, drop_table, shuffled, write_table
 
 VIRTUAL_EXIT = "__exit__"
 
@@ -18,31 +19,59 @@ VIRTUAL_EXIT = "__exit__"
 def dominator_tree(edges: DataFrame, entry: str, sequential: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """``id, parent``: the immediate dominator of each node that ``entry`` reaches, at any depth; null for the entry.
 
-    Rounds over a dominator tree that starts as the breadth-first tree: each node's new parent
-    is the deepest common ancestor of its predecessors, which is the common prefix of the least and the
-    greatest of their root paths, so a round is one grouped min and max. Trees stay
-    consistent, as root paths are built anew by pointer doubling. Ends when nothing moves. With ``sequential`` (the default), a graph whose
-    distinct edges fit one task (checked) is walked there in almost linear time: rounds take long on small deep ones. Both ways give the same rows.
+    With ``sequential`` (the default), a graph whose distinct edges fit one task (checked) is walked there in almost linear time. Others are numbered and
+    contracted (see :mod:`graphloom.operators.contraction`): trees, chains and most flow graphs end in a few rounds, at any depth. What contraction leaves is walked in one task if it fits, else
+    by rounds over the whole cluster (:func:`_by_rounds`). All ways give the same rows.
     """
-    kind = dict(edges.dtypes)["src"]
-    starts = edges.sparkSession.createDataFrame([(entry, entry)], f"root {kind}, id {kind}")
     pairs = write_table(edges.where("src <> dst").select("src", "dst").distinct(), "dom-edges")
     if sequential and fits(pairs):
+        return _in_one_task(pairs, entry)
+    kind = dict(pairs.dtypes)["src"]
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).unionByName(pairs.sparkSession.createDataFrame([(entry,)], f"id {kind}"))
+    ids = write_table(ends.distinct().withColumn("n", F.monotonically_increasing_id()), "dom-ids")
+    at = ids.where(F.col("id") == entry).first()["n"]
+    side = lambda c, n: shuffled(ids.select(F.col("id").alias(c), F.col("n").alias(n)))
+    numbered = write_table(pairs.join(side("src", "s"), "src").join(side("dst", "d"), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst")), "dom-edges")
+    drop_table(pairs)
+    found, core = contract(numbered, at)
+    if core is None:
+        tree = found.unionByName(found.sparkSession.createDataFrame([(at, None)], "id long, parent long"))
+    else:
+        core = write_table(core, "dom-edges")
+        tree = _in_one_task(core, at) if sequential and fits(core) else _by_rounds(core, at, max_rounds)
+    own, up = (ids.select(F.col("n").alias(n), F.col("id").alias(c)) for n, c in (("id", "own"), ("parent", "up")))
+    return tree.join(shuffled(own), "id").join(shuffled(up), "parent", "left").select(F.col("own").alias("id"), F.col("up").alias("parent"))
+
+
+def _in_one_task(pairs: DataFrame, entry) -> DataFrame:
+    """:func:`dominator_tree` of distinct ``pairs`` that fit one task."""
+    kind = dict(pairs.dtypes)["src"]
+
+    def walk(src, dst, ids):
+        import pandas as pd
 
-        def walk(src, dst, ids):
-            import pandas as pd
+        place = {v: i for i, v in enumerate(ids)}
+        if entry not in place:
+            return
+        found = immediate_dominators(adjacency(src, dst, len(ids)), adjacency(dst, src, len(ids)), place[entry])
+        rows = [(ids[v], None if u == v else ids[u]) for v, u in enumerate(found) if u >= 0]
+        for at in range(0, len(rows), 100_000):
+            yield pd.DataFrame(rows[at : at + 100_000], columns=["id", "parent"], dtype=object)
 
-            place = {v: i for i, v in enumerate(ids)}
-            if entry not in place:
-                return
-            found = immediate_dominators(adjacency(src, dst, len(ids)), adjacency(dst, src, len(ids)), place[entry])
-            rows = [(ids[v], None if u == v else ids[u]) for v, u in enumerate(found) if u >= 0]
-            for at in range(0, len(rows), 100_000):
-                yield pd.DataFrame(rows[at : at + 100_000], columns=["id", "parent"], dtype=object)
+    # an entry without edges is in no pair
+    alone = pairs.sparkSession.createDataFrame([(entry, None)], f"id {kind}, parent {kind}")
+    return in_one_task(pairs, walk, f"id {kind}, parent {kind}").unionByName(alone).groupBy("id").agg(F.max("parent").alias("parent"))
 
-        # an entry without edges is in no pair
-        alone = starts.select("id", F.lit(None).cast(kind).alias("parent"))
-        return in_one_task(pairs, walk, f"id {kind}, parent {kind}").unionByName(alone).groupBy("id").agg(F.max("parent").alias("parent"))
+
+def _by_rounds(pairs: DataFrame, entry, max_rounds: int) -> DataFrame:
+    """:func:`dominator_tree` of distinct ``pairs`` by rounds over a tree that starts as the breadth-first tree.
+
+    Each node's new parent is the deepest common ancestor of its predecessors, which is the common prefix of the least and the
+    greatest of their root paths, so a round is one grouped min and max. Trees stay
+    consistent, as root paths are built anew by pointer doubling. Ends when nothing moves.
+    """
+    kind = dict(pairs.dtypes)["src"]
+    starts = pairs.sparkSession.createDataFrame([(entry, entry)], f"root {kind}, id {kind}")
     tree = write_table(bfs(pairs, starts, UNLIMITED).select("id", "parent"), "dom-tree")
     ids = tree.select("id")
     live = write_table(pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "dom-edges")
