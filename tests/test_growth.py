@@ -108,3 +108,12 @@ def test_satisfied_interfaces_by_definition(spark):
         want |= {(t, i) for t in {x[0] for x in types} if t != i and all(any(f == i and n == m and (t, k, m) in has for f, k, n in faces) for m in needs)}
     assert sorted((r["type"], r["interface"]) for r in found.collect()) == sorted(want) and len(want) > 3
     assert "count(distinct" not in optimized(found)
+
+
+def test_dangling_edges_are_shuffled_once_an_end(spark):
+    """Edges were shuffled or joined three times, and sorted."""
+    g = small_graph(spark)
+    found = structural.dangling_edges(g)
+    assert len(re.findall(r"ShuffledHashJoin|SortMergeJoin|BroadcastHashJoin", physical(found))) == 2 == physical(found).count("ShuffledHashJoin")
+    want = [("a", "gone"), ("lost", "b"), (None, "b")]
+    assert found.columns == g.edges.columns and sorted(((x["src"], x["dst"]) for x in found.collect()), key=str) == sorted(want, key=str)
