@@ -115,14 +115,40 @@ def _power_iteration(damping: float, max_iterations: int, tolerance: float, smal
     return walk
 
 
+#: Steps of walks that PageRank takes apart, and iterations whose change is looked at in one job.
+WALKS, CHECKED = 3, 10
+
+
+def _walks(edges: DataFrame, base: DataFrame, steps: int) -> tuple[DataFrame, list[float], bool]:
+    """``id, out, w0, w1, ...``, the sums of the last over nodes without outgoing edges, and whether walks end within ``steps``.
+
+    ``wj`` of a node is the sum, over the walks of ``j`` edges that end there, of the share of its start that a walk carries. Ranks start alike and get the same from
+    outside, so that after any iteration they are the same combination of these columns for all nodes.
+    """
+    walks, sinks = base.withColumn("w0", F.lit(1.0)), []
+    for j in range(steps + 1):
+        w = F.col(f"w{j}")
+        found = walks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), w)), F.lit(0.0)), F.count_if(F.col("out").isNotNull() & (w > 0))).first()
+        sinks.append(float(found[0]))
+        if not found[1]:
+            return walks, sinks, True
+        if j == steps:
+            break
+        part = walks.where(F.col("out").isNotNull() & (w > 0)).select(F.col("id").alias("src"), (w / F.col("out")).alias("part"))
+        more = edges.select("src", "dst").join(part.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("more"))
+        walks = write_table(walks.join(more, "id", "left").withColumn(f"w{j + 1}", F.coalesce("more", F.lit(0.0))).drop("more"), "pagerank-walks")
+    return walks, sinks, False
+
+
 def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-6, small_graph: int = 10, sequential: bool = False) -> DataFrame:
     """``id, rank`` after power iteration.
 
     Ranks start at 1/N; a node passes ``damping`` of its rank over its edges,
     parallel edges each their share; nodes without outgoing edges pass it to all nodes alike.
     Ends when no rank moves by ``tolerance`` or more, after ``max_iterations``, or after one
-    iteration on graphs of fewer than ``small_graph`` nodes. Edges are pre-aggregated to weights once; an iteration is one join
-    and one aggregation. With ``sequential``, a graph that fits one task (checked) is iterated there.
+    iteration on graphs of fewer than ``small_graph`` nodes. The first iterations are taken apart by the length of walks
+    (:func:`_walks`): where those end, as in graphs without cycles, all further ones follow from numbers and need no edges. Else edges are pre-aggregated
+    to weights once, and an iteration is one join and one aggregation. With ``sequential``, a graph that fits one task (checked) is iterated there.
     """
     if not 0 <= damping <= 1:
         raise ValueError("damping must lie between 0 and 1")
@@ -131,15 +157,36 @@ def pagerank(g: CodeGraph, damping: float = 0.85, max_iterations: int = 100, tol
     if sequential and fits(rows):
         return in_one_task(rows, _power_iteration(damping, max_iterations, tolerance, small_graph), f"id {dict(ids.dtypes)['src']}, rank double")
     out = g.edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
-    links = write_table(links, "pagerank-links")
-    base = write_table(g.nodes.select("id").distinct().join(out.select(F.col("src").alias("id"), F.lit(False).alias("sink")), "id", "left").select("id", F.coalesce("sink", F.lit(True)).alias("sink")), "pagerank-nodes")
+    base = write_table(g.nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out"), "pagerank-nodes")
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
-    ranks = write_table(base.select("id", "sink", F.lit(1.0 / n).alias("rank")), "pagerank")
+    walks, sinks, ended = _walks(g.edges, base, min(WALKS, max_iterations))
+    last = 1 if n < small_graph else max_iterations
+    last = min(last, max_iterations) if ended else min(last, len(sinks) - 1)
+    given = [1.0 / n]
+    while len(given) <= last:
+        t = len(given) - 1
+        sunk = sum(given[t - j] * damping**j * sinks[j] for j in range(min(t + 1, len(sinks))))
+        given.append((1 - damping) / n + damping * sunk / n)
+    weight = lambda t, j: given[t - j] * damping**j if t >= j else 0.0
+    total = lambda factors: sum((F.lit(f) * F.col(f"w{j}") for j, f in enumerate(factors)), F.lit(0.0))
+    stop, settled = last, n < small_graph or last == max_iterations
+    for at in range(1, last + 1, CHECKED):
+        ts = range(at, min(at + CHECKED, last + 1))
+        moved = walks.agg(*(F.max(F.abs(total(weight(t, j) - weight(t - 1, j) for j in range(len(sinks))))).alias(f"m{t}") for t in ts)).first()
+        found = next((t for t in ts if moved[f"m{t}"] < tolerance), None)
+        if found is not None:
+            stop, settled = found, True
+            break
+    ranks = walks.select("id", F.col("out").isNull().alias("sink"), total(weight(stop, j) for j in range(len(sinks))).alias("rank"))
+    if settled:
+        return ranks.select("id", "rank")
+    ranks = write_table(ranks, "pagerank")
+    links = g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).join(out, "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
+    links = write_table(links, "pagerank-links")
     sunk = float(ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0])
-    for _ in range(max_iterations):
+    for _ in range(max_iterations - stop):
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
         new = ranks.withColumnRenamed("rank", "old").join(given, "id", "left").select(
             "id", "sink", (F.lit((1 - damping) / n + damping * sunk / n) + F.lit(damping) * F.coalesce("given", F.lit(0.0))).alias("rank"), "old"

@@ -117,3 +117,30 @@ def test_dangling_edges_are_shuffled_once_an_end(spark):
     assert len(re.findall(r"ShuffledHashJoin|SortMergeJoin|BroadcastHashJoin", physical(found))) == 2 == physical(found).count("ShuffledHashJoin")
     want = [("a", "gone"), ("lost", "b"), (None, "b")]
     assert found.columns == g.edges.columns and sorted(((x["src"], x["dst"]) for x in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_ranks_without_cycles_need_two_passes_over_edges(spark, monkeypatch):
+    """Each iteration joined all edges anew, though walks end after two of them."""
+    written, write = [], analytics.write_table
+    monkeypatch.setattr(analytics, "write_table", lambda df, name, *a: written.append(name) or write(df, name, *a))
+    r = random.Random(5)
+    ids = [f"{k}{i}" for k in "cop" for i in range(12)]
+    pairs = [(f"c{r.randrange(12)}", f"o{i}") for i in range(12)] + [(f"o{r.randrange(12)}", f"p{r.randrange(12)}") for _ in range(40)]
+    nodes, edges = spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame([*pairs, ("o1", "gone"), ("lost", "p1")], "src string, dst string")
+    for most in (0, 2, 7, 100):
+        got = {x["id"]: x["rank"] for x in analytics.pagerank(CodeGraph(nodes, edges), max_iterations=most, tolerance=1e-6).collect()}
+        rank, out = dict.fromkeys(ids, 1 / len(ids)), {}
+        every = [*pairs, ("o1", "gone"), ("lost", "p1")]
+        for a, _ in every:
+            out[a] = out.get(a, 0) + 1
+        for _ in range(most):
+            sunk = sum(v for k, v in rank.items() if k not in out)
+            new = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * sunk / len(ids))
+            for a, b in every:
+                if a in rank and b in new:
+                    new[b] += 0.85 * rank[a] / out[a]
+            moved, rank = max(abs(new[i] - rank[i]) for i in ids), new
+            if moved < 1e-6:
+                break
+        assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
+    assert "pagerank-links" not in written and "pagerank" not in written
