@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphloom.operators import similarity
 from graphloom.operators import vector_index as vi
 
 
@@ -49,6 +51,28 @@ def test_recall_and_exact(spark, sf):
     assert again.rows.count() == len(data)
 
 
+def test_scores_are_matrix_products_with_exact_ties(spark, monkeypatch):
+    """Each pair of a query and a row was a row of its own, scored entry by entry, and queries met all rows in as many tasks as there are blocks."""
+    monkeypatch.setattr(similarity, "GROUP_ROWS", 40)
+    monkeypatch.setattr(similarity, "GROUP_QUERIES", 7)
+    r = np.random.default_rng(1)
+    base = [[float(c) for c in r.normal(size=6)] for _ in range(30)]
+    data = [(i, base[i % 30] if i % 3 else [2.0 * c for c in base[i % 30]]) for i in range(200)] + [(400 + i, base[1]) for i in range(60)]
+    data += [(500, None), (501, [0.0] * 6), (502, [1.0, 2.0]), (503, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (504, [float("nan")] * 6), (505, [])]
+    df = spark.createDataFrame(data, "id long, vector array<double>")
+    asked = df.where("id % 10 = 0 OR id > 495")
+    for k in (3, 400):
+        c = similarity.cosine(F.col("vector"), F.col("qv"))
+        pairs = df.crossJoin(asked.select(F.col("id").alias("query"), F.col("vector").alias("qv"))).where("query <> id").select("query", "id", F.coalesce(c, F.lit(0.0)).alias("similarity"))
+        w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+        want = pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).drop("rn")
+        found = similarity.nearest(df, asked, k)
+        as_rows = lambda d: sorted((x["query"], x["id"], str(x["similarity"])) for x in d.collect())
+        assert as_rows(found) == as_rows(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan
+
+
 def test_few(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     assert not vi.search(vi.build_index(none), none).collect()
