@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import search
-from graphloom.operators import analytics, code, dyadic, explore, impact, project, structural
+from graphloom.operators import analytics, code, dyadic, explore, impact, project, similarity, structural
 from graphloom.sources.graphs import EDGE_COLUMNS, NODE_COLUMNS, CodeGraph
 
 
@@ -144,3 +144,40 @@ def test_ranks_without_cycles_need_two_passes_over_edges(spark, monkeypatch):
                 break
         assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
     assert "pagerank-links" not in written and "pagerank" not in written
+
+
+def near_texts(spark):
+    r = random.Random(2)
+    words = [[f"w{r.randrange(60)}" for _ in range(60)] for _ in range(6)]
+    texts = []
+    for i in range(60):
+        own = list(words[i % 6])
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            own[r.randrange(60)] = f"v{r.randrange(9)}"
+        texts.append((i, "\n".join(" ".join(own[j : j + 10]) for j in range(0, 60, 10))))
+    rows = [*texts, (90, None), (91, ""), (92, "\n" * 9), (93, texts[0][1].upper())]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a != b and sets[a] and sets[b]}
+    return spark.createDataFrame(rows, "id long, text string"), sets, {p: s for p, s in alike.items() if s >= 0.8}
+
+
+def written_types(monkeypatch):
+    """Types of the columns that similarity writes."""
+    found, write = [], similarity.write_table
+    monkeypatch.setattr(similarity, "write_table", lambda df, *a: found.extend(t for _, t in df.dtypes) or write(df, *a))
+    return found
+
+
+def test_clones_shuffle_no_shingles(spark, monkeypatch):
+    """Sets of shingles, several times as long as their texts, were written twice and shuffled for each pair."""
+    types = written_types(monkeypatch)
+    df, sets, alike = near_texts(spark)
+    found = similarity.clones(df)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    lead = set(first.values())
+    want = {(a, b): s for (a, b), s in alike.items() if a < b and a in lead and b in lead} | {(first[frozenset(s)], i): 1.0 for i, s in sets.items() if s and first[frozenset(s)] != i}
+    assert {(x["a"], x["b"]): x["similarity"] for x in found.where("similarity >= 0.8").collect()} == want and len(want) > 20
+    assert types and not {"array<string>", "string"} & set(types)
+    assert "grams" not in optimized(found) and "signature" not in optimized(found)
