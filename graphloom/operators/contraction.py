@@ -30,7 +30,7 @@ def _tops(merged: DataFrame) -> tuple[DataFrame, bool]:
         state._table_path = new._table_path
 
 
-def _meets(tree: DataFrame, links: DataFrame) -> DataFrame:
+def meets(tree: DataFrame, links: DataFrame) -> DataFrame:
     """``id, parent``: the deepest common ancestor in ``tree`` (``id, parent``; null parents for roots) of the sources of each target of ``links`` (``src, dst``).
 
     Nodes are ranked by their root paths; what is common to all sources is common to the paths of the least and the greatest rank, so a target's sources are folded to two numbers before they are shuffled.
@@ -39,9 +39,9 @@ def _meets(tree: DataFrame, links: DataFrame) -> DataFrame:
     used = links.select(F.col("src").alias("id")).distinct()
     ranked = write_table(paths.join(used, "id", "left_semi").orderBy("path").withColumn("rank", F.monotonically_increasing_id()), "contract-ranks")
     drop_table(paths)
-    ends = links.join(ranked.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    ends = links.join(shuffled(ranked.select(F.col("id").alias("src"), "rank")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
     side = lambda c: ranked.select(F.col("rank").alias(c), F.col("path").alias(f"{c}_path"))
-    both = ends.join(side("lo"), "lo").join(side("hi"), "hi")
+    both = ends.join(shuffled(side("lo")), "lo").join(shuffled(side("hi")), "hi")
     return both.select("id", F.get("lo_path", _shared(F.col("lo_path"), F.col("hi_path")) - 1).alias("parent"))
 
 
@@ -75,7 +75,7 @@ def contract(pairs: DataFrame, entry: int) -> tuple[DataFrame, DataFrame | None]
             met = write_table(links.join(shuffled(several), "dst", "left_semi"), "contract-met")
             # clusters that no source lies in have no root here, and so no paths
             roots = met.select(F.col("up").alias("id")).distinct().withColumn("parent", F.lit(None).cast("long"))
-            rows = rows.unionByName(_meets(roots.unionByName(tree.read()), met.select("src", "dst")))
+            rows = rows.unionByName(meets(roots.unionByName(tree.read()), met.select("src", "dst")))
         if tree is None:
             tree = GrowingTable(rows, "contract-tree")
         else:

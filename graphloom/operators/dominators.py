@@ -5,27 +5,81 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.contraction import contract
-from graphloom.operators.lifting import is_ancestor, lift, subtree_sizes, ways_up
-from graphloom.operators.sequential import adjacency, fits, immediate_dominators, in_one_task
+from graphloom.operators.contraction import contract, meets
+from graphloom.operators.lifting import is_ancestor, lift, shallow, spans, subtree_sizes, ways_up
+from graphloom.operators.sequential import MAX_EDGES, adjacency, fits, immediate_dominators, in_one_task
 from graphloom.operators.structural import UNLIMITED
 from graphloom.operators.traversal import bfs
 from graphloom.operators.trees import _shared, closure, root_paths
 from graphloom.plans.tables import GrowingTable, drop_table, shuffled, write_table
 
 VIRTUAL_EXIT = "__exit__"
+#: Pairs, parallel ones too, up to which it is looked whether the distinct ones fit one task before the graph is made smaller.
+MAX_DISTINCT = 4 * MAX_EDGES
+#: Buckets of keys, and rows of one that a task groups at most.
+BUCKETS, BUCKET_ROWS = 4096, 1 << 20
 
 
 def dominator_tree(edges: DataFrame, entry: str, sequential: bool = True, max_rounds: int = 10_000) -> DataFrame:
     """``id, parent``: the immediate dominator of each node that ``entry`` reaches, at any depth; null for the entry.
 
-    With ``sequential`` (the default), a graph whose distinct edges fit one task (checked) is walked there in almost linear time. Others are numbered and
+    With ``sequential`` (the default), a graph whose edges fit one task (checked) is walked there in almost linear time. Others are made smaller where that at least halves
+    their edges (:func:`_inner`, :func:`_folded`), then numbered and
     contracted (see :mod:`graphloom.operators.contraction`): trees, chains and most flow graphs end in a few rounds, at any depth. What contraction leaves is walked in one task if it fits, else
     by rounds over the whole cluster (:func:`_by_rounds`). All ways give the same rows.
     """
-    pairs = write_table(edges.where("src <> dst").select("src", "dst").distinct(), "dom-edges")
-    if sequential and fits(pairs):
-        return _in_one_task(pairs, entry)
+    pairs = edges.where("src <> dst").select("src", "dst")
+    # a table that is written is read again as it is
+    return _tree_of(pairs if hasattr(edges, "_table_path") else write_table(pairs, "dom-edges"), entry, sequential, max_rounds)
+
+
+def _alone(pairs: DataFrame, entry) -> DataFrame:
+    kind = dict(pairs.dtypes)["src"]
+    return pairs.sparkSession.createDataFrame([(entry, None)], f"id {kind}, parent {kind}")
+
+
+def _tree_of(pairs: DataFrame, entry, sequential: bool, max_rounds: int) -> DataFrame:
+    """:func:`dominator_tree` of ``pairs`` without self-loops; pairs may repeat."""
+    n = pairs.count()
+    if not n:
+        return _alone(pairs, entry)
+    if sequential and n <= MAX_DISTINCT and fits(distinct := write_table(pairs.distinct(), "dom-edges")):
+        return _in_one_task(distinct, entry)
+    inner = _inner(pairs)
+    if inner.count() * 2 <= n:
+        tree = write_table(_tree_of(inner, entry, sequential, max_rounds), "dom")
+        if shallow(lift(tree)):
+            # a leaf's dominator is where the ways of its sources meet
+            leaves = meets(tree, pairs).join(shuffled(tree.select("id")), "id", "left_anti")
+            return tree.unionByName(leaves)
+        pairs = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("id").alias("dst")).unionByName(pairs.join(shuffled(tree.select(F.col("id").alias("dst"))), "dst", "left_anti").select("src", "dst"))
+    else:
+        drop_table(inner)
+        folded = _folded(pairs, entry)
+        if folded.count() * 2 <= n:
+            return _tree_of(folded, entry, sequential, max_rounds)
+        drop_table(folded)
+    return _contracted(write_table(pairs.distinct(), "dom-edges"), entry, sequential, max_rounds)
+
+
+def _inner(pairs: DataFrame) -> DataFrame:
+    """``pairs`` but those into nodes without outgoing edges, which dominate nothing else."""
+    sources = write_table(pairs.select(F.col("src").alias("dst")).distinct(), "dom-sources")
+    return write_table(pairs.join(shuffled(sources), "dst", "left_semi").select("src", "dst"), "dom-edges")
+
+
+def _folded(pairs: DataFrame, entry) -> DataFrame:
+    """Fewer pairs with the same dominators: sources of a node that have one and the same single predecessor stand for that predecessor, as this is all that dominates them all."""
+    pairs = pairs.where(F.col("dst") != F.lit(entry))
+    single = pairs.groupBy(F.col("dst").alias("src")).agg(F.min("src").alias("up"), F.max("src").alias("other")).where("up = other").select("src", "up")
+    own = pairs.join(shuffled(write_table(single, "dom-single")), "src", "left").withColumn("own", F.when(F.col("up").isNull(), F.col("src")))
+    groups = own.groupBy("dst", "up", "own").agg(F.min("src").alias("lo"), F.max("src").alias("hi"))
+    src = F.when(F.col("up").isNotNull() & (F.col("lo") != F.col("hi")), F.col("up")).otherwise(F.col("lo"))
+    return write_table(groups.select(src.alias("src"), "dst").where("src <> dst"), "dom-edges")
+
+
+def _contracted(pairs: DataFrame, entry, sequential: bool, max_rounds: int) -> DataFrame:
+    """:func:`dominator_tree` of distinct ``pairs`` by contraction."""
     kind = dict(pairs.dtypes)["src"]
     ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).unionByName(pairs.sparkSession.createDataFrame([(entry,)], f"id {kind}"))
     ids = write_table(ends.distinct().withColumn("n", F.monotonically_increasing_id()), "dom-ids")
@@ -59,8 +113,7 @@ def _in_one_task(pairs: DataFrame, entry) -> DataFrame:
             yield pd.DataFrame(rows[at : at + 100_000], columns=["id", "parent"], dtype=object)
 
     # an entry without edges is in no pair
-    alone = pairs.sparkSession.createDataFrame([(entry, None)], f"id {kind}, parent {kind}")
-    return in_one_task(pairs, walk, f"id {kind}, parent {kind}").unionByName(alone).groupBy("id").agg(F.max("parent").alias("parent"))
+    return in_one_task(pairs, walk, f"id {kind}, parent {kind}").unionByName(_alone(pairs, entry)).groupBy("id").agg(F.max("parent").alias("parent"))
 
 
 def _by_rounds(pairs: DataFrame, entry, max_rounds: int) -> DataFrame:
@@ -102,7 +155,7 @@ def post_dominators(edges: DataFrame, exit: str | None = None) -> DataFrame:
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if exit is not None:
         return dominators(back, exit)
-    ends = edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    ends = write_table(edges.select(F.col("dst").alias("id")).distinct().join(shuffled(edges.select(F.col("src").alias("id")).distinct()), "id", "left_anti"), "dom-ends")
     back = back.unionByName(ends.select(F.lit(VIRTUAL_EXIT).alias("src"), F.col("id").alias("dst")))
     found = dominators(back, VIRTUAL_EXIT)
     own = F.col("idom") != VIRTUAL_EXIT
@@ -131,11 +184,26 @@ def immediate(dom: DataFrame) -> DataFrame:
     return dom.select("id", F.when(F.col("idom") != F.col("id"), F.col("idom")).alias("parent"))
 
 
-def _between(dom: DataFrame, pairs: DataFrame, key: str, node: str) -> DataFrame:
-    """``key, id``: of each pair, the dominators of ``node`` that don't strictly dominate ``key``."""
+def _even(pairs: DataFrame, key: str) -> bool:
+    """Whether no value of ``key`` has many more of ``pairs`` than one task groups: counted by buckets, which are as many whatever the size."""
+    sizes = pairs.groupBy(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    return not sizes["all"] or sizes["most"] <= max(BUCKET_ROWS, 4 * sizes["all"] // BUCKETS)
+
+
+def _between(dom: DataFrame, pairs: DataFrame, keys: DataFrame, key: str, node: str) -> DataFrame:
+    """``key, id``: of each of ``pairs`` (``key, node``) whose key is in ``keys``, the dominators of ``node`` that don't strictly dominate ``key``.
+
+    Shallow trees give each node's root path, so that pairs are shuffled once an end: by ``key`` last, as what lies there needs no further shuffle to be taken once, but first where one key has too many.
+    """
     t = lift(immediate(dom))
-    low = immediate(dom).join(t.levels.withColumnRenamed("id", "parent"), "parent", "left").select(F.col("id").alias(key), (F.col("level") + 1).alias("low"))
-    return ways_up(t, pairs.join(low, key, "left").select(key, F.col(node).alias("id"), F.coalesce("low", F.lit(0)).alias("low")), key)
+    low = immediate(dom).join(shuffled(t.levels.withColumnRenamed("id", "parent")), "parent", "left").select(F.col("id").alias(key), (F.col("level") + 1).alias("low"))
+    low = write_table(keys.join(shuffled(low), key, "left").select(key, F.coalesce("low", F.lit(0)).alias("low")), "dom-low")
+    if not shallow(t):
+        return ways_up(t, pairs.distinct().join(shuffled(low), key).select(key, F.col(node).alias("id"), "low"), key)
+    sides = {node: root_paths(t.tree).withColumnRenamed("id", node), key: low}
+    for end in (node, key) if _even(pairs, key) else (key, node):
+        pairs = pairs.join(shuffled(sides[end]), end)
+    return pairs.select(key, F.explode(F.expr("slice(path, int(low) + 1, size(path))")).alias("id")).distinct()
 
 
 def dominance_frontier(edges: DataFrame, dom: DataFrame) -> DataFrame:
@@ -143,8 +211,8 @@ def dominance_frontier(edges: DataFrame, dom: DataFrame) -> DataFrame:
 
     ``dom`` needs ``id, idom`` alone: the nodes are those on the way from each predecessor up to the node's immediate dominator.
     """
-    pairs = edges.where("src <> dst").select("src", "dst").distinct().join(dom.select(F.col("id").alias("dst")), "dst")
-    return _between(dom, pairs, "dst", "src").select("id", F.col("dst").alias("frontier"))
+    pairs = edges.where("src <> dst").select("src", "dst")
+    return _between(dom, pairs, dom.select(F.col("id").alias("dst")), "dst", "src").select("id", F.col("dst").alias("frontier"))
 
 
 def merge_points(edges: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -156,8 +224,7 @@ def merge_points(edges: DataFrame, frontier: DataFrame) -> DataFrame:
 def control_dependence(edges: DataFrame, post: DataFrame) -> DataFrame:
     """``id, depends_on``: nodes whose execution a node of two or more outgoing edges decides: they post-dominate a successor, but not strictly the node."""
     branch = edges.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select("src")
-    pairs = edges.join(branch, "src").select("src", "dst").distinct()
-    return _between(post, pairs, "src", "dst").select("id", F.col("src").alias("depends_on"))
+    return _between(post, edges.select("src", "dst"), branch, "src", "dst").select("id", F.col("src").alias("depends_on"))
 
 
 def natural_loops(edges: DataFrame, dom: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,7 +264,13 @@ def sese_regions(edges: DataFrame, dom: DataFrame, post: DataFrame, min_size: in
 def edge_classes(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """``src, dst, class``: back if the target dominates the source, forward if the source dominates the target, else cross (also if an end isn't reached)."""
     t = lift(immediate(dom))
-    joined = is_ancestor(t, is_ancestor(t, edges.select("src", "dst"), "dst", "src", "back"), "src", "dst", "forward")
+    pairs = edges.select("src", "dst")
+    if shallow(t):
+        side = lambda c, p: shuffled(spans(t).select(F.col("id").alias(c), F.col("lo").alias(f"{p}lo"), F.col("hi").alias(f"{p}hi")))
+        joined = pairs.join(side("src", "s"), "src", "left").join(side("dst", "d"), "dst", "left")
+        joined = joined.select("src", "dst", F.col("slo").between(F.col("dlo"), F.col("dhi")).alias("back"), F.col("dlo").between(F.col("slo"), F.col("shi")).alias("forward"))
+    else:
+        joined = is_ancestor(t, is_ancestor(t, pairs, "dst", "src", "back"), "src", "dst", "forward")
     return joined.select("src", "dst", F.when(F.col("back"), "back").when(F.col("forward"), "forward").otherwise("cross").alias("class"))
 
 
@@ -209,7 +282,9 @@ def reducibility(edges: DataFrame, dom: DataFrame) -> DataFrame:
     """
     classes = write_table(edge_classes(edges, dom), "reducibility")
     ids = dom.select("id")
-    left = classes.where("class <> 'back'").select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    # what leads nowhere goes first, which often leaves few edges to look at
+    on = classes.where("class <> 'back'").select("src", "dst")
+    left = on.join(shuffled(on.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst").distinct().join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     left = write_table(left, "reducibility")
     n = left.count()
     while n:

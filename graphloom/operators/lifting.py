@@ -7,18 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.tables import drop_table, new_path, write_table
+from graphloom.operators.trees import root_paths
+from graphloom.plans.tables import drop_table, new_path, shuffled, write_table
 
 #: Joins that one plan holds before its rows are written.
 STEPS = 4
+#: Jumps of a tree so shallow, less than 2 ** 6 deep, that root paths are short.
+SHALLOW = 6
 
 
 @dataclass
 class Lift:
-    """``levels`` (``id, level``, roots at 0) and ``jumps[k]`` (``id, up``: the ancestor 2 ** k steps up, where there is one)."""
+    """``levels`` (``id, level``, roots at 0), ``jumps[k]`` (``id, up``: the ancestor 2 ** k steps up, where there is one) and ``tree`` (``id, parent``)."""
 
     levels: DataFrame
     jumps: list[DataFrame]
+    tree: DataFrame
+    spans: DataFrame | None = None
 
 
 def lift(tree: DataFrame, max_doublings: int = 40) -> Lift:
@@ -32,13 +37,28 @@ def lift(tree: DataFrame, max_doublings: int = 40) -> Lift:
         first.write.parquet(f"{path}/{k:02d}")
         now = spark.read.schema(schema).parquet(f"{path}/{k:02d}")
         if now.where("up IS NOT NULL").isEmpty():
-            return Lift(now.select("id", "level"), jumps)
+            return Lift(now.select("id", "level"), jumps, spark.read.schema(schema).parquet(f"{path}/00").select("id", F.col("up").alias("parent")))
         jumps.append(now.where("up IS NOT NULL").select("id", "up"))
         above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
         first = now.join(above, "up", "left").select("id", F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
     raise ValueError("the tree has a cycle")
 
 
+def shallow(t: Lift) -> bool:
+    return len(t.jumps) <= SHALLOW
+
+
+def spans(t: Lift) -> DataFrame:
+    """``id, lo, hi`` of a :func:`shallow` tree: nodes are numbered by their root paths, so that ``lo`` to ``hi`` are the numbers of a node and of what is below it."""
+    if t.spans is None:
+        paths = root_paths(t.tree)
+        ranked = write_table(paths.orderBy("path").withColumn("lo", F.monotonically_increasing_id()), "lift-ranks")
+        drop_table(paths)
+        last = ranked.select(F.explode("path").alias("id"), "lo").groupBy("id").agg(F.max("lo").alias("hi"))
+        t.spans = write_table(ranked.select("id", "lo").join(shuffled(last), "id"), "lift-spans")
+    return t.spans
+
+
 def ancestor_at(t: Lift, rows: DataFrame, node: str, steps: Column, name: str = "at") -> DataFrame:
     """``rows`` and ``name``: the ancestor ``steps`` above their ``node``; null where the tree ends before, or for negative ``steps``. One join a digit of the depth."""
     left = rows.withColumn("_steps", steps.cast("long")).withColumn(name, F.when((F.col("_steps") >= 0) & (F.col("_steps") < 1 << len(t.jumps)), F.col(node)))
@@ -55,6 +75,10 @@ def ancestor_at(t: Lift, rows: DataFrame, node: str, steps: Column, name: str =
 
 def is_ancestor(t: Lift, pairs: DataFrame, above: str, below: str, name: str) -> DataFrame:
     """``pairs`` and ``name``: whether ``above`` is ``below`` or one of its ancestors; false where one of them isn't in the tree."""
+    if shallow(t):
+        side = lambda c, p: shuffled(spans(t).select(F.col("id").alias(c), F.col("lo").alias(f"_{p}lo"), F.col("hi").alias(f"_{p}hi")))
+        met = pairs.join(side(above, "a"), above, "left").join(side(below, "b"), below, "left")
+        return met.select(*pairs.columns, F.coalesce(F.col("_blo").between(F.col("_alo"), F.col("_ahi")), F.lit(False)).alias(name))
     n = lambda c, as_: t.levels.select(F.col("id").alias(c), F.col("level").alias(as_))
     leveled = pairs.join(n(above, "_la"), above, "left").join(n(below, "_lb"), below, "left")
     met = ancestor_at(t, leveled, below, F.col("_lb") - F.col("_la"), "_met")

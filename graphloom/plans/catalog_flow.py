@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import analytics as an
 from graphloom.operators import dominators as dm
 from graphloom.operators import chains, dyadic, trees
+from graphloom.plans.tables import write_table
 from graphloom.registry import query
 from graphloom.sources.graphs import FLOW_SQL, SESSION_SQL, TREE_SQL, CodeGraph, flow_graph, geography_tree, session_graph
 
@@ -156,9 +157,14 @@ dom AS (SELECT dst AS id, src AS idom FROM flow WHERE dst NOT LIKE 'p%' UNION AL
   UNION ALL SELECT id, CASE WHEN s = 1 THEN s1 WHEN n = 1 THEN n1 WHEN r = 1 THEN r1 ELSE 'world' END FROM part_of)"""
 
 
+def _flow(spark, d):
+    """The flow graph, worked out once for all that reads it."""
+    return write_table(flow_graph(spark, d), "flow")
+
+
 @query("dominators_flow", f"WITH {_DOM} SELECT id, idom FROM dom")
 def dominators_flow(spark, d):
-    return dm.dominators(flow_graph(spark, d), "world").select("id", "idom")
+    return dm.dominators(_flow(spark, d), "world").select("id", "idom")
 
 
 @query(
@@ -167,25 +173,25 @@ def dominators_flow(spark, d):
 SELECT DISTINCT x.a AS id, f.dst AS frontier FROM flow f JOIN anc x ON x.id = f.src WHERE NOT EXISTS (SELECT 1 FROM anc y WHERE y.id = f.dst AND y.a = x.a AND y.a <> f.dst)""",
 )
 def dominance_frontier_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     return dm.dominance_frontier(e, dm.dominators(e, "world"))
 
 
 @query("edge_classes_flow", f"WITH RECURSIVE {_DOM}, anc AS (SELECT id, id AS a FROM dom UNION SELECT x.id, d.idom FROM anc x JOIN dom d ON d.id = x.a) SELECT f.src, f.dst, CASE WHEN EXISTS (SELECT 1 FROM anc x WHERE x.id = f.src AND x.a = f.dst) THEN 'back' WHEN EXISTS (SELECT 1 FROM anc x WHERE x.id = f.dst AND x.a = f.src) THEN 'forward' ELSE 'cross' END AS class FROM flow f")
 def edge_classes_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     return dm.edge_classes(e, dm.dominators(e, "world"))
 
 
 @query("reducibility_flow")
 def reducibility_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     return dm.reducibility(e, dm.dominators(e, "world"))
 
 
 @query("post_dominators_flow")
 def post_dominators_flow(spark, d):
-    return dm.post_dominators(flow_graph(spark, d)).select("id", "idom")
+    return dm.post_dominators(_flow(spark, d)).select("id", "idom")
 
 
 #: Control flow of each user's events, from "start" to "end", and dominance by its definition: without the dominator, the node isn't reached.
@@ -294,23 +300,23 @@ def dominators_deep(spark, d):
 
 @query("control_dependence_flow")
 def control_dependence_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     return dm.control_dependence(e, dm.post_dominators(e))
 
 
 @query("sese_regions_flow")
 def sese_regions_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     return dm.sese_regions(e, dm.dominators(e, "world"), dm.post_dominators(e))
 
 
 @query("critical_path_flow", f"WITH RECURSIVE {_DOM}, up AS (SELECT id, idom, 0 AS back FROM dom WHERE id = 'p1' UNION ALL SELECT d.id, d.idom, u.back + 1 FROM up u JOIN dom d ON d.id = u.idom WHERE u.idom <> u.id) SELECT (max(back) OVER () - back)::INTEGER AS at, id FROM up")
 def critical_path_flow(spark, d):
-    return dm.critical_path(dm.dominators(flow_graph(spark, d), "world"), "p1")
+    return dm.critical_path(dm.dominators(_flow(spark, d), "world"), "p1")
 
 
 @query("weighted_criticality_flow")
 def weighted_criticality_flow(spark, d):
-    e = flow_graph(spark, d)
+    e = _flow(spark, d)
     dom = dm.dominators(e, "world")
     return dm.weighted_criticality(dom, an.pagerank(CodeGraph(dom.select("id"), e)))

@@ -114,7 +114,7 @@ def flow_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("region").select(F.lit("world").alias("src"), _id("r", "r_regionkey").alias("dst"))
         .unionByName(t("nation").select(_id("r", "n_regionkey").alias("src"), _id("n", "n_nationkey").alias("dst")))
         .unionByName(t("supplier").select(_id("n", "s_nationkey").alias("src"), _id("s", "s_suppkey").alias("dst")))
-        .unionByName(t("lineitem").select(_id("s", "l_suppkey").alias("src"), _id("p", "l_partkey").alias("dst")).distinct())
+        .unionByName(t("lineitem").select("l_suppkey", "l_partkey").distinct().select(_id("s", "l_suppkey").alias("src"), _id("p", "l_partkey").alias("dst")))
     )
 
 
