@@ -117,8 +117,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     Term frequency is 0 or 1, a document's length its number of distinct terms, the inverse document frequency
     ln((N + 1) / (df + 1)) + 1; the best score of a query is scaled to 1. Statistics are of all documents.
     """
-    raw = _bm25_raw(docs, queries, k1, b)
-    best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
+    # pairs are many more than documents: once they are summed they are written, and not shuffled again to meet the best of their query
+    raw = write_table(_bm25_raw(docs, queries, k1, b), "bm25-raw")
+    best = write_table(raw.groupBy("query_id").agg(F.max("raw").alias("best")), "bm25-best")
     return raw.join(best, "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("best")).alias("score"))
 
 

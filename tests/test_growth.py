@@ -38,6 +38,15 @@ def test_best_of_search_joins_documents_with_questions_alone(spark, monkeypatch)
     assert plans and not any(re.search(r"Join .*doc_id", p) for p in plans)
 
 
+def test_scores_are_not_shuffled_again_to_be_scaled(spark):
+    """Pairs, of which there are many more than documents, were dealt by query to meet its best score."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} the") for i in range(50)], "doc_id long, text string")
+    found = search.bm25(docs, spark.createDataFrame([(1, "the w1 w2"), (2, "w5")], "query_id long, text string"))
+    assert "hashpartitioning(query_id" not in physical(found)
+    rows = found.collect()
+    assert len(rows) == 57 and {q: max(r["score"] for r in rows if r["query_id"] == q) for q in (1, 2)} == {1: 1.0, 2: 1.0}
+
+
 def physical(df: DataFrame) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
