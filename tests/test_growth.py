@@ -190,3 +190,48 @@ def test_clones_shuffle_no_shingles(spark, monkeypatch):
     assert {(x["a"], x["b"]): x["similarity"] for x in found.where("similarity >= 0.8").collect()} == want and len(want) > 20
     assert types and not {"array<string>", "string"} & set(types)
     assert "grams" not in optimized(found) and "signature" not in optimized(found)
+
+
+def written_rows(monkeypatch):
+    """Numbers of rows that similarity writes."""
+    found, write = [], similarity.write_table
+
+    def counted(df, *a):
+        out = write(df, *a)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "write_table", counted)
+    return found
+
+
+def family(n):
+    """Texts of which any two share about a third of their shingles, and brute force's similarities."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(f"x{i}y{k}" if k in at else w + ("\n" if k % 20 == 0 else "") for k, w in enumerate(base)) for i in range(n) for at in [set(r.sample(range(120), 5))]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    return texts, {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a != b}
+
+
+def test_clones_write_no_pair_that_is_none(spark, monkeypatch):
+    """Each pair that shared a band was written and shuffled with both its texts: a family of m texts cost m * m texts, alike or not."""
+    rows = written_rows(monkeypatch)
+    texts, alike = family(60)
+    some = spark.createDataFrame(list(texts.items()), "id long, text string")
+    assert sum(s >= 0.6 for s in alike.values()) < 300 < sum(0.3 < s < 0.6 for s in alike.values())
+    found = similarity.clones(some, 0.5)
+    assert {(x["a"], x["b"]): x["similarity"] for x in found.where("similarity >= 0.5").collect()} == {p: s for p, s in alike.items() if s >= 0.5 and p[0] < p[1]}
+    rows.clear()
+    similarity.clones(some)
+    assert max(rows) <= 60 * 6
+
+
+def test_word_runs_are_the_shingles(spark):
+    """Hashed runs are as many as the shingles, of odd texts too."""
+    odd = ["", " ", None, "a", "a b c d", "a b c d e", "A\tb\x0bc\nd\re\x0cf", "a\u00a0b c\u2003d e f g", "ÄÖ ß İ x y z Ä", "a a a a a a a a", "b a a a a a a", " a  b "]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, text string")
+    want = {x["id"]: x["n"] for x in df.select("id", F.size(similarity.token_shingles(F.col("text"), 5)).alias("n")).collect()}
+    got = similarity.sketched(df, 5, 8, 4).collect()
+    assert {x["id"]: x["size"] for x in got} == want and all(len(x["bands"]) == (4 if x["size"] else 0) for x in got)
+    assert len({x["key"] for x in got}) == len(odd) - 2
