@@ -227,6 +227,18 @@ def test_clones_write_no_pair_that_is_none(spark, monkeypatch):
     assert max(rows) <= 60 * 6
 
 
+def test_blocks_of_a_component_meet(spark, monkeypatch):
+    """Components of many blocks give the pairs of brute force, one way round."""
+    monkeypatch.setattr(similarity, "BLOCK_RUNS", 4000)
+    texts, alike = family(40)
+    some = spark.createDataFrame(list(texts.items()), "id long, text string")
+    found = similarity.clones(some, 0.4).collect()
+    assert len(found) == len({(x["a"], x["b"]) for x in found})
+    assert {(x["a"], x["b"]): x["similarity"] for x in found} == {p: s for p, s in alike.items() if s >= 0.4 and p[0] < p[1]}
+    close = {(x["query"], x["id"]): x["similarity"] for x in similarity.similar_texts(some, some.where("id % 4 = 0"), 0.4).collect()}
+    assert close == {p: s for p, s in alike.items() if s >= 0.4 and p[0] % 4 == 0} and len(close) > 50
+
+
 def test_word_runs_are_the_shingles(spark):
     """Hashed runs are as many as the shingles, of odd texts too."""
     odd = ["", " ", None, "a", "a b c d", "a b c d e", "A\tb\x0bc\nd\re\x0cf", "a\u00a0b c\u2003d e f g", "ÄÖ ß İ x y z Ä", "a a a a a a a a", "b a a a a a a", " a  b "]
@@ -235,3 +247,15 @@ def test_word_runs_are_the_shingles(spark):
     got = similarity.sketched(df, 5, 8, 4).collect()
     assert {x["id"]: x["size"] for x in got} == want and all(len(x["bands"]) == (4 if x["size"] else 0) for x in got)
     assert len({x["key"] for x in got}) == len(odd) - 2
+
+
+def test_similar_texts_write_no_shingles(spark, monkeypatch):
+    """Sets of shingles as strings, several times as long as their texts, were written and shuffled, and hashed 128 times by expressions."""
+    types = written_types(monkeypatch)
+    df, sets, alike = near_texts(spark)
+    found = similarity.similar_texts(df, df.where("id % 3 = 0"))
+    pairs = {(x["query"], x["id"]): x["similarity"] for x in found.collect()}
+    same = {(a, b): 1.0 for a in sets for b in sets if a != b and sets[a] and sets[a] == sets[b]}
+    want = {p: s for (a, b), s in (alike | same).items() for p in ((a, b), (b, a)) if p[0] % 3 == 0}
+    assert pairs == want and len(want) > 10
+    assert types and not {"array<string>", "string"} & set(types)
