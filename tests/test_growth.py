@@ -259,3 +259,9 @@ def test_similar_texts_write_no_shingles(spark, monkeypatch):
     want = {p: s for (a, b), s in (alike | same).items() for p in ((a, b), (b, a)) if p[0] % 3 == 0}
     assert pairs == want and len(want) > 10
     assert types and not {"array<string>", "string"} & set(types)
+
+
+def test_texts_in_many_parts_are_not_dealt_anew(spark):
+    """All texts were shuffled before they were cut, however many files they came in."""
+    few, many = (spark.range(0, 100, 1, n).select("id", F.lit("a b").alias("text")) for n in (1, 64))
+    assert "RepartitionByExpression" in optimized(similarity.dealt(few)) and "Repartition" not in optimized(similarity.dealt(many))
